@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from rootgraph.llm import decontaminate, packing, sharding
+from rootgraph.llm import decontaminate, embeddings, language, lines, minhash, packing, sharding, warc
 
 QUERIES = {
+    "op1_warc": warc.op1_warc,
+    "op2_dart_minhash": minhash.op2_dart_minhash,
+    "op3_simhash_lines": lines.op3_simhash_lines,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
+    "op6_language_id": language.op6_language_id,
     "op8_minimax_shards": sharding.op8_minimax_shards,
+    "op9_inverted_multi_index": embeddings.op9_inverted_multi_index,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
 ORACLE_SQL = {
+    "op1_warc": warc.ORACLE,
+    "op9_inverted_multi_index": embeddings.ORACLE,
     "op10_decontaminate": decontaminate.ORACLE,
 }
