@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from rootgraph.llm import decontaminate, embeddings, language, lines, minhash, packing, sharding, warc
+from rootgraph.llm import decontaminate, embeddings, language, lines, minhash, packing, sharding, suffixes, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_dart_minhash": minhash.op2_dart_minhash,
     "op3_simhash_lines": lines.op3_simhash_lines,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
+    "op5_suffix_dedup": suffixes.op5_suffix_dedup,
     "op6_language_id": language.op6_language_id,
     "op8_minimax_shards": sharding.op8_minimax_shards,
     "op9_inverted_multi_index": embeddings.op9_inverted_multi_index,
