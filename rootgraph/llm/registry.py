@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rootgraph.llm import decontaminate, embeddings, language, lines, minhash, packing, sharding, suffixes, warc
+from rootgraph.llm import decontaminate, embeddings, language, lines, minhash, packing, privacy, sharding, suffixes, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op5_suffix_dedup": suffixes.op5_suffix_dedup,
     "op6_language_id": language.op6_language_id,
+    "op7_sanitise": privacy.op7_sanitise,
     "op8_minimax_shards": sharding.op8_minimax_shards,
     "op9_inverted_multi_index": embeddings.op9_inverted_multi_index,
     "op10_decontaminate": decontaminate.op10_decontaminate,
