@@ -106,7 +106,7 @@ def bands(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """doc_id, text -> doc_id, f1, f2 (hash of the word sequence), n (shingles), bands (empty without words)."""
+    """doc_id, text -> doc_id, f1, f2 (hash of the word sequence, or of a wordless text), n (shingles; null for null), bands (empty without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, start, end in pieces(batches):
@@ -114,8 +114,10 @@ def sign(docs: DataFrame) -> DataFrame:
             sh, count = shingles(h, first, last, WIDTH)
             key = bands(signatures(sh, count)).view(np.int64)
             some = count > 0
-            f = [span_hash(prefix_hash(x), first, last).view(np.int64) for x in (h, mix(h ^ U64(0x5851F42D4C957F2D)))]
-            yield pa.record_batch([batch.column(0), pa.array(f[0]), pa.array(f[1]), pa.array(count, pa.int64()), lists(key[some].reshape(-1), np.where(some, BANDS, 0), pa.int64())], ["doc_id", "f1", "f2", "n", "bands"])
+            raw = span_hash(prefix_hash(data), start, end)  # tells wordless texts apart
+            f = [np.where(some, span_hash(prefix_hash(x), first, last), mix(raw ^ U64(k))).view(np.int64) for k, x in enumerate((h, mix(h ^ U64(0x5851F42D4C957F2D))), 1)]
+            known = np.asarray(batch.column(1).is_valid())
+            yield pa.record_batch([batch.column(0), pa.array(f[0]), pa.array(f[1]), pa.array(count, pa.int64(), mask=~known), lists(key[some].reshape(-1), np.where(some, BANDS, 0), pa.int64())], ["doc_id", "f1", "f2", "n", "bands"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, f1 long, f2 long, n long, bands array<long>")
 
@@ -155,13 +157,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
 
     Texts of equal word sequence are merged first; the others meet in bands of their DartMinHash signatures, and
     every link is verified on the whole texts. Returns doc_id, n_shingles, class_id (the smallest id of the class),
-    kept (one row of each class). A text of fewer than five words, but not none, is one shingle. Null, empty and
-    wordless texts have no shingles: each is a class of its own, as is a row with a null id. Ids are taken as
-    unique; rows repeated with their id are one document. An empty table gives no rows; other columns are ignored.
+    kept (one row of each class). A text of fewer than five words, but not none, is one shingle. Empty and wordless
+    texts have no shingles and are alike only if equal; a null text (null shingles) is a class of its own, as is
+    a row with a null id. Ids are taken as unique; rows repeated with their id are one document. An empty table gives no rows; other columns are ignored.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = written(sign(docs), "signed")
-    some = signed.where("n > 0 and doc_id is not null")
+    some = signed.where("n is not null and doc_id is not null")
     texts = written(some.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "texts")
     weight = texts.select("rep", "n")
 
@@ -175,7 +177,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     found = classes(texts.select(F.explode("bands").alias("key"), F.col("rep").alias("id")), verify)
     named = texts.select("f1", "f2", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", F.coalesce("component", "rep").alias("class_id"))
     out = some.select("doc_id", "n", "f1", "f2").join(named, ["f1", "f2"]).select("doc_id", "n", "class_id")
-    rest = signed.where("not (n > 0 and doc_id is not null)").select("doc_id", "n", F.col("doc_id").alias("class_id"))
+    rest = signed.where("n is null or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("class_id"))
     return out.union(rest).select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
 
 
