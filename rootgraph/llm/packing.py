@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import itertools
 import os
 import zlib
 from collections.abc import Iterator
@@ -12,12 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rootgraph.llm.common import ranked, table
+from rootgraph.llm.common import ranked, table, written
 from rootgraph.llm.kernels import pieces, ragged
 
 CAPACITY = 2048
-#: words whose ids a task remembers before it starts anew
-REMEMBERED = 400_000
+#: words whose ids a worker remembers before it starts anew
+REMEMBERED = 600_000
 
 
 def default_tokenizer() -> str:
@@ -27,9 +28,10 @@ def default_tokenizer() -> str:
 
 
 class Words:
-    """Token ids of white-space delimited strings, each encoded once and then looked up.
+    """Token ids of strings, each encoded once and then looked up.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its strings in turn.
+    The tokenizer lower-cases, drops white space, and never joins across it nor between letters and punctuation,
+    so a text's ids are those of such parts in turn.
     """
 
     def __init__(self, path: str):
@@ -37,32 +39,63 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.clear()
 
     def clear(self) -> None:
         self.place: dict[str, int] = {}
         self.off, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
+    def _each(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+        return np.fromiter(itertools.chain.from_iterable(got), np.uint32), np.fromiter(map(len, got), np.int64, len(got))
+
+    def _joined(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_each``, for strings of letters only: one call for all, as each ends with a token that ends a word."""
+        ids = np.array(self.tokenizer.encode(" ".join(strings), add_special_tokens=False).ids, np.uint32)
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(strings) or len(ids) != ends[-1]:
+            return self._each(strings)
+        return ids, np.diff(ends, prepend=0)
+
     def encode(self, strings: list[str]) -> np.ndarray:
         """Places in ``off`` of the strings."""
         if len(self.place) > REMEMBERED:
             self.clear()
         if new := [s for s in strings if s not in self.place]:
-            got = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            self.place.update(zip(new, range(len(self.off) - 1, len(self.off) - 1 + len(new)), strict=True))
-            self.off = np.concatenate([self.off, self.off[-1] + np.cumsum([len(x) for x in got])])
-            self.ids = np.concatenate([self.ids, np.fromiter((i for x in got for i in x), np.uint32)])
+            plain = [s for s in new if s.isalpha()]
+            other = [s for s in new if not s.isalpha()]
+            got = [self._joined(plain[i : i + 512]) for i in range(0, len(plain), 512)] + ([self._each(other)] if other else [])
+            self.place.update(zip([*plain, *other], range(len(self.off) - 1, len(self.off) - 1 + len(new)), strict=True))
+            self.off = np.concatenate([self.off, self.off[-1] + np.cumsum(np.concatenate([n for _, n in got]))])
+            self.ids = np.concatenate([self.ids, *(x for x, _ in got)])
         return np.fromiter(map(self.place.__getitem__, strings), np.int64, len(strings))
 
 
-_SPACE = np.zeros(256, bool)
+_SPACE, _LETTER, _MARK = (np.zeros(256, bool) for _ in range(3))
+_LOWER = np.arange(256, dtype=np.uint8)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_LETTER[65:91] = _LETTER[97:123] = True
+#: ASCII punctuation but the apostrophe, which may begin a contraction
+_MARK[33:48] = _MARK[58:65] = _MARK[91:97] = _MARK[123:127] = True
+_MARK[39] = False
+_LOWER[65:91] += 32
 
 
 def token_ids(encoder: Words, data: np.ndarray, start: np.ndarray, end: np.ndarray, stop: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all rows in turn, each followed by ``stop``, and how many each row has."""
     solid = ~_SPACE[data]
     edge = np.zeros(len(data) + 1, bool)
+    low = _LOWER[data]
+    raw = low.tobytes()
+    if any(t in raw for t in encoder.special):  # such strings are found before lower case and parts
+        low = data
+    else:
+        letter, mark = _LETTER[data], _MARK[data]
+        edge[1:-1] = (letter[1:] & mark[:-1]) | (mark[1:] & letter[:-1])
     edge[start] = edge[end] = True
     first, last = solid.copy(), solid.copy()
     first[1:] &= ~solid[:-1] | edge[1:-1]
@@ -70,7 +103,7 @@ def token_ids(encoder: Words, data: np.ndarray, start: np.ndarray, end: np.ndarr
     ws, we = np.flatnonzero(first), np.flatnonzero(last) + 1
     off = np.zeros(len(ws) + 1, np.int32)
     np.cumsum(we - ws, out=off[1:])
-    strings = pa.StringArray.from_buffers(len(ws), pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(data[solid]))).dictionary_encode()
+    strings = pa.StringArray.from_buffers(len(ws), pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(low[solid]))).dictionary_encode()
     place = encoder.encode(strings.dictionary.to_pylist())
     place = place[np.asarray(strings.indices)] if len(ws) else np.zeros(0, np.int64)
     n = encoder.off[place + 1] - encoder.off[place]
@@ -79,15 +112,18 @@ def token_ids(encoder: Words, data: np.ndarray, start: np.ndarray, end: np.ndarr
     out = np.full(int(count.sum()), stop, np.uint32)
     body = np.ones(len(out), bool)
     body[np.cumsum(count) - 1] = False
-    out[body] = encoder.ids[np.repeat(encoder.off[place], n) + ragged(n)]
+    out[body] = encoder.ids[np.repeat(encoder.off[place] - ends[:-1], n) + np.arange(int(ends[-1]))]
     return out, count
 
 
+_encoders: dict[str, Words] = {}
+
+
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """Each document's ids and the closing id 0, cut into pieces of at most ``capacity``."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Words(tokenizer)
+        encoder = _encoders.get(tokenizer) or _encoders.setdefault(tokenizer, Words(tokenizer))
         for batch, data, start, end in pieces(batches):
             ids, count = token_ids(encoder, data, start, end)
             number = -(-count // capacity)
@@ -242,7 +278,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
     each; an empty table gives no rows; other columns are ignored.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    cut = ranked(token_pieces(docs, tokenizer or default_tokenizer(), capacity), ["length"], ["doc_id", "piece"], "rank")
+    cut = written(token_pieces(docs, tokenizer or default_tokenizer(), capacity), "pieces")
+    cut = ranked(cut, ["length"], ["doc_id", "piece"], "rank")
     counts = {r.length: r["count"] for r in cut.groupBy("length").count().collect()}
     runs = plan(counts, capacity)
     base = int(runs[:, 2].max()) + 1 if len(runs) else 1
