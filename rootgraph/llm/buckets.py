@@ -2,45 +2,127 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rootgraph.llm.common import components, written
 
-#: members of a bucket that one side of a block holds
-BLOCK = 64
+#: rows on one side of a block of comparisons
+BLOCK = 512
 
+#: (ids, labels, payload) of the two sides of a block (one and the same side if the second is None) -> boolean matrix of links
+Kernel = Callable[[pa.RecordBatch, pa.RecordBatch | None], np.ndarray]
 
-def classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+
+def by_key(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
+    """Rows that stand together by key."""
+    key, held = None, []
+    for batch in batches:
+        keys = batch.column(batch.schema.get_field_index(column)).to_numpy()
+        cut = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            if a == b:
+                continue
+            if held and keys[a] != key:
+                yield key, held
+                held = []
+            key = keys[a]
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield key, held
+
+
+def spanning(a: np.ndarray, b: np.ndarray, linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Few links that join what the matrix of links between rows a and columns b joins: (node, smallest of its part)."""
+    la, lb, big = a.copy(), b.copy(), np.iinfo(np.int64).max
+    while True:
+        na = np.minimum(la, np.where(linked, lb[None, :], big).min(axis=1, initial=big))
+        nb = np.minimum(lb, np.where(linked, na[:, None], big).min(axis=0, initial=big))
+        # a node that stands on both sides has one label
+        ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        low = np.full(len(ids), big)
+        np.minimum.at(low, at, np.concatenate([na, nb]))
+        na, nb = low[at[: len(a)]], low[at[len(a) :]]
+        if (na == la).all() and (nb == lb).all():
+            moved = low != ids
+            return ids[moved], low[moved]
+        la, lb = na, nb
+
+
+def in_blocks(rows: DataFrame, kernel: Kernel, block: int = BLOCK, pairs: bool = False) -> DataFrame:
+    """Links (a, b) that join the rows of each cluster whose pairs the kernel accepts; with ``pairs``, those pairs, a > b.
+
+    ``rows`` holds cluster, id, label and what the kernel needs. A cluster is cut into parts of about ``block`` rows
+    and each pair of parts is compared in one step, so no task holds a cluster and no pairs are emitted: a step
+    gives fewer links than it has rows (unless ``pairs``, for kernels that leave few). Pairs of equal label are joined already and not compared.
+    """
+    n = rows.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("_g"))
+    dealt = rows.join(n, "cluster").withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_g")).cast("int"))
+    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_g") - 1)))
+    dealt = dealt.withColumn("key", F.xxhash64("cluster", F.least("_own", "_other"), F.greatest("_own", "_other"))).withColumn("side", (F.col("_own") > F.col("_other")).cast("int"))
+    dealt = dealt.withColumn("alone", F.col("_own") == F.col("_other"))
+    rest = [c for c in rows.columns if c not in ("cluster", "id", "label")]
+    dealt = dealt.select("key", "side", "alone", "id", "label", *rest)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, parts in by_key(batches, "key"):
+            t = pa.Table.from_batches(parts).combine_chunks()
+            side = t.column("side").to_numpy()
+            cut = int(np.searchsorted(side, 1))
+            whole = t.to_batches()[0]
+            one, two = whole.slice(0, cut), whole.slice(cut)
+            if not whole.column(2)[0].as_py() and not (one.num_rows and two.num_rows):
+                continue
+            if whole.column(2)[0].as_py():
+                two = one = whole
+            labels = [x.column(4).to_numpy() for x in (one, two)]
+            other = labels[0][:, None] != labels[1][None, :]
+            if not other.any():
+                continue
+            linked = kernel(one, two) & other
+            if pairs:
+                i, j = np.nonzero(linked)
+                a, b = one.column(3).to_numpy()[i], two.column(3).to_numpy()[j]
+                once = (a > b) if one is two else np.ones(len(a), bool)
+                a, b = np.maximum(a, b)[once], np.minimum(a, b)[once]
+            else:  # labels join their holders already: links are between labels
+                a, b = spanning(*labels, linked)
+            if len(a):
+                yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return dealt.repartition("key").sortWithinPartitions("key", "side").mapInArrow(run, "a long, b long")
+
+
+def classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame], settle: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(node, component) of ids that some chain of verified links joins; ids without a link are left out.
 
-    ``members`` holds (key, id): ids that share a key may be linked. ``verify`` takes distinct pairs (a, b), a > b,
-    and keeps those that are. First each bucket's members are compared with its smallest id only. Buckets whose
-    members then all stand in one class are done. Of the others, the pairs of members in different classes that
-    were not compared yet are verified too, in blocks spread over tasks; so no link between classes is lost,
-    and a bucket of many alike is never expanded.
+    ``members`` holds (key, id): ids that share a key may be linked. First each bucket's members are compared with
+    its most shared one only: ``verify`` takes distinct pairs (a, b) and keeps those that are links. Buckets
+    whose members then all stand in one class are done. The members of the others, joined into clusters by the
+    buckets they share, go to ``settle`` as (cluster, id, label), which returns links (a, b) between labels that
+    join whatever is linked; so no class is torn, and a bucket of many alike is never expanded.
     """
-    first = members.groupBy("key").agg(F.min("id").alias("low"), F.count("*").alias("n")).where("n > 1")
-    shared = written(members.join(first, "key"), "buckets")
-    tried = written(shared.where("id != low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct(), "pairs")
-    links = written(verify(tried).select("a", "b"), "links")
+    count = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = written(members.join(count, "key"), "buckets")
+    # the member that meets most others is likely the one that the rest are copies of
+    weight = shared.groupBy("id").agg(F.sum("n").alias("w"))
+    chosen = shared.join(weight, "id").groupBy("key").agg(F.max(F.struct("w", (-F.col("id")).alias("id"))).alias("m")).select("key", (-F.col("m.id")).alias("center"))
+    shared = written(shared.join(chosen, "key"), "buckets")
+    pairs = shared.where("id != center").select(F.greatest("id", "center").alias("a"), F.least("id", "center").alias("b")).distinct()
+    links = written(verify(pairs).select("a", "b"), "links")
     found = components(links)
-    wide = shared.where("n > 2").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id"))
-    mixed = wide.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 != l1").select("key")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rest = wide.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rest = rest.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "id", "label")
-    x, y = rest.alias("x"), rest.alias("y")
-    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("key", "p", "q")]
-    cross = x.join(y, [*same, F.col("x.id") > F.col("y.id"), F.col("x.label") != F.col("y.label")])
-    cross = cross.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    cross = written(cross, "pairs")
-    if cross.isEmpty():
+    label = found.toDF("id", "label")
+    wide = shared.where("n > 2").join(label, "id", "left").withColumn("label", F.coalesce("label", "id")).select("key", "id", "label")
+    mixed = wide.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.min("id").alias("low")).where("l0 != l1").select("key", "low")
+    rest = written(wide.join(mixed, "key").select("id", "label", "low"), "mixed")
+    if rest.isEmpty():
         return found
-    more = written(verify(cross).select("a", "b"), "links")
+    cluster = components(rest.select(F.col("id").alias("a"), F.col("low").alias("b")))
+    more = written(settle(rest.select("id", "label").distinct().join(cluster.toDF("id", "cluster"), "id").select("cluster", "id", "label")), "links")
     if more.isEmpty():
         return found
-    return components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    return components(found.toDF("a", "b").union(more))

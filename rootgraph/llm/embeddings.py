@@ -17,6 +17,8 @@ THRESHOLD = 0.98
 SAMPLE, SAMPLE_VALUES = 20_000, 4_000_000
 #: distinct vectors for each cell of the product grid, the most centroids of a half, and the largest block compared at once
 PER_CELL, MOST_CENTROIDS, BLOCK = 32, 256, 1024
+#: share of links that the traversal must reach, and the vectors whose links, found by brute force, say how far that is
+TARGET_RECALL, PROBES, STEPS = 0.999, 256, 1024
 
 
 def unit(column: pa.Array) -> np.ndarray:
@@ -51,7 +53,7 @@ def visits(b1: np.ndarray, b2: np.ndarray, radius2: float) -> tuple[np.ndarray,
     """Multi-sequence traversal: (row, i, j) of the cells whose bounds sum to ``radius2`` at most, nearest first.
 
     Both halves are walked in order of their bounds, so it stops at the first cell beyond the radius;
-    a vector within the radius lies in no later cell, so nothing is missed.
+    a vector within that radius lies in no later cell.
     """
     o1, o2 = np.argsort(b1, axis=1, kind="stable"), np.argsort(b2, axis=1, kind="stable")
     s1, s2 = np.take_along_axis(b1, o1, 1), np.take_along_axis(b2, o2, 1)
@@ -89,6 +91,48 @@ def _index(vectors: DataFrame, books: dict[int, tuple[np.ndarray, np.ndarray]],
     return vectors.mapInArrow(run, f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in vectors.schema)}, home long, cells array<long>")
 
 
+def reach(merged: DataFrame, books: dict[int, tuple[np.ndarray, np.ndarray]], threshold: float, target: float) -> float:
+    """The bound at which the traversal may stop: what finds ``target`` of the links of some probe vectors.
+
+    The probes (a fixed number, chosen by hash) are compared with all vectors of their label; for each link the bound
+    of the cell that holds it counts. The least answer is that for a difference of the greatest length in a random
+    direction, two standard deviations out.
+    """
+    probes = merged.orderBy("h1", "h2", "rep").select("rep", "label", "vec").limit(PROBES).collect()
+    radius2 = 2 - 2 * threshold + 1e-9
+    by: dict[tuple[str, int], list] = {}
+    for r in probes:
+        by.setdefault((r.label, len(r.vec)), []).append(r)
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(STEPS + 1, np.int64)
+        for batch in batches:
+            dims = pc.list_value_length(batch.column(2)).to_numpy()
+            for (label, d), rows in by.items():
+                part = batch.filter(pc.and_(pc.equal(batch.column(1), label), pa.array(dims == d)))
+                if not part.num_rows or int(d) not in books:
+                    continue
+                x, q = unit(part.column(2)), unit(pa.array([r.vec for r in rows]))
+                i, j = np.nonzero((q @ x.T >= threshold) & (np.array([r.rep for r in rows])[:, None] != part.column(0).to_numpy()[None, :]))
+                c1, c2 = books[int(d)]
+                (_, b1), (_, b2) = bounds(q[:, : d // 2], c1), bounds(q[:, d // 2 :], c2)
+                (n1, _), (n2, _) = bounds(x[:, : d // 2], c1), bounds(x[:, d // 2 :], c2)
+                need = np.minimum((b1[i, n1[j]] + b2[i, n2[j]]) / radius2, 1)
+                total += np.bincount(np.ceil(need * STEPS).astype(np.int64), minlength=STEPS + 1)
+        yield pa.record_batch([pa.array(np.flatnonzero(total)), pa.array(total[total > 0])], ["step", "n"])
+
+    if target >= 1:
+        return radius2
+    least = radius2 * 4 / max((d for _, d in by), default=1)
+    found = sorted((r.step, r.n) for r in merged.select("rep", "label", "vec").mapInArrow(near, "step long, n long").groupBy("step").agg(F.sum("n").alias("n")).collect())
+    total, seen = sum(n for _, n in found), 0
+    for step, n in found:
+        seen += n
+        if seen >= target * total:
+            return min(radius2, max(least, radius2 * step / STEPS))
+    return min(radius2, least)
+
+
 def _links(groups: DataFrame, threshold: float) -> DataFrame:
     """Of rows (key, side, rep, n, vec) sorted by key: (a, links) for each asking vector, and (a, b) that join what is linked."""
 
@@ -141,13 +185,13 @@ def _links(groups: DataFrame, threshold: float) -> DataFrame:
     return groups.mapInArrow(run, "a long, b long, links long")
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, target: float = TARGET_RECALL, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """Links vectors of equal label whose cosine in double precision is ``threshold`` or more.
 
     Equal vectors are merged; the rest are split into halves, each with its own codebook learned from a
-    bounded sample, which gives a product grid of cells. Each vector visits cells, nearest first, until none
-    can hold a vector within the distance that the threshold allows, so that recall is complete; candidates
-    are verified in blocks, so that a cell of many vectors is spread over many tasks and is never emitted as pairs.
+    bounded sample, which gives a product grid of cells. Each vector visits cells, nearest first, up to the bound
+    that reaches the target recall (``reach``; 1 visits every cell that can hold a link); candidates are verified in
+    blocks, so that a cell of many vectors is spread over many tasks and is never emitted as pairs.
     Returns vec_id, n_links, component_id, kept for every row. Vectors that are null, empty, zero, or hold null
     or non-finite numbers, null ids, and rows with a null label have no links and are their own component;
     vectors of different lengths never link. Ids are taken as unique; a repeated row counts as another vector.
@@ -160,8 +204,6 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
     key = ["label", "h1", "h2"]
     good = rows.where("usable").select("vec_id", "vec", "label", F.xxhash64("vec").alias("h1"), F.xxhash64("vec", F.lit(1)).alias("h2"))
     merged = written(good.groupBy(*key).agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("vec").alias("vec")), "vectors")
-    radius2 = 2 - 2 * threshold + 1e-9
-
     books: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     stats = merged.agg(F.count("*"), F.max(F.size("vec"))).first()
     if stats[0]:
@@ -173,7 +215,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
             x = unit(sample.filter(pa.array(dims == d)))
             books[int(d)] = codebook(x[:, : d // 2], k), codebook(x[:, d // 2 :], k)
 
-    found = _index(merged.select("rep", "n", "vec", "label"), books, radius2)
+    stop = reach(merged, books, threshold, target) if books else 0.0
+    found = _index(merged.select("rep", "n", "vec", "label"), books, stop)
     found = written(found.withColumn("dim", F.size("vec")), "index")
     cell = ["label", "dim", "cell"]
     held = found.select("label", "dim", F.col("home").alias("cell"), "rep", "n", "vec")
@@ -205,7 +248,7 @@ ORACLE = """
 WITH RECURSIVE v AS (
   SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings
   WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND vec_id IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
       WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.98),
 r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rootgraph.llm.buckets import classes
+from rootgraph.llm.buckets import classes, in_blocks
 from rootgraph.llm.common import table, written
 from rootgraph.llm.kernels import U64, lists, mix, pieces, prefix_hash, ragged, shingles, span_hash, words
 
@@ -152,6 +152,43 @@ def similarity(pairs: DataFrame, threshold: float) -> DataFrame:
     return pairs.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def cells(rows: DataFrame) -> DataFrame:
+    """Replaces text by the cells (element and copy) of its shingle multiset, which two texts share as they do elements."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, start, end in pieces(batches):
+            sh, count = shingles(*words(data, start, end), WIDTH)
+            _, x, copy = occurrences(np.repeat(np.arange(len(count)), count), sh)
+            found = lists(mix(x + copy.astype(U64) * U64(0xA0761D6478BD642F)).view(np.int64), count, pa.int64())
+            yield pa.record_batch([batch.column(0), batch.column(1), batch.column(2), found], ["cluster", "id", "label", "cells"])
+
+    return rows.mapInArrow(run, "cluster long, id long, label long, cells array<long>")
+
+
+def block_links(x: pa.RecordBatch, y: pa.RecordBatch, threshold: float) -> np.ndarray:
+    """Which rows of x and y reach the threshold, exactly: shared cells are counted by products of incidence matrices."""
+    held = [b.column(b.schema.get_field_index("cells")) for b in (x, y)]
+    size = [np.diff(h.offsets.to_numpy()) for h in held]
+    flat = [h.flatten().to_numpy() for h in held]
+    row = [np.repeat(np.arange(len(n)), n) for n in size]
+    both = np.intersect1d(np.unique(flat[0]), np.unique(flat[1]), assume_unique=True)
+    shared = np.zeros((len(size[0]), len(size[1])), np.float32)
+    place, inside = [], []
+    for f in flat:
+        at = np.minimum(np.searchsorted(both, f), max(0, len(both) - 1))
+        place.append(at)
+        inside.append(both[at] == f if len(both) else np.zeros(len(f), bool))
+    for lo in range(0, len(both), 8192):
+        m = []
+        for k in (0, 1):
+            use = inside[k] & (place[k] >= lo) & (place[k] < lo + 8192)
+            dense = np.zeros((len(size[k]), min(8192, len(both) - lo)), np.float32)
+            dense[row[k][use], place[k][use] - lo] = 1
+            m.append(dense)
+        shared += m[0] @ m[1].T
+    return shared >= threshold * (size[0][:, None] + size[1][None, :] - shared) - 1e-6
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Classes of documents joined by chains of weighted Jaccard similarity of five-word shingles >= ``threshold``.
 
@@ -166,15 +203,21 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     some = signed.where("n is not null and doc_id is not null")
     texts = written(some.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "texts")
     weight = texts.select("rep", "n")
+    members = texts.select(F.explode("bands").alias("key"), F.col("rep").alias("id"))
+    meet = members.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
+    members = written(members.join(meet, "key", "left_semi"), "members")
+    kept = docs.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
+    kept = written(kept, "compared")
 
     def verify(pairs: DataFrame) -> DataFrame:
         sized = pairs.join(weight.toDF("a", "na"), "a").join(weight.toDF("b", "nb"), "b")
-        sized = written(sized.where(F.least("na", "nb") >= threshold * F.greatest("na", "nb")).select("a", "b"), "pairs")
-        need = sized.select("a").union(sized.select("b")).distinct().withColumnRenamed("a", "doc_id")
-        kept = written(docs.join(need, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text")), "compared")
+        sized = sized.where(F.least("na", "nb") >= threshold * F.greatest("na", "nb")).select("a", "b")
         return similarity(sized.join(kept.toDF("a", "ta"), "a").join(kept.toDF("b", "tb"), "b"), threshold)
 
-    found = classes(texts.select(F.explode("bands").alias("key"), F.col("rep").alias("id")), verify)
+    def settle(rows: DataFrame) -> DataFrame:
+        return in_blocks(cells(rows.join(kept.withColumnRenamed("doc_id", "id"), "id").select("cluster", "id", "label", "text")), lambda x, y: block_links(x, y, threshold))
+
+    found = classes(members, verify, settle)
     named = texts.select("f1", "f2", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", F.coalesce("component", "rep").alias("class_id"))
     out = some.select("doc_id", "n", "f1", "f2").join(named, ["f1", "f2"]).select("doc_id", "n", "class_id")
     rest = signed.where("n is null or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("class_id"))

@@ -11,6 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rootgraph.llm.buckets import by_key
 from rootgraph.llm.common import table, written
 from rootgraph.llm.kernels import U64, mix, pieces, prefix_hash, ragged, span_hash
 
@@ -267,24 +268,6 @@ def repeats(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.concatenate([x[k] for x in out]) for k in range(3))
 
 
-def by_key(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
-    """Rows that stand together by key."""
-    key, held = None, []
-    for batch in batches:
-        keys = batch.column(batch.schema.get_field_index(column)).to_numpy()
-        cut = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
-        for a, b in zip(cut[:-1], cut[1:], strict=True):
-            if a == b:
-                continue
-            if held and keys[a] != key:
-                yield key, held
-                held = []
-            key = keys[a]
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield key, held
-
-
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", content: bool = True) -> DataFrame:
     """Removes every byte covered by a 50-byte string that also starts in a row with a smaller id.
 
