@@ -22,6 +22,15 @@ class GraphError(ValueError):
     """An input that cannot be made into a rooted graph, or an unusable parameter."""
 
 
+def pin(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column that is computed once for each row however often later expressions use it.
+
+    The optimizer may copy a projected expression into each of its uses, even inside lambdas; it does not do so
+    across a generator of one row.
+    """
+    return df.select(*(c for c in df.columns if c != name), F.explode(F.array(value)).alias(name))
+
+
 def build(nodes: DataFrame, bonds: DataFrame, graph: str = "g") -> DataFrame:
     """Graph rows from node rows (g, id, invariant, is_root) and bond rows (g, a, b, type, ring) that name node ids."""
     n = nodes.groupBy(graph).agg(F.array_sort(F.collect_list(F.struct("id", "invariant", "is_root"))).alias("n"))
@@ -51,7 +60,7 @@ def with_depths(graphs: DataFrame) -> DataFrame:
         return F.transform(d, lambda x, i: F.least(x, F.coalesce(least(i), F.lit(far))))
 
     found = F.aggregate(F.sequence(F.lit(1), F.size("nodes")), start, relax)
-    return graphs.withColumn("depths", F.transform(found, lambda x: F.when(x < far, x)))
+    return pin(graphs, "depths", F.transform(found, lambda x: F.when(x < far, x)))
 
 
 def with_edges(graphs: DataFrame) -> DataFrame:
@@ -62,7 +71,7 @@ def with_edges(graphs: DataFrame) -> DataFrame:
         edge = lambda s, t, level: F.struct(s.alias("src"), t.alias("dst"), e["type"].alias("type"), e["ring"].alias("ring"), F.lit(level).alias("lateral"))
         return F.when(a < b, F.array(edge(e["a"], e["b"], False))).when(b < a, F.array(edge(e["b"], e["a"], False))).otherwise(F.array(edge(e["a"], e["b"], True), edge(e["b"], e["a"], True)))
 
-    return graphs.withColumn("edges", F.flatten(F.transform("bonds", orient)))
+    return pin(graphs, "edges", F.flatten(F.transform("bonds", orient)))
 
 
 def rooted(graphs: DataFrame) -> DataFrame:
@@ -93,7 +102,7 @@ def violations(graphs: DataFrame) -> Column:
 
 def initial_labels() -> Column:
     """Text labels: ROOT for the root, else the invariant."""
-    return F.transform("nodes", lambda x, i: F.when(i == F.col("root"), "ROOT").otherwise(x["invariant"].cast("string")))
+    return F.transform("nodes", lambda x, i: F.when(i == F.col("root"), F.lit("ROOT")).otherwise(x["invariant"].cast("string")))
 
 
 def _contributions(labels: Column, i: Column, directed: bool) -> list[Column]:
@@ -130,7 +139,7 @@ def refine(graphs: DataFrame, radius: int = 3, directed: bool = True) -> DataFra
     out = graphs.withColumn("_l0", initial_labels() if directed else F.transform("nodes", lambda x: x["invariant"].cast("string")))
     for r in range(1, radius + 1):
         last = F.col(f"_l{r - 1}")
-        out = out.withColumn(f"_l{r}", _refined(last, directed))
+        out = pin(out, f"_l{r}", _refined(last, directed))
     rounds = [_numbered(r) for r in range(radius + 1)]
     return out.withColumn("features", F.concat(*rounds)).drop(*(f"_l{r}" for r in range(radius + 1)))
 
@@ -151,17 +160,17 @@ def with_paths(graphs: DataFrame, max_edges: int = 4, classes: dict[str, int] |
     classes = classes or BOND_CLASS
     code = F.create_map(*(F.lit(x) for pair in classes.items() for x in pair))
     kind = lambda e: F.coalesce(F.try_element_at(code, F.upper(F.trim(e["type"]))).cast("string"), F.raise_error(F.concat(F.lit("unsupported bond type "), e["type"])).cast("string"))
-    out = graphs.withColumn("_seed", F.transform("nodes", lambda x, i: F.sha2(F.when(i == F.col("root"), "'ROOT'").otherwise(x["invariant"].cast("string")), 256)))
+    out = pin(graphs, "_seed", F.transform("nodes", lambda x, i: F.sha2(F.when(i == F.col("root"), F.lit("'ROOT'")).otherwise(x["invariant"].cast("string")), 256)))
     seed = F.col("_seed")
     link = lambda h, e: F.sha2(F.concat_ws("|", h, kind(e), seed[e["src"]]), 256)
-    out = out.withColumn("_p1", F.transform("edges", lambda e: F.struct(F.array(e["src"], e["dst"]).alias("nodes"), F.array(link(seed[e["dst"]], e)).alias("hashes"))))
+    out = pin(out, "_p1", F.transform("edges", lambda e: F.struct(F.array(e["src"], e["dst"]).alias("nodes"), F.array(link(seed[e["dst"]], e)).alias("hashes"))))
     for k in range(2, max_edges + 1):
 
         def longer(p: Column) -> Column:
             more = F.filter("edges", lambda e: (e["dst"] == p["nodes"][0]) & ~F.array_contains(p["nodes"], e["src"]))
             return F.transform(more, lambda e: F.struct(F.concat(F.array(e["src"]), p["nodes"]).alias("nodes"), F.concat(p["hashes"], F.array(link(F.element_at(p["hashes"], -1), e))).alias("hashes")))
 
-        out = out.withColumn(f"_p{k}", F.flatten(F.transform(f"_p{k - 1}", longer)))
+        out = pin(out, f"_p{k}", F.flatten(F.transform(f"_p{k - 1}", longer)))
     return out.withColumn("paths", F.concat(*(F.col(f"_p{k}") for k in range(1, max_edges + 1)))).drop("_seed", *(f"_p{k}" for k in range(1, max_edges + 1)))
 
 
