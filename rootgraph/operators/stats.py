@@ -41,7 +41,7 @@ def cluster_bootstrap(rows: DataFrame, cluster: str, value: str, draws: DataFram
     times = draws.groupBy(*group, "replicate", "ordinal").agg(F.count("*").alias("times"))
     counts = rows.groupBy(*group, cluster, value).agg(F.count("*").alias("n"))  # equal values of a cluster travel once
     drawn = times.join(names, [*group, "ordinal"]).join(counts, [*group, cluster]).withColumn("n", F.col("n") * F.col("times"))
-    per = drawn.groupBy(*group, "replicate").agg((F.sum(F.col(value) * F.col("n")) / F.sum("n")).alias("mean"), F.percentile(value, 0.5, "n").alias("median"))
+    per = drawn.groupBy(*group, "replicate").agg((F.sum(F.col(value) * F.col("n")) / F.sum("n")).alias("mean"), F.percentile(value, 0.5, F.col("n")).alias("median"))
     seen = rows.groupBy(*group).agg(F.avg(value).alias("mean"), F.median(value).alias("median")).unpivot(group, ["mean", "median"], "statistic", "estimate")
     long = per.unpivot([*group, "replicate"], ["mean", "median"], "statistic", "v")
     found = long.groupBy(*group, "statistic").agg(F.stddev_samp("v").alias("standard_error"), F.percentile("v", 0.025).alias("ci_95_lower"), F.percentile("v", 0.975).alias("ci_95_upper"), F.count("*").alias("n_replicates"))
@@ -146,11 +146,17 @@ def mixtures(values: DataFrame, key: str, value: str, counts: tuple[int, ...] =
         raise ValueError("component counts must be positive and hold the primary one")
     rows = VectorAssembler(inputCols=[value], outputCol="features").transform(values.select(key, value)).persist()
     n, spark = rows.count(), values.sparkSession
+    if primary < 2:
+        raise ValueError("the primary mixture has at least two components")
     models, table = {}, []
     for k in sorted(set(counts)):
-        fits = [GaussianMixture(k=k, seed=seed + s, maxIter=100, tol=1e-4).fit(rows) for s in range(starts if k > 1 else 1)]
-        models[k] = max(fits, key=lambda m: m.summary.logLikelihood)
-        like, p = models[k].summary.logLikelihood, 3 * k - 1
+        if k == 1:  # a single Gaussian has a closed form
+            like = -n / 2 * (math.log(2 * math.pi * rows.agg(F.var_pop(value)).first()[0]) + 1)
+        else:
+            fits = [GaussianMixture(k=k, seed=seed + s, maxIter=100, tol=1e-4).fit(rows) for s in range(starts)]
+            models[k] = max(fits, key=lambda m: m.summary.logLikelihood)
+            like = models[k].summary.logLikelihood
+        p = 3 * k - 1
         table.append((k, 2 * p - 2 * like, p * math.log(n) - 2 * like))
     best = [min(t[i] for t in table) for i in (1, 2)]
     comparison = spark.createDataFrame([(*t, t[1] - best[0], t[2] - best[1]) for t in table], "n_components int, aic double, bic double, delta_aic double, delta_bic double")

@@ -28,13 +28,13 @@ def query(sql: str | None = None):
 
 def rounded(df: DataFrame) -> DataFrame:
     """Floating columns to six places, NaN as null: sums in another order agree."""
-    return df.select(*(F.when(~F.isnan(c), F.round(c, 6)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+    return df.select(*(F.when(~F.isnan(c), F.round(c, 6) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
 def sql_rounded(columns: str, body: str) -> str:
     """SELECT of columns, those marked * rounded."""
     names = [c.strip() for c in columns.split(",")]
-    return f"SELECT {', '.join(f'round({c[1:]}, 6) AS {c[1:]}' if c[0] == '*' else c for c in names)} FROM ({body})"
+    return f"SELECT {', '.join(f'round({c[1:]}, 6) + 0.0::DOUBLE AS {c[1:]}' if c[0] == '*' else c for c in names)} FROM ({body})"
 
 
 # ---- fingerprints
@@ -326,7 +326,7 @@ def batch_summary(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(m.groupBy("aggregation").agg(F.count("*").alias("n_batches"), F.sum("n_pairs").alias("n_pairs_total"), *metrics.spread(["spearman", "pearson", "mae", "rmse"])))
 
 
-@query(_SQL_RESIDUALS + ", z AS (SELECT i, j, row_number() OVER (ORDER BY sha256('991|' || i || '|' || j), i, j) AS at FROM s WHERE batch = 0) SELECT aggregation, batch, i, j, round(predicted, 6) AS predicted, round(similarity, 6) AS similarity FROM res JOIN z USING (i, j) WHERE at <= 200 AND batch = 0")
+@query(_SQL_RESIDUALS + ", z AS (SELECT i, j, row_number() OVER (ORDER BY sha256('991|' || i || '|' || j), i, j) AS place FROM s WHERE batch = 0) SELECT aggregation, batch, i, j, round(predicted, 6) AS predicted, round(similarity, 6) AS similarity FROM res JOIN z USING (i, j) WHERE place <= 200 AND batch = 0")
 def representative_sample(spark: SparkSession, sf: str) -> DataFrame:
     r = _residuals(spark, sf).where("batch = 0").persist()
     key = F.sha2(F.concat_ws("|", F.lit("991"), F.col("i").cast("string"), F.col("j").cast("string")), 256)
@@ -460,7 +460,7 @@ def _controlled(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumns({"within_mean_distance": within, "cross_mean_distance": cross, "topology_separation": cross - within})
 
 
-@query(_SQL_CONTROLLED + " SELECT i, j, descriptor, " + ", ".join(f"round({c}, 6) AS {c}" for c in ("within_1", "within_2", "cross_12", "cross_21", "within_mean_distance", "cross_mean_distance", "topology_separation")) + " FROM cs")
+@query(_SQL_CONTROLLED + " SELECT i, j, descriptor, " + ", ".join(f"round({c}, 6) + 0.0::DOUBLE AS {c}" for c in ("within_1", "within_2", "cross_12", "cross_21", "within_mean_distance", "cross_mean_distance", "topology_separation")) + " FROM cs")
 def controlled_separation(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(_controlled(spark, sf))
 
@@ -522,7 +522,7 @@ def sample_pairs(spark: SparkSession, sf: str) -> DataFrame:
 _GRID = [i * 500.0 for i in range(-4, 24)]
 
 
-@query("WITH s AS (SELECT count(*) AS n, stddev_samp(c_acctbal) * count(*) ** -0.2 AS h FROM customer), g AS (SELECT unnest(range(-4, 24)) * 500.0::DOUBLE AS x) SELECT x, round(sum(exp(-((x - c_acctbal) / h) ** 2 / 2)) / (any_value(n) * any_value(h) * sqrt(2 * pi())), 9) AS density FROM customer, s, g GROUP BY x")
+@query("WITH s AS (SELECT count(*) AS n, stddev_samp(c_acctbal) * count(*) ** -0.2 AS h FROM customer), g AS (SELECT unnest(range(-4, 24)) * 500.0::DOUBLE AS x) SELECT x, round(sum(exp(-0.5 * ((x - c_acctbal) / h) ** 2)) / (any_value(n) * any_value(h) * sqrt(2 * pi())), 9) AS density FROM customer, s, g GROUP BY x")
 def kde_1d(spark: SparkSession, sf: str) -> DataFrame:
     return stats.kde(table(spark, sf, "customer"), "c_acctbal", _GRID).withColumn("density", F.round("density", 9))
 
@@ -569,7 +569,7 @@ def unpivot_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(_matched(spark, sf).unpivot("vec_id", ["a", "b"], "descriptor", "d"))
 
 
-@query(_SQL_CONTROLLED + " SELECT i, j, round(max(topology_separation) FILTER (descriptor = 'a'), 6) AS a, round(max(topology_separation) FILTER (descriptor = 'b'), 6) AS b FROM cs GROUP BY i, j")
+@query(_SQL_CONTROLLED + " SELECT i, j, round(max(topology_separation) FILTER (descriptor = 'a'), 6) + 0.0::DOUBLE AS a, round(max(topology_separation) FILTER (descriptor = 'b'), 6) + 0.0::DOUBLE AS b FROM cs GROUP BY i, j")
 def pivot_sep(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(_controlled(spark, sf).groupBy("i", "j").pivot("descriptor", ["a", "b"]).agg(F.max("topology_separation")))
 
