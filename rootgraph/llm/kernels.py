@@ -26,7 +26,7 @@ _pow: dict[str, np.ndarray] = {}
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the hash base and of its inverse, modulo 2^64."""
-    if len(_pow.get("r", ())) < n:
+    if len(_pow.get("r", ())) < max(1, n):
         m = max(n, CHUNK + 1)
         for key, base in (("r", _R), ("i", _R_INV)):
             p = np.full(m, base, U64)
