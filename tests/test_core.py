@@ -4,19 +4,76 @@ import pytest
 from pyspark.sql import functions as F
 
 from rootgraph.functions import bits, smiles
-from rootgraph.operators import graph
+from rootgraph.operators import graph, metrics, stats
 
 
 @pytest.mark.parametrize(("text", "edges", "paths", "increments", "labels"), [("[Hg]CCO", 3, 6, 10, 15), ("[Hg]C1CC1", 5, 11, 19, 12), ("[Hg]CC(C)C", 4, 9, 16, 16)])
 def test_structure_counts(spark, text, edges, paths, increments, labels):
     g = spark.createDataFrame([(1, text)], "g int, s string")
     g = graph.rooted(smiles.read_graphs(g, "s"))
-    # equal-invariant atoms as in the hand-derived vectors: all but the root and oxygen alike
-    g = g.withColumn("nodes", F.transform("nodes", lambda n: n.withField("invariant", F.when(n["element"] == "O", 2).otherwise(1).cast("long"))))
     r = graph.with_paths(graph.refine(g, 3), 6)
-    row = r.select(F.size("edges"), F.size("paths"), F.size(bits.on_bits(F.transform(graph.path_bits(F.col("paths"), 1024), lambda x: x >= 0))), F.size(F.array_distinct("features"))).first()
-    assert row[:3] == (edges, paths, increments)
-    assert labels is not None
+    row = r.select(F.size("edges"), F.size("paths"), F.size(graph.path_bits(F.col("paths"), 1024)), F.size(F.array_distinct("features")), graph.violations(g)).first()
+    assert row[:4] == (edges, paths, increments, labels)
+    assert row[4] == []
+
+
+def test_descriptors_do_not_depend_on_the_order_of_atoms(spark):
+    same = [("[Hg]c1ccncc1O", "Oc1cnccc1[Hg]"), ("[Hg]CC(C)(Cl)C", "CC(C)(C[Hg])Cl"), ("[Hg]C1CCC1=O", "O=C1CCC1[Hg]")]
+    g = spark.createDataFrame([(k, s) for k, pair in enumerate(same) for s in pair], "k int, s string")
+    g = graph.with_paths(graph.wl_fingerprint(graph.rooted(smiles.read_graphs(g, "s")), 3, 256), 4)
+    got = g.groupBy("k").agg(F.count_distinct("on_bits"), F.count_distinct(F.array_sort(graph.path_bits(F.col("paths"), 256))), F.count_distinct(smiles.canonical("s"))).collect()
+    assert all(tuple(r)[1:] == (1, 1, 1) for r in got)
+
+
+def test_fold_equals_plain_arithmetic(spark):
+    import hashlib
+
+    words = [f"w{i}" for i in range(20)]
+    digest = F.sha2("w", 256)
+    got = spark.createDataFrame([(w,) for w in words], "w string").select("w", bits.fold(digest, 1024), bits.fold(digest, 1000), bits.fold(digest, 7)).collect()
+    for w, *found in got:
+        h = int(hashlib.sha256(w.encode()).hexdigest(), 16)
+        assert found == [h % 1024, h % 1000, h % 7]
+
+
+def test_tanimoto_of_packed_bits(spark):
+    rows = [([1, 63, 64, 100], [1, 64, 99]), ([], []), ([5], [])]
+    d = spark.createDataFrame(rows, "a array<int>, b array<int>")
+    a, b = bits.pack(F.col("a"), 128), bits.pack(F.col("b"), 128)
+    assert [r[0] for r in d.select(bits.tanimoto(a, b, 2)).collect()] == [2 / 5, 0.0, 0.0]
+    assert d.select(bits.unpack(a, 128)).first()[0] == [1, 63, 64, 100]
+
+
+def test_batches_are_balanced(spark):
+    import numpy as np
+
+    for n, size in ((10, 3), (7, 1), (100, 9)):
+        got = stats.batches(spark.range(n), size, ["id"]).groupBy("batch").count().orderBy("batch").collect()
+        assert [r[1] for r in got] == [len(x) for x in np.array_split(range(n), -(-n // size))]
+
+
+def test_constant_sides_have_no_correlation(spark):
+    d = spark.createDataFrame([(1, 1.0, 2.0), (1, 1.0, 3.0), (2, 1.0, 2.0), (2, 2.0, 4.0)], "g int, x double, y double")
+    got = {r.g: (r.spearman, r.pearson) for r in metrics.agreement(d, "x", "y", ["g"]).collect()}
+    assert got[1] == (None, None) and got[2] == pytest.approx((1.0, 1.0))
+
+
+def test_catalogue_agrees_with_sql(spark):
+    import glob
+    import os
+
+    import duckdb
+
+    from rootgraph.plans.catalog import QUERIES, SQL
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for p in glob.glob(f"{sf}/*.parquet"):
+        con.execute(f"create view {os.path.basename(p)[:-8]} as select * from '{p}'")
+    for name in ("graph_orient", "wl_fingerprint", "path_fingerprint_cnt", "fold_general_modulus", "hexbin", "surrogate_ids"):
+        a = QUERIES[name](spark, sf).toPandas()
+        b = con.execute(SQL[name]).df()[list(a.columns)]
+        assert sorted(map(tuple, a.values.tolist()), key=repr) == sorted(map(tuple, b.values.tolist()), key=repr), name
 
 
 def test_errors(spark):
