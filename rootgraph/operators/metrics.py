@@ -21,7 +21,8 @@ def average_ranks(rows: DataFrame, value: str, group: list[str], name: str) -> D
 
 def correlation(x: str, y: str) -> Column:
     """Pearson correlation, null if either side is constant."""
-    return F.when((F.stddev_pop(x) > 0) & (F.stddev_pop(y) > 0), F.corr(x, y))
+    # not corr(), which fails on a constant side under ANSI rules
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
 
 
 def agreement(rows: DataFrame, x: str, y: str, group: list[str]) -> DataFrame:
