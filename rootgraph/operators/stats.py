@@ -10,25 +10,31 @@ from pyspark.sql import functions as F
 from rootgraph.operators.metrics import TOLERANCE
 
 
+def ordinal(rows: DataFrame, order: list[Column | str], name: str) -> DataFrame:
+    """Adds the 0-based rank in a total order. Ranks come from counts of range-sorted partitions, so no task sees all rows."""
+    at = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id()).persist()
+    part = F.shiftright("_row", 33)
+    per = at.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"), F.min("_row").alias("_lo"))  # a row a partition
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = per.select("_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_lo")).alias("_shift"))
+    return at.withColumn("_part", part).join(F.broadcast(shift), "_part").withColumn(name, F.col("_row") + F.col("_shift")).drop("_row", "_part", "_shift")
+
+
 def batches(rows: DataFrame, batch_size: int, order: list[Column | str], name: str = "batch") -> DataFrame:
     """Adds a 0-based batch number and within_batch_order: ceil(n / batch_size) batches whose sizes differ by one at most.
 
-    ``order`` decides who goes where; ordering by a hash of seed and id gives a reproducible permutation. Ranks
-    come from counts of range-sorted partitions, so no task sees all rows.
+    ``order`` decides who goes where; ordering by a hash of seed and id gives a reproducible permutation.
     """
     if batch_size < 1:
         raise ValueError("batch_size must be positive")
     n = rows.count()
     k = max(1, -(-n // batch_size))
     small, extra = divmod(n, k)
-    at = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id()).persist()
-    per = at.groupBy(F.shiftright("_row", 33).alias("_part")).agg(F.count("*").alias("_n"), F.min("_row").alias("_lo"))
-    shift = per.select("_part", (F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.col("_lo")).alias("_shift"))
-    ranked = at.withColumn("_part", F.shiftright("_row", 33)).join(F.broadcast(shift), "_part").withColumn("_at", F.col("_row") + F.col("_shift"))
     edge = extra * (small + 1)
-    batch = F.when(F.col("_at") < edge, F.floor(F.col("_at") / (small + 1))).otherwise(extra + F.floor((F.col("_at") - edge) / max(1, small))).cast("int")
-    order_in = F.when(F.col("_at") < edge, F.col("_at") % (small + 1)).otherwise((F.col("_at") - edge) % max(1, small)).cast("int")
-    return ranked.withColumn(name, batch).withColumn("within_batch_order", order_in).drop("_row", "_part", "_shift", "_at")
+    at = F.col("_at")
+    batch = F.when(at < edge, F.floor(at / (small + 1))).otherwise(extra + F.floor((at - edge) / max(1, small))).cast("int")
+    within = F.when(at < edge, at % (small + 1)).otherwise((at - edge) % max(1, small)).cast("int")
+    return ordinal(rows, order, "_at").withColumns({name: batch, "within_batch_order": within}).drop("_at")
 
 
 def cluster_bootstrap(rows: DataFrame, cluster: str, value: str, draws: DataFrame, group: list[str]) -> DataFrame:

@@ -6,10 +6,12 @@ import json
 import re
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rootgraph.operators.stats import ordinal
+
 
 class TableError(ValueError):
     """A table that breaks the rules of its kind."""
@@ -177,8 +179,7 @@ def load_scaffolds(spark: SparkSession, path: str | DataFrame, marker: str = "Hg
     required_columns(df.columns, wanted)
     df = not_empty(drop_blank_rows(df.select(*wanted, "source_row"), wanted))
     checked_structures(df, ["SMILES_Structure"], marker)
-    ids = df.select("source_row").withColumn("at", F.row_number().over(Window.orderBy("source_row")) - 1)
-    df = df.join(ids, "source_row").withColumn("molecule_id", surrogate(F.col("at"), "HET", 4)).drop("at")
+    df = ordinal(df, ["source_row"], "at").withColumn("molecule_id", surrogate(F.col("at"), "HET", 4)).drop("at")
     return df.withColumns({"canonical_structure": canonical("SMILES_Structure"), "canonical_scaffold": canonical("SMILES_Scaffold")})
 
 
