@@ -19,6 +19,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_warc": warc.ORACLE,
+    "op5_suffix_dedup": suffixes.ORACLE,
     "op9_inverted_multi_index": embeddings.ORACLE,
     "op10_decontaminate": decontaminate.ORACLE,
 }

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,9 +17,11 @@ from rootgraph.llm.common import table, written
 from rootgraph.llm.kernels import U64, mix, pieces, prefix_hash, ragged, span_hash
 
 #: bytes of a repeated string, of the grams whose least hash says where a string is dealt, and of text dealt at once
-LENGTH, GRAM, FLUSH = 50, 20, 8 << 20
+LENGTH, GRAM, FLUSH = 50, 14, 8 << 20
+#: compression of dealt strings
+LEVEL = 3
 #: bytes of dealt strings in a bucket, of text in a shard of the result, and of strings sorted at once
-BUCKET_BYTES, SHARD_BYTES, SORT_BYTES = 64 << 20, 32 << 20, 4 << 20
+BUCKET_BYTES, SHARD_BYTES, SORT_BYTES = 16 << 20, 16 << 20, 1 << 20
 
 
 def words_at(t: np.ndarray) -> np.ndarray:
@@ -125,7 +128,7 @@ def strings(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nd
     return row[head], first, size, value[first], span_hash(pre, first, first + size)
 
 
-def cover_blobs(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, shards: int) -> pa.RecordBatch:
+def cover_blobs(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, shards: int, buckets: int = 1) -> pa.RecordBatch:
     """Removed spans, dealt by document."""
     shard = (mix(doc.view(U64)) % U64(shards)).astype(np.int64)
     order = np.lexsort((lo, doc, shard))
@@ -133,25 +136,25 @@ def cover_blobs(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, shards: int) ->
     cut = np.append(np.flatnonzero(np.diff(shard, prepend=-1)), len(shard))
     pack = zstandard.ZstdCompressor(level=1)
     blobs = [pack.compress(packed[a:b].tobytes()) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-    return pa.record_batch([pa.array(shard[cut[:-1]], pa.int32()), pa.array([-1] * len(blobs), pa.int32()), pa.array(blobs, pa.binary())], ["shard", "bucket", "blob"])
+    return pa.record_batch([pa.array(shard[cut[:-1]], pa.int32()), pa.array(shard[cut[:-1]] % buckets, pa.int32()), pa.array(blobs, pa.binary())], ["shard", "bucket", "blob"])
 
 
-def collapse(whole: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For equal strings: the place of one of each, which of all stand in its smallest document, and each one's number."""
+def collapse(whole: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which of equal strings stand in the smallest document that holds one."""
     order = np.lexsort((doc, whole))
     new = np.ones(len(order), bool)
     new[1:] = whole[order][1:] != whole[order][:-1]
-    number = np.empty(len(order), np.int64)
-    number[order] = np.cumsum(new) - 1
-    one = order[new]
-    return one, doc == doc[one][number], number
+    low = doc[order][new]
+    mine = np.empty(len(order), bool)
+    mine[order] = doc[order] == low[np.cumsum(new) - 1]
+    return mine
 
 
 def deal(docs: DataFrame, buckets: int, shards: int) -> DataFrame:
     """Every window-bearing string to its bucket, and spans that are known at once to be repeats to their shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1)
+        pack = zstandard.ZstdCompressor(level=LEVEL)
         held: list[tuple] = []
         size = 0
 
@@ -159,27 +162,23 @@ def deal(docs: DataFrame, buckets: int, shards: int) -> DataFrame:
             doc, lo, n, least, whole = (np.concatenate([x[k] for x in held]) for k in range(5))
             text = np.concatenate([x[5] for x in held])
             at = np.concatenate([x[6] for x in held])
-            one, mine, _ = collapse(whole, doc)
+            mine = collapse(whole, doc)
             if not mine.all():
-                yield cover_blobs(doc[~mine], lo[~mine], (lo + n)[~mine], shards)
-            # a further occurrence in the same document goes without its bytes
-            full = np.zeros(len(doc), bool)
-            full[one] = True
+                yield cover_blobs(doc[~mine], lo[~mine], (lo + n)[~mine], shards, buckets)
             bucket = (mix(least) % U64(buckets)).astype(np.int64)
             keep = np.flatnonzero(mine)
-            keep = keep[np.argsort(bucket[keep], kind="stable")]
+            keep = keep[np.lexsort((lo[keep], doc[keep], bucket[keep]))]
             cut = np.append(np.flatnonzero(np.diff(bucket[keep], prepend=-1)), len(keep))
             names, blobs = [], []
             for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
                 i = keep[a:b]
-                body = np.where(full[i], n[i], 0)
-                content = text[np.repeat(at[i], body) + ragged(body)]
-                parts = [np.array([len(i)]), least[i], whole[i], doc[i], lo[i].astype(np.int32), n[i].astype(np.uint8), full[i], content]
+                content = text[np.repeat(at[i], n[i]) + ragged(n[i])]
+                parts = [np.array([len(i)]), doc[i], lo[i].astype(np.int32), n[i].astype(np.uint8), content]
                 names.append(int(bucket[i[0]]))
                 blobs.append(pack.compress(b"".join(x.tobytes() for x in parts)))
             yield pa.record_batch([pa.array([-1] * len(blobs), pa.int32()), pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], ["shard", "bucket", "blob"])
 
-        for batch, data, start, end in pieces(batches):
+        for batch, data, start, end in pieces(batches, chunk=1 << 19):
             row, first, n, least, whole = strings(data, start, end)
             if not len(row):
                 continue
@@ -195,32 +194,42 @@ def deal(docs: DataFrame, buckets: int, shards: int) -> DataFrame:
     return docs.mapInArrow(run, "shard int, bucket int, blob binary")
 
 
-def _unpack(blobs: list[bytes]) -> list[np.ndarray]:
-    """least, whole, doc, lo, n, full, start of content, content of a bucket's strings."""
+def _unpack(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
+    """doc, lo, n, start of content, content of a bucket's strings."""
     unpack, out, contents = zstandard.ZstdDecompressor(), [], []
-    total = 0
     for blob in blobs:
         raw = unpack.decompress(blob)
         k = int(np.frombuffer(raw, np.int64, 1)[0])
-        at, got = 8, []
-        for kind, size in ((U64, 8), (U64, 8), (np.int64, 8), (np.int32, 4), (np.uint8, 1), (bool, 1)):
-            got.append(np.frombuffer(raw, kind, k, at))
-            at += k * size
-        body = np.where(got[5], got[4], 0).astype(np.int64)
-        got.append(total + np.cumsum(body) - body)
-        contents.append(np.frombuffer(raw, np.uint8, -1, at))
-        total += len(contents[-1])
-        out.append(got)
-    return [*(np.concatenate([x[j] for x in out]) for j in range(7)), np.concatenate(contents)]
+        out.append([np.frombuffer(raw, kind, k, at).astype(np.int64) for kind, at in ((np.int64, 8), (np.int32, 8 + 8 * k), (np.uint8, 8 + 12 * k))])
+        contents.append(np.frombuffer(raw, np.uint8, -1, 8 + 13 * k))
+    doc, lo, n = (np.concatenate([x[j] for x in out]) for j in range(3))
+    return doc, lo, n, np.cumsum(n) - n, np.concatenate(contents)
+
+
+def hashes(content: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of the least gram and of the whole of each string, a part of the content at a time."""
+    least, whole = np.empty(len(at), U64), np.empty(len(at), U64)
+    a = 0
+    while a < len(at):
+        b = max(a + 1, int(np.searchsorted(at, at[a] + SORT_BYTES, "left")))
+        part = content[at[a] : at[b - 1] + n[b - 1]]
+        pre, first = prefix_hash(part), at[a:b] - at[a]
+        whole[a:b] = span_hash(pre, first, first + n[a:b])
+        gram = np.arange(len(part) - GRAM + 1)
+        value = span_hash(pre, gram, gram + GRAM)
+        inside = n[a:b] - GRAM + 1
+        place = np.repeat(first, inside) + ragged(inside)
+        least[a:b] = np.minimum.reduceat(value[place], np.cumsum(inside) - inside)
+        a = b
+    return least, whole
 
 
 def repeats(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of a bucket's strings: (doc, first byte, past-the-last byte) of the spans that a smaller document holds as well."""
-    least, whole, doc, lo, n, full, at, content = _unpack(blobs)
-    n, lo = n.astype(np.int64), lo.astype(np.int64)
-    # an occurrence without bytes follows one with bytes from the same document, so the first with bytes serves all
-    order = np.lexsort((~full, doc, whole))
-    least, whole, doc, lo, n, full, at = (x[order] for x in (least, whole, doc, lo, n, full, at))
+    doc, lo, n, at, content = _unpack(blobs)
+    least, whole = hashes(content, at, n)
+    order = np.lexsort((doc, whole))
+    least, whole, doc, lo, n, at = (x[order] for x in (least, whole, doc, lo, n, at))
     new = np.ones(len(whole), bool)
     new[1:] = whole[1:] != whole[:-1]
     one = np.flatnonzero(new)
@@ -282,17 +291,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets, shards = max(1, -(-4 * total // BUCKET_BYTES)), max(1, -(-total // SHARD_BYTES))
-    dealt = written(deal(docs.where("doc_id is not null"), buckets, shards), "dealt")
+    dealt = deal(docs.where("doc_id is not null"), buckets, shards)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in by_key(batches, "bucket"):
-            doc, lo, hi = repeats([x for r in rows for x in r.column(2).to_pylist()])
+            known = [r.filter(pc.greater_equal(r.column(0), 0)) for r in rows]  # spans that were clear at once pass by
+            yield from (r for r in known if r.num_rows)
+            blobs = [x for r in rows for x in r.filter(pc.less(r.column(0), 0)).column(2).to_pylist()]
+            doc, lo, hi = repeats(blobs) if blobs else ((), (), ())
             if len(doc):
                 yield cover_blobs(doc, lo, hi, shards)
 
-    work = dealt.where("bucket >= 0").repartitionById(buckets, "bucket").sortWithinPartitions("bucket")
+    work = dealt.repartitionById(buckets, "bucket").sortWithinPartitions("bucket")
     spans = work.mapInArrow(settle, "shard int, bucket int, blob binary")
-    spans = written(spans.union(dealt.where("shard >= 0")).select("shard", "blob"), "spans")
+    spans = written(spans.select("shard", "blob"), "spans")
 
     @F.pandas_udf("int")
     def shard_of(doc):
@@ -337,3 +349,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), content=False)
+
+
+ORACLE = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS p FROM d WHERE n >= 50)),
+f AS (SELECT s, min(doc_id) AS m FROM w GROUP BY s HAVING count(DISTINCT doc_id) > 1),
+c AS (SELECT doc_id, p FROM w JOIN f USING (s) WHERE doc_id > m),
+g AS (SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS b FROM c),
+r AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (before IS NULL OR before < b - 1) AS n_spans FROM (SELECT doc_id, b, lag(b) OVER (PARTITION BY doc_id ORDER BY b) AS before FROM g) GROUP BY doc_id),
+k AS (SELECT x.doc_id, string_agg(x.c, '' ORDER BY x.b) AS kept FROM (SELECT doc_id, b, substr(h, 2 * b + 1, 2) AS c FROM (SELECT doc_id, h, unnest(range(0, n)) AS b FROM d WHERE doc_id IN (SELECT doc_id FROM r))) x ANTI JOIN g ON g.doc_id = x.doc_id AND g.b = x.b GROUP BY x.doc_id)
+SELECT d.doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN r.doc_id IS NULL THEN h ELSE coalesce(kept, '') END)) AS kept_sha256
+FROM d LEFT JOIN r ON r.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id
+"""
