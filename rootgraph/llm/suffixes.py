@@ -97,8 +97,8 @@ def common_prefixes(t: np.ndarray, order: np.ndarray, length: int = LENGTH) -> n
     return same
 
 
-def strings(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows dealt together: row, first byte, bytes, hash of the least gram, hash of the whole.
+def strings(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs of windows dealt together: row, first byte, bytes, hash of the least gram, hash of the whole, the gram's place in it.
 
     A window of LENGTH bytes is dealt by the least hash of its grams, wherever it stands; windows in a row that
     have the same gram in common travel as one string, so each window is in just one.
@@ -107,7 +107,7 @@ def strings(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nd
     windows = np.maximum(0, end - start - LENGTH + 1)
     none = np.zeros(0, np.int64)
     if not windows.sum():
-        return none, none, none, none.view(U64), none.view(U64)
+        return none, none, none, none.view(U64), none.view(U64), none
     pre = prefix_hash(data)
     at = np.arange(n - GRAM + 1)
     value, where = span_hash(pre, at, at + GRAM), at
@@ -125,7 +125,7 @@ def strings(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nd
     head = np.flatnonzero(new)
     size = np.diff(np.append(head, len(p))) + LENGTH - 1
     first = p[head]
-    return row[head], first, size, value[first], span_hash(pre, first, first + size)
+    return row[head], first, size, value[first], span_hash(pre, first, first + size), gram[head] - first
 
 
 def cover_blobs(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, shards: int, buckets: int = 1) -> pa.RecordBatch:
@@ -159,9 +159,9 @@ def deal(docs: DataFrame, buckets: int, shards: int) -> DataFrame:
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            doc, lo, n, least, whole = (np.concatenate([x[k] for x in held]) for k in range(5))
-            text = np.concatenate([x[5] for x in held])
-            at = np.concatenate([x[6] for x in held])
+            doc, lo, n, least, whole, gram = (np.concatenate([x[k] for x in held]) for k in range(6))
+            text = np.concatenate([x[6] for x in held])
+            at = np.concatenate([x[7] for x in held])
             mine = collapse(whole, doc)
             if not mine.all():
                 yield cover_blobs(doc[~mine], lo[~mine], (lo + n)[~mine], shards, buckets)
@@ -173,17 +173,17 @@ def deal(docs: DataFrame, buckets: int, shards: int) -> DataFrame:
             for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
                 i = keep[a:b]
                 content = text[np.repeat(at[i], n[i]) + ragged(n[i])]
-                parts = [np.array([len(i)]), doc[i], lo[i].astype(np.int32), n[i].astype(np.uint8), content]
+                parts = [np.array([len(i)]), doc[i], lo[i].astype(np.int32), n[i].astype(np.uint8), gram[i].astype(np.uint8), content]
                 names.append(int(bucket[i[0]]))
                 blobs.append(pack.compress(b"".join(x.tobytes() for x in parts)))
             yield pa.record_batch([pa.array([-1] * len(blobs), pa.int32()), pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], ["shard", "bucket", "blob"])
 
         for batch, data, start, end in pieces(batches, chunk=1 << 19):
-            row, first, n, least, whole = strings(data, start, end)
+            row, first, n, least, whole, gram = strings(data, start, end)
             if not len(row):
                 continue
             ids = batch.column(0).to_numpy()[row]
-            held.append((ids, first - start[row], n, least, whole, data, first + size))
+            held.append((ids, first - start[row], n, least, whole, gram, data, first + size))
             size += len(data)
             if size >= FLUSH:
                 yield from flush()
@@ -195,18 +195,18 @@ def deal(docs: DataFrame, buckets: int, shards: int) -> DataFrame:
 
 
 def _unpack(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
-    """doc, lo, n, start of content, content of a bucket's strings."""
+    """doc, lo, n, place of the least gram, start of content, content of a bucket's strings."""
     unpack, out, contents = zstandard.ZstdDecompressor(), [], []
     for blob in blobs:
         raw = unpack.decompress(blob)
         k = int(np.frombuffer(raw, np.int64, 1)[0])
-        out.append([np.frombuffer(raw, kind, k, at).astype(np.int64) for kind, at in ((np.int64, 8), (np.int32, 8 + 8 * k), (np.uint8, 8 + 12 * k))])
-        contents.append(np.frombuffer(raw, np.uint8, -1, 8 + 13 * k))
-    doc, lo, n = (np.concatenate([x[j] for x in out]) for j in range(3))
-    return doc, lo, n, np.cumsum(n) - n, np.concatenate(contents)
+        out.append([np.frombuffer(raw, kind, k, at).astype(np.int64) for kind, at in ((np.int64, 8), (np.int32, 8 + 8 * k), (np.uint8, 8 + 12 * k), (np.uint8, 8 + 13 * k))])
+        contents.append(np.frombuffer(raw, np.uint8, -1, 8 + 14 * k))
+    doc, lo, n, gram = (np.concatenate([x[j] for x in out]) for j in range(4))
+    return doc, lo, n, gram, np.cumsum(n) - n, np.concatenate(contents)
 
 
-def hashes(content: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def hashes(content: np.ndarray, at: np.ndarray, n: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of the least gram and of the whole of each string, a part of the content at a time."""
     least, whole = np.empty(len(at), U64), np.empty(len(at), U64)
     a = 0
@@ -215,19 +215,16 @@ def hashes(content: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarr
         part = content[at[a] : at[b - 1] + n[b - 1]]
         pre, first = prefix_hash(part), at[a:b] - at[a]
         whole[a:b] = span_hash(pre, first, first + n[a:b])
-        gram = np.arange(len(part) - GRAM + 1)
-        value = span_hash(pre, gram, gram + GRAM)
-        inside = n[a:b] - GRAM + 1
-        place = np.repeat(first, inside) + ragged(inside)
-        least[a:b] = np.minimum.reduceat(value[place], np.cumsum(inside) - inside)
+        spot = first + gram[a:b]
+        least[a:b] = span_hash(pre, spot, spot + GRAM)
         a = b
     return least, whole
 
 
 def repeats(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of a bucket's strings: (doc, first byte, past-the-last byte) of the spans that a smaller document holds as well."""
-    doc, lo, n, at, content = _unpack(blobs)
-    least, whole = hashes(content, at, n)
+    doc, lo, n, gram, at, content = _unpack(blobs)
+    least, whole = hashes(content, at, n, gram)
     order = np.lexsort((doc, whole))
     least, whole, doc, lo, n, at = (x[order] for x in (least, whole, doc, lo, n, at))
     new = np.ones(len(whole), bool)
