@@ -97,14 +97,15 @@ def in_blocks(rows: DataFrame, kernel: Kernel, block: int = BLOCK, pairs: bool =
     return dealt.repartition("key").sortWithinPartitions("key", "side").mapInArrow(run, "a long, b long")
 
 
-def classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame], settle: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame], settle: Callable[[DataFrame], DataFrame], by_bucket: bool = False) -> DataFrame:
     """(node, component) of ids that some chain of verified links joins; ids without a link are left out.
 
     ``members`` holds (key, id): ids that share a key may be linked. First each bucket's members are compared with
     its most shared one only: ``verify`` takes distinct pairs (a, b) and keeps those that are links. Buckets
     whose members then all stand in one class are done. The members of the others, joined into clusters by the
     buckets they share, go to ``settle`` as (cluster, id, label), which returns links (a, b) between labels that
-    join whatever is linked; so no class is torn, and a bucket of many alike is never expanded.
+    join whatever is linked; so no class is torn, and a bucket of many alike is never expanded. With ``by_bucket``
+    each of these buckets is a cluster of its own: ids that share no bucket are then not compared.
     """
     count = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = written(members.join(count, "key"), "buckets")
@@ -118,11 +119,15 @@ def classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame], settle
     label = found.toDF("id", "label")
     wide = shared.where("n > 2").join(label, "id", "left").withColumn("label", F.coalesce("label", "id")).select("key", "id", "label")
     mixed = wide.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.min("id").alias("low")).where("l0 != l1").select("key", "low")
-    rest = written(wide.join(mixed, "key").select("id", "label", "low"), "mixed")
+    rest = written(wide.join(mixed, "key").select("key", "id", "label", "low"), "mixed")
     if rest.isEmpty():
         return found
-    cluster = components(rest.select(F.col("id").alias("a"), F.col("low").alias("b")))
-    more = written(settle(rest.select("id", "label").distinct().join(cluster.toDF("id", "cluster"), "id").select("cluster", "id", "label")), "links")
+    if by_bucket:
+        clusters = rest.select(F.col("key").alias("cluster"), "id", "label")
+    else:
+        cluster = components(rest.select(F.col("id").alias("a"), F.col("low").alias("b")))
+        clusters = rest.select("id", "label").distinct().join(cluster.toDF("id", "cluster"), "id").select("cluster", "id", "label")
+    more = written(settle(clusters), "links")
     if more.isEmpty():
         return found
     return components(found.toDF("a", "b").union(more))

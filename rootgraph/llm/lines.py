@@ -1,4 +1,4 @@
-"""Operator 3: fuzzy line deduplication by SimHash, pigeonhole blocks and edit similarity."""
+"""Operator 3: fuzzy line deduplication by keys of character grams, SimHash and edit similarity."""
 
 from __future__ import annotations
 
@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 
 from rootgraph.llm.buckets import classes, in_blocks
 from rootgraph.llm.common import table, written
-from rootgraph.llm.kernels import U64, mix, pieces, prefix_hash, span_hash
+from rootgraph.llm.kernels import U64, lists, mix, pieces, prefix_hash, ragged, span_hash
 
-#: edit similarity, and bits in which the 128-bit SimHashes may differ; RADIUS + 1 blocks leave one of them intact
-THRESHOLD, RADIUS = 0.8, 4
-#: bytes of a word that counts in a SimHash
-TELLING = 4
+#: edit similarity, and bits in which 128-bit SimHashes of GRAM bytes each may differ: unrelated lines differ in about 60
+THRESHOLD, RADIUS, GRAM = 0.8, 52, 4
+#: (bytes of a gram, keys, longest line): lines are compared if they share a key, which is a pair of least gram hashes;
+#: a short line has few long grams, so it gets keys of short ones too
+KEYS = ((8, 12, None), (GRAM, 8, 40))
 #: digits are alike when lines are compared
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[0x41:0x5B] += 0x20
@@ -66,8 +67,28 @@ def simhash(h: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     return out
 
 
+def grams(prefix: np.ndarray, begin: np.ndarray, size: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the runs of ``width`` bytes of each line, and the first and past-the-last of a line; a shorter line is one."""
+    n = np.maximum(1, size - width + 1)
+    last = np.cumsum(n)
+    at = np.repeat(begin, n) + ragged(n)
+    return span_hash(prefix, at, at + np.repeat(np.minimum(size, width), n)), last - n, last
+
+
+def least_pairs(h: np.ndarray, first: np.ndarray, width: int, n: int) -> np.ndarray:
+    """n keys a row, each of the least of its hashes in two orders: two rows share one with the square of their Jaccard similarity."""
+    out = np.empty((len(first), n), U64)
+    if not len(first):
+        return out
+    factor = mix(np.arange(1, 2 * n + 1, dtype=U64)) | U64(1)
+    for k in range(n):
+        one, two = (np.minimum.reduceat(h * factor[2 * k + i], first) for i in (0, 1))
+        out[:, k] = mix(one ^ mix(two + U64(width * n + k)))
+    return out
+
+
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, text -> a row for each line that is not blank: doc_id, pos, f1, f2 (hash of the normalised line), s1, s2 (SimHash), size."""
+    """doc_id, text -> a row for each line that is not blank: doc_id, pos, f1, f2 (hash of the normalised line), s1, s2 (SimHash), size, keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, start, end in pieces(batches):
@@ -86,32 +107,28 @@ def scan(docs: DataFrame) -> DataFrame:
             row, pos, first, last = row[keep], pos[keep], first[keep], last[keep]
             other = mix(h ^ U64(0x5851F42D4C957F2D))
             f = [span_hash(prefix_hash(x), first, last) for x in (h, other)]
-            # short words are the same from line to line and say little: they count only where a line has no others
-            telling = we - ws >= TELLING
-            so_far = np.concatenate([[0], np.cumsum(telling)])
-            bare = so_far[last] == so_far[first]
-            edge = np.zeros(len(h) + 1, np.int64)
-            np.add.at(edge, first[bare], 1)
-            np.add.at(edge, last[bare], -1)
-            telling |= np.cumsum(edge[:-1]) > 0
-            so_far = np.concatenate([[0], np.cumsum(telling)])
-            s = [simhash(x[telling], so_far[first], so_far[last]) if len(first) else f[0] for x in (h, other)]
             length = np.concatenate([[0], np.cumsum(we - ws)])
             size = length[last] - length[first] + (last - first - 1)
-            yield pa.record_batch([batch.column(0).take(pa.array(row)), pa.array(pos, pa.int32()), *(pa.array(x.view(np.int64)) for x in (*f, *s)), pa.array(size, pa.int64())], ["doc_id", "pos", "f1", "f2", "s1", "s2", "size"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, pos int, f1 long, f2 long, s1 long, s2 long, size long")
-
-
-def block_keys(s1: Column, s2: Column, radius: int = RADIUS) -> Column:
-    """Hashes of the radius + 1 blocks of a 128-bit SimHash: of two that differ in ``radius`` bits, one block is equal."""
-    keys = []
-    for k in range(radius + 1):
-        a, b = 128 * k // (radius + 1), 128 * (k + 1) // (radius + 1)
-        mask = ((1 << b) - (1 << a)) & ((1 << 128) - 1)
-        m = [x - (1 << 64) if x >> 63 else x for x in (mask & ((1 << 64) - 1), mask >> 64)]
-        keys.append(F.xxhash64(F.lit(k), s1.bitwiseAND(F.lit(m[0])), s2.bitwiseAND(F.lit(m[1]))))
-    return F.array(*keys)
+            # the normalised lines: words, with one space after each but the last of a line
+            space = np.ones(len(we), bool)
+            space[last - 1] = False
+            put = word.copy()
+            put[we[space]] = True
+            plain = np.where(word, low, 0x20).astype(np.uint8)[put]
+            begin = np.cumsum(put)[ws[first]] - 1 if len(first) else np.zeros(0, np.int64)
+            prefix = prefix_hash(plain)
+            g, lo, hi = grams(prefix, begin, size, GRAM)
+            s = [simhash(x, lo, hi) if len(lo) else f[0] for x in (g, mix(g ^ U64(0x5851F42D4C957F2D)))]
+            keys, owner = [], []
+            for width, n, longest in KEYS:
+                some = np.flatnonzero(size <= longest) if longest else np.arange(len(size))
+                keys.append(least_pairs(*grams(prefix, begin[some], size[some], width)[:2], width, n).ravel())
+                owner.append(np.repeat(some, n))
+            order = np.argsort(np.concatenate(owner), kind="stable")
+            keys = lists(np.concatenate(keys)[order].view(np.int64), np.bincount(np.concatenate(owner), minlength=len(size)), pa.int64())
+            yield pa.record_batch([batch.column(0).take(pa.array(row)), pa.array(pos, pa.int32()), *(pa.array(x.view(np.int64)) for x in (*f, *s)), pa.array(size, pa.int64()), keys], ["doc_id", "pos", "f1", "f2", "s1", "s2", "size", "keys"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, pos int, f1 long, f2 long, s1 long, s2 long, size long, keys array<long>")
 
 
 def close(x: pa.RecordBatch, y: pa.RecordBatch, radius: int) -> np.ndarray:
@@ -124,11 +141,11 @@ def close(x: pa.RecordBatch, y: pa.RecordBatch, radius: int) -> np.ndarray:
 def duplicate_lines(docs: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
     """(doc_id, pos) of the lines that are not the first of their class, in order of doc_id and place.
 
-    Lines are alike if their normalised forms are equal, or if their SimHashes differ in at most ``radius`` bits and
-    1 - edit distance / longer length >= ``threshold``; classes are chains of such pairs.
+    Lines are alike if their normalised forms are equal, or if they share a key of ``KEYS``, their SimHashes differ
+    in at most ``radius`` bits and 1 - edit distance / longer length >= ``threshold``; classes are chains of such pairs.
     """
     at = written(scan(docs).where("doc_id is not null"), "lines")
-    one = at.groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.first("size").alias("size"), F.count("*").alias("n"))
+    one = at.groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.count("*").alias("n"))
     one = written(one.withColumn("id", F.monotonically_increasing_id()), "distinct")
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -149,9 +166,10 @@ def duplicate_lines(docs: DataFrame, threshold: float = THRESHOLD, radius: int =
     def settle(rows: DataFrame) -> DataFrame:
         """Compares SimHashes in blocks; what is near goes through the edit distance as above."""
         near = in_blocks(rows.join(one.select("id", "s1", "s2"), "id").select("cluster", "id", "label", "s1", "s2"), lambda x, y: close(x, y, radius), pairs=True)
-        return verify(near)
+        return verify(near.distinct())
 
-    found = classes(one.select(F.explode(block_keys(F.col("s1"), F.col("s2"), radius)).alias("key"), "id"), verify, settle)
+    # lines that share a key by chance would chain into one cluster
+    found = classes(one.select(F.explode(F.array_distinct("keys")).alias("key"), "id"), verify, settle, by_bucket=True)
     named = one.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("class", F.coalesce("component", "id"))
     named = written(named.select("f1", "f2", "first", "n", "class"), "named")
     # only classes of more than one line have any to remove

@@ -73,6 +73,34 @@ def test_lines(docs, none):
     assert lines.dedup_lines(none).count() == 0
 
 
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_lines_recall_of_edit_similarity(spark):
+    """Of lines with one word replaced, nearly all that brute force finds alike go; no others do."""
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrst"), rng.integers(3, 9)))
+    rows, alike = [], set()
+    for i in range(120):
+        words = [word() for _ in range((5, 8, 12, 25, 60)[i % 5])]
+        other = list(words)
+        other[rng.integers(len(other))] = word()
+        a, b = " ".join(words), " ".join(other)
+        rows += [(i, a), (1000 + i, b)]
+        if 1 - edit_distance(a, b) / max(len(a), len(b)) >= 0.8:
+            alike.add(1000 + i)
+    out = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    gone = {r.doc_id for r in out.where("n_removed > 0").collect()}
+    assert len(alike) > 90 and gone <= alike
+    assert len(gone) >= 0.97 * len(alike)
+
+
 def test_packing(docs, none):
     from tokenizers import Tokenizer
 
