@@ -18,8 +18,6 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
-#: characters on both sides of an entity in which terms count as standing with it
-REACH = 80
 #: a term reveals an entity if its information on it is at least this share of the entity's own, and documents where both must stand together
 DISCLOSURE, TOGETHER = 0.9, 2
 TERM = r"[\p{L}\p{N}]+"
@@ -74,51 +72,52 @@ def listed(kind: str, spans: Column) -> Column:
     return F.transform(spans, lambda s: F.concat_ws(":", F.lit(kind), s["start"].cast("string"), s["end"].cast("string")))
 
 
+def terms_of(text: Column) -> Column:
+    """Array of the distinct terms of a text, lower-cased."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TERM), F.lit(0)), F.lower))
+
+
 def entities(docs: DataFrame) -> DataFrame:
-    """doc_id, text -> doc_id, base spans by kind, and context: the terms within reach of each span with their places."""
+    """doc_id, text -> doc_id, base spans by kind, and the distinct entities they name."""
     text = F.coalesce(F.col("text"), F.lit(""))
     out = docs.select("doc_id", text.alias("text"))
     for kind in PATTERNS:
         out = out.withColumn(kind, base_spans(F.col("text"), kind))
-    every = F.concat(*(F.transform(kind, lambda s, k=kind: F.struct(F.concat(F.lit(f"{k}:"), F.lower(s["value"])).alias("entity"), s["start"].alias("start"), s["end"].alias("end"))) for kind in PATTERNS))
-
-    def side(s: Column, before: bool) -> Column:
-        begin = F.greatest(s["start"] - REACH, F.lit(0)) if before else s["end"]
-        length = s["start"] - begin if before else F.lit(REACH)
-        return F.struct(s["entity"].alias("entity"), F.lit(before).alias("before"), begin.alias("begin"), F.substring(F.col("text"), begin + 1, length).alias("part"))
-
-    sides = F.flatten(F.transform(every, lambda s: F.array(side(s, True), side(s, False))))
-    return out.select("doc_id", *PATTERNS, sides.alias("sides"))
+    every = F.concat(*(F.transform(kind, lambda s, k=kind: F.concat(F.lit(f"{k}:"), F.lower(s["value"]))) for kind in PATTERNS))
+    return out.select("doc_id", *PATTERNS, F.array_distinct(every).alias("entities"))
 
 
 def disclosing(found: DataFrame, docs: DataFrame, share: float, together: int) -> DataFrame:
-    """(doc_id, start, end, term) of terms near an entity which tell more of it than the threshold allows.
+    """(doc_id, start, end, term) of every occurrence of a term, in each document that holds an entity of which it tells
+    more than the threshold allows.
 
-    With N documents, an entity e in df(e) of them carries log(N / df(e)); a term t that stands near it in df(e, t)
-    of the df(t) documents that hold t gives log(N df(e, t) / (df(e) df(t))) of that away. Counts are over all
-    documents; pairs are counted within reach only, so a document gives as many as it has entity mentions times terms
-    within reach.
+    With N documents, an entity e in df(e) of them carries log(N / df(e)); a term t that stands in df(e, t) of these and
+    in df(t) documents in all gives log(N df(e, t) / (df(e) df(t))) of that away. All counts are of documents, over
+    whole texts. Pairs are summed before they move, and keyed by entity and term, so a hot entity is spread over its terms.
     """
-    near = found.select("doc_id", F.explode("sides").alias("s")).select("doc_id", "s.*")
-    near = near.select("doc_id", "entity", "before", "begin", F.explode(spans_of(F.col("part"), TERM)).alias("t"))
-    # a word that the edge of the reach may have cut is no term
-    near = near.where(F.when(F.col("before"), (F.col("begin") == 0) | (F.col("t.start") > 0)).otherwise(F.col("t.end") < REACH))
-    near = near.select("doc_id", "entity", F.lower("t.value").alias("term"), (F.col("begin") + F.col("t.start")).alias("start"), (F.col("begin") + F.col("t.end")).alias("end"))
-    near = written(near.where(F.length("term") > 1), "near")
+    held = found.select("doc_id", F.explode("entities").alias("entity")).distinct()
+    of_entity = written(held.groupBy("entity").agg(F.count("*").alias("d_e")).where(F.col("d_e") >= together), "counts")
+    # an entity of too few documents has no pair that counts
+    held = held.join(of_entity.select("entity"), "entity").groupBy("doc_id").agg(F.collect_set("entity").alias("entities"))
+    whole = docs.where("text is not null").join(held, "doc_id").groupBy("doc_id").agg(F.first("entities").alias("entities"), F.array_distinct(F.flatten(F.collect_list(terms_of(F.col("text"))))).alias("terms"))
+    whole = written(whole, "whole")
+    each = whole.select("doc_id", "terms", F.explode("entities").alias("entity")).select("doc_id", "entity", F.explode("terms").alias("term")).where(F.length("term") > 1)
     n = docs.count()
-    pair = near.groupBy("entity", "term").agg(F.count_distinct("doc_id").alias("d_et")).where(F.col("d_et") >= together)
-    of_entity = near.select("entity", "doc_id").distinct().groupBy("entity").agg(F.count("*").alias("d_e")).where(F.col("d_e") >= together)
+    pair = each.groupBy("entity", "term").agg(F.count("*").alias("d_et")).where(F.col("d_et") >= together)
     pair = written(pair.join(of_entity, "entity"), "pairs")
-    terms = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(TERM), F.lit(0)))).alias("term"))
+    terms = docs.select(F.explode(terms_of(F.col("text"))).alias("term"))
     # an inner join stays above the counts, which are summed before they move; a semi join would be pushed below them
     of_term = terms.groupBy("term").agg(F.count("*").alias("d_t")).join(pair.select("term").distinct(), "term")
     told = F.log(F.lit(float(n)) * F.col("d_et") / (F.col("d_e") * F.greatest("d_t", "d_et")))
-    over = pair.join(of_term, "term").where((F.col("d_e") < n) & (told >= share * F.log(F.lit(float(n)) / F.col("d_e")))).select("entity", "term")
-    return near.join(over, ["entity", "term"]).select("doc_id", "start", "end", "term").distinct()
+    over = written(pair.join(of_term, "term").where((F.col("d_e") < n) & (told >= share * F.log(F.lit(float(n)) / F.col("d_e")))).select("entity", "term"), "over")
+    gone = each.join(over, ["entity", "term"]).groupBy("doc_id").agg(F.collect_set("term").alias("gone"))
+    spans = spans_of(F.col("text"), TERM, lambda v: F.array_contains("gone", F.lower(v)))
+    out = docs.where("text is not null").join(gone, "doc_id").select("doc_id", F.explode(spans).alias("t"))
+    return out.select("doc_id", "t.start", "t.end", F.lower("t.value").alias("term")).distinct()
 
 
 def sanitise(docs: DataFrame, share: float = DISCLOSURE, together: int = TOGETHER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Finds personal data in every whole text, and the terms around it that reveal it.
+    """Finds personal data in every whole text, and the terms in it, wherever they stand, that reveal it.
 
     Returns doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans and terms: an array of (start, end, term,
     replacement) where a term with a digit is generalised to NUMBER and any other is removed. Null and empty texts
@@ -131,7 +130,7 @@ def sanitise(docs: DataFrame, share: float = DISCLOSURE, together: int = TOGETHE
     terms = disclosing(found.where("doc_id is not null"), docs, share, together)
     kind = "array<struct<start:int,end:int,term:string>>"
     terms = terms.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end", "term"))).cast(kind).alias("more"))
-    out = found.drop("sides").join(terms, "doc_id", "left").withColumn("more", F.coalesce("more", F.array().cast(kind)))
+    out = found.drop("entities").join(terms, "doc_id", "left").withColumn("more", F.coalesce("more", F.array().cast(kind)))
     # terms inside an entity are covered by it
     base = F.concat(*(F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in PATTERNS))
     out = out.withColumn("base", base).withColumn("more", F.filter("more", lambda t: ~F.exists("base", lambda s: (t["start"] < s["end"]) & (s["start"] < t["end"]))))

@@ -168,6 +168,20 @@ def test_disclosing_terms(spark):
     assert not got[12].terms
 
 
+def test_disclosing_terms_far_away(spark):
+    """Terms count, and go, wherever they stand in a document of their entity."""
+    far = "the plain text at now " * 30
+    rows = [(i, f"Quillon first. {far} mail q@x.example now {far} and Quillon again") for i in range(3)]
+    rows += [(3, f"quillon near q@x.example, {far} then quillon far")] + [(10 + i, f"{far} then first near again and mail number {i}") for i in range(60)]
+    got = by_id(privacy.sanitise(spark.createDataFrame(rows, "doc_id long, text string")))
+    texts = dict(rows)
+    for i in range(4):
+        places = [(t.start, t.end) for t in got[i].terms if t.term == "quillon"]
+        assert [texts[i][a:b].lower() for a, b in places] == ["quillon"] * 2
+        assert "the" not in {t.term for t in got[i].terms}
+    assert not got[12].terms
+
+
 def test_sharding(docs, none):
     rows = sharding.shard_documents(docs).collect()
     assert len(rows) == docs.count()
