@@ -18,16 +18,15 @@ THRESHOLD, RADIUS, GRAM = 0.8, 52, 4
 #: (bytes of a gram, keys, longest line): lines are compared if they share a key, which is a pair of least gram hashes;
 #: a short line has few long grams, so it gets keys of short ones too
 KEYS = ((8, 12, None), (GRAM, 8, 40))
-#: digits are alike when lines are compared
+#: ASCII letters are alike in both cases, digits stay, other ASCII separates words
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[0x41:0x5B] += 0x20
-_FOLD[0x30:0x3A] = 0x30
 _FOLD[0x00:0x30] = _FOLD[0x3A:0x41] = _FOLD[0x5B:0x61] = _FOLD[0x7B:0x80] = 0
 
 
 def normalised(line: Column) -> Column:
-    """As the kernel sees a line: ASCII letters lower-cased, digits as 0, each run of other ASCII one space."""
-    low = F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789", "abcdefghijklmnopqrstuvwxyz000000000")
+    """As the kernel sees a line: ASCII letters lower-cased, each run of ASCII other than letters and digits one space."""
+    low = F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     return F.trim(F.regexp_replace(low, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
 
 

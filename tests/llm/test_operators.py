@@ -101,6 +101,13 @@ def test_lines_recall_of_edit_similarity(spark):
     assert len(gone) >= 0.97 * len(alike)
 
 
+def test_lines_that_differ_in_digits(spark):
+    """Digits count in equality and in edit similarity."""
+    texts = ["1987", "2024", "12 40 77 31 58", "93 26 10 84 67", "In 1987 it was", "In 2024 it was", "row 12 40", "Row 12, 40"]
+    got = by_id(lines.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert [got[i].n_removed for i in range(8)] == [0, 0, 0, 0, 0, 0, 0, 1]
+
+
 def test_packing(docs, none):
     from tokenizers import Tokenizer
 
