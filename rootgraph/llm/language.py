@@ -85,12 +85,14 @@ def held_out(id_col: str) -> Column:
 def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, dim: int = DIM) -> tuple[list[str], np.ndarray]:
     """Language names and prototypes: sums of unit bundles of up to about ``per_language`` labelled texts of each.
 
-    ``docs`` holds doc_id, text, lang. Only rows that are not held out are read. Texts are chosen by a hash of the
-    text at a rate that makes about that many of each language. What returns to the driver is one vector a language.
+    ``docs`` holds doc_id, text, lang. Only rows that are not held out are read. Texts with a letter are chosen by a
+    hash of id and text, so copies are drawn one by one, at a rate that makes about that many of each language; the
+    row of the least hash is always among them. What returns to the driver is one vector a language.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out("doc_id"), F.lit(False)))
-    rates = known.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(per_language)) / F.count("*")).alias("rate"))
-    chosen = known.join(F.broadcast(rates), "lang").where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.col("rate") * (1 << 30))
+    known = known.where(F.col("text").rlike(r"\p{L}")).withColumn("h", F.xxhash64("doc_id", "text"))
+    rates = known.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(per_language)) / F.count("*")).alias("rate"), F.min("h").alias("low"))
+    chosen = known.join(F.broadcast(rates), "lang").where((F.pmod("h", F.lit(1 << 30)) < F.col("rate") * (1 << 30)) | (F.col("h") == F.col("low")))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters, total = letter_vectors(dim), {}

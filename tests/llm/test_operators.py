@@ -153,6 +153,15 @@ def test_language(docs, none):
     assert language.language_ids(none).count() == 0
 
 
+def test_language_learned_from_copies(spark):
+    """A language of many copies of one text is learned, whatever the hash of that text."""
+    for k in range(6):
+        rows = [(i, f"the water of the river runs number {'abcdefgh'[i % 8]}", "en") for i in range(200)]
+        rows += [(1000 + i, f"der Fluss und das Wasser {'klmnop'[k]}", "de") for i in range(200)] + [(2000 + i, "!!!", "de") for i in range(200)]
+        names, _ = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=20)
+        assert names == ["de", "en"]
+
+
 def test_privacy(docs, none):
     got = by_id(privacy.sanitise(docs))
     assert (got[9].n_email, got[9].n_ip, got[9].n_card, got[9].n_phone) == (1, 1, 0, 1)
