@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rootgraph.llm.common import components, written
+from rootgraph.llm.common import components, discard, written
 
 #: rows on one side of a block of comparisons
 BLOCK = 512
@@ -97,30 +97,79 @@ def in_blocks(rows: DataFrame, kernel: Kernel, block: int = BLOCK, pairs: bool =
     return dealt.repartition("key").sortWithinPartitions("key", "side").mapInArrow(run, "a long, b long")
 
 
-def classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame], settle: Callable[[DataFrame], DataFrame], by_bucket: bool = False) -> DataFrame:
+def stars(members: DataFrame) -> DataFrame:
+    """(key, id) -> written (key, id, center) of the keys that several ids share: center is one of them, mostly the least.
+
+    Rows are range-sorted by key and id, so that a key shared by very many ids spreads over partitions, each of which
+    has its least id as center; the centers of such a key are members of the least one's star. One shuffle; a center
+    stands in its own star. Partitions are streamed, no group is held.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = center = None
+        told = True  # whether the star of the last key has its center's row
+        edges: list[tuple[int, int]] = []
+
+        def out(k: np.ndarray, i: np.ndarray, c: np.ndarray, edge: bool) -> pa.RecordBatch:
+            return pa.record_batch([pa.array(x) for x in (k, i, c, np.full(len(k), edge))], ["key", "id", "center", "edge"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, ids = (batch.column(j).to_numpy() for j in (0, 1))
+            new = np.ones(len(keys), bool)
+            new[1:] = keys[1:] != keys[:-1]
+            goes_on = keys[0] == key
+            start = np.flatnonzero(new)
+            group = np.cumsum(new) - 1
+            heads = ids[start].copy()
+            if goes_on:
+                heads[0] = center
+            elif not edges:
+                edges.append((int(keys[0]), int(ids[0])))
+            member = ids != heads[group]
+            tell = np.bincount(group[member], minlength=len(start)) > 0
+            if goes_on and told:
+                tell[0] = False
+            k = np.concatenate([keys[start][tell], keys[member]])
+            yield out(k, np.concatenate([heads[tell], ids[member]]), np.concatenate([heads[tell], heads[group[member]]]), False)
+            told = bool(tell[-1]) or (told and goes_on and len(start) == 1)
+            key, center = int(keys[-1]), int(heads[-1])
+        if key is not None:
+            edges.append((key, center))
+            k, c = np.array(sorted(set(edges)), np.int64).T
+            yield out(k, c, c, True)
+
+    dealt = members.select("key", "id").repartitionByRange("key", "id").sortWithinPartitions("key", "id")
+    found = written(dealt.mapInArrow(run, "key long, id long, center long, edge boolean"), "stars")
+    # keys that cross the bounds of partitions: at most two centers from each partition
+    edge = found.where("edge").select("key", "center").distinct()
+    least = edge.groupBy("key").agg(F.min("center").alias("least"), F.count("*").alias("parts")).where("parts > 1")
+    across = written(edge.join(least, "key").select("key", F.col("center").alias("id"), F.col("least").alias("center")), "stars")
+    out = written(found.where("not edge").select("key", "id", "center").union(across), "stars")
+    discard(found, across)
+    return out
+
+
+def classes(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], settle: Callable[[DataFrame], DataFrame], by_bucket: bool = False) -> DataFrame:
     """(node, component) of ids that some chain of verified links joins; ids without a link are left out.
 
-    ``members`` holds (key, id): ids that share a key may be linked. First each bucket's members are compared with
-    its most shared one only: ``verify`` takes distinct pairs (a, b) and keeps those that are links. Buckets
-    whose members then all stand in one class are done. The members of the others, joined into clusters by the
+    ``shared`` holds the stars (key, id, center) of ids that share a key and so may be linked. First each is compared
+    with its center only: ``verify`` takes distinct pairs (a, b) and keeps those that are links. Buckets whose
+    members then all stand in one class are done. The members of the others, joined into clusters by the
     buckets they share, go to ``settle`` as (cluster, id, label), which returns links (a, b) between labels that
     join whatever is linked; so no class is torn, and a bucket of many alike is never expanded. With ``by_bucket``
     each of these buckets is a cluster of its own: ids that share no bucket are then not compared.
     """
-    count = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = written(members.join(count, "key"), "buckets")
-    # the member that meets most others is likely the one that the rest are copies of
-    weight = shared.groupBy("id").agg(F.sum("n").alias("w"))
-    chosen = shared.join(weight, "id").groupBy("key").agg(F.max(F.struct("w", (-F.col("id")).alias("id"))).alias("m")).select("key", (-F.col("m.id")).alias("center"))
-    shared = written(shared.join(chosen, "key"), "buckets")
     pairs = shared.where("id != center").select(F.greatest("id", "center").alias("a"), F.least("id", "center").alias("b")).distinct()
     links = written(verify(pairs).select("a", "b"), "links")
     found = components(links)
     label = found.toDF("id", "label")
-    wide = shared.where("n > 2").join(label, "id", "left").withColumn("label", F.coalesce("label", "id")).select("key", "id", "label")
-    mixed = wide.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.min("id").alias("low")).where("l0 != l1").select("key", "low")
-    rest = written(wide.join(mixed, "key").select("key", "id", "label", "low"), "mixed")
+    wide = shared.select("key", "id").join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    mixed = wide.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.min("id").alias("low"), F.count("*").alias("n")).where("l0 != l1 and n > 2").select("key", "low")
+    rest = written(wide.join(mixed, "key").select("key", "id", "label", "low").distinct(), "mixed")
     if rest.isEmpty():
+        discard(links, rest)
         return found
     if by_bucket:
         clusters = rest.select(F.col("key").alias("cluster"), "id", "label")
@@ -128,6 +177,6 @@ def classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame], settle
         cluster = components(rest.select(F.col("id").alias("a"), F.col("low").alias("b")))
         clusters = rest.select("id", "label").distinct().join(cluster.toDF("id", "cluster"), "id").select("cluster", "id", "label")
     more = written(settle(clusters), "links")
-    if more.isEmpty():
-        return found
-    return components(found.toDF("a", "b").union(more))
+    out = components(found.toDF("a", "b").union(more))
+    discard(links, rest, more, found, *([] if by_bucket else [cluster]))
+    return out

@@ -9,15 +9,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rootgraph.llm.buckets import classes, in_blocks
-from rootgraph.llm.common import table, written
+from rootgraph.llm.buckets import classes, in_blocks, stars
+from rootgraph.llm.common import columns, discard, fresh, pin, table, written
 from rootgraph.llm.kernels import U64, lists, mix, pieces, prefix_hash, ragged, span_hash
 
-#: edit similarity, and bits in which 128-bit SimHashes of GRAM bytes each may differ: unrelated lines differ in about 60
-THRESHOLD, RADIUS, GRAM = 0.8, 52, 4
-#: (bytes of a gram, keys, longest line): lines are compared if they share a key, which is a pair of least gram hashes;
-#: a short line has few long grams, so it gets keys of short ones too
-KEYS = ((8, 12, None), (GRAM, 8, 40))
+#: edit similarity, and bits in which 128-bit SimHashes of words may differ: unrelated lines differ in about 60
+THRESHOLD, RADIUS = 0.8, 52
+#: keys of a line: each joins the least of ORDERS hash orders of the GRAM-byte grams, of those that SAMPLE picks by their hash
+GRAM, ORDERS, KEYS, SAMPLE = 8, 3, 8, 4
+#: lines up to SHORT bytes have few long grams and get keys of all short ones as well
+SHORT, SHORT_GRAM, SHORT_ORDERS, SHORT_KEYS = 64, 4, 2, 6
 #: ASCII letters are alike in both cases, digits stay, other ASCII separates words
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[0x41:0x5B] += 0x20
@@ -66,28 +67,49 @@ def simhash(h: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     return out
 
 
-def grams(prefix: np.ndarray, begin: np.ndarray, size: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the runs of ``width`` bytes of each line, and the first and past-the-last of a line; a shorter line is one."""
+def grams(prefix: np.ndarray, begin: np.ndarray, size: np.ndarray, width: int, sample: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of ``width`` bytes of each line, and the first of each line; a shorter line is one run.
+
+    With ``sample``, only one of so many hashes, chosen by the hash itself (so alike in all lines), for lines that
+    then have four at least: the least hashes of two lines agree as often as they do among all.
+    """
     n = np.maximum(1, size - width + 1)
     last = np.cumsum(n)
     at = np.repeat(begin, n) + ragged(n)
-    return span_hash(prefix, at, at + np.repeat(np.minimum(size, width), n)), last - n, last
-
-
-def least_pairs(h: np.ndarray, first: np.ndarray, width: int, n: int) -> np.ndarray:
-    """n keys a row, each of the least of its hashes in two orders: two rows share one with the square of their Jaccard similarity."""
-    out = np.empty((len(first), n), U64)
-    if not len(first):
-        return out
-    factor = mix(np.arange(1, 2 * n + 1, dtype=U64)) | U64(1)
+    h = span_hash(prefix, at, at + np.repeat(np.minimum(size, width), n))
+    if sample > 1:
+        keep = (h >> U64(40)) % U64(sample) == 0
+        total = np.concatenate([[0], np.cumsum(keep)])
+        keep |= np.repeat(total[last] - total[last - n] < 4, n)
+        total = np.concatenate([[0], np.cumsum(keep)])
+        return h[keep], total[last - n]
+    return h, last - n
+
+
+def least_keys(h: np.ndarray, first: np.ndarray, width: int, orders: int, n: int) -> list[np.ndarray]:
+    """n keys a line, each of the least hash in ``orders`` orders: two lines share one with that power of their Jaccard similarity."""
+    factor = mix(np.arange(1, orders * n + 1, dtype=U64)) | U64(1)
+    out = []
     for k in range(n):
-        one, two = (np.minimum.reduceat(h * factor[2 * k + i], first) for i in (0, 1))
-        out[:, k] = mix(one ^ mix(two + U64(width * n + k)))
+        key = np.full(len(first), U64(width * n + k))
+        for i in range(orders):
+            key = mix(key ^ np.minimum.reduceat(h * factor[orders * k + i], first)) if len(first) else key
+        out.append(key)
     return out
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, text -> a row for each line that is not blank: doc_id, pos, f1, f2 (hash of the normalised line), s1, s2 (SimHash), size, keys."""
+def places(doc: np.ndarray, pos: np.ndarray) -> pa.Array:
+    """doc * 2^31 + pos as a decimal, whose order is that of lines in the corpus."""
+    wide = np.stack([(doc.view(U64) << U64(31)) | pos.astype(U64), (doc >> 33).view(U64)], axis=1)
+    return pa.Array.from_buffers(pa.decimal128(38, 0), len(doc), [None, pa.py_buffer(np.ascontiguousarray(wide).tobytes())])
+
+
+def scan(docs: DataFrame, sketch: bool = False) -> DataFrame:
+    """doc_id (not null), text -> a row for each line that is not blank: doc_id, pos, f1, f2 (hash of the normalised line).
+
+    With ``sketch``: place (doc_id * 2^31 + pos), f1, f2, s1, s2 (SimHash), and its keys k0, k1, ...
+    """
+    names = [f"k{i}" for i in range(KEYS + SHORT_KEYS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, start, end in pieces(batches):
@@ -106,8 +128,12 @@ def scan(docs: DataFrame) -> DataFrame:
             row, pos, first, last = row[keep], pos[keep], first[keep], last[keep]
             other = mix(h ^ U64(0x5851F42D4C957F2D))
             f = [span_hash(prefix_hash(x), first, last) for x in (h, other)]
+            if not sketch:
+                yield pa.record_batch([batch.column(0).take(pa.array(row)), pa.array(pos, pa.int32()), *(pa.array(x.view(np.int64)) for x in f)], ["doc_id", "pos", "f1", "f2"])
+                continue
             length = np.concatenate([[0], np.cumsum(we - ws)])
             size = length[last] - length[first] + (last - first - 1)
+            s = [simhash(x, first, last) if len(first) else f[0] for x in (h, other)]
             # the normalised lines: words, with one space after each but the last of a line
             space = np.ones(len(we), bool)
             space[last - 1] = False
@@ -116,18 +142,16 @@ def scan(docs: DataFrame) -> DataFrame:
             plain = np.where(word, low, 0x20).astype(np.uint8)[put]
             begin = np.cumsum(put)[ws[first]] - 1 if len(first) else np.zeros(0, np.int64)
             prefix = prefix_hash(plain)
-            g, lo, hi = grams(prefix, begin, size, GRAM)
-            s = [simhash(x, lo, hi) if len(lo) else f[0] for x in (g, mix(g ^ U64(0x5851F42D4C957F2D)))]
-            keys, owner = [], []
-            for width, n, longest in KEYS:
-                some = np.flatnonzero(size <= longest) if longest else np.arange(len(size))
-                keys.append(least_pairs(*grams(prefix, begin[some], size[some], width)[:2], width, n).ravel())
-                owner.append(np.repeat(some, n))
-            order = np.argsort(np.concatenate(owner), kind="stable")
-            keys = lists(np.concatenate(keys)[order].view(np.int64), np.bincount(np.concatenate(owner), minlength=len(size)), pa.int64())
-            yield pa.record_batch([batch.column(0).take(pa.array(row)), pa.array(pos, pa.int32()), *(pa.array(x.view(np.int64)) for x in (*f, *s)), pa.array(size, pa.int64()), keys], ["doc_id", "pos", "f1", "f2", "s1", "s2", "size", "keys"])
+            keys = [pa.array(x.view(np.int64)) for x in least_keys(*grams(prefix, begin, size, GRAM, SAMPLE), GRAM, ORDERS, KEYS)]
+            some = np.flatnonzero(size <= SHORT)
+            for x in least_keys(*grams(prefix, begin[some], size[some], SHORT_GRAM), SHORT_GRAM, SHORT_ORDERS, SHORT_KEYS):
+                key, none = np.zeros(len(size), np.int64), np.ones(len(size), bool)
+                key[some], none[some] = x.view(np.int64), False
+                keys.append(pa.array(key, mask=none))
+            yield pa.record_batch([places(batch.column(0).to_numpy()[row], pos), *(pa.array(x.view(np.int64)) for x in (*f, *s)), *keys], ["place", "f1", "f2", "s1", "s2", *names])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, pos int, f1 long, f2 long, s1 long, s2 long, size long, keys array<long>")
+    schema = "place decimal(38,0), f1 long, f2 long, s1 long, s2 long, " + ", ".join(f"{k} long" for k in names) if sketch else "doc_id long, pos int, f1 long, f2 long"
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def close(x: pa.RecordBatch, y: pa.RecordBatch, radius: int) -> np.ndarray:
@@ -137,63 +161,91 @@ def close(x: pa.RecordBatch, y: pa.RecordBatch, radius: int) -> np.ndarray:
     return bits <= radius
 
 
-def duplicate_lines(docs: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, pos) of the lines that are not the first of their class, in order of doc_id and place.
+def _place(doc: str, pos: str) -> Column:
+    return (F.col(doc).cast("decimal(20,0)") * F.lit(1 << 31) + F.col(pos)).cast("decimal(38,0)")
 
-    Lines are alike if their normalised forms are equal, or if they share a key of ``KEYS``, their SimHashes differ
-    in at most ``radius`` bits and 1 - edit distance / longer length >= ``threshold``; classes are chains of such pairs.
-    """
-    at = written(scan(docs).where("doc_id is not null"), "lines")
-    one = at.groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.count("*").alias("n"))
-    one = written(one.withColumn("id", F.monotonically_increasing_id()), "distinct")
+
+def similar_classes(docs: DataFrame, one: DataFrame, threshold: float, radius: int) -> DataFrame:
+    """(node, component) of the distinct lines ``one`` (id, place, s1, s2, keys) that chains of similar pairs join."""
+    keys = [c for c in one.columns if c[0] == "k"]
+    shared = stars(one.select("id", F.explode(F.array(*keys)).alias("key")).where("key is not null"))
+    # lines that share a key, by their place, and their texts
+    cards = one.select("id", "place", "s1", "s2").join(shared.select("id").distinct(), "id")
+    pos = F.expr("pmod(place, 2147483648BD)")
+    cards = cards.select("id", "s1", "s2", F.expr("cast((place - pmod(place, 2147483648BD)) div 2147483648BD as long)").alias("doc_id"), pos.cast("int").alias("pos"))
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).join(cards, ["doc_id", "pos"])
+    lines = lines.select("id", "s1", "s2", normalised(F.col("line")).alias("line"))
+    lines = written(lines.groupBy("id").agg(F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.max("line").alias("line")), "compared")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        side = lambda c: one.select(F.col("id").alias(c), F.col("s1").alias(f"{c}1"), F.col("s2").alias(f"{c}2"), F.col("size").alias(f"{c}n"), F.col("first.doc_id").alias(f"{c}d"), F.col("first.pos").alias(f"{c}p"))
-        near = pairs.join(side("a"), "a").join(side("b"), "b")
+        both = pairs.join(lines.toDF("a", "a1", "a2", "la"), "a").join(lines.toDF("b", "b1", "b2", "lb"), "b")
         bits = F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) + F.bit_count(F.col("a2").bitwiseXOR(F.col("b2")))
-        near = written(near.where(bits <= radius).where(F.least("an", "bn") >= threshold * F.greatest("an", "bn")).select("a", "b", "ad", "ap", "bd", "bp"), "near")
-        need = near.select("ad", "ap").union(near.select("bd", "bp")).distinct().toDF("doc_id", "pos")
-        need = need.groupBy("doc_id").agg(F.collect_set("pos").alias("at"))
-        lines = docs.select("doc_id", "text").join(need, "doc_id").select("doc_id", F.explode("at").alias("pos"), F.split("text", "\n", -1).alias("lines"))
-        lines = written(lines.select("doc_id", "pos", normalised(F.col("lines")[F.col("pos")]).alias("line")).distinct(), "compared")
-        both = near.join(lines.toDF("ad", "ap", "la"), ["ad", "ap"]).join(lines.toDF("bd", "bp", "lb"), ["bd", "bp"])
-        most = F.floor((1 - threshold) * F.greatest(F.length("la"), F.length("lb")) + 1e-9).cast("int")
+        na, nb = F.length("la"), F.length("lb")
+        both = both.where(bits <= radius).where(F.least(na, nb) >= threshold * F.greatest(na, nb))
+        most = F.floor((1 - threshold) * F.greatest(na, nb) + 1e-9).cast("int")
         within = lambda k: F.call_function("levenshtein", F.col("la"), F.col("lb"), k) >= 0
         # a narrow band settles most pairs; the whole one is for the rest
         return both.where(F.when(within(F.ceil(most / 5).cast("int")), True).otherwise(within(most))).select("a", "b")
 
     def settle(rows: DataFrame) -> DataFrame:
         """Compares SimHashes in blocks; what is near goes through the edit distance as above."""
-        near = in_blocks(rows.join(one.select("id", "s1", "s2"), "id").select("cluster", "id", "label", "s1", "s2"), lambda x, y: close(x, y, radius), pairs=True)
+        near = in_blocks(rows.join(lines.select("id", "s1", "s2"), "id").select("cluster", "id", "label", "s1", "s2"), lambda x, y: close(x, y, radius), pairs=True)
         return verify(near.distinct())
 
     # lines that share a key by chance would chain into one cluster
-    found = classes(one.select(F.explode(F.array_distinct("keys")).alias("key"), "id"), verify, settle, by_bucket=True)
-    named = one.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("class", F.coalesce("component", "id"))
-    named = written(named.select("f1", "f2", "first", "n", "class"), "named")
-    # only classes of more than one line have any to remove
-    kept = named.groupBy("class").agg(F.min("first").alias("keep"), F.sum("n").alias("lines")).where("lines > 1")
-    gone = named.join(kept, "class").select("f1", "f2", "keep")
-    return at.join(gone, ["f1", "f2"]).where(F.struct("doc_id", "pos") != F.col("keep")).select("doc_id", "pos")
+    found = classes(shared, verify, settle, by_bucket=True)
+    discard(shared, lines)
+    return found
+
+
+def duplicate_lines(docs: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
+    """Written (doc_id, at): the numbers of a text's lines that are not the first of their class, in order of doc_id and place.
+
+    Lines are alike if their normalised forms are equal, or if they share a key, their SimHashes differ in at most
+    ``radius`` bits and 1 - edit distance / longer length >= ``threshold`` (in characters); classes are chains of
+    such pairs. Equal lines are merged before keys move; a very common line is counted where it is read.
+    """
+    docs = docs.where("doc_id is not null")
+    at = scan(docs, sketch=True)
+    rest = [F.first(c).alias(c) for c in at.columns[3:]]
+    one = at.groupBy("f1", "f2").agg(F.min("place").alias("place"), F.count("*").alias("n"), *rest)
+    one = written(one.withColumn("id", F.monotonically_increasing_id()), "distinct")
+    found = similar_classes(docs, one, threshold, radius)
+    named = one.select("f1", "f2", "place", "n", F.col("id").alias("node"))
+    alike = written(named.join(found, "node"), "alike")
+    first = alike.groupBy("component").agg(F.min("place").alias("keep"))
+    alone = named.where("n > 1").join(found.select("node"), "node", "left_anti")
+    gone = written(alike.join(first, "component").select("f1", "f2", "keep").union(alone.select("f1", "f2", F.col("place").alias("keep"))), "gone")
+    discard(one, found, alike)
+    later = scan(docs).join(gone, ["f1", "f2"]).where(_place("doc_id", "pos") != F.col("keep"))
+    out = written(later.groupBy("doc_id").agg(F.collect_set("pos").alias("at")), "lines")
+    discard(gone)
+    return out
 
 
-def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the text column without duplicate lines, and n_lines, n_removed added (see ``duplicate_lines``).
+def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", counts: tuple[str, str] | None = ("n_lines", "n_removed")) -> DataFrame:
+    """``docs`` with the text column without duplicate lines, and two columns of counts added (see ``duplicate_lines``).
 
     Lines end at newlines; a line is removed with its newline. Blank lines (no letter, digit or non-ASCII character)
     are never removed. Null texts stay null with 0 lines; an empty text is one blank line. A text whose lines are
     all removed becomes empty; its row stays. Rows with a null id are left alone. Ids are taken as unique: rows
-    repeated with their id lose the same lines. An empty table gives no rows; other columns are kept.
+    repeated with their id lose the same lines. An empty table gives no rows; other columns are kept, but for ones
+    with the names in ``counts``, which are replaced (``counts=None`` adds none).
     """
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    gone = duplicate_lines(plain, threshold, radius).groupBy("doc_id").agg(F.collect_set("pos").alias("_gone"))
-    gone = gone.withColumnRenamed("doc_id", "_id")
-    out = docs.join(gone, docs[id_col].cast("long") == gone["_id"], "left").withColumn("_gone", F.coalesce("_gone", F.array().cast("array<int>")))
+    key, at, parts = fresh(docs, "doc", "at", "parts")
+    gone = duplicate_lines(plain, threshold, radius).select(F.col("doc_id").alias(key), F.col("at").alias(at))
+    out = docs.join(gone, F.col(id_col).cast("long") == F.col(key), "left")
     lines = F.split(F.col(text_col), "\n", -1)
-    kept = F.filter(lines, lambda x, i: ~F.array_contains("_gone", i))
-    text = F.when(F.size("_gone") > 0, F.array_join(kept, "\n")).otherwise(F.col(text_col))
-    n = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long")
-    return out.withColumns({"n_lines": n, "n_removed": F.size("_gone").cast("long"), text_col: text}).drop("_gone", "_id")
+    out = out.select(*columns(docs), at, pin(F.when(F.col(at).isNotNull(), lines)).alias(parts))
+    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(at))  # by hash, in order
+    text = F.when(F.col(at).isNotNull(), F.array_join(F.transform(left, lambda i: F.col(parts)[i]), "\n")).otherwise(F.col(text_col))
+    added = {}
+    if counts:
+        breaks = F.length(text_col) - F.length(F.translate(F.col(text_col), "\n", ""))
+        added = {counts[0]: F.coalesce(breaks + 1, F.lit(0)).cast("long"), counts[1]: F.coalesce(F.size(at), F.lit(0)).cast("long")}
+    keep = [text.alias(text_col) if c == text_col else F.col("`" + c.replace("`", "``") + "`") for c in docs.columns if c not in added]
+    return out.select(*keep, *(v.alias(k) for k, v in added.items()))
 
 
 def op3_simhash_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

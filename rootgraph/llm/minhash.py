@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rootgraph.llm.buckets import classes, in_blocks
-from rootgraph.llm.common import table, written
+from rootgraph.llm.buckets import classes, in_blocks, stars
+from rootgraph.llm.common import discard, table, written
 from rootgraph.llm.kernels import U64, lists, mix, pieces, prefix_hash, ragged, shingles, span_hash, words
 
 WIDTH, THRESHOLD = 5, 0.8
@@ -203,10 +203,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     some = signed.where("n is not null and doc_id is not null")
     texts = written(some.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "texts")
     weight = texts.select("rep", "n")
-    members = texts.select(F.explode("bands").alias("key"), F.col("rep").alias("id"))
-    meet = members.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
-    members = written(members.join(meet, "key", "left_semi"), "members")
-    kept = docs.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
+    shared = stars(texts.select(F.explode("bands").alias("key"), F.col("rep").alias("id")))
+    kept = docs.join(shared.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
     kept = written(kept, "compared")
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -217,8 +215,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     def settle(rows: DataFrame) -> DataFrame:
         return in_blocks(cells(rows.join(kept.withColumnRenamed("doc_id", "id"), "id").select("cluster", "id", "label", "text")), lambda x, y: block_links(x, y, threshold))
 
-    found = classes(members, verify, settle)
+    found = classes(shared, verify, settle)
+    discard(shared, kept)
     named = texts.select("f1", "f2", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", F.coalesce("component", "rep").alias("class_id"))
+    named = written(named, "named")
+    discard(texts, found)
     out = some.select("doc_id", "n", "f1", "f2").join(named, ["f1", "f2"]).select("doc_id", "n", "class_id")
     rest = signed.where("n is null or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("class_id"))
     return out.union(rest).select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
