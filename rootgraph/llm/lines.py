@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,14 +13,16 @@ from pyspark.sql import functions as F
 
 from rootgraph.llm.buckets import classes, in_blocks, stars
 from rootgraph.llm.common import columns, discard, fresh, pin, table, written
-from rootgraph.llm.kernels import U64, lists, mix, pieces, prefix_hash, ragged, span_hash
+from rootgraph.llm.kernels import U64, mix, pieces, prefix_hash, ragged, span_hash
 
-#: edit similarity, and bits in which 128-bit SimHashes of words may differ: unrelated lines differ in about 60
-THRESHOLD, RADIUS = 0.8, 52
+#: edit similarity, and bits in which 128-bit SimHashes of grams may differ: unrelated lines differ in about 60
+THRESHOLD, RADIUS = 0.8, 44
 #: keys of a line: each joins the least of ORDERS hash orders of the GRAM-byte grams, of those that SAMPLE picks by their hash
 GRAM, ORDERS, KEYS, SAMPLE = 8, 3, 8, 4
 #: lines up to SHORT bytes have few long grams and get keys of all short ones as well
-SHORT, SHORT_GRAM, SHORT_ORDERS, SHORT_KEYS = 64, 4, 2, 6
+SHORT, SHORT_GRAM, SHORT_ORDERS, SHORT_KEYS = 64, 5, 3, 6
+#: letters of pairs whose edit distances are found at once, and pairs that make that worth while
+CELLS, FEW = 1 << 19, 128
 #: ASCII letters are alike in both cases, digits stay, other ASCII separates words
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[0x41:0x5B] += 0x20
@@ -67,34 +71,41 @@ def simhash(h: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     return out
 
 
-def grams(prefix: np.ndarray, begin: np.ndarray, size: np.ndarray, width: int, sample: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the runs of ``width`` bytes of each line, and the first of each line; a shorter line is one run.
+def grams(plain: np.ndarray, begin: np.ndarray, size: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of ``width`` (at most 8) bytes of the lines, and where each line's begin; a shorter line is one run.
 
-    With ``sample``, only one of so many hashes, chosen by the hash itself (so alike in all lines), for lines that
-    then have four at least: the least hashes of two lines agree as often as they do among all.
+    ``plain`` holds no zeros but eight bytes at its end.
     """
+    word = np.ndarray(max(0, len(plain) - 7), "<u8", plain, strides=(1,))
     n = np.maximum(1, size - width + 1)
-    last = np.cumsum(n)
     at = np.repeat(begin, n) + ragged(n)
-    h = span_hash(prefix, at, at + np.repeat(np.minimum(size, width), n))
-    if sample > 1:
-        keep = (h >> U64(40)) % U64(sample) == 0
-        total = np.concatenate([[0], np.cumsum(keep)])
-        keep |= np.repeat(total[last] - total[last - n] < 4, n)
-        total = np.concatenate([[0], np.cumsum(keep)])
-        return h[keep], total[last - n]
-    return h, last - n
+    bits = np.repeat(8 * np.minimum(size, width), n).astype(U64)
+    return mix(word[at] & (U64(0xFFFFFFFFFFFFFFFF) >> (U64(64) - bits))), np.cumsum(n) - n
 
 
-def least_keys(h: np.ndarray, first: np.ndarray, width: int, orders: int, n: int) -> list[np.ndarray]:
+def sampled_grams(plain: np.ndarray, begin: np.ndarray, size: np.ndarray, width: int, sample: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``grams``, of the grams that their own hash picks, one in ``sample``; and the lines that have four at least.
+
+    What is picked is alike in all lines, so the least hashes of two lines agree as often as they do among all grams.
+    """
+    word = np.ndarray(max(0, len(plain) - 7), "<u8", plain, strides=(1,)) & (U64(0xFFFFFFFFFFFFFFFF) >> U64(64 - 8 * width))
+    spot = np.flatnonzero((word * U64(0x9E3779B97F4A7C15)) < U64((1 << 64) // sample))
+    row = np.searchsorted(begin, spot, "right") - 1
+    inside = spot + width <= (begin + size)[row] if len(begin) else np.zeros(0, bool)
+    spot, row = spot[inside], row[inside]
+    n = np.bincount(row, minlength=len(begin))
+    some = np.flatnonzero(n >= 4)
+    use = n[row] >= 4
+    return mix(word[spot[use]]), np.cumsum(n[some]) - n[some], some
+
+
+def least_keys(h: np.ndarray, first: np.ndarray, width: int, orders: int, n: int) -> np.ndarray:
     """n keys a line, each of the least hash in ``orders`` orders: two lines share one with that power of their Jaccard similarity."""
     factor = mix(np.arange(1, orders * n + 1, dtype=U64)) | U64(1)
-    out = []
-    for k in range(n):
-        key = np.full(len(first), U64(width * n + k))
+    out = np.repeat(np.arange(width * n, width * n + n, dtype=U64)[:, None], len(first), axis=1)
+    for k in range(n if len(first) else 0):
         for i in range(orders):
-            key = mix(key ^ np.minimum.reduceat(h * factor[orders * k + i], first)) if len(first) else key
-        out.append(key)
+            out[k] = mix(out[k] ^ np.minimum.reduceat(h * factor[orders * k + i], first))
     return out
 
 
@@ -104,10 +115,10 @@ def places(doc: np.ndarray, pos: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.decimal128(38, 0), len(doc), [None, pa.py_buffer(np.ascontiguousarray(wide).tobytes())])
 
 
-def scan(docs: DataFrame, sketch: bool = False) -> DataFrame:
-    """doc_id (not null), text -> a row for each line that is not blank: doc_id, pos, f1, f2 (hash of the normalised line).
+def scan(docs: DataFrame) -> DataFrame:
+    """doc_id (not null), text -> a row for each line that is not blank: f1, f2 (hash of the normalised line).
 
-    With ``sketch``: place (doc_id * 2^31 + pos), f1, f2, s1, s2 (SimHash), and its keys k0, k1, ...
+    And its place (doc_id * 2^31 + pos), s1, s2 (SimHash), and keys k0, k1, ...
     """
     names = [f"k{i}" for i in range(KEYS + SHORT_KEYS)]
 
@@ -128,32 +139,294 @@ def scan(docs: DataFrame, sketch: bool = False) -> DataFrame:
             row, pos, first, last = row[keep], pos[keep], first[keep], last[keep]
             other = mix(h ^ U64(0x5851F42D4C957F2D))
             f = [span_hash(prefix_hash(x), first, last) for x in (h, other)]
-            if not sketch:
-                yield pa.record_batch([batch.column(0).take(pa.array(row)), pa.array(pos, pa.int32()), *(pa.array(x.view(np.int64)) for x in f)], ["doc_id", "pos", "f1", "f2"])
-                continue
             length = np.concatenate([[0], np.cumsum(we - ws)])
             size = length[last] - length[first] + (last - first - 1)
-            s = [simhash(x, first, last) if len(first) else f[0] for x in (h, other)]
             # the normalised lines: words, with one space after each but the last of a line
             space = np.ones(len(we), bool)
             space[last - 1] = False
             put = word.copy()
             put[we[space]] = True
-            plain = np.where(word, low, 0x20).astype(np.uint8)[put]
+            plain = np.append(np.where(word, low, 0x20).astype(np.uint8)[put], np.zeros(8, np.uint8))
             begin = np.cumsum(put)[ws[first]] - 1 if len(first) else np.zeros(0, np.int64)
-            prefix = prefix_hash(plain)
-            keys = [pa.array(x.view(np.int64)) for x in least_keys(*grams(prefix, begin, size, GRAM, SAMPLE), GRAM, ORDERS, KEYS)]
-            some = np.flatnonzero(size <= SHORT)
-            for x in least_keys(*grams(prefix, begin[some], size[some], SHORT_GRAM), SHORT_GRAM, SHORT_ORDERS, SHORT_KEYS):
-                key, none = np.zeros(len(size), np.int64), np.ones(len(size), bool)
-                key[some], none[some] = x.view(np.int64), False
-                keys.append(pa.array(key, mask=none))
+            h, at, some = sampled_grams(plain, begin, size, GRAM, SAMPLE)
+            rest = np.ones(len(size), bool)
+            rest[some] = False
+            rest = np.flatnonzero(rest)
+            short = np.flatnonzero(size <= SHORT)
+            keys, s = np.empty((KEYS + SHORT_KEYS, len(size)), U64), np.empty((2, len(size)), U64)
+            for which, h, at in ((some, h, at), (rest, *grams(plain, begin[rest], size[rest], GRAM))):
+                keys[:KEYS, which] = least_keys(h, at, GRAM, ORDERS, KEYS)
+                ends = np.append(at[1:], len(h))
+                for k, x in enumerate((h, mix(h ^ U64(0x5851F42D4C957F2D))) if len(at) else ()):
+                    s[k, which] = simhash(x, at, ends)
+            keys[KEYS:, short] = least_keys(*grams(plain, begin[short], size[short], SHORT_GRAM), SHORT_GRAM, SHORT_ORDERS, SHORT_KEYS)
+            none = size > SHORT
+            keys = [pa.array(x.view(np.int64), mask=none if k >= KEYS else None) for k, x in enumerate(keys)]
             yield pa.record_batch([places(batch.column(0).to_numpy()[row], pos), *(pa.array(x.view(np.int64)) for x in (*f, *s)), *keys], ["place", "f1", "f2", "s1", "s2", *names])
 
-    schema = "place decimal(38,0), f1 long, f2 long, s1 long, s2 long, " + ", ".join(f"{k} long" for k in names) if sketch else "doc_id long, pos int, f1 long, f2 long"
+    schema = "place decimal(38,0), f1 long, f2 long, s1 long, s2 long, " + ", ".join(f"{k} long" for k in names)
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
+def trimmed(a: str, b: str) -> tuple[str, str]:
+    """Both without their common beginning and end."""
+    lo, hi = 0, min(len(a), len(b))
+    while lo < hi:
+        m = (lo + hi + 1) // 2
+        if a[lo:m] == b[lo:m]:
+            lo = m
+        else:
+            hi = m - 1
+    a, b = a[lo:], b[lo:]
+    lo, hi = 0, min(len(a), len(b))
+    while lo < hi:
+        m = (lo + hi + 1) // 2
+        if a[len(a) - m : len(a) - lo] == b[len(b) - m : len(b) - lo]:
+            lo = m
+        else:
+            hi = m - 1
+    return a[: len(a) - lo], b[: len(b) - lo]
+
+
+def aligned_distance(a: str, b: str) -> int:
+    """An upper bound of the edit distance: words that stand once in each and in the same order stay, gaps between are replaced."""
+    x, y = a.split(" "), b.split(" ")
+    cx, cy = Counter(x), Counter(y)
+    at = {w: j for j, w in enumerate(y) if cy[w] == 1}
+    pairs = [(i, at[w]) for i, w in enumerate(x) if cx[w] == 1 and w in at]
+    tails: list[int] = []  # of the longest rising runs of places in y, by length
+    ends: list[int] = []
+    before: list[int] = []
+    for k, (_, j) in enumerate(pairs):
+        p = bisect.bisect_left(tails, j)
+        before.append(ends[p - 1] if p else -1)
+        if p == len(tails):
+            tails.append(j)
+            ends.append(k)
+        else:
+            tails[p], ends[p] = j, k
+    total, i, j, k = 0, len(x), len(y), ends[-1] if ends else -1
+    while True:
+        p, q = pairs[k] if k >= 0 else (-1, -1)
+        if i - p > 1 or j - q > 1:
+            u, v = trimmed(" ".join(["", *x[p + 1 : i], ""]), " ".join(["", *y[q + 1 : j], ""]))
+            total += max(len(u), len(v))
+        if k < 0:
+            return total
+        i, j, k = p, q, before[k]
+
+
+def reaches(a: str, b: str, most: int) -> bool:
+    """Whether the edit distance of long texts is ``most`` at most: a column of the table as the bits of one number."""
+    where: dict[str, int] = {}
+    for i, c in enumerate(a):
+        where[c] = where.get(c, 0) | 1 << i
+    mask, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, score, left = mask, 0, len(a), len(b)
+    for c in b:
+        same = where.get(c, 0)
+        still = same | down
+        flat = (((same & up) + up) ^ up) | same
+        plus, minus = down | (mask & ~(flat | up)), up & flat
+        score += bool(plus & top) - bool(minus & top)
+        left -= 1
+        if score - left > most:
+            return False
+        plus, minus = (plus << 1 | 1) & mask, minus << 1 & mask
+        up, down = minus | (mask & ~(still | plus)), plus & still
+    return score <= most
+
+
+def bounded(a: str, b: str, most: int) -> bool | tuple[str, str]:
+    """Whether the edit distance is ``most`` at most, where bounds tell; else what is left to compare."""
+    if abs(len(a) - len(b)) > most:
+        return False
+    a, b = trimmed(a, b)
+    if max(len(a), len(b)) <= most or aligned_distance(a, b) <= most:
+        return True
+    return (a, b) if a and b else False
+
+
+def within(pairs: list[tuple[str, str]], threshold: float, cells: int = CELLS) -> np.ndarray:
+    """Which pairs reach the edit similarity: by bounds, and the rest by edit distance in batches of like lengths."""
+    most = [int((1 - threshold) * max(len(a), len(b)) + 1e-9) for a, b in pairs]
+    found = [bounded(a, b, k) for (a, b), k in zip(pairs, most, strict=True)]
+    out = np.array([x is True for x in found], bool)
+    rest = sorted((i for i, x in enumerate(found) if isinstance(x, tuple)), key=lambda i: max(map(len, found[i])))
+    while rest:
+        n = min(len(rest), cells // (len(found[rest[-1]][0]) + len(found[rest[-1]][1])))
+        if n < FEW:  # too long, or too few, for many at once
+            i = rest.pop()
+            out[i] = reaches(*found[i], most[i])
+            continue
+        part, rest = rest[-n:], rest[:-n]
+        out[part] = distances([found[i] for i in part]) <= np.array([most[i] for i in part])
+    return out
+
+
+def distances(pairs: list[tuple[str, str]]) -> np.ndarray:
+    """Edit distances, of all pairs at once: a column of each table as bits, 64 rows a word, carries from word to word.
+
+    Memory is the pairs times their longest length times their letters, over 8; a batch should be of like lengths.
+    """
+    m, n = (np.array([len(p[k]) for p in pairs]) for k in (0, 1))
+    count, blocks = len(pairs), int(-(-m.max() // 64))
+    both = np.zeros((2, count, max(int(m.max()), int(n.max()))), np.uint32)
+    for k in (0, 1):
+        for r, p in enumerate(pairs):
+            both[k, r, : len(p[k])] = np.frombuffer(p[k].encode("utf-32-le"), np.uint32)
+    used = np.zeros(int(both.max()) + 1, bool)
+    used[both] = True
+    used[0] = False  # past the end
+    code = np.cumsum(used)[both]
+    rows = np.arange(count)
+    where = np.zeros((int(code.max()) + 1, count, blocks), U64)  # rows of the first text that hold a letter
+    for i in range(int(m.max())):
+        where[code[0, :, i], rows, i // 64] |= U64(1 << i % 64)
+    where[0] = 0
+    text = np.ascontiguousarray(code[1].T)
+    up, down = np.full((blocks, count), U64(0xFFFFFFFFFFFFFFFF)), np.zeros((blocks, count), U64)
+    # the rows of the first texts, as bits
+    inside = np.clip(m[None, :] - 64 * np.arange(blocks)[:, None], 0, 64).astype(U64)
+    inside = np.where(inside == 0, U64(0), U64(0xFFFFFFFFFFFFFFFF) >> (U64(64) - np.maximum(inside, U64(1))))
+    out = np.zeros(count, np.int64)
+    zero, ones = np.zeros(count, U64), np.ones(count, U64)
+    for t in range(int(n.max())):
+        same_all = np.ascontiguousarray(where[text[t], rows].T)
+        plus_in, minus_in = ones, zero
+        for w in range(blocks):
+            same, u, d = same_all[w], up[w], down[w]
+            still = same | d
+            same |= minus_in
+            flat = same & u
+            flat += u
+            flat ^= u
+            flat |= same
+            plus = flat | u
+            np.invert(plus, plus)
+            plus |= d
+            minus = u & flat
+            plus_out, minus_out = ((x.view(np.int64) < 0).astype(U64) for x in (plus, minus))
+            plus += plus  # one row on
+            plus |= plus_in
+            minus += minus
+            minus |= minus_in
+            down[w] = plus & still
+            plus |= still
+            np.invert(plus, plus)
+            up[w] = plus | minus
+            plus_in, minus_in = plus_out, minus_out
+        ends = np.flatnonzero(n == t + 1)
+        if len(ends):  # a whole column: the top's distance, and what each row adds or takes
+            steps = np.bitwise_count(up[:, ends] & inside[:, ends]).astype(np.int64) - np.bitwise_count(down[:, ends] & inside[:, ends])
+            out[ends] = t + 1 + steps.sum(axis=0)
+    return out
+
+
+def reaches(a: str, b: str, most: int) -> bool:
+    """Whether the edit distance of long texts is ``most`` at most: a column of the table as the bits of one number."""
+    where: dict[str, int] = {}
+    for i, c in enumerate(a):
+        where[c] = where.get(c, 0) | 1 << i
+    mask, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, score, left = mask, 0, len(a), len(b)
+    for c in b:
+        same = where.get(c, 0)
+        still = same | down
+        flat = (((same & up) + up) ^ up) | same
+        plus, minus = down | (mask & ~(flat | up)), up & flat
+        score += bool(plus & top) - bool(minus & top)
+        left -= 1
+        if score - left > most:
+            return False
+        plus, minus = (plus << 1 | 1) & mask, minus << 1 & mask
+        up, down = minus | (mask & ~(still | plus)), plus & still
+    return score <= most
+
+
+def bounded(a: str, b: str, most: int) -> bool | tuple[str, str]:
+    """Whether the edit distance is ``most`` at most, where bounds tell; else what is left to compare."""
+    if abs(len(a) - len(b)) > most:
+        return False
+    a, b = trimmed(a, b)
+    if max(len(a), len(b)) <= most or aligned_distance(a, b) <= most:
+        return True
+    return (a, b) if a and b else False
+
+
+def within(pairs: list[tuple[str, str]], threshold: float, cells: int = CELLS) -> np.ndarray:
+    """Which pairs reach the edit similarity: by bounds, and the rest by edit distance in batches of like lengths."""
+    most = [int((1 - threshold) * max(len(a), len(b)) + 1e-9) for a, b in pairs]
+    found = [bounded(a, b, k) for (a, b), k in zip(pairs, most, strict=True)]
+    out = np.array([x is True for x in found], bool)
+    rest = sorted((i for i, x in enumerate(found) if isinstance(x, tuple)), key=lambda i: max(map(len, found[i])))
+    while rest:
+        n = min(len(rest), cells // (len(found[rest[-1]][0]) + len(found[rest[-1]][1])))
+        if n < FEW:  # too long, or too few, for many at once
+            i = rest.pop()
+            out[i] = reaches(*found[i], most[i])
+            continue
+        part, rest = rest[-n:], rest[:-n]
+        out[part] = distances([found[i] for i in part]) <= np.array([most[i] for i in part])
+    return out
+
+
+def distances(pairs: list[tuple[str, str]]) -> np.ndarray:
+    """Edit distances, of all pairs at once: a column of each table as bits, 64 rows a word, carries from word to word.
+
+    Memory is the pairs times their longest length times their letters, over 8; a batch should be of like lengths.
+    """
+    m, n = (np.array([len(p[k]) for p in pairs]) for k in (0, 1))
+    count, blocks = len(pairs), int(-(-m.max() // 64))
+    both = np.zeros((2, count, max(int(m.max()), int(n.max()))), np.uint32)
+    for k in (0, 1):
+        for r, p in enumerate(pairs):
+            both[k, r, : len(p[k])] = np.frombuffer(p[k].encode("utf-32-le"), np.uint32)
+    letters, code = np.unique(both, return_inverse=True)
+    code = code.reshape(both.shape)
+    if letters[0]:
+        code += 1  # zero is no letter
+    rows = np.arange(count)
+    where = np.zeros((int(code.max()) + 1, blocks, count), U64)  # rows of the first text that hold a letter
+    for i in range(int(m.max())):
+        where[code[0, :, i], i // 64, rows] |= U64(1 << i % 64)
+    where[0] = 0
+    up, down = np.full((blocks, count), U64(0xFFFFFFFFFFFFFFFF)), np.zeros((blocks, count), U64)
+    score, out = m.copy(), m.copy()
+    last, bit = (m - 1) // 64, ((m - 1) % 64).astype(U64)
+    one, high = U64(1), U64(63)
+    for t in range(int(n.max())):
+        same_all = where[code[1, :, t], :, rows].T
+        plus_in, minus_in = np.ones(count, U64), np.zeros(count, U64)
+        for w in range(blocks):
+            same, u, d = same_all[w], up[w], down[w]
+            still = same | d
+            same = same | minus_in
+            flat = (((same & u) + u) ^ u) | same
+            plus, minus = d | ~(flat | u), u & flat
+            here = last == w
+            if here.any():
+                score += np.where(here, ((plus >> bit) & one).astype(np.int64) - ((minus >> bit) & one).astype(np.int64), 0)
+            plus_out, minus_out = plus >> high, minus >> high
+            plus, minus = (plus << one) | plus_in, (minus << one) | minus_in
+            up[w], down[w] = minus | ~(still | plus), plus & still
+            plus_in, minus_in = plus_out, minus_out
+        ends = n == t + 1
+        out[ends] = score[ends]
+    return out
+
+
+def similar(pairs: DataFrame, threshold: float) -> DataFrame:
+    """Of (a, b, la, lb), the pairs whose lines reach the edit similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = list(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True))
+            yield batch.select([0, 1]).filter(pa.array(within(both, threshold)))
+
+    return pairs.select("a", "b", "la", "lb").mapInArrow(run, "a long, b long")
+
+
 def close(x: pa.RecordBatch, y: pa.RecordBatch, radius: int) -> np.ndarray:
     """Which SimHashes of x and y differ in at most ``radius`` bits."""
     a, b = ([t.column(t.schema.get_field_index(c)).to_numpy() for c in ("s1", "s2")] for t in (x, y))
@@ -161,8 +434,8 @@ def close(x: pa.RecordBatch, y: pa.RecordBatch, radius: int) -> np.ndarray:
     return bits <= radius
 
 
-def _place(doc: str, pos: str) -> Column:
-    return (F.col(doc).cast("decimal(20,0)") * F.lit(1 << 31) + F.col(pos)).cast("decimal(38,0)")
+#: doc_id and pos of a place
+DOC_POS = ("cast((place - pmod(place, 2147483648BD)) div 2147483648BD as long) AS doc_id", "cast(pmod(place, 2147483648BD) as int) AS pos")
 
 
 def similar_classes(docs: DataFrame, one: DataFrame, threshold: float, radius: int) -> DataFrame:
@@ -171,8 +444,7 @@ def similar_classes(docs: DataFrame, one: DataFrame, threshold: float, radius: i
     shared = stars(one.select("id", F.explode(F.array(*keys)).alias("key")).where("key is not null"))
     # lines that share a key, by their place, and their texts
     cards = one.select("id", "place", "s1", "s2").join(shared.select("id").distinct(), "id")
-    pos = F.expr("pmod(place, 2147483648BD)")
-    cards = cards.select("id", "s1", "s2", F.expr("cast((place - pmod(place, 2147483648BD)) div 2147483648BD as long)").alias("doc_id"), pos.cast("int").alias("pos"))
+    cards = cards.selectExpr("id", "s1", "s2", *DOC_POS)
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).join(cards, ["doc_id", "pos"])
     lines = lines.select("id", "s1", "s2", normalised(F.col("line")).alias("line"))
     lines = written(lines.groupBy("id").agg(F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.max("line").alias("line")), "compared")
@@ -182,10 +454,7 @@ def similar_classes(docs: DataFrame, one: DataFrame, threshold: float, radius: i
         bits = F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) + F.bit_count(F.col("a2").bitwiseXOR(F.col("b2")))
         na, nb = F.length("la"), F.length("lb")
         both = both.where(bits <= radius).where(F.least(na, nb) >= threshold * F.greatest(na, nb))
-        most = F.floor((1 - threshold) * F.greatest(na, nb) + 1e-9).cast("int")
-        within = lambda k: F.call_function("levenshtein", F.col("la"), F.col("lb"), k) >= 0
-        # a narrow band settles most pairs; the whole one is for the rest
-        return both.where(F.when(within(F.ceil(most / 5).cast("int")), True).otherwise(within(most))).select("a", "b")
+        return similar(both, threshold)
 
     def settle(rows: DataFrame) -> DataFrame:
         """Compares SimHashes in blocks; what is near goes through the edit distance as above."""
@@ -206,7 +475,7 @@ def duplicate_lines(docs: DataFrame, threshold: float = THRESHOLD, radius: int =
     such pairs. Equal lines are merged before keys move; a very common line is counted where it is read.
     """
     docs = docs.where("doc_id is not null")
-    at = scan(docs, sketch=True)
+    at = written(scan(docs), "scanned")
     rest = [F.first(c).alias(c) for c in at.columns[3:]]
     one = at.groupBy("f1", "f2").agg(F.min("place").alias("place"), F.count("*").alias("n"), *rest)
     one = written(one.withColumn("id", F.monotonically_increasing_id()), "distinct")
@@ -217,9 +486,9 @@ def duplicate_lines(docs: DataFrame, threshold: float = THRESHOLD, radius: int =
     alone = named.where("n > 1").join(found.select("node"), "node", "left_anti")
     gone = written(alike.join(first, "component").select("f1", "f2", "keep").union(alone.select("f1", "f2", F.col("place").alias("keep"))), "gone")
     discard(one, found, alike)
-    later = scan(docs).join(gone, ["f1", "f2"]).where(_place("doc_id", "pos") != F.col("keep"))
+    later = at.select("place", "f1", "f2").join(gone, ["f1", "f2"]).where("place != keep").selectExpr(*DOC_POS)
     out = written(later.groupBy("doc_id").agg(F.collect_set("pos").alias("at")), "lines")
-    discard(gone)
+    discard(at, gone)
     return out
 
 
