@@ -13,6 +13,8 @@ from rootgraph.llm.common import components, discard, written
 
 #: rows on one side of a block of comparisons
 BLOCK = 512
+#: letters of a part of a cluster
+TEXT_BYTES = 8 << 20
 
 #: (ids, labels, payload) of the two sides of a block (one and the same side if the second is None) -> boolean matrix of links
 Kernel = Callable[[pa.RecordBatch, pa.RecordBatch | None], np.ndarray]
@@ -53,14 +55,16 @@ def spanning(a: np.ndarray, b: np.ndarray, linked: np.ndarray) -> tuple[np.ndarr
         la, lb = na, nb
 
 
-def in_blocks(rows: DataFrame, kernel: Kernel, block: int = BLOCK, pairs: bool = False) -> DataFrame:
-    """Links (a, b) that join the rows of each cluster whose pairs the kernel accepts; with ``pairs``, those pairs, a > b.
+def in_blocks(rows: DataFrame, kernel: Kernel, block: int = BLOCK, text: str | None = None, pairs: bool = False) -> DataFrame:
+    """Links (a, b) between labels that join the rows of each cluster whose pairs the kernel accepts; with ``pairs``, those pairs, a > b.
 
     ``rows`` holds cluster, id, label and what the kernel needs. A cluster is cut into parts of about ``block`` rows
-    and each pair of parts is compared in one step, so no task holds a cluster and no pairs are emitted: a step
-    gives fewer links than it has rows (unless ``pairs``, for kernels that leave few). Pairs of equal label are joined already and not compared.
+    (and of ``TEXT_BYTES`` of the column ``text``) and each pair of parts is compared in one step, so no task holds a
+    cluster and no pairs are emitted: a step gives fewer links than it has rows (unless ``pairs``, for kernels that
+    leave few). Pairs of equal label are joined already and not compared.
     """
-    n = rows.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("_g"))
+    parts = F.count("*") / block if text is None else F.greatest(F.count("*") / block, F.sum(F.length(text)) / TEXT_BYTES)
+    n = rows.groupBy("cluster").agg(F.ceil(parts).cast("int").alias("_g"))
     dealt = rows.join(n, "cluster").withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_g")).cast("int"))
     dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_g") - 1)))
     dealt = dealt.withColumn("key", F.xxhash64("cluster", F.least("_own", "_other"), F.greatest("_own", "_other"))).withColumn("side", (F.col("_own") > F.col("_other")).cast("int"))
@@ -87,8 +91,7 @@ def in_blocks(rows: DataFrame, kernel: Kernel, block: int = BLOCK, pairs: bool =
             if pairs:
                 i, j = np.nonzero(linked)
                 a, b = one.column(3).to_numpy()[i], two.column(3).to_numpy()[j]
-                once = (a > b) if one is two else np.ones(len(a), bool)
-                a, b = np.maximum(a, b)[once], np.minimum(a, b)[once]
+                a, b = np.maximum(a, b), np.minimum(a, b)
             else:  # labels join their holders already: links are between labels
                 a, b = spanning(*labels, linked)
             if len(a):
@@ -166,7 +169,8 @@ def classes(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], settle:
     found = components(links)
     label = found.toDF("id", "label")
     wide = shared.select("key", "id").join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    mixed = wide.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.min("id").alias("low"), F.count("*").alias("n")).where("l0 != l1 and n > 2").select("key", "low")
+    mixed = wide.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.min("id").alias("low"), F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("ids")).where("l0 != l1 and n > 2")
+    mixed = mixed.groupBy("low", "n", "ids").agg(F.min("key").alias("key")).select("key", "low")  # equal buckets once
     rest = written(wide.join(mixed, "key").select("key", "id", "label", "low").distinct(), "mixed")
     if rest.isEmpty():
         discard(links, rest)

@@ -19,10 +19,14 @@ from rootgraph.llm.kernels import U64, mix, pieces, prefix_hash, ragged, span_ha
 THRESHOLD, RADIUS = 0.8, 44
 #: keys of a line: each joins the least of ORDERS hash orders of the GRAM-byte grams, of those that SAMPLE picks by their hash
 GRAM, ORDERS, KEYS, SAMPLE = 8, 3, 8, 4
-#: lines up to SHORT bytes have few long grams and get keys of all short ones as well
-SHORT, SHORT_GRAM, SHORT_ORDERS, SHORT_KEYS = 64, 5, 3, 6
+#: lines up to SHORT bytes have few long grams: they get keys of all short ones as well, and their SimHashes may differ in MORE bits more
+SHORT, SHORT_GRAM, SHORT_ORDERS, SHORT_KEYS, MORE = 64, 5, 2, 6, 8
 #: letters of pairs whose edit distances are found at once, and pairs that make that worth while
 CELLS, FEW = 1 << 19, 128
+#: pairs of two classes' lines in a block that are worth no ordering
+SPARSE = 8
+#: letters of two lines beyond which a distance is only compared with its limit
+LONG = 8192
 #: ASCII letters are alike in both cases, digits stay, other ASCII separates words
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[0x41:0x5B] += 0x20
@@ -427,11 +431,76 @@ def similar(pairs: DataFrame, threshold: float) -> DataFrame:
     return pairs.select("a", "b", "la", "lb").mapInArrow(run, "a long, b long")
 
 
-def close(x: pa.RecordBatch, y: pa.RecordBatch, radius: int) -> np.ndarray:
-    """Which SimHashes of x and y differ in at most ``radius`` bits."""
-    a, b = ([t.column(t.schema.get_field_index(c)).to_numpy() for c in ("s1", "s2")] for t in (x, y))
-    bits = sum(np.bitwise_count(p[:, None] ^ q[None, :]) for p, q in zip((v.view(U64) for v in a), (v.view(U64) for v in b), strict=True))
-    return bits <= radius
+def candidates(x: pa.RecordBatch, y: pa.RecordBatch, threshold: float, radius: int) -> np.ndarray:
+    """Pairs of rows of x and y (label, s1, s2, line) among which are links that join all labels that any links join.
+
+    Pairs of different labels with near SimHashes; of labels with more than SPARSE such pairs only links. For these the
+    distance between the first rows of the two labels, less what their other rows differ from these at most, settles
+    most pairs of a large class and its neighbours; the others are compared, nearest first, until their labels are joined.
+    """
+    label, s1, s2, line = ([t.column(t.schema.get_field_index(c)) for t in (x, y)] for c in ("label", "s1", "s2", "line"))
+    label = [c.to_numpy() for c in label]
+    bits = sum(np.bitwise_count(p.to_numpy().view(U64)[:, None] ^ q.to_numpy().view(U64)[None, :]).astype(np.int16) for p, q in (s1, s2))
+    text = [c.to_pylist() for c in line]
+    size = [np.array([len(t) for t in c]) for c in text]
+    near = bits <= radius + MORE * (np.maximum(size[0][:, None], size[1][None, :]) <= SHORT)
+    near &= label[0][:, None] != label[1][None, :]
+    if x is y:
+        near = np.triu(near)
+    i, j = np.nonzero(near)
+    out = np.zeros(near.shape, bool)
+    if not len(i):
+        return out
+    longer = np.maximum(size[0][i], size[1][j])
+    most = np.floor((1 - threshold) * longer + 1e-9).astype(np.int64)
+    ok = np.abs(size[0][i] - size[1][j]) <= most
+    i, j, most = i[ok], j[ok], most[ok]
+    pair = label[0][i], label[1][j]
+    group = np.unique(np.sort(np.stack(pair, axis=1), axis=1), axis=0, return_inverse=True)[1].ravel()
+    dense = np.bincount(group)[group] > SPARSE if len(i) else np.zeros(0, bool)
+    out[i[~dense], j[~dense]] = True
+    i, j, most, group = i[dense], j[dense], most[dense], group[dense]
+    pair = label[0][i], label[1][j]
+    if len(i):
+        first = [dict(zip(reversed(k.tolist()), range(len(k) - 1, -1, -1), strict=True)) for k in label]
+        apart = []
+        for side, rows in ((0, i), (1, j)):  # at most so far from the first row of the label
+            far = np.zeros(len(text[side]), np.int64)
+            for r in np.unique(rows).tolist():
+                a, b = trimmed(text[side][r], text[side][first[side][int(label[side][r])]])
+                far[r] = min(max(len(a), len(b)), aligned_distance(a, b))
+            apart.append(far)
+        pivots = [np.array([first[s][int(v)] for v in pair[s]]) for s in (0, 1)]
+        known: dict[tuple[int, int], int] = {}
+        todo = sorted({(p, q) for p, q in zip(*(v.tolist() for v in pivots), strict=True) if len(text[0][p]) + len(text[1][q]) <= LONG}, key=lambda k: len(text[0][k[0]]))
+        for at in range(0, len(todo), FEW):
+            part = todo[at : at + FEW]
+            known.update(zip(part, distances([(text[0][p], text[1][q]) for p, q in part]).tolist(), strict=True))
+        between = np.array([known.get(k, 0) for k in zip(*(v.tolist() for v in pivots), strict=True)])
+        ok = between - apart[0][i] - apart[1][j] <= most
+        i, j, group = i[ok], j[ok], group[ok]
+    order = np.lexsort((bits[i, j], group))
+    i, j, group = i[order], j[order], group[order]
+    parent: dict[int, int] = {}
+
+    def root(v: int) -> int:
+        while parent.setdefault(v, v) != v:
+            parent[v] = v = parent[parent[v]]
+        return v
+
+    step = 1
+    while len(i):
+        place = ragged(np.unique(group, return_counts=True)[1])
+        now = place < step
+        good = within([(text[0][p], text[1][q]) for p, q in zip(i[now].tolist(), j[now].tolist(), strict=True)], threshold)
+        for p, q in zip(i[now][good].tolist(), j[now][good].tolist(), strict=True):
+            out[p, q] = True
+            parent[root(int(label[0][p]))] = root(int(label[1][q]))
+        i, j, group = i[~now], j[~now], group[~now]
+        apart_still = np.array([root(a) != root(b) for a, b in zip(label[0][i].tolist(), label[1][j].tolist(), strict=True)], bool)
+        i, j, group = i[apart_still], j[apart_still], group[apart_still]
+        step *= 2
+    return out
 
 
 #: doc_id and pos of a place
@@ -453,12 +522,12 @@ def similar_classes(docs: DataFrame, one: DataFrame, threshold: float, radius: i
         both = pairs.join(lines.toDF("a", "a1", "a2", "la"), "a").join(lines.toDF("b", "b1", "b2", "lb"), "b")
         bits = F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) + F.bit_count(F.col("a2").bitwiseXOR(F.col("b2")))
         na, nb = F.length("la"), F.length("lb")
-        both = both.where(bits <= radius).where(F.least(na, nb) >= threshold * F.greatest(na, nb))
+        both = both.where(bits <= F.when(F.greatest(na, nb) <= SHORT, radius + MORE).otherwise(radius)).where(F.least(na, nb) >= threshold * F.greatest(na, nb))
         return similar(both, threshold)
 
     def settle(rows: DataFrame) -> DataFrame:
-        """Compares SimHashes in blocks; what is near goes through the edit distance as above."""
-        near = in_blocks(rows.join(lines.select("id", "s1", "s2"), "id").select("cluster", "id", "label", "s1", "s2"), lambda x, y: close(x, y, radius), pairs=True)
+        """Compares the lines of mixed buckets in blocks; what may be alike goes through the edit distance once."""
+        near = in_blocks(rows.join(lines, "id").select("cluster", "id", "label", "s1", "s2", "line"), lambda x, y: candidates(x, y, threshold, radius), text="line", pairs=True)
         return verify(near.distinct())
 
     # lines that share a key by chance would chain into one cluster
@@ -471,7 +540,7 @@ def duplicate_lines(docs: DataFrame, threshold: float = THRESHOLD, radius: int =
     """Written (doc_id, at): the numbers of a text's lines that are not the first of their class, in order of doc_id and place.
 
     Lines are alike if their normalised forms are equal, or if they share a key, their SimHashes differ in at most
-    ``radius`` bits and 1 - edit distance / longer length >= ``threshold`` (in characters); classes are chains of
+    ``radius`` bits (MORE where both are of SHORT characters at most) and 1 - edit distance / longer length >= ``threshold`` (in characters); classes are chains of
     such pairs. Equal lines are merged before keys move; a very common line is counted where it is read.
     """
     docs = docs.where("doc_id is not null")
