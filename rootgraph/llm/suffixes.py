@@ -307,9 +307,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def shard_of(doc):
         import pandas as pd
 
-        return pd.Series((mix(doc.fillna(0).to_numpy(np.int64).view(U64)) % U64(shards)).astype(np.int32))
+        return pd.Series((mix(doc.to_numpy(np.int64).view(U64)) % U64(shards)).astype(np.int32))
 
-    texts = docs.select(shard_of("doc_id").alias("shard"), F.lit(1).alias("kind"), "doc_id", "text", F.lit(None).cast("binary").alias("blob"))
+    # a column with nulls would reach pandas as floating-point numbers, which large ids do not fit in
+    texts = docs.select(shard_of(F.coalesce("doc_id", F.lit(0))).alias("shard"), F.lit(1).alias("kind"), "doc_id", "text", F.lit(None).cast("binary").alias("blob"))
     both = spans.select("shard", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "blob").union(texts)
     both = both.repartitionById(shards, "shard").sortWithinPartitions("shard", "kind")
 

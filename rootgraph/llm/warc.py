@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from rootgraph.llm.common import new_path, table, written
 
 #: payload bytes of a shard, compressed bytes at which a file is closed, least payload that a revisit may stand for
-SHARD_BYTES, ROLL_BYTES, LEAST_REVISIT = 32 << 20, 256 << 20, 100
+SHARD_BYTES, ROLL_BYTES, LEAST_REVISIT = 32 << 20, 4 << 20, 100
 #: keys sampled for each shard when its bounds are set
 OVERSAMPLE = 64
 DATE = "2024-01-01T00:00:00Z"
@@ -142,17 +142,16 @@ def write_warc(pages: DataFrame, root: str, shard_bytes: int = SHARD_BYTES, roll
     bounds = shard_bounds(keys, shards)
 
     @F.pandas_udf("int")
-    def shard_of(page, digest):
+    def shard_of(none, page, digest):
         import pandas as pd
 
-        none = page.isna()
-        return pd.Series([bisect.bisect_right(bounds, (x, 0 if x else int(p), d)) for x, p, d in zip(none, page, digest, strict=True)], dtype="int32")
+        return pd.Series([bisect.bisect_right(bounds, (x, p, d)) for x, p, d in zip(none.tolist(), page.tolist(), digest, strict=True)], dtype="int32")
 
     dup = keys.where(F.col("n") >= least).groupBy("digest").agg(F.min("page_id").alias("refers"), F.count("*").alias("copies")).where("copies > 1")
     notes = keys.join(dup, "digest").select("page_id", "digest", "refers").distinct()
     both = rows.select("page_id", digest, F.lit(1).alias("kind"), "url", "html", F.lit(None).cast("long").alias("refers"))
     both = notes.select("page_id", "digest", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "refers").union(both)
-    both = both.withColumn("shard", shard_of("page_id", "digest")) if bounds else both.withColumn("shard", F.lit(0))
+    both = both.withColumn("shard", shard_of(F.col("page_id").isNull(), F.coalesce("page_id", F.lit(0)), "digest")) if bounds else both.withColumn("shard", F.lit(0))
     both = both.repartitionById(len(bounds) + 1, F.col("shard")) if bounds else both.coalesce(1)
     both = both.sortWithinPartitions("shard", F.col("page_id").asc_nulls_last(), "digest", "kind", F.col("url").asc_nulls_first())
 

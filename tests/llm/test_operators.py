@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rootgraph.llm import decontaminate, embeddings, language, lines, minhash, packing, privacy, sharding, suffixes, warc
+from rootgraph.llm import common, decontaminate, embeddings, language, lines, minhash, packing, privacy, sharding, suffixes, warc
 from rootgraph.llm.common import components
 
 
@@ -145,6 +145,34 @@ def test_suffixes(docs, none):
     assert suffixes.remove_repeats(none).count() == 0
 
 
+BIG = (1 << 53) + 1
+
+
+def test_null_ids_beside_large_ones(spark):
+    """Ids above 2^53 stay exact where a null id stands in the same column."""
+    text = "a passage that stands in every one of these documents and is longer than fifty bytes"
+    rows = [(BIG + i, f"{i} {text} {i}") for i in range(40)] + [(None, text)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = by_id(suffixes.remove_repeats(docs))
+    assert got[BIG].n_removed == got[None].n_removed == 0
+    assert all(got[BIG + i].n_removed >= len(text) + 2 for i in range(1, 40))
+    pages = spark.createDataFrame([(BIG + i, "u", "<p>" + "x" * 200) for i in range(40)] + [(None, "u", "tiny")], "page_id long, url string, html string")
+    root = f"{common.new_path(spark, 'warc')}"
+    warc.write_warc(pages.repartition(3), root, shard_bytes=2000)
+    got = by_id(warc.read_warc(spark, root), "page_id")
+    assert got[BIG].record_type == "response" and got[None].record_type == "response"
+    assert all((got[BIG + i].record_type, got[BIG + i].refers_to) == ("revisit", BIG) for i in range(1, 40))
+
+
+def test_warc_rolls_by_default(spark):
+    rng = np.random.default_rng(3)
+    pages = spark.createDataFrame([(i, "u", rng.bytes(1 << 20).hex()) for i in range(12)], "page_id long, url string, html string")
+    root = common.new_path(spark, "warc")
+    files = warc.write_warc(pages, root).collect()
+    assert len(files) > len({r.shard for r in files}) and all(r.bytes <= warc.ROLL_BYTES for r in files)
+    assert warc.read_warc(spark, root).count() == 12
+
+
 def test_language(docs, none):
     got = by_id(language.language_ids(docs))
     assert {got[i].lang_pred for i in (3, 4, 6)} == {"und"}
