@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rootgraph.llm.common import table
 from rootgraph.llm.kernels import lists, pieces
@@ -114,8 +115,8 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, dim: int = DIM) ->
     return names, np.array([found[x] / max(1e-9, np.linalg.norm(found[x])) for x in names]).reshape(-1, dim)
 
 
-def identify(docs: DataFrame, names: list[str], prototypes: np.ndarray) -> DataFrame:
-    """doc_id, text -> doc_id, lang_pred, score: the prototype of highest cosine, after taking out what all share."""
+def identify(docs: DataFrame, names: list[str], prototypes: np.ndarray, text_col: str = "text", out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs``, row by row, with the prototype of highest cosine, after taking out what all share, and its score."""
     spark = docs.sparkSession
     middle = prototypes.mean(axis=0) if len(names) > 1 else np.zeros(prototypes.shape[1])
     profile = prototypes - middle
@@ -125,7 +126,7 @@ def identify(docs: DataFrame, names: list[str], prototypes: np.ndarray) -> DataF
     def guess(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, middle, profile = model.value
         letters = letter_vectors(len(middle))
-        for batch, data, start, end in pieces(batches):
+        for batch, data, start, end in pieces(batches, text_col):
             b, n = bundles(data, start, end, letters)
             b = b / np.maximum(1e-9, np.sqrt((b * b).sum(axis=1, keepdims=True))) - middle
             cos = b @ profile.T / np.maximum(1e-9, np.sqrt((b * b).sum(axis=1, keepdims=True))) if names else np.zeros((len(b), 1))
@@ -133,9 +134,15 @@ def identify(docs: DataFrame, names: list[str], prototypes: np.ndarray) -> DataF
             some = n > 0 if names else np.zeros(len(n), bool)
             pred = np.where(some, np.array(names or [UNKNOWN], object)[best], UNKNOWN)
             score = np.where(some, np.clip(cos.max(axis=1), 0, 1), 0.0)
-            yield pa.record_batch([batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
+            yield pa.record_batch([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names, *out])
+
+    return docs.mapInArrow(guess, T.StructType([*docs.schema.fields, T.StructField(out[0], T.StringType()), T.StructField(out[1], T.DoubleType())]))
+
 
-    return docs.select("doc_id", "text").mapInArrow(guess, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+def with_language(docs: DataFrame, out: tuple[str, str], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``docs``, row by row, with the predicted language and its score in two more columns, whose names are free (see ``language_ids``)."""
+    names, prototypes = learn(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")))
+    return identify(docs, names, prototypes, text_col, out)
 
 
 def language_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -147,7 +154,7 @@ def language_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     names, prototypes = learn(docs)
-    out = identify(docs, names, prototypes)
+    out = identify(docs.select("doc_id", "text"), names, prototypes)
     return out.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
