@@ -327,99 +327,6 @@ def distances(pairs: list[tuple[str, str]]) -> np.ndarray:
     return out
 
 
-def reaches(a: str, b: str, most: int) -> bool:
-    """Whether the edit distance of long texts is ``most`` at most: a column of the table as the bits of one number."""
-    where: dict[str, int] = {}
-    for i, c in enumerate(a):
-        where[c] = where.get(c, 0) | 1 << i
-    mask, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
-    up, down, score, left = mask, 0, len(a), len(b)
-    for c in b:
-        same = where.get(c, 0)
-        still = same | down
-        flat = (((same & up) + up) ^ up) | same
-        plus, minus = down | (mask & ~(flat | up)), up & flat
-        score += bool(plus & top) - bool(minus & top)
-        left -= 1
-        if score - left > most:
-            return False
-        plus, minus = (plus << 1 | 1) & mask, minus << 1 & mask
-        up, down = minus | (mask & ~(still | plus)), plus & still
-    return score <= most
-
-
-def bounded(a: str, b: str, most: int) -> bool | tuple[str, str]:
-    """Whether the edit distance is ``most`` at most, where bounds tell; else what is left to compare."""
-    if abs(len(a) - len(b)) > most:
-        return False
-    a, b = trimmed(a, b)
-    if max(len(a), len(b)) <= most or aligned_distance(a, b) <= most:
-        return True
-    return (a, b) if a and b else False
-
-
-def within(pairs: list[tuple[str, str]], threshold: float, cells: int = CELLS) -> np.ndarray:
-    """Which pairs reach the edit similarity: by bounds, and the rest by edit distance in batches of like lengths."""
-    most = [int((1 - threshold) * max(len(a), len(b)) + 1e-9) for a, b in pairs]
-    found = [bounded(a, b, k) for (a, b), k in zip(pairs, most, strict=True)]
-    out = np.array([x is True for x in found], bool)
-    rest = sorted((i for i, x in enumerate(found) if isinstance(x, tuple)), key=lambda i: max(map(len, found[i])))
-    while rest:
-        n = min(len(rest), cells // (len(found[rest[-1]][0]) + len(found[rest[-1]][1])))
-        if n < FEW:  # too long, or too few, for many at once
-            i = rest.pop()
-            out[i] = reaches(*found[i], most[i])
-            continue
-        part, rest = rest[-n:], rest[:-n]
-        out[part] = distances([found[i] for i in part]) <= np.array([most[i] for i in part])
-    return out
-
-
-def distances(pairs: list[tuple[str, str]]) -> np.ndarray:
-    """Edit distances, of all pairs at once: a column of each table as bits, 64 rows a word, carries from word to word.
-
-    Memory is the pairs times their longest length times their letters, over 8; a batch should be of like lengths.
-    """
-    m, n = (np.array([len(p[k]) for p in pairs]) for k in (0, 1))
-    count, blocks = len(pairs), int(-(-m.max() // 64))
-    both = np.zeros((2, count, max(int(m.max()), int(n.max()))), np.uint32)
-    for k in (0, 1):
-        for r, p in enumerate(pairs):
-            both[k, r, : len(p[k])] = np.frombuffer(p[k].encode("utf-32-le"), np.uint32)
-    letters, code = np.unique(both, return_inverse=True)
-    code = code.reshape(both.shape)
-    if letters[0]:
-        code += 1  # zero is no letter
-    rows = np.arange(count)
-    where = np.zeros((int(code.max()) + 1, blocks, count), U64)  # rows of the first text that hold a letter
-    for i in range(int(m.max())):
-        where[code[0, :, i], i // 64, rows] |= U64(1 << i % 64)
-    where[0] = 0
-    up, down = np.full((blocks, count), U64(0xFFFFFFFFFFFFFFFF)), np.zeros((blocks, count), U64)
-    score, out = m.copy(), m.copy()
-    last, bit = (m - 1) // 64, ((m - 1) % 64).astype(U64)
-    one, high = U64(1), U64(63)
-    for t in range(int(n.max())):
-        same_all = where[code[1, :, t], :, rows].T
-        plus_in, minus_in = np.ones(count, U64), np.zeros(count, U64)
-        for w in range(blocks):
-            same, u, d = same_all[w], up[w], down[w]
-            still = same | d
-            same = same | minus_in
-            flat = (((same & u) + u) ^ u) | same
-            plus, minus = d | ~(flat | u), u & flat
-            here = last == w
-            if here.any():
-                score += np.where(here, ((plus >> bit) & one).astype(np.int64) - ((minus >> bit) & one).astype(np.int64), 0)
-            plus_out, minus_out = plus >> high, minus >> high
-            plus, minus = (plus << one) | plus_in, (minus << one) | minus_in
-            up[w], down[w] = minus | ~(still | plus), plus & still
-            plus_in, minus_in = plus_out, minus_out
-        ends = n == t + 1
-        out[ends] = score[ends]
-    return out
-
-
 def similar(pairs: DataFrame, threshold: float) -> DataFrame:
     """Of (a, b, la, lb), the pairs whose lines reach the edit similarity."""
 
