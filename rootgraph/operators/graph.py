@@ -47,20 +47,30 @@ def build(nodes: DataFrame, bonds: DataFrame, graph: str = "g") -> DataFrame:
 
 
 def with_depths(graphs: DataFrame) -> DataFrame:
-    """Adds ``depths``: shortest distance from the root for each node, null where it cannot be reached."""
-    far = 1 << 30
-    start = F.transform("nodes", lambda _, i: F.when(i == F.col("root"), 0).otherwise(far))
+    """Adds ``depths``: shortest distance from the root for each node, null where it cannot be reached.
 
-    def relax(d: Column, _: Column) -> Column:
-        # one pass over the bonds for each node: as many rounds as nodes reach every distance
-        def least(i: Column) -> Column:
-            ends = F.filter("bonds", lambda e: (e["a"] == i) | (e["b"] == i))
-            return F.array_min(F.transform(ends, lambda e: F.when(e["a"] == i, d[e["b"]]).otherwise(d[e["a"]]) + 1))
+    Goes out from the root over lists of neighbours made once; each round takes the nodes met first in the last one, and
+    rounds after the last such node do nothing.
+    """
+    n, none = F.size("nodes"), F.array().cast("array<int>")
+    other = lambda i: lambda e: F.when(e["a"] == i, e["b"]).otherwise(e["a"])
+    out = pin(graphs, "_near", F.transform("nodes", lambda _, i: F.transform(F.filter("bonds", lambda e: (e["a"] == i) | (e["b"] == i)), other(i))))
+    front = F.when(F.col("root").between(0, n - 1), F.array(F.col("root").cast("int"))).otherwise(none)
+    start = F.struct(front.alias("seen"), F.transform(front, lambda _: F.lit(0)).alias("far"), front.alias("front"))
+
+    def spread(acc: Column, depth: Column) -> Column:
+        met = F.array_except(F.flatten(F.transform(acc["front"], lambda i: F.col("_near")[i])), acc["seen"])
+        more = lambda m: F.struct(F.concat(acc["seen"], m).alias("seen"), F.concat(acc["far"], F.array_repeat(depth, F.size(m))).alias("far"), m.alias("front"))
+        return F.when(F.size(acc["front"]) == 0, acc).otherwise(F.transform(F.array(met), more)[0])
 
-        return F.transform(d, lambda x, i: F.least(x, F.coalesce(least(i), F.lit(far))))
+    def by_node(acc: Column) -> Column:
+        met = F.zip_with(acc["seen"], acc["far"], lambda i, d: F.struct(i.alias("i"), d.alias("d")))
+        rest = F.transform(F.array_except(F.sequence(F.lit(0), n - 1), acc["seen"]), lambda i: F.struct(i.alias("i"), F.lit(None).cast("int").alias("d")))
+        return F.sort_array(F.concat(met, rest)).getField("d")
 
-    found = F.aggregate(F.sequence(F.lit(1), F.size("nodes")), start, relax)
-    return pin(graphs, "depths", F.transform(found, lambda x: F.when(x < far, x)))
+    some = F.col("nodes").isNotNull()
+    found = F.aggregate(F.sequence(F.lit(1), n), start, spread, by_node)
+    return pin(out, "depths", F.when(some & (n > 0), found).when(some, none)).drop("_near")
 
 
 def with_edges(graphs: DataFrame) -> DataFrame:
@@ -105,23 +115,30 @@ def initial_labels() -> Column:
     return F.transform("nodes", lambda x, i: F.when(i == F.col("root"), F.lit("ROOT")).otherwise(x["invariant"].cast("string")))
 
 
-def _contributions(labels: Column, i: Column, directed: bool) -> list[Column]:
-    """Sorted, joined contributions of a node's neighbours: incoming, outgoing, lateral (or all as one if undirected).
+def _with_incident(graphs: DataFrame, directed: bool) -> DataFrame:
+    """Adds ``_incident``: what each node sees of its neighbours, as incoming, outgoing and lateral ends (one list if undirected).
 
-    A level bond is stored both ways and is seen from both of its ends, so a lateral neighbour counts twice.
+    A level bond is stored both ways and is seen from both of its ends, so a lateral neighbour counts twice. Edges are
+    looked through once for each node, not again in each round.
     """
-    text = lambda e, j: F.concat_ws(",", e["type"], e["ring"].cast("int").cast("string"), labels[j])
-    join = lambda *parts: F.array_join(F.array_sort(F.concat(*parts)), ";")
-    into = lambda keep: F.transform(F.filter("edges", lambda e: (e["dst"] == i) & keep(e)), lambda e: text(e, e["src"]))
-    out = lambda keep: F.transform(F.filter("edges", lambda e: (e["src"] == i) & keep(e)), lambda e: text(e, e["dst"]))
-    if directed:
-        return [join(into(lambda e: ~e["lateral"])), join(out(lambda e: ~e["lateral"])), join(into(lambda e: e["lateral"]), out(lambda e: e["lateral"]))]
-    other = lambda e: F.when(e["a"] == i, e["b"]).otherwise(e["a"])
-    return [join(F.transform(F.filter("bonds", lambda e: (e["a"] == i) | (e["b"] == i)), lambda e: text(e, other(e))))]
+    end = lambda to: lambda e: F.struct(e["type"].alias("type"), e["ring"].cast("int").cast("string").alias("ring"), to(e).alias("to"))
+    into = lambda i, keep: F.transform(F.filter("edges", lambda e: (e["dst"] == i) & keep(e)), end(lambda e: e["src"]))
+    out = lambda i, keep: F.transform(F.filter("edges", lambda e: (e["src"] == i) & keep(e)), end(lambda e: e["dst"]))
+    slope, level = (lambda e: ~e["lateral"]), (lambda e: e["lateral"])
+
+    def seen(_: Column, i: Column) -> Column:
+        if directed:
+            return F.array(into(i, slope), out(i, slope), F.concat(into(i, level), out(i, level)))
+        other = lambda e: F.when(e["a"] == i, e["b"]).otherwise(e["a"])
+        return F.array(F.transform(F.filter("bonds", lambda e: (e["a"] == i) | (e["b"] == i)), end(other)))
+
+    return pin(graphs, "_incident", F.transform("nodes", seen))
 
 
 def _refined(labels: Column, directed: bool) -> Column:
-    return F.transform(labels, lambda x, i: F.sha2(F.concat_ws("|", x, *_contributions(labels, i, directed)), 256))
+    text = lambda e: F.concat_ws(",", e["type"], e["ring"], labels[e["to"]])
+    part = lambda i, k: F.array_join(F.sort_array(F.transform(F.col("_incident")[i][k], text)), ";")
+    return F.transform(labels, lambda x, i: F.sha2(F.concat_ws("|", x, *(part(i, k) for k in range(3 if directed else 1))), 256))
 
 
 def _numbered(r: int) -> Column:
@@ -137,11 +154,13 @@ def refine(graphs: DataFrame, radius: int = 3, directed: bool = True) -> DataFra
     if radius < 0:
         raise GraphError(f"radius must not be negative, not {radius}")
     out = graphs.withColumn("_l0", initial_labels() if directed else F.transform("nodes", lambda x: x["invariant"].cast("string")))
+    if radius:
+        out = _with_incident(out, directed)
     for r in range(1, radius + 1):
         last = F.col(f"_l{r - 1}")
         out = pin(out, f"_l{r}", _refined(last, directed))
     rounds = [_numbered(r) for r in range(radius + 1)]
-    return out.withColumn("features", F.concat(*rounds)).drop(*(f"_l{r}" for r in range(radius + 1)))
+    return out.withColumn("features", F.concat(*rounds)).drop("_incident", *(f"_l{r}" for r in range(radius + 1)))
 
 
 def fold_features(features: Column, n_bits: int) -> Column:
@@ -162,16 +181,17 @@ def with_paths(graphs: DataFrame, max_edges: int = 4, classes: dict[str, int] |
     kind = lambda e: F.coalesce(F.try_element_at(code, F.upper(F.trim(e["type"]))).cast("string"), F.raise_error(F.concat(F.lit("unsupported bond type "), e["type"])).cast("string"))
     out = pin(graphs, "_seed", F.transform("nodes", lambda x, i: F.sha2(F.when(i == F.col("root"), F.lit("'ROOT'")).otherwise(x["invariant"].cast("string")), 256)))
     seed = F.col("_seed")
-    link = lambda h, e: F.sha2(F.concat_ws("|", h, kind(e), seed[e["src"]]), 256)
-    out = pin(out, "_p1", F.transform("edges", lambda e: F.struct(F.array(e["src"], e["dst"]).alias("nodes"), F.array(link(seed[e["dst"]], e)).alias("hashes"))))
+    link = lambda h, src, kind: F.sha2(F.concat_ws("|", h, kind, seed[src]), 256)
+    out = pin(out, "_into", F.transform("nodes", lambda _, i: F.transform(F.filter("edges", lambda e: e["dst"] == i), lambda e: F.struct(e["src"].alias("src"), kind(e).alias("kind")))))
+    out = pin(out, "_p1", F.transform("edges", lambda e: F.struct(F.array(e["src"], e["dst"]).alias("nodes"), F.array(link(seed[e["dst"]], e["src"], kind(e))).alias("hashes"))))
     for k in range(2, max_edges + 1):
 
         def longer(p: Column) -> Column:
-            more = F.filter("edges", lambda e: (e["dst"] == p["nodes"][0]) & ~F.array_contains(p["nodes"], e["src"]))
-            return F.transform(more, lambda e: F.struct(F.concat(F.array(e["src"]), p["nodes"]).alias("nodes"), F.concat(p["hashes"], F.array(link(F.element_at(p["hashes"], -1), e))).alias("hashes")))
+            more = F.filter(F.col("_into")[p["nodes"][0]], lambda e: ~F.array_contains(p["nodes"], e["src"]))
+            return F.transform(more, lambda e: F.struct(F.concat(F.array(e["src"]), p["nodes"]).alias("nodes"), F.concat(p["hashes"], F.array(link(F.element_at(p["hashes"], -1), e["src"], e["kind"]))).alias("hashes")))
 
         out = pin(out, f"_p{k}", F.flatten(F.transform(f"_p{k - 1}", longer)))
-    return out.withColumn("paths", F.concat(*(F.col(f"_p{k}") for k in range(1, max_edges + 1)))).drop("_seed", *(f"_p{k}" for k in range(1, max_edges + 1)))
+    return out.withColumn("paths", F.concat(*(F.col(f"_p{k}") for k in range(1, max_edges + 1)))).drop("_seed", "_into", *(f"_p{k}" for k in range(1, max_edges + 1)))
 
 
 def path_bits(paths: Column, n_bits: int) -> Column:

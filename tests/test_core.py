@@ -86,3 +86,29 @@ def test_errors(spark):
     for bad in ("", "CCO", "[Hg]C[Hg]", "[Hg].C", "[Hg]C("):
         with pytest.raises(smiles.StructureError):
             smiles.graph_of(bad)
+
+
+def test_depths_and_labels_of_many_shapes(spark):
+    """Trees, rings, level bonds, nodes out of reach and unusable roots, against breadth-first search; labels by hand."""
+    import hashlib
+    import random
+
+    draw, rows = random.Random(4), []
+    for g in range(40):
+        n = draw.randint(1, 14)
+        bonds = sorted({tuple(sorted(draw.sample(range(n), 2))) for _ in range(draw.randint(0, 2 * n))}) if n > 1 else []
+        rows.append((g, draw.randrange(n), [(i, i % 3) for i in range(n)], [(a, b, "SINGLE", (a + b) % 2 == 0) for a, b in bonds]))
+    rows += [(40, None, [(0, 1), (1, 1)], [(0, 1, "SINGLE", False)]), (41, 7, [(0, 1)], []), (42, None, [], []), (43, None, None, None)]
+    schema = "g int, root int, nodes array<struct<id:int,invariant:int>>, bonds array<struct<a:int,b:int,type:string,ring:boolean>>"
+    got = {r.g: r for r in graph.refine(graph.with_depths(spark.createDataFrame(rows, schema)), 1, directed=False).collect()}
+    for g, root, nodes, bonds in rows[:40]:
+        far, front = {root: 0}, [root]
+        while front:
+            met = {b if a == i else a for i in front for a, b, *_ in bonds if i in (a, b)} - set(far)
+            far |= dict.fromkeys(met, far[front[0]] + 1)
+            front = sorted(met)
+        assert got[g].depths == [far.get(i) for i in range(len(nodes))]
+        for i, (_, own) in enumerate(nodes):
+            seen = sorted(f"{t},{int(ring)},{nodes[b if a == i else a][1]}" for a, b, t, ring in bonds if i in (a, b))
+            assert got[g].features[len(nodes) + i].label == hashlib.sha256(f"{own}|{';'.join(seen)}".encode()).hexdigest()
+    assert got[40].depths == [None, None] and got[41].depths == [None] and got[42].depths == [] and got[43].depths is None
