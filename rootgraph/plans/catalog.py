@@ -73,6 +73,12 @@ def tanimoto_topk(spark: SparkSession, sf: str) -> DataFrame:
     return similarity.top_k(tanimoto_pairs(spark, sf), "similarity", 10).select("i", "rank", "j", "similarity")
 
 
+@query("WITH " + sql_signs(w=(0, 64)) + f", s AS (SELECT a.vec_id AS query, b.vec_id AS match, {sql_tanimoto('a.w', 'b.w')} AS similarity FROM f a JOIN f b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0) SELECT * FROM (SELECT query, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, match)::INT AS rank, match, similarity FROM s) WHERE rank <= 5")
+def tanimoto_search(spark: SparkSession, sf: str) -> DataFrame:
+    rows = signs(spark, sf, words=(0, 64))
+    return similarity.search(rows.where("vec_id % 20 = 0"), rows, "vec_id", "words", 1, 5)
+
+
 _PARTNERS = {"bb": (0, 32), "p0": (0, 64), "p1": (16, 48), "p2": (0, 48), "p3": (32, 32)}
 
 

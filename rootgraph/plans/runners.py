@@ -6,6 +6,7 @@ Each returns its tables by name and, given a directory, writes them with the run
 from __future__ import annotations
 
 import dataclasses
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,16 +53,25 @@ class Config:
         return -(-self.n_bits // 64)
 
 
-def fingerprints(df: DataFrame, keys: list[str], column: str, config: Config, unrooted: str | None = None) -> DataFrame:
-    """(keys..., descriptor, on_bits, words) of the structures in a column under the four descriptors.
+#: a caller's own descriptor: rooted graph rows and the parameters -> a column of on-bits (array<int>)
+Descriptor = Callable[[DataFrame, Config], Column]
 
-    The reference descriptor reads the marker as another atom, or the structures of ``unrooted`` as they are.
+
+def fingerprints(df: DataFrame, keys: list[str], column: str, config: Config, unrooted: str | None = None, extra: dict[str, Descriptor] | None = None) -> DataFrame:
+    """(keys..., descriptor, on_bits, words) of the structures in a column under the four descriptors, and those of ``extra``.
+
+    The reference descriptor reads the marker as another atom, or the structures of ``unrooted`` as they are. A
+    structure that cannot be read, or whose graph breaks a rule of rooted graphs, is an error.
     """
+    if taken := set(extra or {}) & set(DESCRIPTORS):
+        raise ValueError(f"descriptors that are there already: {sorted(taken)}")
+
     def packed(d: DataFrame, on: Column, name: str) -> DataFrame:
         return d.select(*keys, F.lit(name).alias("descriptor"), on.alias("on_bits")).withColumn("words", bits.pack(F.col("on_bits"), config.n_bits))
 
     g = graph.rooted(smiles.read_graphs(df.select(*keys, column), column, config.marker))
-    g = graph.pin(g, "_ok", F.when(F.col("error").isNotNull(), F.raise_error(F.col("error")).cast("int")).otherwise(1)).drop("_ok")
+    g = graph.pin(g, "_broken", F.coalesce("error", F.concat(F.lit("not a rooted graph: "), F.array_join(F.nullif(graph.violations(g), F.array().cast("array<string>")), ", "))))
+    g = graph.pin(g, "_ok", F.when(F.col("_broken").isNotNull(), F.raise_error(F.col("_broken")).cast("int")).otherwise(1)).drop("_ok", "_broken")
     wl = graph.wl_fingerprint(g, config.radius, config.n_bits)
     marked = graph.wl_fingerprint(g, config.radius, config.n_bits, directed=False)
     path = graph.with_paths(g, config.max_edges)
@@ -71,6 +81,7 @@ def fingerprints(df: DataFrame, keys: list[str], column: str, config: Config, un
         other = smiles.read_graphs(df.select(*keys, column), column, config.marker, config.replacement)
     plain = graph.wl_fingerprint(other, config.radius, config.n_bits, directed=False)
     out = [packed(plain, F.col("on_bits"), DESCRIPTORS[0]), packed(marked, F.col("on_bits"), DESCRIPTORS[1]), packed(wl, F.col("on_bits"), DESCRIPTORS[2])]
+    out += [packed(g.withColumn("on_bits", own(g, config)), F.array_sort(F.array_distinct("on_bits")), name) for name, own in (extra or {}).items()]
     return graph.union_all([*out, packed(path, F.array_sort(F.array_distinct(graph.path_bits(F.col("paths"), config.n_bits))), DESCRIPTORS[3])])
 
 
@@ -88,11 +99,19 @@ def _preservation(long: DataFrame, first: str, second: str, group: list[str], ro
     return similarity.preservation(rows, top(first), top(second), k, group).withColumnRenamed("preservation", f"top_{k}_neighbor_preservation")
 
 
-def run_retention(spark: SparkSession, source: str | DataFrame, config: Config = Config(), directory: str | None = None, overwrite: bool = False) -> dict[str, DataFrame]:
+def _ranked(rows: DataFrame, order: list[Column | str], n: int, names: DataFrame, sides: dict[str, str]) -> DataFrame:
+    """The first ``n`` rows with the columns of ``names`` (first its id) joined to each id column, under the suffix of its side."""
+    top = rows.orderBy(*order).limit(n)
+    for column, suffix in sides.items():
+        top = top.join(names.toDF(column, *(f"{c}{suffix}" for c in names.columns[1:])), column)
+    return top.orderBy(*order)
+
+
+def run_retention(spark: SparkSession, source: str | DataFrame, config: Config = Config(), directory: str | None = None, overwrite: bool = False, extra: dict[str, Descriptor] | None = None) -> dict[str, DataFrame]:
     """Do products keep the similarities of their building blocks?"""
     data, products = tables.load_retention(spark, source, marker=config.validate().marker)
     long = data.unpivot("bb_id", ["SMILES_BB", *products], "column", "smiles")
-    fp = fingerprints(long, ["bb_id", "column"], "smiles", config).persist()
+    fp = fingerprints(long, ["bb_id", "column"], "smiles", config, extra=extra).persist()
     n = data.count()
     pairs = similarity.similarities(fp, "bb_id", ["words"], config.words, ["descriptor", "column"], max(1, -(-n // similarity.BLOCK)))
     base = pairs.where("column = 'SMILES_BB'").select("descriptor", "i", "j", F.col("words").alias("block"))
@@ -116,16 +135,16 @@ def run_retention(spark: SparkSession, source: str | DataFrame, config: Config =
     return _finish(spark, results, directory, "retention", config, source, overwrite)
 
 
-def run_library(spark: SparkSession, source: str | DataFrame, config: Config = Config(), directory: str | None = None, overwrite: bool = False) -> dict[str, DataFrame]:
+def run_library(spark: SparkSession, source: str | DataFrame, config: Config = Config(), directory: str | None = None, overwrite: bool = False, extra: dict[str, Descriptor] | None = None) -> dict[str, DataFrame]:
     """Do the similarities of two components predict those of their products? Pairs are formed within batches."""
     data = tables.load_library(spark, source, config.validate().marker)
     order = F.sha2(F.concat_ws("|", F.lit(config.seed).cast("string"), "product_id"), 256)
     data = stats.batches(data, config.batch_size, [order, "product_id"]).persist()
-    fp = fingerprints(data, ["product_id", "batch"], "SMILES_Product", config)
+    fp = fingerprints(data, ["product_id", "batch"], "SMILES_Product", config, extra=extra).persist()
     pairs = similarity.similarities(fp, "product_id", ["words"], config.words, ["descriptor", "batch"]).withColumnRenamed("words", "similarity")
     for side in ("BB1", "BB2"):
         parts = tables.component_table(data, side, f"SMILES_{side}")
-        own = fingerprints(parts, [side], f"SMILES_{side}", config)
+        own = fingerprints(parts, [side], f"SMILES_{side}", config, extra=extra).persist()
         near = similarity.similarities(own, side, ["words"], config.words, ["descriptor"], similarity.block_count(parts))
         same = own.select("descriptor", F.col(side).alias("i"), F.col(side).alias("j"), F.lit(1.0).alias("words"))
         near = similarity.both_ways(near).unionByName(same).toDF("descriptor", f"{side}_i", f"{side}_j", side)
@@ -169,6 +188,7 @@ def run_attachment(spark: SparkSession, source: str | DataFrame, config: Config
     others = [d for d in DESCRIPTORS if d != REFERENCE]
     pairs = pairs.withColumns({f"{d}_minus_reference": F.col(f"{d}_distance") - F.col(f"{REFERENCE}_distance") for d in others}).persist()
     long = pairs.unpivot(["pair_group", "cluster_id"], [f"{d}_minus_reference" for d in others], "descriptor", "delta")
+    names, sides = data.select("molecule_id", "SMILES_Structure", "SMILES_Scaffold"), {"molecule_id_i": "_i", "molecule_id_j": "_j"}
     clusters = long.groupBy("pair_group", "descriptor").agg(F.count_distinct("cluster_id").alias("n"))
     group = ["pair_group", "descriptor"]
     results = {
@@ -177,8 +197,8 @@ def run_attachment(spark: SparkSession, source: str | DataFrame, config: Config
         "group_summary": metrics.group_summary(pairs, list(DESCRIPTORS), REFERENCE),
         "bootstrap_summary": stats.cluster_bootstrap(long, "cluster_id", "delta", stats.hashed_draws(clusters, group, config.bootstrap, config.seed), group),
         "fingerprint_summary": metrics.bit_density(fp, ["descriptor"], "on_bits", config.n_bits),
-        **{f"ranked_{d}_gain": pairs.orderBy(F.col(f"{d}_minus_reference").desc(), "molecule_id_i", "molecule_id_j").limit(config.ranking) for d in others},
-        "ranked_reference_gain": pairs.orderBy("rooted_wl_minus_reference", "molecule_id_i", "molecule_id_j").limit(config.ranking),
+        **{f"ranked_{d}_gain": _ranked(pairs, [F.col(f"{d}_minus_reference").desc(), *sides], config.ranking, names, sides) for d in others},
+        "ranked_reference_gain": _ranked(pairs, ["rooted_wl_minus_reference", *sides], config.ranking, names, sides),
     }
     return _finish(spark, results, directory, "attachment", config, source, overwrite)
 
@@ -208,6 +228,7 @@ def run_topology(spark: SparkSession, source: str | DataFrame, columns: tuple[st
     near = near.withColumn("same", (F.substring("i", 1, 1) == F.substring("j", 1, 1)).cast("double")).withColumn("k", F.explode(F.array(*map(F.lit, config.topology_k)))).where("rank <= k")
     asked = near.groupBy("descriptor", "i", "k").agg(F.avg("same").alias("same_topology_fraction"), F.count("*").alias("effective_k"))
     fitted = stats.mixtures(flat, "ID", "rooted_wl_minus_reference", config.components, config.primary, config.seed)
+    names = data.select("ID", *columns[1:])
     long = flat.unpivot("ID", [*DESCRIPTORS, *(f"{d}_minus_reference" for d in others)], "descriptor", "d")
     results = {
         "dataset_summary": data.agg(F.count("*").alias("n_ids"), F.count_distinct("ID").alias("n_distinct")),
@@ -219,8 +240,8 @@ def run_topology(spark: SparkSession, source: str | DataFrame, columns: tuple[st
         "descriptor_comparison": more.groupBy("descriptor").agg(F.avg("d").alias("mean_separation_difference"), F.median("d").alias("median_separation_difference"), F.avg((F.col("d") > 0).cast("double")).alias("fraction_greater_separation"), metrics.effect_size("d").alias("paired_effect_size_difference")),
         "neighbor_query_results": asked,
         "neighbor_summary": asked.groupBy("descriptor", "k").agg(F.count("*").alias("n_queries"), F.avg("same_topology_fraction").alias("mean"), F.median("same_topology_fraction").alias("median"), F.stddev_samp("same_topology_fraction").alias("std")),
-        **{f"ranked_{d}_gain": flat.orderBy(F.col(f"{d}_minus_reference").desc(), "ID").limit(config.ranking) for d in others},
-        "ranked_reference_favored": flat.orderBy("rooted_wl_minus_reference", "ID").limit(config.ranking),
+        **{f"ranked_{d}_gain": _ranked(flat, [F.col(f"{d}_minus_reference").desc(), "ID"], config.ranking, names, {"ID": ""}) for d in others},
+        "ranked_reference_favored": _ranked(flat, ["rooted_wl_minus_reference", "ID"], config.ranking, names, {"ID": ""}),
         **{f"population_{k}": v for k, v in fitted.items()},
     }
     return _finish(spark, results, directory, "topology", config, source, overwrite)

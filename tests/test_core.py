@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rootgraph.functions import bits, smiles
-from rootgraph.operators import graph, metrics, stats
+from rootgraph.operators import graph, metrics, similarity, stats
 
 
 @pytest.mark.parametrize(("text", "edges", "paths", "increments", "labels"), [("[Hg]CCO", 3, 6, 10, 15), ("[Hg]C1CC1", 5, 11, 19, 12), ("[Hg]CC(C)C", 4, 9, 16, 16)])
@@ -70,7 +70,7 @@ def test_catalogue_agrees_with_sql(spark):
     con = duckdb.connect()
     for p in glob.glob(f"{sf}/*.parquet"):
         con.execute(f"create view {os.path.basename(p)[:-8]} as select * from '{p}'")
-    for name in ("graph_orient", "wl_fingerprint", "path_fingerprint_cnt", "fold_general_modulus", "hexbin", "surrogate_ids"):
+    for name in ("graph_orient", "wl_fingerprint", "path_fingerprint_cnt", "fold_general_modulus", "hexbin", "surrogate_ids", "tanimoto_search"):
         a = QUERIES[name](spark, sf).toPandas()
         b = con.execute(SQL[name]).df()[list(a.columns)]
         assert sorted(map(tuple, a.values.tolist()), key=repr) == sorted(map(tuple, b.values.tolist()), key=repr), name
@@ -112,3 +112,10 @@ def test_depths_and_labels_of_many_shapes(spark):
             seen = sorted(f"{t},{int(ring)},{nodes[b if a == i else a][1]}" for a, b, t, ring in bonds if i in (a, b))
             assert got[g].features[len(nodes) + i].label == hashlib.sha256(f"{own}|{';'.join(seen)}".encode()).hexdigest()
     assert got[40].depths == [None, None] and got[41].depths == [None] and got[42].depths == [] and got[43].depths is None
+
+
+def test_as_many_pairs_as_asked(spark):
+    ids = spark.range(10).toDF("ID")
+    for asked, found in ((3, 3), (22, 22), (40, 40), (45, 45), (99, 45)):
+        got = [(r.i, r.j) for r in similarity.sampled_pairs(ids, "ID", asked, 7).collect()]
+        assert len(got) == len({tuple(sorted(p)) for p in got}) == found and all(i != j for i, j in got)

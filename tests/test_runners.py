@@ -31,5 +31,22 @@ def test_attachment(spark, tmp_path):
     out = runners.run_attachment(spark, path, SMALL)
     assert {r.pair_group: r.n for r in out["pairwise_comparison"].groupBy("pair_group").agg(F.count("*").alias("n")).collect()} == {"same_scaffold": 2, "same_position": 2}
     assert out["group_summary"].count() == 8
+    top = out["ranked_rooted_wl_gain"].collect()
+    assert 0 < len(top) <= 3 and all("[Hg]" in r.SMILES_Structure_i and r.SMILES_Scaffold_j for r in top)
+    assert [r.rooted_wl_minus_reference for r in top] == sorted((r.rooted_wl_minus_reference for r in top), reverse=True)
     with pytest.raises(tables.TableError):
         tables.load_scaffolds(spark, _csv(tmp_path, "Position,SMILES_Structure,SMILES_Scaffold\n2,,x\n"))
+
+
+
+def test_fingerprints_with_an_own_descriptor(spark):
+    """A caller's descriptor stands beside the others; a structure that is no rooted graph is an error."""
+    d = spark.createDataFrame([(1, "[Hg]CC"), (2, "[Hg]CCO")], "k int, s string")
+    small = runners.Config(n_bits=128, radius=1, max_edges=2)
+    size = lambda g, config: F.array(F.size("nodes") % config.n_bits)
+    got = {(r.k, r.descriptor): r.on_bits for r in runners.fingerprints(d, ["k"], "s", small, extra={"size": size}).collect()}
+    assert len(got) == 10 and got[1, "size"] == [3] and got[2, "size"] == [4]
+    with pytest.raises(ValueError):
+        runners.fingerprints(d, ["k"], "s", small, extra={"rooted_wl": size})
+    with pytest.raises(Exception, match="marker|not a rooted graph"):
+        runners.fingerprints(spark.createDataFrame([(1, "CC")], d.schema), ["k"], "s", small).collect()
