@@ -89,6 +89,24 @@ def words(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return hashes, np.searchsorted(ws, start), np.searchsorted(ws, end)
 
 
+def lower_words(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes with A-Z lower-cased and 0 outside words; start, end and row of each word, in text order.
+
+    A word is a longest run of ASCII digits, ASCII letters (lower-cased) and non-ASCII characters.
+    """
+    low = _WORD[data]
+    word = low != 0
+    edge = np.zeros(len(data) + 1, bool)
+    edge[start] = edge[end] = True
+    first = word.copy()
+    first[1:] &= ~word[:-1] | edge[1:-1]
+    last = word.copy()
+    last[:-1] &= ~word[1:] | edge[1:-1]
+    ws, we = np.flatnonzero(first), np.flatnonzero(last) + 1
+    held = np.searchsorted(ws, end) - np.searchsorted(ws, start)
+    return low, ws, we, np.repeat(np.arange(len(start)), held)
+
+
 def shingles(h: np.ndarray, first: np.ndarray, last: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of runs of ``width`` words, and how many each row has; a row of fewer words, but not none, has one."""
     n = last - first

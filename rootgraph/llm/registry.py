@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rootgraph.llm import decontaminate, embeddings, language, lines, minhash, packing, privacy, sharding, suffixes, warc
+from rootgraph.llm import decontaminate, embeddings, importance, language, lines, minhash, packing, privacy, sharding, suffixes, syncmers, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_minimax_shards": sharding.op8_minimax_shards,
     "op9_inverted_multi_index": embeddings.op9_inverted_multi_index,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "op11_closed_syncmers": syncmers.op11_closed_syncmers,
+    "op12_importance": importance.op12_importance,
 }
 
 ORACLE_SQL = {
@@ -22,4 +24,5 @@ ORACLE_SQL = {
     "op5_suffix_dedup": suffixes.ORACLE,
     "op9_inverted_multi_index": embeddings.ORACLE,
     "op10_decontaminate": decontaminate.ORACLE,
+    "op12_importance": importance.ORACLE,
 }
