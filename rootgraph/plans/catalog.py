@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rootgraph.functions import bits
 from rootgraph.operators import graph, metrics, similarity, stats
+from rootgraph.operators.nearest import nearest
 from rootgraph.plans.fixtures import FLAGS, SQL_GRAPH, order_graphs, sign_bits, signs, sql_signs, sql_tanimoto, table
 from rootgraph.sources import tables
 
@@ -70,13 +71,14 @@ def tanimoto_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("WITH " + sql_signs(w=(0, 64)) + f", s AS (SELECT a.vec_id AS i, b.vec_id AS j, {sql_tanimoto('a.w', 'b.w')} AS similarity FROM f a JOIN f b ON a.vec_id <> b.vec_id) SELECT * FROM (SELECT i, row_number() OVER (PARTITION BY i ORDER BY similarity DESC, j)::INT AS rank, j, similarity FROM s) WHERE rank <= 10")
 def tanimoto_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return similarity.top_k(tanimoto_pairs(spark, sf), "similarity", 10).select("i", "rank", "j", "similarity")
+    rows = signs(spark, sf, words=(0, 64))
+    return nearest(rows, rows, "vec_id", "words", 1, 10).select(F.col("query").alias("i"), "rank", F.col("match").alias("j"), "similarity")
 
 
 @query("WITH " + sql_signs(w=(0, 64)) + f", s AS (SELECT a.vec_id AS query, b.vec_id AS match, {sql_tanimoto('a.w', 'b.w')} AS similarity FROM f a JOIN f b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0) SELECT * FROM (SELECT query, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, match)::INT AS rank, match, similarity FROM s) WHERE rank <= 5")
 def tanimoto_search(spark: SparkSession, sf: str) -> DataFrame:
     rows = signs(spark, sf, words=(0, 64))
-    return similarity.search(rows.where("vec_id % 20 = 0"), rows, "vec_id", "words", 1, 5)
+    return nearest(rows.where("vec_id % 20 = 0"), rows, "vec_id", "words", 1, 5)
 
 
 _PARTNERS = {"bb": (0, 32), "p0": (0, 64), "p1": (16, 48), "p2": (0, 48), "p3": (32, 32)}
@@ -500,7 +502,7 @@ def _neighbors(spark: SparkSession, sf: str) -> DataFrame:
     f = signs(spark, sf, b1=(0, 32), b2=(32, 32))
     n = f.count()
     lib = f.select(F.col("vec_id").alias("pos"), "b1").union(f.select(F.col("vec_id") + n, "b2")).toDF("pos", "w")
-    top = similarity.top_k(similarity.similarities(lib, "pos", ["w"], 1, blocks=similarity.block_count(lib)), "w", 20)
+    top = nearest(lib, lib, "pos", "w", 1, 20).withColumnsRenamed({"query": "i", "match": "j"})
     same = ((F.col("i") < n) == (F.col("j") < n)).cast("double")
     long = top.withColumn("same", same).withColumn("k", F.explode(F.array(*map(F.lit, (1, 5, 10, 20))))).where("rank <= k")
     return long.groupBy("i", "k").agg(F.avg("same").alias("fraction"))

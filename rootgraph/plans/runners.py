@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from rootgraph.functions import bits, smiles
 from rootgraph.operators import graph, metrics, similarity, stats
+from rootgraph.operators.nearest import nearest
 from rootgraph.sources import tables
 
 DESCRIPTORS = ("circular_O", "circular_marker", "rooted_wl", "directed_path")
@@ -223,8 +224,7 @@ def run_topology(spark: SparkSession, source: str | DataFrame, columns: tuple[st
     more = c.where(F.col("descriptor") != REFERENCE).join(base, "pair_number").withColumn("d", F.col("topology_separation") - F.col("_s"))
     ids = data.select("ID").orderBy(F.xxhash64(F.lit(config.seed), "ID"), "ID").limit(config.neighbor_ids)
     lib = fp.join(ids, "ID").select("descriptor", F.concat_ws("|", F.col("topology").cast("string"), "ID").alias("id"), "words")
-    n = 2 * ids.count()
-    near = similarity.top_k(similarity.similarities(lib, "id", ["words"], config.words, ["descriptor"], max(1, -(-n // similarity.BLOCK))), "words", max(config.topology_k), ["descriptor"])
+    near = nearest(lib, lib, "id", "words", config.words, max(config.topology_k), ["descriptor"]).withColumnsRenamed({"query": "i", "match": "j"})
     near = near.withColumn("same", (F.substring("i", 1, 1) == F.substring("j", 1, 1)).cast("double")).withColumn("k", F.explode(F.array(*map(F.lit, config.topology_k)))).where("rank <= k")
     asked = near.groupBy("descriptor", "i", "k").agg(F.avg("same").alias("same_topology_fraction"), F.count("*").alias("effective_k"))
     fitted = stats.mixtures(flat, "ID", "rooted_wl_minus_reference", config.components, config.primary, config.seed)
