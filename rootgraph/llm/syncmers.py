@@ -10,9 +10,10 @@ from rootgraph.llm.common import fresh, pin, ranked, table
 #: tokens of a k-mer and of the substrings inside it; a k-mer is an anchor if its least substring is its first or its last,
 #: which of k - s + 1 substrings holds for 2 in k - s + 1
 K, S = 5, 2
-#: a token: a run of letters, marks and digits, cut after 16; one character of a script that has no spaces; any other visible character
-_UNSPACED = "".join(rf"\p{{Is{x}}}" for x in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar"))
-TOKEN = rf"[\p{{L}}\p{{M}}\p{{N}}&&[^{_UNSPACED}]]{{1,16}}+|\S"
+#: blocks of scripts written without spaces: Thai, Lao, Myanmar, Khmer, kana, Han (fixed values)
+UNSPACED = r"฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿\x{20000}-\x{3FFFF}"
+#: a token: a run of letters, marks and digits, cut after 16; one character of a script without spaces; any other visible character
+TOKEN = rf"[a-zA-Z0-9\p{{L}}\p{{M}}\p{{N}}&&[^{UNSPACED}]]{{1,16}}+|\S"
 #: documents in a block; one block is one group of a window
 BLOCK = 64
 
@@ -34,8 +35,9 @@ def with_anchors(rows: DataFrame, text: str, name: str, k: int = K, s: int = S)
     n = F.size(token)
 
     def edge(x: Column, i: Column) -> Column:
-        held = at(inner, i, k - s + 1)
-        return (i <= n - k) & (F.least(held[0], held[-1]) == F.least(*held))
+        *between, last = at(inner, i + 1, k - s)
+        low = F.least(*between) if len(between) > 1 else between[0] if between else None
+        return (i <= n - k) if low is None else (i <= n - k) & (F.least(x, last) <= low)
 
     found = F.filter(F.transform(F.col(inner), lambda x, i: F.when(edge(x, i), F.struct(i.cast("int").alias("pos"), F.xxhash64(*at(token, i, k)).alias("hash")))), lambda a: a.isNotNull())
     rows = rows.select("*", pin(found).alias(name))
@@ -45,7 +47,7 @@ def with_anchors(rows: DataFrame, text: str, name: str, k: int = K, s: int = S)
 
 def written_out(anchors: Column) -> Column:
     """Anchors as text: position and hexadecimal hash of each, parted by spaces."""
-    return F.lower(F.array_join(F.transform(anchors, lambda a: F.concat_ws(":", a["pos"].cast("string"), F.hex(a["hash"]))), " "))
+    return F.lower(F.array_join(F.transform(anchors, lambda a: F.concat(a["pos"].cast("string"), F.lit(":"), F.hex(a["hash"]))), " "))
 
 
 def likeness(a: Column, b: Column) -> Column:

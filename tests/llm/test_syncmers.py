@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 from rootgraph.llm import syncmers
 
 DOCUMENTS = "/root/testdata/sf0.001/documents.parquet"
-TOKEN = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]|[\p{L}\p{M}\p{N}]|[^\s]")
-UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]")
+UNSPACED = regex.compile(r"[฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿\U00020000-\U0003FFFF]")
 LETTER = regex.compile(r"[\p{L}\p{M}\p{N}]")
 
 
