@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rootgraph.llm.common import ranked, table
+from rootgraph.llm.common import ranked, table, written
 from rootgraph.llm.kernels import lower_words, pieces
 
 BUCKETS, MAX_N = 10_000, 1
@@ -175,7 +175,7 @@ def resample(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS, max_n:
     h = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256), 1, 8), 16, 10).cast("long")
     noise = F.floor(-1000 * F.log(-F.log((h + 0.5) / 4294967296)))
     scored = weighed.select("doc_id", "n_features", "weight", (F.col("weight") + noise).alias("score"), (F.col("n_words") < min_words).alias("out"))
-    placed = ranked(scored, [], ["out", F.col("score").desc(), "doc_id"], "at")
+    placed = ranked(written(scored, "scored"), [], ["out", F.col("score").desc(), "doc_id"], "at")
     drawn = percent * placed.where("not out").count() // 100
     return placed.select("doc_id", "n_features", "weight", "score", F.when(F.col("at") < drawn, F.col("at") + 1).alias("rank"))
 
