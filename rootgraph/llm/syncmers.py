@@ -11,7 +11,7 @@ from rootgraph.llm.common import fresh, pin, ranked, table
 #: which of k - s + 1 substrings holds for 2 in k - s + 1
 K, S = 5, 2
 #: blocks of scripts written without spaces: Thai, Lao, Myanmar, Khmer, kana, Han (fixed values)
-UNSPACED = r"฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿\x{20000}-\x{3FFFF}"
+UNSPACED = r"\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}"
 #: a token: a run of letters, marks and digits, cut after 16; one character of a script without spaces; any other visible character
 TOKEN = rf"[a-zA-Z0-9\p{{L}}\p{{M}}\p{{N}}&&[^{UNSPACED}]]{{1,16}}+|\S"
 #: documents in a block; one block is one group of a window

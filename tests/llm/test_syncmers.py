@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from rootgraph.llm import syncmers
 
 DOCUMENTS = "/root/testdata/sf0.001/documents.parquet"
-UNSPACED = regex.compile(r"[฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿\U00020000-\U0003FFFF]")
+UNSPACED = regex.compile("[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\U00020000-\U0003FFFF]")
 LETTER = regex.compile(r"[\p{L}\p{M}\p{N}]")
 
 
