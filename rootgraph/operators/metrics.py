@@ -2,33 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rootgraph.operators.quantiles import FEW, average_ranks, summary
+from rootgraph.sources.shared import stored, with_small
+
 #: differences up to this count as none where a tolerance is asked for
 TOLERANCE = 1e-12
 
 
-def average_ranks(rows: DataFrame, value: str, group: list[str], name: str) -> DataFrame:
-    """(group..., value, name): the average rank of each distinct value within its group, ties sharing theirs.
+def agreement(rows: DataFrame, x: str, y: str, group: list[str], few: int = FEW) -> DataFrame:
+    """(group..., n_pairs, spearman, pearson) of two columns; a correlation is null if either side is constant.
 
-    Ranks come from counts of distinct values, so the ordered window sees these and not the rows.
+    Equal pairs of values are counted first, and only these counts are ranked and summed, about the means. A value that
+    very many pairs share is then as many rows as it has partners, and ranks are joined to salted keys or broadcast
+    when few. Pairs with a null are left out; groups hold no nulls.
     """
-    counts = rows.groupBy(*group, value).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*group).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.select(*group, value, (F.coalesce(F.sum("_n").over(before), F.lit(0)) + (F.col("_n") + 1) / 2).alias(name))
-
-
-def correlation(x: str, y: str) -> Column:
-    """Pearson correlation, null if either side is constant."""
-    # not corr(), which fails on a constant side under ANSI rules
-    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
-
-
-def agreement(rows: DataFrame, x: str, y: str, group: list[str]) -> DataFrame:
-    """(group..., n_pairs, spearman, pearson) of two columns."""
-    ranked = rows.join(average_ranks(rows, x, group, "_rx"), [*group, x]).join(average_ranks(rows, y, group, "_ry"), [*group, y])
-    return ranked.groupBy(*group).agg(F.count("*").alias("n_pairs"), correlation("_rx", "_ry").alias("spearman"), correlation(x, y).alias("pearson"))
+    seen = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*group, F.col(x).alias("_x"), F.col(y).alias("_y"))
+    seen = stored(seen.groupBy(*group, "_x", "_y").agg(F.count("*").alias("n")), "pairs")
+    n = F.col("n")
+    means = seen.groupBy(*group).agg(F.sum("n").alias("_all"), (F.sum(F.col("_x") * n) / F.sum("n")).alias("_mx"), (F.sum(F.col("_y") * n) / F.sum("n")).alias("_my"))
+    ranked = seen
+    for v, r in (("_x", "_rx"), ("_y", "_ry")):
+        ranked = with_small(ranked, average_ranks(seen, v, group, r, few), [*group, v])
+    ranked = with_small(ranked, means, group)
+    middle = (F.col("_all") + 1) / 2
+    off = {"_dx": F.col("_x") - F.col("_mx"), "_dy": F.col("_y") - F.col("_my"), "_ex": F.col("_rx") - middle, "_ey": F.col("_ry") - middle}
+    cross = lambda a, b: F.sum(F.col(a) * F.col(b) * n)
+    varied = (F.min("_x") < F.max("_x")) & (F.min("_y") < F.max("_y"))
+    r = lambda a, b: F.when(varied, cross(a, b) / F.nullif(F.sqrt(cross(a, a)) * F.sqrt(cross(b, b)), F.lit(0.0)))
+    return ranked.withColumns(off).groupBy(*group).agg(F.sum("n").alias("n_pairs"), r("_ex", "_ey").alias("spearman"), r("_dx", "_dy").alias("pearson"))
 
 
 def errors(actual: Column, predicted: Column) -> dict[str, Column]:
@@ -58,39 +62,41 @@ def deltas(rows: DataFrame, level: str, reference: str, keys: list[str], values:
     return joined.select(level, F.lit(reference).alias(f"reference_{level}"), *keys, *((F.col(v) - F.col(f"_{v}")).alias(f"delta_{v}") for v in values))
 
 
-def quartiles(v: str) -> list[Column]:
-    return [F.percentile(v, 0.25).alias("q25"), F.median(v).alias("median"), F.percentile(v, 0.75).alias("q75")]
-
-
-def distances(rows: DataFrame, group: list[str], value: str) -> DataFrame:
+def distances(rows: DataFrame, group: list[str], value: str, few: int = FEW) -> DataFrame:
     """n, mean, median, std and quartiles of a value for each group."""
-    return rows.groupBy(*group).agg(F.count("*").alias("n_pairs"), F.avg(value).alias("mean_distance"), F.median(value).alias("median_distance"), F.stddev_samp(value).alias("std_distance"), F.percentile(value, 0.25).alias("q25_distance"), F.percentile(value, 0.75).alias("q75_distance"))
+    out = summary(rows, group, [F.count("*").alias("n_pairs"), F.avg(value).alias("mean_distance"), F.stddev_samp(value).alias("std_distance")], {"median_distance": (value, 0.5), "q25_distance": (value, 0.25), "q75_distance": (value, 0.75)}, few)
+    return out.select(*group, "n_pairs", "mean_distance", "median_distance", "std_distance", "q25_distance", "q75_distance")
 
 
-def separations(rows: DataFrame, group: list[str]) -> DataFrame:
+def separations(rows: DataFrame, group: list[str], few: int = FEW) -> DataFrame:
     """Summary of within_mean_distance, cross_mean_distance and topology_separation; positive means above 0, without tolerance."""
     s = "topology_separation"
-    return rows.groupBy(*group).agg(
+    values = [
         F.count("*").alias("n_id_pairs"), F.avg("within_mean_distance").alias("mean_within_distance"), F.avg("cross_mean_distance").alias("mean_cross_distance"),
-        F.avg(s).alias(f"mean_{s}"), F.median(s).alias(f"median_{s}"), F.stddev_samp(s).alias(f"std_{s}"),
-        F.avg((F.col(s) > 0).cast("double")).alias("fraction_positive"), effect_size(s).alias("paired_effect_size"),
-    )
+        F.avg(s).alias(f"mean_{s}"), F.stddev_samp(s).alias(f"std_{s}"), F.avg((F.col(s) > 0).cast("double")).alias("fraction_positive"), effect_size(s).alias("paired_effect_size"),
+    ]
+    out = summary(rows, group, values, {f"median_{s}": (s, 0.5)}, few)
+    return out.select(*group, "n_id_pairs", "mean_within_distance", "mean_cross_distance", f"mean_{s}", f"median_{s}", f"std_{s}", "fraction_positive", "paired_effect_size")
 
 
-def group_summary(pairs: DataFrame, descriptors: list[str], reference: str, suffix: str = "_distance") -> DataFrame:
+def group_summary(pairs: DataFrame, descriptors: list[str], reference: str, suffix: str = "_distance", few: int = FEW) -> DataFrame:
     """Distances of classified pairs by group and descriptor, and their difference from the reference descriptor.
 
     The reference's own rows have difference 0 and no fraction of pairs that are further apart.
     """
     kept = pairs.select("pair_group", "cluster_id", F.col(f"{reference}{suffix}").alias("_ref"), *(F.col(f"{d}{suffix}").alias(d) for d in descriptors))
     long = kept.unpivot(["pair_group", "cluster_id", "_ref"], descriptors, "descriptor", "d").withColumn("delta", F.col("d") - F.col("_ref"))
-    out = long.groupBy("pair_group", "descriptor").agg(
-        F.count("*").alias("n_pairs"), F.count_distinct("cluster_id").alias("n_clusters"), F.avg("d").alias("mean_distance"), F.median("d").alias("median_distance"), F.stddev_samp("d").alias("std_distance"),
-        F.avg("delta").alias("mean_difference"), F.median("delta").alias("median_difference"), F.stddev_samp("delta").alias("std_difference"), F.avg((F.col("delta") > TOLERANCE).cast("double")).alias("_f"),
-    )
-    return out.withColumn("fraction_more_dissimilar", F.when(F.col("descriptor") != reference, F.col("_f"))).drop("_f")
-
-
-def bit_density(rows: DataFrame, group: list[str], bits: str, n_bits: int) -> DataFrame:
-    n = F.size(bits)
-    return rows.groupBy(*group).agg(F.count("*").alias("n_structures"), F.avg(n).alias("mean_on_bits"), F.median(n).alias("median_on_bits"), F.stddev_samp(n).alias("std_on_bits"), F.avg(n / n_bits).alias("mean_bit_density"), F.stddev_samp(n / n_bits).alias("std_bit_density"))
+    values = [
+        F.count("*").alias("n_pairs"), F.count_distinct("cluster_id").alias("n_clusters"), F.avg("d").alias("mean_distance"), F.stddev_samp("d").alias("std_distance"),
+        F.avg("delta").alias("mean_difference"), F.stddev_samp("delta").alias("std_difference"), F.avg((F.col("delta") > TOLERANCE).cast("double")).alias("_f"),
+    ]
+    out = summary(long.drop("_ref"), ["pair_group", "descriptor"], values, {"median_distance": ("d", 0.5), "median_difference": ("delta", 0.5)}, few, keep=True)
+    more = F.when(F.col("descriptor") != reference, F.col("_f")).alias("fraction_more_dissimilar")
+    return out.select("pair_group", "descriptor", "n_pairs", "n_clusters", "mean_distance", "median_distance", "std_distance", "mean_difference", "median_difference", "std_difference", more)
+
+
+def bit_density(rows: DataFrame, group: list[str], bits: str, n_bits: int, few: int = FEW) -> DataFrame:
+    rows = rows.select(*group, F.size(bits).alias("_n"))
+    values = [F.count("*").alias("n_structures"), F.avg("_n").alias("mean_on_bits"), F.stddev_samp("_n").alias("std_on_bits"), F.avg(F.col("_n") / n_bits).alias("mean_bit_density"), F.stddev_samp(F.col("_n") / n_bits).alias("std_bit_density")]
+    out = summary(rows, group, values, {"median_on_bits": ("_n", 0.5)}, few)
+    return out.select(*group, "n_structures", "mean_on_bits", "median_on_bits", "std_on_bits", "mean_bit_density", "std_bit_density")

@@ -8,16 +8,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rootgraph.operators.metrics import TOLERANCE
+from rootgraph.operators.quantiles import FEW, cell, chosen, cutting, inside, quantiles, running, summary
+from rootgraph.sources.shared import stored, with_small
 
 
 def ordinal(rows: DataFrame, order: list[Column | str], name: str) -> DataFrame:
     """Adds the 0-based rank in a total order. Ranks come from counts of range-sorted partitions, so no task sees all rows."""
-    at = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id()).persist()
+    at = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id()), "ordinal")
     part = F.shiftright("_row", 33)
     per = at.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"), F.min("_row").alias("_lo"))  # a row a partition
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     shift = per.select("_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_lo")).alias("_shift"))
-    return at.withColumn("_part", part).join(F.broadcast(shift), "_part").withColumn(name, F.col("_row") + F.col("_shift")).drop("_row", "_part", "_shift")
+    return with_small(at.withColumn("_part", part), shift, ["_part"]).withColumn(name, F.col("_row") + F.col("_shift")).drop("_row", "_part", "_shift")
 
 
 def batches(rows: DataFrame, batch_size: int, order: list[Column | str], name: str = "batch") -> DataFrame:
@@ -37,20 +39,56 @@ def batches(rows: DataFrame, batch_size: int, order: list[Column | str], name: s
     return ordinal(rows, order, "_at").withColumns({name: batch, "within_batch_order": within}).drop("_at")
 
 
-def cluster_bootstrap(rows: DataFrame, cluster: str, value: str, draws: DataFrame, group: list[str]) -> DataFrame:
+def cluster_bootstrap(rows: DataFrame, cluster: str, value: str, draws: DataFrame, group: list[str], few: int = FEW, exact: int = 256) -> DataFrame:
     """Bootstrap over clusters: (group..., statistic, estimate, standard_error, ci_95_lower, ci_95_upper, n_replicates).
 
     ``draws`` lists (group..., replicate, slot, ordinal): which cluster (0-based, by name) each slot of a replicate
-    takes. All values of a drawn cluster enter, as often as it is drawn. Mean and median are taken for each replicate.
+    takes. All values of a drawn cluster enter, as often as it is drawn. Mean and median are taken for each replicate:
+    the mean from sums of clusters, the median by selection over histograms of clusters. Rows are not repeated for
+    replicates: what meets them is a cell count for each cluster, and at last the values of the cells in which medians lie,
+    at most ``exact`` in each. Groups hold no nulls; null values do not count.
     """
-    names = rows.select(*group, cluster).distinct().withColumn("ordinal", F.row_number().over(Window.partitionBy(*group).orderBy(cluster)) - 1)
-    times = draws.groupBy(*group, "replicate", "ordinal").agg(F.count("*").alias("times"))
-    counts = rows.groupBy(*group, cluster, value).agg(F.count("*").alias("n"))  # equal values of a cluster travel once
-    drawn = times.join(names, [*group, "ordinal"]).join(counts, [*group, cluster]).withColumn("n", F.col("n") * F.col("times"))
-    per = drawn.groupBy(*group, "replicate").agg((F.sum(F.col(value) * F.col("n")) / F.sum("n")).alias("mean"), F.percentile(value, 0.5, F.col("n")).alias("median"))
-    seen = rows.groupBy(*group).agg(F.avg(value).alias("mean"), F.median(value).alias("median")).unpivot(group, ["mean", "median"], "statistic", "estimate")
-    long = per.unpivot([*group, "replicate"], ["mean", "median"], "statistic", "v")
-    found = long.groupBy(*group, "statistic").agg(F.stddev_samp("v").alias("standard_error"), F.percentile("v", 0.025).alias("ci_95_lower"), F.percentile("v", 0.975).alias("ci_95_upper"), F.count("*").alias("n_replicates"))
+    rows = rows.where(F.col(value).isNotNull()).select(*group, cluster, F.col(value).cast("double").alias("v"))
+    names = running(rows.select(*group, cluster).distinct(), group, [cluster], F.lit(1), "ordinal", few)
+    counts = rows.groupBy(*group, cluster, "v").agg(F.count("*").alias("n"))  # equal values of a cluster travel once
+    counts = stored(with_small(counts, names, [*group, cluster]).drop(cluster), "histograms")
+    times = stored(draws.groupBy(*group, "replicate", "ordinal").agg(F.count("*").alias("times")), "times")
+    on, drawn = [*group, "ordinal"], F.col("n") * F.col("times")
+    sums = counts.groupBy(*on).agg(F.sum(F.col("v") * F.col("n")).alias("s"), F.sum("n").alias("n"))
+    per = times.join(sums, on).groupBy(*group, "replicate").agg((F.sum(F.col("s") * F.col("times")) / F.sum(drawn)).alias("mean"), F.sum(drawn).alias("n_in"))
+    per = stored(per, "means")
+
+    bracket, known, empty = F.xxhash64("low", "high"), F.col("value").isNotNull(), F.lit(None).cast("double")
+    ranks = per.select(*group, "replicate", "n_in", F.explode(F.array_distinct(F.array(F.floor((F.col("n_in") - 1) / 2), F.floor(F.col("n_in") / 2)))).alias("rank"))
+    state = stored(ranks.select(*group, "replicate", "rank", F.lit(0).cast("long").alias("below"), "n_in", empty.alias("low"), empty.alias("high"), empty.alias("value")), "medians")
+    keys = [*group, "replicate", "bracket"]
+    while True:
+        open_ = state.where(~known).withColumn("bracket", bracket)
+        ranges = stored(open_.select(*group, "bracket", "low", "high").distinct(), "brackets")
+        held = with_small(counts, ranges, group).where(inside(F.col("v"))).drop("low", "high")
+        wide = held.groupBy(*group, "bracket").agg(F.count_distinct("v").alias("d")).where(F.col("d") > exact).select(*group, "bracket")
+        wide = stored(wide, "wide")
+        if not wide.limit(1).count():
+            break
+        held = held.join(wide, [*group, "bracket"])
+        pivots = stored(held.groupBy(*group, "bracket").agg(cutting(F.col("v")).alias("pivots")), "pivots")
+        cells = with_small(held, pivots, [*group, "bracket"]).groupBy(*on, "bracket", cell(F.col("v"), F.col("pivots")).alias("cell")).agg(F.sum("n").alias("n"))
+        large = open_.join(wide, [*group, "bracket"])
+        met = cells.join(times, on).join(large.select(*keys).distinct(), keys).groupBy(*keys, "cell").agg(F.sum(drawn).alias("n"))
+        found = chosen(met.join(pivots, [*group, "bracket"]), large, keys).select(*state.columns)
+        rest = state.withColumn("bracket", bracket).join(wide.withColumn("_wide", F.lit(True)), [*group, "bracket"], "left").where(known | F.col("_wide").isNull()).select(*state.columns)
+        state = stored(rest.unionByName(found), "medians")
+    last = held.join(times, on).join(open_.select(*keys).distinct(), keys).groupBy(*keys, "v").agg(F.sum(drawn).alias("n"))
+    before = Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)  # at most ``exact`` rows
+    last = open_.drop("value").join(last.withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0))), keys)
+    start = F.col("below") + F.col("_before")
+    last = last.where((F.col("rank") >= start) & (F.col("rank") < start + F.col("n"))).select(*group, "replicate", F.col("v").alias("value"))
+    medians = state.where(known).select(*group, "replicate", "value").unionByName(last).groupBy(*group, "replicate").agg(F.avg("value").alias("median"))
+
+    per = per.join(medians, [*group, "replicate"])
+    seen = summary(rows, group, [F.avg("v").alias("mean")], {"median": ("v", 0.5)}, few).unpivot(group, ["mean", "median"], "statistic", "estimate")
+    long = per.unpivot([*group, "replicate"], ["mean", "median"], "statistic", "x")
+    found = long.groupBy(*group, "statistic").agg(F.stddev_samp("x").alias("standard_error"), F.percentile("x", 0.025).alias("ci_95_lower"), F.percentile("x", 0.975).alias("ci_95_upper"), F.count("*").alias("n_replicates"))  # a value a replicate
     return seen.join(found, [*group, "statistic"])
 
 
@@ -95,15 +133,15 @@ def density_levels(density: DataFrame, masses: list[float]) -> DataFrame:
     return share.join(F.broadcast(wanted), F.col("held") >= F.col("mass") * F.col("total")).groupBy("mass").agg(F.max("density").alias("threshold"))
 
 
-def histogram_fd(values: DataFrame, value: str) -> DataFrame:
+def histogram_fd(values: DataFrame, value: str, few: int = FEW) -> DataFrame:
     """(bin, lower, upper, count) with the Freedman-Diaconis bin width."""
-    r = values.agg(F.count(value), F.min(value), F.max(value), F.percentile(value, 0.25), F.percentile(value, 0.75)).first()
-    n, low, high, q1, q3 = r
+    r = summary(values, [], [F.count(value).alias("n"), F.min(value).alias("low"), F.max(value).alias("high")], {"q1": (value, 0.25), "q3": (value, 0.75)}, few).first()
+    n, low, high, q1, q3 = r.n, r.low, r.high, r.q1, r.q3
     width = 2 * (q3 - q1) / n ** (1 / 3) if n else 0
     k = max(1, math.ceil((high - low) / width)) if width else 1
-    step = (high - low) / k if high > low else 1.0
-    place = F.least(F.floor((F.col(value) - low) / step), F.lit(k - 1)).cast("int")
-    return values.where(F.col(value).isNotNull()).groupBy(place.alias("bin")).agg(F.count("*").alias("count")).select("bin", (F.col("bin") * step + low).alias("lower"), ((F.col("bin") + 1) * step + low).alias("upper"), "count")
+    step = (high - low) / k if n and high > low else 1.0
+    place = F.least(F.floor((F.col(value) - (low or 0.0)) / step), F.lit(k - 1)).cast("int")
+    return values.where(F.col(value).isNotNull()).groupBy(place.alias("bin")).agg(F.count("*").alias("count")).select("bin", (F.col("bin") * step + (low or 0.0)).alias("lower"), ((F.col("bin") + 1) * step + (low or 0.0)).alias("upper"), "count")
 
 
 def hexbin(values: DataFrame, x: str, y: str, gridsize: int, box: tuple[float, float, float, float]) -> DataFrame:
@@ -118,60 +156,23 @@ def hexbin(values: DataFrame, x: str, y: str, gridsize: int, box: tuple[float, f
     return cell.groupBy("hx", "hy", "half").agg(F.count("*").alias("count"))
 
 
-def boxplot(values: DataFrame, group: list[str], value: str) -> DataFrame:
-    """Quartiles, whiskers at 1.5 interquartile ranges, and how many values lie beyond."""
-    q = values.groupBy(*group).agg(F.percentile(value, 0.25).alias("q25"), F.median(value).alias("median"), F.percentile(value, 0.75).alias("q75"))
-    at = values.join(F.broadcast(q), group)  # one row a group
+def boxplot(values: DataFrame, group: list[str], value: str, few: int = FEW) -> DataFrame:
+    """Quartiles, whiskers at 1.5 interquartile ranges, and how many values lie beyond. Groups hold no nulls."""
+    q = quantiles(values, group, {"q25": (value, 0.25), "median": (value, 0.5), "q75": (value, 0.75)}, few)
+    at = with_small(values, q, group)  # one row a group
     low, high = F.col("q25") - 1.5 * (F.col("q75") - F.col("q25")), F.col("q75") + 1.5 * (F.col("q75") - F.col("q25"))
     inside = F.col(value).between(low, high)
     return at.groupBy(*group, "q25", "median", "q75").agg(F.min(F.when(inside, F.col(value))).alias("whisker_low"), F.max(F.when(inside, F.col(value))).alias("whisker_high"), F.count_if(~inside).alias("n_outliers"))
 
 
-def matched_report(deltas: DataFrame, value: str) -> DataFrame:
+def matched_report(deltas: DataFrame, value: str, few: int = FEW) -> DataFrame:
     """(metric, value): the report of matched differences, with a tolerance around 0."""
     v = F.col(value)
     share = lambda c: F.avg(c.cast("double"))
-    q = lambda p: F.percentile(value, p)
     found = {
-        "n_pairs": F.count("*").cast("double"), "mean": F.avg(v), "median": F.median(v), "std": F.stddev_samp(v), "min": F.min(v), "max": F.max(v), "q25": q(0.25), "q75": q(0.75),
+        "n_pairs": F.count("*"), "mean": F.avg(v), "std": F.stddev_samp(v), "min": F.min(v), "max": F.max(v),
         "fraction_greater": share(v > TOLERANCE), "fraction_equal": share(F.abs(v) <= TOLERANCE), "fraction_less": share(v < -TOLERANCE),
     }
-    return deltas.agg(*(c.cast("double").alias(k) for k, c in found.items())).unpivot([], list(found), "metric", "value")
-
-
-def mixtures(values: DataFrame, key: str, value: str, counts: tuple[int, ...] = (1, 2, 3, 4), primary: int = 2, seed: int = 123, starts: int = 3) -> dict[str, DataFrame]:
-    """Gaussian mixtures of one value: model_comparison, component_summary, assignments.
-
-    The best of several seeded starts counts; components are numbered by rising mean. AIC and BIC use 3k - 1 parameters.
-    """
-    from pyspark.ml.clustering import GaussianMixture
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    if not counts or min(counts) < 1 or primary not in counts:
-        raise ValueError("component counts must be positive and hold the primary one")
-    rows = VectorAssembler(inputCols=[value], outputCol="features").transform(values.select(key, value)).persist()
-    n, spark = rows.count(), values.sparkSession
-    if primary < 2:
-        raise ValueError("the primary mixture has at least two components")
-    models, table = {}, []
-    for k in sorted(set(counts)):
-        if k == 1:  # a single Gaussian has a closed form
-            like = -n / 2 * (math.log(2 * math.pi * rows.agg(F.var_pop(value)).first()[0]) + 1)
-        else:
-            fits = [GaussianMixture(k=k, seed=seed + s, maxIter=100, tol=1e-4).fit(rows) for s in range(starts)]
-            models[k] = max(fits, key=lambda m: m.summary.logLikelihood)
-            like = models[k].summary.logLikelihood
-        p = 3 * k - 1
-        table.append((k, 2 * p - 2 * like, p * math.log(n) - 2 * like))
-    best = [min(t[i] for t in table) for i in (1, 2)]
-    comparison = spark.createDataFrame([(*t, t[1] - best[0], t[2] - best[1]) for t in table], "n_components int, aic double, bic double, delta_aic double, delta_bic double")
-    model = models[primary]
-    shape = [(w, float(g.mean[0]), math.sqrt(float(g.cov.toArray()[0][0]))) for w, g in zip(model.weights, model.gaussians, strict=True)]
-    order = sorted(range(primary), key=lambda c: shape[c][1])
-    number = F.create_map(*(F.lit(x) for new, old in enumerate(order) for x in (old, new)))
-    assigned = model.transform(rows).select(key, value, F.element_at(number, F.col("prediction")).alias("component"), F.array_max(vector_to_array("probability")).alias("assignment_probability"))
-    fitted = spark.createDataFrame([(i, *map(float, shape[c])) for i, c in enumerate(order)], "component int, model_weight double, fitted_mean double, fitted_std double")
-    seen = assigned.groupBy("component").agg(F.count("*").alias("n_assigned"), F.avg(value).alias("assigned_mean"), F.median(value).alias("assigned_median"), F.stddev_samp(value).alias("assigned_std"), F.min(value).alias("assigned_min"), F.max(value).alias("assigned_max"))
-    summary = fitted.join(seen, "component", "left").withColumn("n_assigned", F.coalesce("n_assigned", F.lit(0))).withColumn("fraction_assigned", F.col("n_assigned") / n)
-    return {"model_comparison": comparison, "component_summary": summary, "assignments": assigned}
+    wanted = {"median": (value, 0.5), "q25": (value, 0.25), "q75": (value, 0.75)}
+    out = summary(deltas, [], [c.cast("double").alias(k) for k, c in found.items()], wanted, few)
+    return out.unpivot([], [*found, *wanted], "metric", "value")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,9 +10,12 @@ from pyspark.sql import functions as F
 
 from rootgraph.functions import bits
 from rootgraph.operators import graph, metrics, similarity, stats
+from rootgraph.operators.mixtures import mixtures
 from rootgraph.operators.nearest import nearest
+from rootgraph.operators.quantiles import summary
 from rootgraph.plans.fixtures import FLAGS, SQL_GRAPH, order_graphs, sign_bits, signs, sql_signs, sql_tanimoto, table
 from rootgraph.sources import tables
+from rootgraph.sources.shared import folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -377,7 +381,7 @@ def group_summary(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(metrics.group_summary(_classified(spark, sf), ["base", "alt"], "base"))
 
 
-_REPLICATES = 50
+_REPLICATES = 2000
 
 
 @query(
@@ -486,7 +490,8 @@ def separation_summary(spark: SparkSession, sf: str) -> DataFrame:
 def descriptor_comparison(spark: SparkSession, sf: str) -> DataFrame:
     wide = _controlled(spark, sf).groupBy("i", "j").pivot("descriptor", ["a", "b"]).agg(F.max("topology_separation"))
     d = wide.withColumn("d", F.round(F.col("b") - F.col("a"), 12))
-    return rounded(d.agg(F.avg("d").alias("mean_difference"), F.median("d").alias("median_difference"), F.avg((F.col("d") > 0).cast("double")).alias("fraction_greater"), metrics.effect_size("d").alias("effect_size")))
+    values = [F.avg("d").alias("mean_difference"), F.avg((F.col("d") > 0).cast("double")).alias("fraction_greater"), metrics.effect_size("d").alias("effect_size")]
+    return rounded(summary(d, [], values, {"median_difference": ("d", 0.5)}, keep=True))
 
 
 _SQL_NEIGHBORS = (
@@ -516,14 +521,53 @@ def same_class_knn(spark: SparkSession, sf: str) -> DataFrame:
 @query(_SQL_NEIGHBORS + sql_rounded(" k, n_queries, *mean_fraction, *median_fraction, *std_fraction", "SELECT k, count(*) AS n_queries, avg(fraction) AS mean_fraction, median(fraction) AS median_fraction, stddev_samp(fraction) AS std_fraction FROM nb GROUP BY k"))
 def neighbor_summary(spark: SparkSession, sf: str) -> DataFrame:
     n = _neighbors(spark, sf)
-    return rounded(n.groupBy("k").agg(F.count("*").alias("n_queries"), F.avg("fraction").alias("mean_fraction"), F.median("fraction").alias("median_fraction"), F.stddev_samp("fraction").alias("std_fraction")))
+    values = [F.count("*").alias("n_queries"), F.avg("fraction").alias("mean_fraction"), F.stddev_samp("fraction").alias("std_fraction")]
+    return rounded(summary(n, ["k"], values, {"median_fraction": ("fraction", 0.5)}, keep=True))
+
+
+_SQL_DIGIT = lambda r: f"('0x' || substr(sha256('123|{r}|' || r), 1, 15))::BIGINT"
+_SQL_SAMPLE = (
+    "WITH ids AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS at FROM embeddings), c AS (SELECT count(*) AS n, count(*) * (count(*) - 1) // 2 AS total FROM embeddings),"
+    " s AS (SELECT *, floor(sqrt((total - 1)::DOUBLE))::BIGINT + 1 AS side, least(1000, total) AS wanted FROM c),"
+    " r0 AS (SELECT k, k // side AS l, k % side AS r, side, total, wanted FROM s, (SELECT unnest(range(least(wanted + wanted // 8 + 64, side * side))) AS k FROM s)), "
+    + ", ".join(f"r{i + 1} AS (SELECT k, r AS l, (l + {_SQL_DIGIT(i)} % side) % side AS r, side, total, wanted FROM r{i})" for i in range(4))
+    + ", p AS (SELECT *, row_number() OVER (ORDER BY k) AS nth FROM (SELECT *, l * side + r AS t FROM r4) WHERE t < total),"
+    " g AS (SELECT t, floor((1 + sqrt(1 + 8 * t::DOUBLE)) / 2)::BIGINT AS j FROM p WHERE nth <= wanted),"
+    " h AS (SELECT t, CASE WHEN j * (j - 1) // 2 > t THEN j - 1 WHEN j * (j + 1) // 2 <= t THEN j + 1 ELSE j END AS j FROM g)"
+    " SELECT row_number() OVER (ORDER BY x.at, y.at) - 1 AS pair_number, x.vec_id AS i, y.vec_id AS j FROM h JOIN ids x ON x.at = t - h.j * (h.j - 1) // 2 JOIN ids y ON y.at = h.j"
+)
 
 
-@query()
+@query(_SQL_SAMPLE)
 def sample_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return similarity.sampled_pairs(table(spark, sf, "embeddings"), "vec_id", 1000, 123)
 
 
+# ---- files
+
+
+@query("SELECT doc_id::VARCHAR AS doc_id, lang, source, row_number() OVER (ORDER BY doc_id) + 1 AS source_row, 'BB_' || CASE WHEN length(row_number() OVER (ORDER BY doc_id)::VARCHAR) >= 4 THEN row_number() OVER (ORDER BY doc_id)::VARCHAR ELSE lpad(row_number() OVER (ORDER BY doc_id)::VARCHAR, 4, '0') END AS bb_id FROM documents WHERE doc_id IS NOT NULL")
+def csv_source_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """A table written as CSV files in order of its id, read back with the line of each row and an id from it."""
+    path = f"{folder(spark)}/csv-{uuid.uuid4().hex}"
+    d = table(spark, sf, "documents").select("doc_id", "lang", "source").where("doc_id is not null")
+    d.repartitionByRange(5, "doc_id").sortWithinPartitions("doc_id").write.option("header", True).csv(path)
+    rows = tables.read_csv(spark, path, ["doc_id", "lang", "source"])
+    return rows.withColumn("bb_id", tables.surrogate(F.col("source_row") - 1, "BB", 4))
+
+
+_SQL_PLACED = "WITH " + sql_signs(w=(0, 64)) + ", z AS (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS at FROM f)"
+
+
+@query(_SQL_PLACED + f" SELECT a.vec_id AS i, b.vec_id AS j, {sql_tanimoto('a.w', 'b.w')} AS similarity, a.at AS row, b.at AS column, (a.at // 64)::INT AS p, (b.at // 64)::INT AS q FROM z a JOIN z b ON a.at < b.at")
+def matrix_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """The similarity triangle stored as blocks and read back."""
+    rows = signs(spark, sf, similarity=(0, 64))
+    path = f"{folder(spark)}/matrix-{uuid.uuid4().hex}"
+    tables.save_matrix(tanimoto_pairs(spark, sf), stats.ordinal(rows.select("vec_id"), ["vec_id"], "at"), path, 64, "vec_id")
+    return tables.read_matrix(spark, path)
+
+
 # ---- densities
 
 
@@ -563,10 +607,19 @@ def boxplot(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(stats.boxplot(table(spark, sf, "customer"), ["c_mktsegment"], "c_acctbal"))
 
 
+def _difference(spark: SparkSession, sf: str) -> DataFrame:
+    return _matched(spark, sf).withColumn("d", F.col("b") - F.col("a"))
+
+
 @query()
 def gmm_select(spark: SparkSession, sf: str) -> DataFrame:
-    m = _matched(spark, sf).withColumn("d", F.col("b") - F.col("a"))
-    return rounded(stats.mixtures(m, "vec_id", "d", (1, 2, 3), 2, starts=2)["model_comparison"])
+    return rounded(mixtures(_difference(spark, sf), "vec_id", "d")["model_comparison"])
+
+
+@query(_SQL_MATCHED + ", v AS (SELECT b - a AS d FROM m), s AS (SELECT count(*) AS n, var_pop(d) AS v FROM v), l AS (SELECT n, -n / 2.0::DOUBLE * (ln(2 * pi() * (v + 1e-6)) + v / (v + 1e-6)) AS l FROM s)" + sql_rounded(" n_components, *aic, *bic, *delta_aic, *delta_bic", "SELECT 1::INT AS n_components, 4 - 2 * l AS aic, 2 * ln(n) - 2 * l AS bic, 0.0::DOUBLE AS delta_aic, 0.0::DOUBLE AS delta_bic FROM l"))
+def gmm_single(spark: SparkSession, sf: str) -> DataFrame:
+    """The one-component model, against which the others are compared."""
+    return rounded(mixtures(_difference(spark, sf), "vec_id", "d", (1,), 1)["model_comparison"])
 
 
 # ---- reshaping

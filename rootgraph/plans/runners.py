@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from rootgraph.functions import bits, smiles
 from rootgraph.operators import graph, metrics, similarity, stats
+from rootgraph.operators.mixtures import mixtures
 from rootgraph.operators.nearest import nearest
+from rootgraph.operators.quantiles import summary
 from rootgraph.sources import tables
 
 DESCRIPTORS = ("circular_O", "circular_marker", "rooted_wl", "directed_path")
@@ -227,7 +229,7 @@ def run_topology(spark: SparkSession, source: str | DataFrame, columns: tuple[st
     near = nearest(lib, lib, "id", "words", config.words, max(config.topology_k), ["descriptor"]).withColumnsRenamed({"query": "i", "match": "j"})
     near = near.withColumn("same", (F.substring("i", 1, 1) == F.substring("j", 1, 1)).cast("double")).withColumn("k", F.explode(F.array(*map(F.lit, config.topology_k)))).where("rank <= k")
     asked = near.groupBy("descriptor", "i", "k").agg(F.avg("same").alias("same_topology_fraction"), F.count("*").alias("effective_k"))
-    fitted = stats.mixtures(flat, "ID", "rooted_wl_minus_reference", config.components, config.primary, config.seed)
+    fitted = mixtures(flat, "ID", "rooted_wl_minus_reference", config.components, config.primary, config.seed)
     names = data.select("ID", *columns[1:])
     long = flat.unpivot("ID", [*DESCRIPTORS, *(f"{d}_minus_reference" for d in others)], "descriptor", "d")
     results = {
@@ -237,9 +239,9 @@ def run_topology(spark: SparkSession, source: str | DataFrame, columns: tuple[st
         "matched_summary": metrics.distances(long, ["descriptor"], "d"),
         "controlled_pair_distances": c,
         "topology_separation_summary": metrics.separations(c, ["descriptor"]),
-        "descriptor_comparison": more.groupBy("descriptor").agg(F.avg("d").alias("mean_separation_difference"), F.median("d").alias("median_separation_difference"), F.avg((F.col("d") > 0).cast("double")).alias("fraction_greater_separation"), metrics.effect_size("d").alias("paired_effect_size_difference")),
+        "descriptor_comparison": summary(more, ["descriptor"], [F.avg("d").alias("mean_separation_difference"), F.avg((F.col("d") > 0).cast("double")).alias("fraction_greater_separation"), metrics.effect_size("d").alias("paired_effect_size_difference")], {"median_separation_difference": ("d", 0.5)}),
         "neighbor_query_results": asked,
-        "neighbor_summary": asked.groupBy("descriptor", "k").agg(F.count("*").alias("n_queries"), F.avg("same_topology_fraction").alias("mean"), F.median("same_topology_fraction").alias("median"), F.stddev_samp("same_topology_fraction").alias("std")),
+        "neighbor_summary": summary(asked, ["descriptor", "k"], [F.count("*").alias("n_queries"), F.avg("same_topology_fraction").alias("mean"), F.stddev_samp("same_topology_fraction").alias("std")], {"median": ("same_topology_fraction", 0.5)}, keep=True),
         **{f"ranked_{d}_gain": _ranked(flat, [F.col(f"{d}_minus_reference").desc(), "ID"], config.ranking, names, {"ID": ""}) for d in others},
         "ranked_reference_favored": _ranked(flat, ["rooted_wl_minus_reference", "ID"], config.ranking, names, {"ID": ""}),
         **{f"population_{k}": v for k, v in fitted.items()},

@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rootgraph.operators.quantiles import running
 from rootgraph.operators.stats import ordinal
+from rootgraph.sources.shared import stored, with_small
 
 
 class TableError(ValueError):
@@ -20,13 +22,20 @@ class TableError(ValueError):
 def read_csv(spark: SparkSession, path: str, columns: Iterable[str] | None = None) -> DataFrame:
     """All columns as text, with source_row: the line of the file a row stands on, the header being line 1.
 
-    The row's place is taken at the scan (files in order of name, rows in order within), before anything is dropped.
+    The row's place is taken at the scan, before anything is dropped: files in order of name, rows in order within, each
+    file having a header. A scan numbers the rows of its parts of files; counts of the parts, in order of file and
+    offset, say where each begins. Several files count as one without the later headers.
     """
     raw = spark.read.option("header", True).option("enforceSchema", False).csv(path)
     if columns is not None:
         exact_columns(raw.columns, list(columns))
-    schema = T.StructType([*(T.StructField(c, T.StringType()) for c in raw.columns), T.StructField("source_row", T.LongType())])
-    return spark.createDataFrame(raw.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 2)), schema)
+    names = [F.col("`" + c.replace("`", "``") + "`").cast("string").alias(f"c{k}") for k, c in enumerate(raw.columns)]
+    place = {"file": F.col("_metadata.file_path"), "start": F.col("_metadata.file_block_start"), "at": F.monotonically_increasing_id()}
+    rows = stored(raw.select(*names, *(c.alias(f"_{k}") for k, c in place.items())), "csv")
+    parts = rows.groupBy("_file", "_start").agg(F.count("*").alias("_n"), F.min("_at").alias("_least"))
+    parts = running(parts, [], ["_file", "_start"], F.col("_n"), "_before")
+    out = with_small(rows, parts.select("_file", "_start", (F.col("_before") - F.col("_least") + 2).alias("_shift")), ["_file", "_start"])
+    return out.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(raw.columns)), (F.col("_at") + F.col("_shift")).alias("source_row"))
 
 
 def exact_columns(found: list[str], wanted: list[str]) -> None:
@@ -226,3 +235,33 @@ def save(spark: SparkSession, results: dict[str, DataFrame], directory: str, met
     if metadata is not None:
         line = spark.createDataFrame([(json.dumps(metadata, sort_keys=True),)], "value string")
         line.coalesce(1).write.mode("overwrite").text(f"{directory}/run_metadata")
+
+
+def save_matrix(pairs: DataFrame, rows: DataFrame, path: str, size: int, key: str = "id") -> int:
+    """Writes the upper triangle (i, j, values...) of a symmetric table as blocks of ``size`` rows and columns.
+
+    ``rows`` lists the key and its place ``at``, from 0 without a gap. Block (p, q), p <= q, has a folder of its own, so a
+    reader of a block touches no other; each is written by tasks of its own. Returns the number of blocks on a side.
+    """
+    if size < 1:
+        raise ValueError("size must be positive")
+    side = -(-rows.count() // size)
+    at = lambda s: rows.select(F.col(key).alias(s), F.col("at").alias(f"at_{s}"))
+    placed = pairs.join(at("i"), "i").join(at("j"), "j")
+    low, high = F.least("at_i", "at_j"), F.greatest("at_i", "at_j")
+    swap = F.col("at_i") > F.col("at_j")
+    values = [c for c in pairs.columns if c not in ("i", "j")]
+    placed = placed.select(F.when(swap, F.col("j")).otherwise(F.col("i")).alias("i"), F.when(swap, F.col("i")).otherwise(F.col("j")).alias("j"), *values, low.alias("row"), high.alias("column"), F.floor(low / size).cast("int").alias("p"), F.floor(high / size).cast("int").alias("q"))
+    placed.repartition("p", "q").sortWithinPartitions("p", "q", "row", "column").write.mode("overwrite").partitionBy("p", "q").parquet(path)
+    return side
+
+
+def read_matrix(spark: SparkSession, path: str, rows: tuple[int, int] | None = None, columns: tuple[int, int] | None = None, size: int = 1) -> DataFrame:
+    """The stored triangle (i, j, values..., row, column, p, q), or the part of it that the ranges of places [from, to) of
+    rows and columns cover, read from the blocks of ``size`` that these ranges meet."""
+    out = spark.read.parquet(path)
+    for name, block, between in (("row", "p", rows), ("column", "q", columns)):
+        if between:
+            low, high = between
+            out = out.where(F.col(block).between(low // size, (high - 1) // size) & (F.col(name) >= low) & (F.col(name) < high))
+    return out
