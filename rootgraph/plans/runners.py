@@ -60,32 +60,38 @@ class Config:
 Descriptor = Callable[[DataFrame, Config], Column]
 
 
+def names_of(extra: dict[str, Descriptor] | None) -> list[str]:
+    """The descriptors in order, a caller's own last."""
+    if taken := set(extra or {}) & set(DESCRIPTORS):
+        raise ValueError(f"descriptors that are there already: {sorted(taken)}")
+    return [*DESCRIPTORS, *(extra or {})]
+
+
 def fingerprints(df: DataFrame, keys: list[str], column: str, config: Config, unrooted: str | None = None, extra: dict[str, Descriptor] | None = None) -> DataFrame:
     """(keys..., descriptor, on_bits, words) of the structures in a column under the four descriptors, and those of ``extra``.
 
     The reference descriptor reads the marker as another atom, or the structures of ``unrooted`` as they are. A
-    structure that cannot be read, or whose graph breaks a rule of rooted graphs, is an error.
+    structure of either column that cannot be read, or whose graph breaks a rule of rooted graphs, is an error.
+    Texts are read once; a row becomes its rooted and its plain graph, and each of these the descriptors that it has.
     """
-    if taken := set(extra or {}) & set(DESCRIPTORS):
-        raise ValueError(f"descriptors that are there already: {sorted(taken)}")
-
-    def packed(d: DataFrame, on: Column, name: str) -> DataFrame:
-        return d.select(*keys, F.lit(name).alias("descriptor"), on.alias("on_bits")).withColumn("words", bits.pack(F.col("on_bits"), config.n_bits))
-
-    g = graph.rooted(smiles.read_graphs(df.select(*keys, column), column, config.marker))
-    g = graph.pin(g, "_broken", F.coalesce("error", F.concat(F.lit("not a rooted graph: "), F.array_join(F.nullif(graph.violations(g), F.array().cast("array<string>")), ", "))))
-    g = graph.pin(g, "_ok", F.when(F.col("_broken").isNotNull(), F.raise_error(F.col("_broken")).cast("int")).otherwise(1)).drop("_ok", "_broken")
-    wl = graph.wl_fingerprint(g, config.radius, config.n_bits)
-    marked = graph.wl_fingerprint(g, config.radius, config.n_bits, directed=False)
-    path = graph.with_paths(g, config.max_edges)
-    if unrooted:
-        other = smiles.read_graphs(df.select(*keys, unrooted), unrooted, None)
-    else:
-        other = smiles.read_graphs(df.select(*keys, column), column, config.marker, config.replacement)
-    plain = graph.wl_fingerprint(other, config.radius, config.n_bits, directed=False)
-    out = [packed(plain, F.col("on_bits"), DESCRIPTORS[0]), packed(marked, F.col("on_bits"), DESCRIPTORS[1]), packed(wl, F.col("on_bits"), DESCRIPTORS[2])]
-    out += [packed(g.withColumn("on_bits", own(g, config)), F.array_sort(F.array_distinct("on_bits")), name) for name, own in (extra or {}).items()]
-    return graph.union_all([*out, packed(path, F.array_sort(F.array_distinct(graph.path_bits(F.col("paths"), config.n_bits))), DESCRIPTORS[3])])
+    names_of(extra)
+    both = smiles.read_both(df.select(*keys, *dict.fromkeys([column, *([unrooted] if unrooted else [])])), column, unrooted, config.marker, config.replacement)
+    g = both.select(*keys, F.posexplode("both").alias("_plain", "_g")).select(*keys, "_plain", "_g.*")
+    rooted = F.col("_plain") == 0
+    g = graph.rooted(g)
+    rules = F.when(rooted, F.nullif(graph.violations(g), F.array().cast("array<string>")))
+    broken = F.coalesce(F.col("error"), F.concat(F.lit("not a rooted graph: "), F.array_join(rules, ", ")))
+    g = graph.pin(g, "_ok", F.when(broken.isNotNull(), F.raise_error(broken).cast("int")).otherwise(1)).drop("_ok")
+    g = graph.wl_fingerprint(g, config.radius, config.n_bits, directed=False).withColumnRenamed("on_bits", "_undirected")
+    g = g.withColumn("nodes", F.when(rooted, F.col("nodes")))  # the rest is of rooted graphs only
+    g = graph.wl_fingerprint(g, config.radius, config.n_bits).withColumnRenamed("on_bits", "_directed")
+    g = graph.with_paths(g, config.max_edges)
+    of = lambda name, on: F.struct(F.lit(name).alias("descriptor"), on.cast("array<int>").alias("on_bits"))
+    sorted_ = lambda on: F.array_sort(F.array_distinct(on))
+    found = [of(DESCRIPTORS[1], F.col("_undirected")), of(DESCRIPTORS[2], F.col("_directed")), of(DESCRIPTORS[3], sorted_(graph.path_bits(F.col("paths"), config.n_bits)))]
+    found += [of(name, sorted_(own(g, config))) for name, own in (extra or {}).items()]
+    out = g.select(*keys, F.explode(F.when(rooted, F.array(*found)).otherwise(F.array(of(DESCRIPTORS[0], F.col("_undirected"))))).alias("_f"))
+    return out.select(*keys, "_f.*").withColumn("words", bits.pack(F.col("on_bits"), config.n_bits))
 
 
 def _finish(spark: SparkSession, results: dict[str, DataFrame], directory: str | None, name: str, config: Config, path: object, overwrite: bool) -> dict[str, DataFrame]:
@@ -180,15 +186,16 @@ def run_library(spark: SparkSession, source: str | DataFrame, config: Config = C
     return _finish(spark, results, directory, "library", config, source, overwrite)
 
 
-def run_attachment(spark: SparkSession, source: str | DataFrame, config: Config = Config(), directory: str | None = None, overwrite: bool = False) -> dict[str, DataFrame]:
+def run_attachment(spark: SparkSession, source: str | DataFrame, config: Config = Config(), directory: str | None = None, overwrite: bool = False, extra: dict[str, Descriptor] | None = None) -> dict[str, DataFrame]:
     """Are attachment positions of one scaffold told apart more than scaffolds at one position?"""
+    every = names_of(extra)
     data = tables.load_scaffolds(spark, source, config.validate().marker).persist()
-    fp = fingerprints(data, ["molecule_id"], "SMILES_Structure", config).persist()
-    wide = fp.groupBy("molecule_id").pivot("descriptor", list(DESCRIPTORS)).agg(F.first("words"))
+    fp = fingerprints(data, ["molecule_id"], "SMILES_Structure", config, extra=extra).persist()
+    wide = fp.groupBy("molecule_id").pivot("descriptor", every).agg(F.first("words"))
     rows = data.select("molecule_id", F.col("Position").alias("position"), F.col("canonical_scaffold").alias("scaffold"), F.col("canonical_structure").alias("structure")).join(wide, "molecule_id")
     pairs = similarity.classified_pairs(rows, "molecule_id", "scaffold", "position", "structure")
-    pairs = pairs.withColumns({f"{d}_distance": 1 - bits.tanimoto(F.col(f"{d}_i"), F.col(f"{d}_j"), config.words) for d in DESCRIPTORS}).drop(*(f"{d}_{s}" for d in DESCRIPTORS for s in "ij"))
-    others = [d for d in DESCRIPTORS if d != REFERENCE]
+    pairs = pairs.withColumns({f"{d}_distance": 1 - bits.tanimoto(F.col(f"{d}_i"), F.col(f"{d}_j"), config.words) for d in every}).drop(*(f"{d}_{s}" for d in every for s in "ij"))
+    others = [d for d in every if d != REFERENCE]
     pairs = pairs.withColumns({f"{d}_minus_reference": F.col(f"{d}_distance") - F.col(f"{REFERENCE}_distance") for d in others}).persist()
     long = pairs.unpivot(["pair_group", "cluster_id"], [f"{d}_minus_reference" for d in others], "descriptor", "delta")
     names, sides = data.select("molecule_id", "SMILES_Structure", "SMILES_Scaffold"), {"molecule_id_i": "_i", "molecule_id_j": "_j"}
@@ -197,7 +204,7 @@ def run_attachment(spark: SparkSession, source: str | DataFrame, config: Config
     results = {
         "molecule_manifest": data,
         "pairwise_comparison": pairs,
-        "group_summary": metrics.group_summary(pairs, list(DESCRIPTORS), REFERENCE),
+        "group_summary": metrics.group_summary(pairs, every, REFERENCE),
         "bootstrap_summary": stats.cluster_bootstrap(long, "cluster_id", "delta", stats.hashed_draws(clusters, group, config.bootstrap, config.seed), group),
         "fingerprint_summary": metrics.bit_density(fp, ["descriptor"], "on_bits", config.n_bits),
         **{f"ranked_{d}_gain": _ranked(pairs, [F.col(f"{d}_minus_reference").desc(), *sides], config.ranking, names, sides) for d in others},
@@ -206,16 +213,17 @@ def run_attachment(spark: SparkSession, source: str | DataFrame, config: Config
     return _finish(spark, results, directory, "attachment", config, source, overwrite)
 
 
-def run_topology(spark: SparkSession, source: str | DataFrame, columns: tuple[str, ...], config: Config = Config(), directory: str | None = None, overwrite: bool = False) -> dict[str, DataFrame]:
+def run_topology(spark: SparkSession, source: str | DataFrame, columns: tuple[str, ...], config: Config = Config(), directory: str | None = None, overwrite: bool = False, extra: dict[str, Descriptor] | None = None) -> dict[str, DataFrame]:
     """Are two topologies of the same molecule told apart? ``columns``: id, two unrooted and two rooted structures."""
+    every = names_of(extra)
     data = tables.load_matched(spark, source, columns, config.validate().marker).withColumnRenamed(columns[0], "ID").persist()
-    sides = [fingerprints(data, ["ID"], columns[3 + t], config, columns[1 + t]).withColumn("topology", F.lit(t + 1)) for t in (0, 1)]
+    sides = [fingerprints(data, ["ID"], columns[3 + t], config, columns[1 + t], extra).withColumn("topology", F.lit(t + 1)) for t in (0, 1)]
     fp = graph.union_all(sides).persist()
     wide = fp.groupBy("ID", "descriptor").pivot("topology", [1, 2]).agg(F.first("words")).toDF("ID", "descriptor", "w1", "w2").persist()
     apart = lambda a, b: 1 - bits.tanimoto(F.col(a), F.col(b), config.words)
     matched = wide.select("ID", "descriptor", apart("w1", "w2").alias("distance"))
-    flat = matched.groupBy("ID").pivot("descriptor", list(DESCRIPTORS)).agg(F.first("distance"))
-    others = [d for d in DESCRIPTORS if d != REFERENCE]
+    flat = matched.groupBy("ID").pivot("descriptor", every).agg(F.first("distance"))
+    others = [d for d in every if d != REFERENCE]
     flat = flat.withColumns({f"{d}_minus_reference": F.col(d) - F.col(REFERENCE) for d in others}).persist()
     drawn = similarity.sampled_pairs(data, "ID", config.n_pairs, config.seed)
     x, y = (wide.select(F.col("ID").alias(s), "descriptor", F.col("w1").alias(f"{s}1"), F.col("w2").alias(f"{s}2")) for s in "ij")
@@ -231,7 +239,7 @@ def run_topology(spark: SparkSession, source: str | DataFrame, columns: tuple[st
     asked = near.groupBy("descriptor", "i", "k").agg(F.avg("same").alias("same_topology_fraction"), F.count("*").alias("effective_k"))
     fitted = mixtures(flat, "ID", "rooted_wl_minus_reference", config.components, config.primary, config.seed)
     names = data.select("ID", *columns[1:])
-    long = flat.unpivot("ID", [*DESCRIPTORS, *(f"{d}_minus_reference" for d in others)], "descriptor", "d")
+    long = flat.unpivot("ID", [*every, *(f"{d}_minus_reference" for d in others)], "descriptor", "d")
     results = {
         "dataset_summary": data.agg(F.count("*").alias("n_ids"), F.count_distinct("ID").alias("n_distinct")),
         "fingerprint_summary": metrics.bit_density(fp, ["descriptor", "topology"], "on_bits", config.n_bits),

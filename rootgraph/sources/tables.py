@@ -137,10 +137,17 @@ def report(df: DataFrame, error: str, shown: int = 10) -> None:
         raise TableError("; ".join(f"row {r[0]}: {r[1]}" for r in bad[:shown]) + (" ..." if len(bad) > shown else ""))
 
 
-def checked_structures(df: DataFrame, columns: list[str], marker: str = "Hg", connected: bool = True) -> DataFrame:
-    """``df`` if every distinct structure of the columns is sound; only distinct ones are examined."""
-    long = df.unpivot("source_row", columns, "column", "s").groupBy("s").agg(F.min("source_row").alias("source_row"))
-    report(long.withColumn("error", marker_error(F.col("s"), marker, connected)), "error")
+def checked_structures(df: DataFrame, columns: list[str], marker: str = "Hg", connected: bool = True, unrooted: list[str] | None = None) -> DataFrame:
+    """``df`` if every structure is sound: those of ``columns`` hold one marker, and all of these and of ``unrooted`` can be read.
+
+    Only distinct texts are examined; an error names the first row of each.
+    """
+    from rootgraph.functions.smiles import read_graphs
+
+    long = df.unpivot("source_row", [*columns, *(unrooted or [])], "column", "s").withColumn("rooted", F.col("column").isin(*columns))
+    long = read_graphs(long.groupBy("s", "rooted").agg(F.min("source_row").alias("source_row")), "s", None)
+    wrong = F.when(F.col("rooted"), marker_error(F.col("s"), marker, connected)).otherwise(F.when(blank("s"), F.lit("empty")))
+    report(long.select("source_row", F.coalesce(wrong, F.col("error")).alias("error")), "error")
     return df
 
 
@@ -187,7 +194,7 @@ def load_scaffolds(spark: SparkSession, path: str | DataFrame, marker: str = "Hg
     df = path if isinstance(path, DataFrame) else read_csv(spark, path)
     required_columns(df.columns, wanted)
     df = not_empty(drop_blank_rows(df.select(*wanted, "source_row"), wanted))
-    checked_structures(df, ["SMILES_Structure"], marker)
+    checked_structures(df, ["SMILES_Structure"], marker, unrooted=["SMILES_Scaffold"])
     df = ordinal(df, ["source_row"], "at").withColumn("molecule_id", surrogate(F.col("at"), "HET", 4)).drop("at")
     return df.withColumns({"canonical_structure": canonical("SMILES_Structure"), "canonical_scaffold": canonical("SMILES_Scaffold")})
 
@@ -202,7 +209,7 @@ def load_matched(spark: SparkSession, path: str | DataFrame, columns: tuple[str,
     if any(counts[f"{c}_blank"] for c in wanted):
         raise TableError(f"missing values: {counts.asDict()}")
     unique(df, [wanted[0]])
-    return checked_structures(df, wanted[3:], marker, connected=False)
+    return checked_structures(df, wanted[3:], marker, connected=False, unrooted=wanted[1:3])
 
 
 def fingerprint(spark: SparkSession, path: str) -> DataFrame:
