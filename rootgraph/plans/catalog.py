@@ -15,7 +15,7 @@ from rootgraph.operators.nearest import nearest
 from rootgraph.operators.quantiles import summary
 from rootgraph.plans.fixtures import FLAGS, SQL_GRAPH, order_graphs, sign_bits, signs, sql_signs, sql_tanimoto, table
 from rootgraph.sources import tables
-from rootgraph.sources.shared import folder
+from rootgraph.sources.shared import folder, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -96,7 +96,7 @@ def _triangle(spark: SparkSession, sf: str, parts: dict[str, tuple[int, int]]) -
 
 def _retention(spark: SparkSession, sf: str) -> DataFrame:
     """product_column, spearman, pearson, top_5 and top_10 preservation of products against building blocks."""
-    t = _triangle(spark, sf, _PARTNERS).persist()
+    t = stored(_triangle(spark, sf, _PARTNERS), "t")
     products = [p for p in _PARTNERS if p != "bb"]
     long = t.unpivot(["i", "j", "bb"], products, "product_column", "similarity")
     found = metrics.agreement(long, "bb", "similarity", ["product_column"])
@@ -190,15 +190,30 @@ def wl_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     return graph.wl_fingerprint(order_graphs(spark, sf), 3, 1024).select("g", F.explode("on_bits").alias("bit"))
 
 
-@query(
-    f"WITH {SQL_GRAPH}, und AS (SELECT g, a AS k, b AS o, type, ring FROM bond UNION ALL SELECT g, b, a, type, ring FROM bond), l0 AS (SELECT g, k, inv::VARCHAR AS label FROM n), "
-    "l1 AS (SELECT x.g, x.k, sha256(x.label || '|' || coalesce(string_agg(y.type || ',' || y.ring::INT || ',' || y.label, ';' ORDER BY y.type || ',' || y.ring::INT || ',' || y.label), '')) AS label FROM l0 x "
-    "LEFT JOIN (SELECT u.g, u.k, u.type, u.ring, z.label FROM und u JOIN l0 z ON z.g = u.g AND z.k = u.o) y ON y.g = x.g AND y.k = x.k GROUP BY x.g, x.k, x.label), feat AS (SELECT g, 0 AS i, label FROM l0 UNION ALL SELECT g, 1, label FROM l1) "
-    "SELECT DISTINCT g, (('0x' || right(sha256(i || ':' || label), 4))::BIGINT % 1024)::INT AS bit FROM feat"
-)
+def _sql_circular(radius: int) -> str:
+    """Labels l, bond sets s, growing nodes; of each round t (tried) and w (new)."""
+    out = [
+        "bid AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY a, b) - 1 AS bond FROM bond)",
+        "und AS MATERIALIZED (SELECT g, a AS k, b AS o, type, ring, bond FROM bid UNION ALL SELECT g, b, a, type, ring, bond FROM bid)",
+        "e0 AS MATERIALIZED (SELECT g, k, inv::VARCHAR AS label, []::BIGINT[] AS s, TRUE AS grows FROM n)",
+        "w0 AS (SELECT g, NULL::BIGINT[] AS s, label, k, 0 AS r FROM e0)",
+    ]
+    for r in range(1, radius + 1):
+        seen = " UNION ALL ".join(f"SELECT g, s FROM w{q}" for q in range(r))
+        out += [
+            f"t{r} AS MATERIALIZED (SELECT x.g, x.k, sha256(any_value(x.label) || '|' || coalesce(string_agg(u.type || ',' || u.ring::INT || ',' || y.label, ';' ORDER BY u.type || ',' || u.ring::INT || ',' || y.label), '')) AS label, "
+            f"list_sort(list_distinct(list_concat(any_value(x.s), coalesce(flatten(list(list_append(y.s, u.bond)) FILTER (u.bond IS NOT NULL)), [])))) AS s FROM e{r - 1} x LEFT JOIN und u ON u.g = x.g AND u.k = x.k LEFT JOIN e{r - 1} y ON y.g = u.g AND y.k = u.o WHERE x.grows GROUP BY x.g, x.k)",
+            f"w{r} AS MATERIALIZED (SELECT g, s, label, k, {r} AS r FROM (SELECT *, row_number() OVER (PARTITION BY g, s ORDER BY label, k) AS place FROM t{r}) t WHERE place = 1 AND NOT EXISTS (SELECT 1 FROM ({seen}) z WHERE z.g = t.g AND z.s = t.s))",
+            f"e{r} AS MATERIALIZED (SELECT x.g, x.k, coalesce(t.label, x.label) AS label, coalesce(t.s, x.s) AS s, w.k IS NOT NULL AS grows FROM e{r - 1} x LEFT JOIN t{r} t ON t.g = x.g AND t.k = x.k LEFT JOIN w{r} w ON w.g = x.g AND w.k = x.k)",
+        ]
+    out.append("feat AS (" + " UNION ALL ".join(f"SELECT g, r, label FROM w{r}" for r in range(radius + 1)) + ")")
+    return f"WITH {SQL_GRAPH}, " + ", ".join(out)
+
+
+@query(_sql_circular(3) + " SELECT DISTINCT g, (('0x' || right(sha256(r || ':' || label), 4))::BIGINT % 1024)::INT AS bit FROM feat")
 def circular_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
-    """The undirected control."""
-    return graph.wl_fingerprint(order_graphs(spark, sf), 1, 1024, directed=False).select("g", F.explode("on_bits").alias("bit"))
+    """The undirected control; environments of the same bonds count once."""
+    return graph.circular_fingerprint(order_graphs(spark, sf), 3, 1024).select("g", F.explode("on_bits").alias("bit"))
 
 
 _SQL_PATHS = (
@@ -321,7 +336,7 @@ m AS (SELECT batch, aggregation, count(*) AS n_pairs, corr(rx, ry) AS spearman,
 
 
 def _batch_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    r = _residuals(spark, sf).persist()
+    r = stored(_residuals(spark, sf), "r")
     errors = metrics.errors(F.col("similarity"), F.col("predicted"))
     group = ["batch", "aggregation"]
     return metrics.agreement(r, "predicted", "similarity", group).join(r.groupBy(*group).agg(*(c.alias(k) for k, c in errors.items())), group)
@@ -340,7 +355,7 @@ def batch_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_SQL_RESIDUALS + ", z AS (SELECT i, j, row_number() OVER (ORDER BY sha256('991|' || i || '|' || j), i, j) AS place FROM s WHERE batch = 0) SELECT aggregation, batch, i, j, round(predicted, 6) AS predicted, round(similarity, 6) AS similarity FROM res JOIN z USING (i, j) WHERE place <= 200 AND batch = 0")
 def representative_sample(spark: SparkSession, sf: str) -> DataFrame:
-    r = _residuals(spark, sf).where("batch = 0").persist()
+    r = stored(_residuals(spark, sf).where("batch = 0"), "r")
     key = F.sha2(F.concat_ws("|", F.lit("991"), F.col("i").cast("string"), F.col("j").cast("string")), 256)
     chosen = r.where("aggregation = 'arithmetic'").select("i", "j").orderBy(key, "i", "j").limit(200)
     return rounded(r.join(chosen, ["i", "j"]).select("aggregation", "batch", "i", "j", "predicted", "similarity"))
@@ -395,7 +410,7 @@ l AS (SELECT pair_group, 'mean' AS statistic, mean AS x FROM pr UNION ALL SELECT
     + sql_rounded(" pair_group, statistic, *estimate, *standard_error, *ci_95_lower, *ci_95_upper, n_replicates", "SELECT e.pair_group, e.statistic, any_value(estimate) AS estimate, stddev_samp(x) AS standard_error, quantile_cont(x, 0.025) AS ci_95_lower, quantile_cont(x, 0.975) AS ci_95_upper, count(*) AS n_replicates FROM e JOIN l ON e.pair_group = l.pair_group AND e.statistic = l.statistic GROUP BY e.pair_group, e.statistic")
 )
 def cluster_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
-    v = _classified(spark, sf).select("pair_group", "cluster_id", (F.col("alt_distance") - F.col("base_distance")).alias("delta")).persist()
+    v = stored(_classified(spark, sf).select("pair_group", "cluster_id", (F.col("alt_distance") - F.col("base_distance")).alias("delta")), "v")
     n = v.groupBy("pair_group").agg(F.count_distinct("cluster_id").alias("n"))
     return rounded(stats.cluster_bootstrap(v, "cluster_id", "delta", stats.hashed_draws(n, ["pair_group"], _REPLICATES, 123), ["pair_group"]))
 

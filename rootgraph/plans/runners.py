@@ -18,6 +18,7 @@ from rootgraph.operators.mixtures import mixtures
 from rootgraph.operators.nearest import nearest
 from rootgraph.operators.quantiles import summary
 from rootgraph.sources import tables
+from rootgraph.sources.shared import stored
 
 DESCRIPTORS = ("circular_O", "circular_marker", "rooted_wl", "directed_path")
 REFERENCE = "circular_O"
@@ -82,7 +83,7 @@ def fingerprints(df: DataFrame, keys: list[str], column: str, config: Config, un
     rules = F.when(rooted, F.nullif(graph.violations(g), F.array().cast("array<string>")))
     broken = F.coalesce(F.col("error"), F.concat(F.lit("not a rooted graph: "), F.array_join(rules, ", ")))
     g = graph.pin(g, "_ok", F.when(broken.isNotNull(), F.raise_error(broken).cast("int")).otherwise(1)).drop("_ok")
-    g = graph.wl_fingerprint(g, config.radius, config.n_bits, directed=False).withColumnRenamed("on_bits", "_undirected")
+    g = graph.circular_fingerprint(g, config.radius, config.n_bits).withColumnRenamed("on_bits", "_undirected")
     g = g.withColumn("nodes", F.when(rooted, F.col("nodes")))  # the rest is of rooted graphs only
     g = graph.wl_fingerprint(g, config.radius, config.n_bits).withColumnRenamed("on_bits", "_directed")
     g = graph.with_paths(g, config.max_edges)
@@ -120,11 +121,11 @@ def run_retention(spark: SparkSession, source: str | DataFrame, config: Config =
     """Do products keep the similarities of their building blocks?"""
     data, products = tables.load_retention(spark, source, marker=config.validate().marker)
     long = data.unpivot("bb_id", ["SMILES_BB", *products], "column", "smiles")
-    fp = fingerprints(long, ["bb_id", "column"], "smiles", config, extra=extra).persist()
+    fp = stored(fingerprints(long, ["bb_id", "column"], "smiles", config, extra=extra), "fp")
     n = data.count()
     pairs = similarity.similarities(fp, "bb_id", ["words"], config.words, ["descriptor", "column"], max(1, -(-n // similarity.BLOCK)))
     base = pairs.where("column = 'SMILES_BB'").select("descriptor", "i", "j", F.col("words").alias("block"))
-    both = pairs.where("column <> 'SMILES_BB'").withColumnRenamed("column", "product_column").join(base, ["descriptor", "i", "j"]).withColumnRenamed("words", "product").persist()
+    both = stored(pairs.where("column <> 'SMILES_BB'").withColumnRenamed("column", "product_column").join(base, ["descriptor", "i", "j"]).withColumnRenamed("words", "product"), "both")
     group = ["descriptor", "product_column"]
     found = metrics.agreement(both, "block", "product", group).withColumn("n_molecules", F.lit(n))
     rows = both.select(*group).distinct().crossJoin(F.broadcast(data.select(F.col("bb_id").alias("i"))))
@@ -133,7 +134,7 @@ def run_retention(spark: SparkSession, source: str | DataFrame, config: Config =
             raise ValueError(f"k={k} needs more than {n} molecules")
         found = found.join(_preservation(both, "block", "product", group, rows, k), group)
     values = ["spearman", "pearson", *(f"top_{k}_neighbor_preservation" for k in config.neighbor_k)]
-    found = found.persist()
+    found = stored(found, "found")
     results = {
         "per_partner_metrics": found,
         "descriptor_summary": found.groupBy("descriptor").agg(F.count("*").alias("n_partners"), F.first("n_molecules").alias("n_molecules"), *metrics.spread(values)),
@@ -148,19 +149,19 @@ def run_library(spark: SparkSession, source: str | DataFrame, config: Config = C
     """Do the similarities of two components predict those of their products? Pairs are formed within batches."""
     data = tables.load_library(spark, source, config.validate().marker)
     order = F.sha2(F.concat_ws("|", F.lit(config.seed).cast("string"), "product_id"), 256)
-    data = stats.batches(data, config.batch_size, [order, "product_id"]).persist()
-    fp = fingerprints(data, ["product_id", "batch"], "SMILES_Product", config, extra=extra).persist()
+    data = stored(stats.batches(data, config.batch_size, [order, "product_id"]), "data")
+    fp = stored(fingerprints(data, ["product_id", "batch"], "SMILES_Product", config, extra=extra), "fp")
     pairs = similarity.similarities(fp, "product_id", ["words"], config.words, ["descriptor", "batch"]).withColumnRenamed("words", "similarity")
     for side in ("BB1", "BB2"):
         parts = tables.component_table(data, side, f"SMILES_{side}")
-        own = fingerprints(parts, [side], f"SMILES_{side}", config, extra=extra).persist()
+        own = stored(fingerprints(parts, [side], f"SMILES_{side}", config, extra=extra), "own")
         near = similarity.similarities(own, side, ["words"], config.words, ["descriptor"], similarity.block_count(parts))
         same = own.select("descriptor", F.col(side).alias("i"), F.col(side).alias("j"), F.lit(1.0).alias("words"))
         near = similarity.both_ways(near).unionByName(same).toDF("descriptor", f"{side}_i", f"{side}_j", side)
         names = data.select("product_id", F.col(side).alias("_part"))
         pairs = pairs.join(names.toDF("i", f"{side}_i"), "i").join(names.toDF("j", f"{side}_j"), "j").join(near, ["descriptor", f"{side}_i", f"{side}_j"]).drop(f"{side}_i", f"{side}_j")
     both = pairs.select("descriptor", "batch", "i", "j", "similarity", *(similarity.combine(F.col("BB1"), F.col("BB2"), m).alias(m) for m in ("arithmetic", "geometric")))
-    long = both.unpivot(["descriptor", "batch", "i", "j", "similarity"], ["arithmetic", "geometric"], "aggregation", "predicted").persist()
+    long = stored(both.unpivot(["descriptor", "batch", "i", "j", "similarity"], ["arithmetic", "geometric"], "aggregation", "predicted"), "long")
     group = ["descriptor", "aggregation", "batch"]
     found = metrics.agreement(long, "predicted", "similarity", group).join(long.groupBy(*group).agg(*(c.alias(k) for k, c in metrics.errors(F.col("similarity"), F.col("predicted")).items())), group)
     sizes = data.groupBy("batch").agg(F.count("*").alias("n_products"))
@@ -170,7 +171,7 @@ def run_library(spark: SparkSession, source: str | DataFrame, config: Config = C
         if k >= least:
             raise ValueError(f"k={k} needs more than {least} products in a batch")
         found = found.join(_preservation(long, "predicted", "similarity", group, rows, k), group)
-    found = found.join(sizes, "batch").persist()
+    found = stored(found.join(sizes, "batch"), "found")
     values = ["spearman", "pearson", *(f"top_{k}_neighbor_preservation" for k in config.neighbor_k), "mae", "rmse"]
     key = F.xxhash64(F.lit(config.seed), "i", "j")
     first = long.where("batch = 0")
@@ -189,14 +190,14 @@ def run_library(spark: SparkSession, source: str | DataFrame, config: Config = C
 def run_attachment(spark: SparkSession, source: str | DataFrame, config: Config = Config(), directory: str | None = None, overwrite: bool = False, extra: dict[str, Descriptor] | None = None) -> dict[str, DataFrame]:
     """Are attachment positions of one scaffold told apart more than scaffolds at one position?"""
     every = names_of(extra)
-    data = tables.load_scaffolds(spark, source, config.validate().marker).persist()
-    fp = fingerprints(data, ["molecule_id"], "SMILES_Structure", config, extra=extra).persist()
+    data = stored(tables.load_scaffolds(spark, source, config.validate().marker), "data")
+    fp = stored(fingerprints(data, ["molecule_id"], "SMILES_Structure", config, extra=extra), "fp")
     wide = fp.groupBy("molecule_id").pivot("descriptor", every).agg(F.first("words"))
     rows = data.select("molecule_id", F.col("Position").alias("position"), F.col("canonical_scaffold").alias("scaffold"), F.col("canonical_structure").alias("structure")).join(wide, "molecule_id")
     pairs = similarity.classified_pairs(rows, "molecule_id", "scaffold", "position", "structure")
     pairs = pairs.withColumns({f"{d}_distance": 1 - bits.tanimoto(F.col(f"{d}_i"), F.col(f"{d}_j"), config.words) for d in every}).drop(*(f"{d}_{s}" for d in every for s in "ij"))
     others = [d for d in every if d != REFERENCE]
-    pairs = pairs.withColumns({f"{d}_minus_reference": F.col(f"{d}_distance") - F.col(f"{REFERENCE}_distance") for d in others}).persist()
+    pairs = stored(pairs.withColumns({f"{d}_minus_reference": F.col(f"{d}_distance") - F.col(f"{REFERENCE}_distance") for d in others}), "pairs")
     long = pairs.unpivot(["pair_group", "cluster_id"], [f"{d}_minus_reference" for d in others], "descriptor", "delta")
     names, sides = data.select("molecule_id", "SMILES_Structure", "SMILES_Scaffold"), {"molecule_id_i": "_i", "molecule_id_j": "_j"}
     clusters = long.groupBy("pair_group", "descriptor").agg(F.count_distinct("cluster_id").alias("n"))
@@ -216,20 +217,20 @@ def run_attachment(spark: SparkSession, source: str | DataFrame, config: Config
 def run_topology(spark: SparkSession, source: str | DataFrame, columns: tuple[str, ...], config: Config = Config(), directory: str | None = None, overwrite: bool = False, extra: dict[str, Descriptor] | None = None) -> dict[str, DataFrame]:
     """Are two topologies of the same molecule told apart? ``columns``: id, two unrooted and two rooted structures."""
     every = names_of(extra)
-    data = tables.load_matched(spark, source, columns, config.validate().marker).withColumnRenamed(columns[0], "ID").persist()
+    data = stored(tables.load_matched(spark, source, columns, config.validate().marker).withColumnRenamed(columns[0], "ID"), "data")
     sides = [fingerprints(data, ["ID"], columns[3 + t], config, columns[1 + t], extra).withColumn("topology", F.lit(t + 1)) for t in (0, 1)]
-    fp = graph.union_all(sides).persist()
-    wide = fp.groupBy("ID", "descriptor").pivot("topology", [1, 2]).agg(F.first("words")).toDF("ID", "descriptor", "w1", "w2").persist()
+    fp = stored(graph.union_all(sides), "fp")
+    wide = stored(fp.groupBy("ID", "descriptor").pivot("topology", [1, 2]).agg(F.first("words")).toDF("ID", "descriptor", "w1", "w2"), "wide")
     apart = lambda a, b: 1 - bits.tanimoto(F.col(a), F.col(b), config.words)
     matched = wide.select("ID", "descriptor", apart("w1", "w2").alias("distance"))
     flat = matched.groupBy("ID").pivot("descriptor", every).agg(F.first("distance"))
     others = [d for d in every if d != REFERENCE]
-    flat = flat.withColumns({f"{d}_minus_reference": F.col(d) - F.col(REFERENCE) for d in others}).persist()
+    flat = stored(flat.withColumns({f"{d}_minus_reference": F.col(d) - F.col(REFERENCE) for d in others}), "flat")
     drawn = similarity.sampled_pairs(data, "ID", config.n_pairs, config.seed)
     x, y = (wide.select(F.col("ID").alias(s), "descriptor", F.col("w1").alias(f"{s}1"), F.col("w2").alias(f"{s}2")) for s in "ij")
     c = drawn.join(x, "i").join(y, ["j", "descriptor"]).select("pair_number", "i", "j", "descriptor", apart("i1", "j1").alias("within_1"), apart("i2", "j2").alias("within_2"), apart("i1", "j2").alias("cross_12"), apart("i2", "j1").alias("cross_21"))
     within, cross = (F.col("within_1") + F.col("within_2")) / 2, (F.col("cross_12") + F.col("cross_21")) / 2
-    c = c.withColumns({"within_mean_distance": within, "cross_mean_distance": cross, "topology_separation": cross - within}).persist()
+    c = stored(c.withColumns({"within_mean_distance": within, "cross_mean_distance": cross, "topology_separation": cross - within}), "c")
     base = c.where(F.col("descriptor") == REFERENCE).select("pair_number", F.col("topology_separation").alias("_s"))
     more = c.where(F.col("descriptor") != REFERENCE).join(base, "pair_number").withColumn("d", F.col("topology_separation") - F.col("_s"))
     ids = data.select("ID").orderBy(F.xxhash64(F.lit(config.seed), "ID"), "ID").limit(config.neighbor_ids)
