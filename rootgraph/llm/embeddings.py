@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from rootgraph.llm.common import components, table, written
@@ -16,9 +17,9 @@ THRESHOLD = 0.98
 #: vectors from which the codebooks are learned, and the most numbers these may hold
 SAMPLE, SAMPLE_VALUES = 20_000, 4_000_000
 #: distinct vectors for each cell of the product grid, the most centroids of a half, and the largest block compared at once
-PER_CELL, MOST_CENTROIDS, BLOCK = 32, 256, 1024
+PER_CELL, MOST_CENTROIDS, BLOCK = 32, 1024, 1024
 #: share of links that the traversal must reach, and the vectors whose links, found by brute force, say how far that is
-TARGET_RECALL, PROBES, STEPS = 0.999, 256, 1024
+TARGET_RECALL, PROBES, STEPS = 0.999, 1024, 1024
 
 
 def unit(column: pa.Array) -> np.ndarray:
@@ -95,17 +96,18 @@ def reach(merged: DataFrame, books: dict[int, tuple[np.ndarray, np.ndarray]], th
     """The bound at which the traversal may stop: what finds ``target`` of the links of some probe vectors.
 
     The probes (a fixed number, chosen by hash) are compared with all vectors of their label; for each link the bound
-    of the cell that holds it counts. The least answer is that for a difference of the greatest length in a random
+    of the cell that holds it counts. A probe's links share a weight of one, so that those of a few with very many
+    copies, which lie near, do not decide for the rest. The least answer is that for a difference of the greatest length in a random
     direction, two standard deviations out.
     """
     probes = merged.orderBy("h1", "h2", "rep").select("rep", "label", "vec").limit(PROBES).collect()
     radius2 = 2 - 2 * threshold + 1e-9
     by: dict[tuple[str, int], list] = {}
-    for r in probes:
-        by.setdefault((r.label, len(r.vec)), []).append(r)
+    for at, r in enumerate(probes):
+        by.setdefault((r.label, len(r.vec)), []).append(Row(at=at, rep=r.rep, vec=r.vec))
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(STEPS + 1, np.int64)
+        total = np.zeros((len(probes), STEPS + 1), np.int64)
         for batch in batches:
             dims = pc.list_value_length(batch.column(2)).to_numpy()
             for (label, d), rows in by.items():
@@ -118,28 +120,43 @@ def reach(merged: DataFrame, books: dict[int, tuple[np.ndarray, np.ndarray]], th
                 (_, b1), (_, b2) = bounds(q[:, : d // 2], c1), bounds(q[:, d // 2 :], c2)
                 (n1, _), (n2, _) = bounds(x[:, : d // 2], c1), bounds(x[:, d // 2 :], c2)
                 need = np.minimum((b1[i, n1[j]] + b2[i, n2[j]]) / radius2, 1)
-                total += np.bincount(np.ceil(need * STEPS).astype(np.int64), minlength=STEPS + 1)
-        yield pa.record_batch([pa.array(np.flatnonzero(total)), pa.array(total[total > 0])], ["step", "n"])
+                np.add.at(total, (np.array([r.at for r in rows])[i], np.ceil(need * STEPS).astype(np.int64)), 1)
+        at, step = np.nonzero(total)
+        yield pa.record_batch([pa.array(at), pa.array(step), pa.array(total[at, step])], ["at", "step", "n"])
 
     if target >= 1:
         return radius2
     least = radius2 * 4 / max((d for _, d in by), default=1)
-    found = sorted((r.step, r.n) for r in merged.select("rep", "label", "vec").mapInArrow(near, "step long, n long").groupBy("step").agg(F.sum("n").alias("n")).collect())
-    total, seen = sum(n for _, n in found), 0
-    for step, n in found:
-        seen += n
-        if seen >= target * total:
+    found = merged.select("rep", "label", "vec").mapInArrow(near, "at long, step long, n long").groupBy("at", "step").agg(F.sum("n").alias("n")).collect()
+    links, weight = Counter(), Counter()
+    for r in found:  # at most a row for each probe and step
+        links[r.at] += r.n
+    for r in found:
+        weight[r.step] += r.n / links[r.at]
+    seen = 0.0
+    for step in sorted(weight):
+        seen += weight[step]
+        if seen >= target * len(links) - 1e-9:
             return min(radius2, max(least, radius2 * step / STEPS))
     return min(radius2, least)
 
 
-def _links(groups: DataFrame, threshold: float) -> DataFrame:
-    """Of rows (key, side, rep, n, vec) sorted by key: (a, links) for each asking vector, and (a, b) that join what is linked."""
+def _links(groups: DataFrame, books: dict[int, tuple[np.ndarray, np.ndarray]], radius2: float, threshold: float) -> DataFrame:
+    """Of rows (key, side, rep, n, home, vec) sorted by key: (a, links) that each vector gains, and (a, b) that join what is linked.
+
+    A link found by one of its ends counts for both: the vector that asks always counts it, the one that is held only if it
+    does not visit the home of the other, where it would find it itself.
+    """
 
     def block(ask: tuple, held: tuple) -> tuple[list, list, list]:
-        (ra, _, xa), (rb, nb, xb) = ask, held
+        (ra, n_a, home, xa), (rb, nb, _, xb) = ask, held
         linked = (xa @ xb.T >= threshold) & (ra[:, None] != rb[None, :])
         count = linked @ nb
+        d = xb.shape[1]
+        c1, c2 = books.get(d, (np.zeros((1, d // 2)), np.zeros((1, d - d // 2))))
+        b1, b2 = bounds(xb[:, : d // 2], c1)[1], bounds(xb[:, d // 2 :], c2)[1]
+        finds = (b1[:, home // 65536] + b2[:, home % 65536] <= radius2).T
+        back = (linked & ~finds).T @ n_a
         la, lb = ra.copy(), rb.copy()
         big = np.iinfo(np.int64).max
         while True:  # smallest vector of each component within the block
@@ -150,21 +167,22 @@ def _links(groups: DataFrame, threshold: float) -> DataFrame:
             la, lb = na, n2
         ids, low = np.concatenate([ra, rb]), np.concatenate([la, lb])
         joined = low != ids
-        some = count > 0
-        return [*ra[some], *ids[joined]], [*[None] * int(some.sum()), *low[joined]], [*count[some], *[None] * int(joined.sum())]
+        some, more = count > 0, back > 0
+        gained = [*ra[some], *rb[more]]
+        return [*gained, *ids[joined]], [*[None] * len(gained), *low[joined]], [*count[some], *back[more], *[None] * int(joined.sum())]
 
     def whole(t: pa.Table) -> pa.RecordBatch:
         key, side = t.column("key").combine_chunks(), t.column("side").to_numpy()
         codes = key.dictionary_encode().indices.to_numpy()
         cut = np.flatnonzero(np.diff(codes)) + 1
-        rep, n = t.column("rep").to_numpy(), t.column("n").to_numpy()
+        rep, n, home = (t.column(c).to_numpy() for c in ("rep", "n", "home"))
         vec = t.column("vec").combine_chunks()
         out: tuple[list, list, list] = ([], [], [])
         for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(codes)], strict=True):
             mid = lo + int(np.searchsorted(side[lo:hi], 1))
             if lo < mid < hi:
                 x = unit(vec.slice(lo, hi - lo))
-                for into, more in zip(out, block((rep[mid:hi], None, x[mid - lo :]), (rep[lo:mid], n[lo:mid], x[: mid - lo])), strict=True):
+                for into, more in zip(out, block((rep[mid:hi], n[mid:hi], home[mid:hi], x[mid - lo :]), (rep[lo:mid], n[lo:mid], home[lo:mid], x[: mid - lo])), strict=True):
                     into.extend(more)
         return pa.record_batch([pa.array(x, pa.int64()) for x in out], ["a", "b", "links"])
 
@@ -194,7 +212,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, target: fl
     blocks, so that a cell of many vectors is spread over many tasks and is never emitted as pairs.
     Returns vec_id, n_links, component_id, kept for every row. Vectors that are null, empty, zero, or hold null
     or non-finite numbers, null ids, and rows with a null label have no links and are their own component;
-    vectors of different lengths never link. Ids are taken as unique; a repeated row counts as another vector.
+    vectors of different lengths never link. Ids are taken as unique; a repeated row counts as another vector. An empty
+    table gives no rows; very long vectors are compared whole; other columns of any name are ignored. ``n_links`` has two
+    ends: a link that either vector finds counts for both.
     """
     bad = F.exists(vector_col, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     zero = ~F.exists(vector_col, lambda x: x != 0)
@@ -219,16 +239,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, target: fl
     found = _index(merged.select("rep", "n", "vec", "label"), books, stop)
     found = written(found.withColumn("dim", F.size("vec")), "index")
     cell = ["label", "dim", "cell"]
-    held = found.select("label", "dim", F.col("home").alias("cell"), "rep", "n", "vec")
-    ask = found.select("label", "dim", F.explode("cells").alias("cell"), "rep", "n", "vec")
+    held = found.select("label", "dim", F.col("home").alias("cell"), "rep", "n", "home", "vec")
+    ask = found.select("label", "dim", F.explode("cells").alias("cell"), "rep", "n", "home", "vec")
     blocks = lambda df, name: df.groupBy(*cell).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
     grid = blocks(held, "gh").join(blocks(ask, "ga"), cell)
     split = lambda df, own, other, side: df.join(grid, cell).select(
-        *cell, "rep", "n", "vec", F.lit(side).alias("side"), F.pmod(F.xxhash64("rep"), F.col(own)).alias("own"), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("other")
+        *cell, "rep", "n", "home", "vec", F.lit(side).alias("side"), F.pmod(F.xxhash64("rep"), F.col(own)).alias("own"), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("other")
     )
-    named = lambda df, h, a: df.select(F.concat_ws("|", "label", "dim", "cell", h, a).alias("key"), "side", "rep", "n", "vec")
+    named = lambda df, h, a: df.select(F.concat_ws("|", "label", "dim", "cell", h, a).alias("key"), "side", "rep", "n", "home", "vec")
     both = named(split(held, "gh", "ga", 0), "own", "other").union(named(split(ask, "ga", "gh", 1), "other", "own"))
-    links = written(_links(both.repartition("key").sortWithinPartitions("key", "side"), threshold), "links")
+    links = written(_links(both.repartition("key").sortWithinPartitions("key", "side"), books, stop, threshold), "links")
 
     count = links.where("links is not null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("more"))
     parts = components(links.where("b is not null").select("a", "b"))
