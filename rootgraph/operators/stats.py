@@ -114,14 +114,40 @@ def kde(values: DataFrame, value: str, grid: list[float]) -> DataFrame:
     return sums.select(F.posexplode("d").alias("k", "s")).select(F.array(*map(F.lit, grid))[F.col("k")].alias("x"), (F.col("s") / (n * width * math.sqrt(2 * math.pi))).alias("density"))
 
 
-def kde_2d(values: DataFrame, x: str, y: str, grid_x: list[float], grid_y: list[float]) -> DataFrame:
-    """(x, y, density) of a product-kernel estimate with Scott's bandwidths."""
-    r = values.agg(F.count("*"), F.stddev_samp(x), F.stddev_samp(y)).first()
+def kde_2d(values: DataFrame, x: str, y: str, grid_x: list[float], grid_y: list[float], bins: int | None = None) -> DataFrame:
+    """(x, y, density) of a product-kernel estimate with Scott's bandwidths on a grid (lists of a config's size).
+
+    With ``bins`` values are first shared out to the nodes of a lattice of bins by bins over their range, each to the four
+    around it in proportion to nearness, by four sums a cell. The kernel then runs over nodes, along one axis and then the
+    other, so that rows are read once and never meet the grid. Moving weight to nodes d apart changes the density by at
+    most dx^2 / (8 hx^2) + dy^2 / (8 hy^2) of the kernel's peak, 1 / (2 pi hx hy). Without, every row meets every grid point.
+    Values differ in both columns; rows with a null do not count.
+    """
+    values = values.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    r = values.agg(F.count("*"), F.stddev_samp(x), F.stddev_samp(y), F.min(x), F.max(x), F.min(y), F.max(y)).first()
+    if not r[1] or not r[2]:
+        raise ValueError("a density needs values that differ")
     hx, hy = (s * r[0] ** (-1 / 6) for s in (r[1], r[2]))
     spark = values.sparkSession
-    grid = spark.createDataFrame([(a, b) for a in grid_x for b in grid_y], "gx double, gy double")
-    term = F.exp(-(F.pow((F.col("gx") - F.col(x)) / hx, 2) + F.pow((F.col("gy") - F.col(y)) / hy, 2)) / 2)
-    return values.select(x, y).join(F.broadcast(grid)).groupBy("gx", "gy").agg((F.sum(term) / (r[0] * hx * hy * 2 * math.pi)).alias("density")).toDF("x", "y", "density")
+    if bins is None:
+        grid = spark.createDataFrame([(a, b) for a in grid_x for b in grid_y], "gx double, gy double")
+        term = F.exp(-(F.pow((F.col("gx") - F.col(x)) / hx, 2) + F.pow((F.col("gy") - F.col(y)) / hy, 2)) / 2)
+        return values.select(x, y).join(F.broadcast(grid)).groupBy("gx", "gy").agg((F.sum(term) / (r[0] * hx * hy * 2 * math.pi)).alias("density")).toDF("x", "y", "density")
+    if bins < 2:
+        raise ValueError("a lattice has at least two nodes a side")
+    (x0, dx), (y0, dy) = ((low, (high - low) / (bins - 1)) for low, high in ((r[3], r[4]), (r[5], r[6])))
+    place = lambda c, low, d: F.least(F.floor((F.col(c) - low) / d), F.lit(bins - 2)).cast("int")
+    off = lambda c, low, d: (F.col(c) - low) / d - place(c, low, d)
+    fx, fy = off(x, x0, dx), off(y, y0, dy)
+    cells = values.groupBy(place(x, x0, dx).alias("i"), place(y, y0, dy).alias("j")).agg(F.count("*").alias("n"), F.sum(fx).alias("sx"), F.sum(fy).alias("sy"), F.sum(fx * fy).alias("sxy"))
+    n, sx, sy, sxy = map(F.col, ("n", "sx", "sy", "sxy"))
+    share = lambda a, b, w: F.struct((F.col("i") + a).alias("i"), (F.col("j") + b).alias("j"), w.alias("w"))
+    nodes = cells.select(F.explode(F.array(share(0, 0, n - sx - sy + sxy), share(1, 0, sx - sxy), share(0, 1, sy - sxy), share(1, 1, sxy))).alias("s")).groupBy("s.i", "s.j").agg(F.sum("s.w").alias("w"))
+    along = lambda grid: F.explode(F.array(*map(F.lit, grid)))
+    kernel = lambda g, at, low, d, h: F.exp(-F.pow((F.col(g) - (low + F.col(at) * d)) / h, 2) / 2)
+    rows = nodes.withColumn("gx", along(grid_x)).groupBy("gx", "j").agg(F.sum(F.col("w") * kernel("gx", "i", x0, dx, hx)).alias("w"))
+    out = rows.withColumn("gy", along(grid_y)).groupBy("gx", "gy").agg((F.sum(F.col("w") * kernel("gy", "j", y0, dy, hy)) / (r[0] * hx * hy * 2 * math.pi)).alias("density"))
+    return out.toDF("x", "y", "density")
 
 
 def density_levels(density: DataFrame, masses: list[float]) -> DataFrame:

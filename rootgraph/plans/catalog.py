@@ -607,6 +607,24 @@ def kde_hdr(spark: SparkSession, sf: str) -> DataFrame:
     return stats.density_levels(d, [0.5, 0.8, 0.95]).withColumn("threshold", F.round("threshold", 9))
 
 
+_BINS = 64
+
+
+@query(
+    f"""WITH v AS (SELECT c_acctbal / 1000 AS x, (c_custkey % 97)::DOUBLE AS y FROM customer), s AS (SELECT count(*) AS n, stddev_samp(x) * count(*) ** (-1.0 / 6) AS hx, stddev_samp(y) * count(*) ** (-1.0 / 6) AS hy,
+min(x) AS x0, (max(x) - min(x)) / {_BINS - 1} AS dx, min(y) AS y0, (max(y) - min(y)) / {_BINS - 1} AS dy FROM v),
+p AS (SELECT least(floor((x - x0) / dx), {_BINS - 2}) AS i, least(floor((y - y0) / dy), {_BINS - 2}) AS j, (x - x0) / dx - least(floor((x - x0) / dx), {_BINS - 2}) AS fx, (y - y0) / dy - least(floor((y - y0) / dy), {_BINS - 2}) AS fy FROM v, s),
+w AS (SELECT i, j, sum(w) AS w FROM (SELECT i, j, (1 - fx) * (1 - fy) AS w FROM p UNION ALL SELECT i + 1, j, fx * (1 - fy) FROM p UNION ALL SELECT i, j + 1, (1 - fx) * fy FROM p UNION ALL SELECT i + 1, j + 1, fx * fy FROM p) GROUP BY ALL),
+g AS (SELECT a AS gx, b * 10.0::DOUBLE AS gy FROM (SELECT unnest(range(-1, 11))::DOUBLE AS a), (SELECT unnest(range(0, 10)) AS b))
+SELECT gx AS x, gy AS y, round(sum(w * exp(-(((gx - (x0 + i * dx)) / hx) ** 2 + ((gy - (y0 + j * dy)) / hy) ** 2) / 2)) / (any_value(n) * any_value(hx) * any_value(hy) * 2 * pi()), 9) AS density FROM w, s, g GROUP BY gx, gy"""
+)
+def kde_binned(spark: SparkSession, sf: str) -> DataFrame:
+    """The density of two columns from a lattice, so that rows do not meet the grid."""
+    v = table(spark, sf, "customer").select((F.col("c_acctbal") / 1000).alias("x"), (F.col("c_custkey") % 97).cast("double").alias("y"))
+    d = stats.kde_2d(v, "x", "y", [float(i) for i in range(-1, 11)], [10.0 * i for i in range(10)], _BINS)
+    return d.withColumn("density", F.round("density", 9))
+
+
 @query("WITH r AS (SELECT count(o_totalprice) AS n, min(o_totalprice) AS lo, max(o_totalprice) AS hi, quantile_cont(o_totalprice, 0.75) - quantile_cont(o_totalprice, 0.25) AS iqr FROM orders), k AS (SELECT lo, (hi - lo) / greatest(1, ceil((hi - lo) / (2 * iqr / n ** (1.0 / 3)))) AS w, greatest(1, ceil((hi - lo) / (2 * iqr / n ** (1.0 / 3)))) AS k FROM r) SELECT bin::INT AS bin, round(bin * w + lo, 6) AS lower, round((bin + 1) * w + lo, 6) AS upper, count(*) AS count FROM (SELECT least(floor((o_totalprice - lo) / w), k - 1) AS bin, w, lo FROM orders, k) GROUP BY bin, w, lo")
 def hist_fd(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(stats.histogram_fd(table(spark, sf, "orders"), "o_totalprice"))

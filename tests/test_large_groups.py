@@ -143,3 +143,23 @@ def test_mixtures_of_awkward_values(spark):
         mixtures.mixtures(same, "k", "v", (1, 3), 2)
     with pytest.raises(ValueError):
         mixtures.mixtures(same.where("false"), "k", "v", (1, 2), 2)
+
+
+def test_binned_density_is_within_its_bound(spark):
+    r = random.Random(4)
+    data = [(r.gauss(0, 1), r.choice([r.gauss(-3, 0.5), r.gauss(2, 1)])) for _ in range(1500)]
+    df = spark.createDataFrame([*data, (None, 1.0)], "x double, y double")
+    grid = [k / 2 for k in range(-8, 9)]
+    a = np.array(data)
+    exact = {(p.x, p.y): p.density for p in stats.kde_2d(df, "x", "y", grid, grid).collect()}
+    h = a.std(axis=0, ddof=1) * len(a) ** (-1 / 6)
+    for bins in (24, 200):
+        d = (a.max(axis=0) - a.min(axis=0)) / (bins - 1)
+        bound = sum(d * d / (8 * h * h)) / (2 * math.pi * h[0] * h[1])
+        near = stats.kde_2d(df, "x", "y", grid, grid, bins).collect()
+        assert len(near) == len(exact)
+        assert max(abs(p.density - exact[p.x, p.y]) for p in near) <= bound
+    with pytest.raises(ValueError):
+        stats.kde_2d(df, "x", "y", grid, grid, 1)
+    with pytest.raises(ValueError):
+        stats.kde_2d(df.withColumn("y", F.lit(1.0)), "x", "y", grid, grid)
