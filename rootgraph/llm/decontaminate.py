@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rootgraph.llm.common import table
-from rootgraph.llm.kernels import U64, pieces, ragged, words
+from rootgraph.llm.common import table, written
+from rootgraph.llm.kernels import U64, lists, mix, pieces, prefix_hash, ragged, span_hash, words
 
 WINDOW = 10
-#: bytes of benchmark text in one index; more text makes more indexes, each of bounded size
+#: bytes of benchmark text up to which its index is given to every task; more is joined
 BLOCK_BYTES = 16 << 20
+#: size of the filter of a join, 2^27 bits or 16 MB, and the bits of a key in it
+FILTER_BITS, FILTER_HASHES = 27, 4
 #: candidate windows verified at once
 STRIDE = 1 << 20
 
@@ -98,18 +100,6 @@ class Windows:
                 i = j
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[object, str]]]:
-    block, size = [], 0
-    for r in benchmark.select(F.col(item_col).alias("i"), F.col(text_col).alias("t")).where("t is not null").toLocalIterator():
-        block.append((r.i, r.t))
-        size += len(r.t)
-        if size >= BLOCK_BYTES:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
-
-
 def _corpus_counts(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
     """How often each word hash of the vocabulary occurs in all texts."""
 
@@ -126,33 +116,42 @@ def _corpus_counts(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", most: int = BLOCK_BYTES) -> DataFrame:
     """Which words of each document lie inside a window of ``width`` consecutive words of a benchmark item.
 
     Words of a window are ordered by rarity in the corpus; as the whole window must occur, its prefix is the
-    one rarest word, which alone is joined with the documents' words; positional and length bounds place the
-    window, which is then verified word by word. The benchmark is indexed in blocks of bounded size.
+    one rarest word, which alone is looked for in the documents; positional and length bounds place the
+    window, which is then verified word by word. A benchmark of at most ``most`` bytes of text is one index of bounded
+    size that every task gets; a larger one is joined as a table (``joined``).
     Returns doc_id, n_words, n_hit, n_items, items_sha256, contaminated, one row for each row of ``docs``.
     Null, empty and wordless texts have no words and are clean; an item of fewer words than ``width``, but
     not none, is one window; null item ids still hit words but are not named. Repeated rows are each
-    answered; an empty benchmark hits nothing; other columns are ignored.
+    answered; an empty benchmark hits nothing; other columns are ignored. Words are compared by 64-bit hashes: of n
+    different words of the texts and m of the benchmark, any two meet with odds of at most n m / 2^64, and a wrong
+    hit needs that for a word whose neighbours are all right.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    shared = []
-    for block in _blocks(benchmark, item_col, text_col):
-        index = Windows(block, width)
-        if len(index.words):
-            index.order(_corpus_counts(docs, index.vocabulary))
-            shared.append(spark.sparkContext.broadcast(index))
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("text is not null")
+    size = items.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    out = scanned(docs, items, width) if size <= most else joined(docs, items, width)
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def scanned(docs: DataFrame, items: DataFrame, width: int) -> DataFrame:
+    """(doc_id, n_words, n_hit, items) with one index of all items, whose text the caller has measured."""
+    index = Windows([(r.item, r.text) for r in items.collect()], width)  # at most ``BLOCK_BYTES`` of text
+    shared = None
+    if len(index.words):
+        index.order(_corpus_counts(docs, index.vocabulary))
+        shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, start, end in pieces(batches):
             h, first, last = words(data, start, end)
             edge = np.zeros(len(h) + 1, np.int32)
             named: list[set[str]] = [set() for _ in start]
-            for b in shared:
-                index = b.value
+            if shared is not None:
+                index = shared.value
                 for row, at, win in index.occurrences(h, first, last):
                     np.add.at(edge, at, 1)
                     np.add.at(edge, at + index.size[win], -1)
@@ -161,8 +160,152 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, id
             hit = np.concatenate([[0], np.cumsum(np.cumsum(edge[:-1]) > 0)])
             yield pa.record_batch([batch.column(0), pa.array(last - first, pa.int64()), pa.array(hit[last] - hit[first], pa.int64()), pa.array([sorted(x) for x in named], pa.list_(pa.string()))], ["doc_id", "n_words", "n_hit", "items"])
 
-    out = docs.mapInArrow(scan, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_hit long, items array<string>")
-    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    return docs.mapInArrow(scan, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_hit long, items array<string>")
+
+
+def _signed(h: np.ndarray, count: np.ndarray) -> pa.ListArray:
+    return lists(h.view(np.int64), count, pa.int64())
+
+
+def _windows(items: DataFrame, width: int) -> DataFrame:
+    """(item, words): every window of every item, as word hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, start, end in pieces(batches):
+            h, first, last = words(data, start, end)
+            n = last - first
+            count = np.where(n >= width, n - width + 1, np.minimum(n, 1))
+            at = np.repeat(first, count) + ragged(count)
+            size = np.repeat(np.minimum(n, width), count)
+            row = np.repeat(np.arange(len(n)), count)
+            yield pa.record_batch([batch.column(0).take(pa.array(row)), _signed(h[np.repeat(at, size) + ragged(size)], size)], ["item", "words"])
+
+    return items.mapInArrow(run, "item string, words array<bigint>")
+
+
+def _word_counts(docs: DataFrame) -> DataFrame:
+    """(word, n) of all word hashes of all texts, summed in each task before they move."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            word, at = np.unique(np.concatenate([w for w, _ in held]), return_inverse=True)
+            n = np.bincount(at, np.concatenate([c for _, c in held]), len(word)).astype(np.int64)
+            return pa.record_batch([pa.array(word.view(np.int64)), pa.array(n)], ["word", "n"])
+
+        for _, data, start, end in pieces(batches):
+            held.append(np.unique(words(data, start, end)[0], return_counts=True))
+            size += len(held[-1][0])
+            if size > STRIDE:
+                yield out()
+                held, size = [], 0
+        if size:
+            yield out()
+
+    return docs.select("text").mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def _places(keys: np.ndarray) -> list[np.ndarray]:
+    """The bits of the filter that belong to each key."""
+    return [(mix(keys + U64(k)) >> U64(64 - FILTER_BITS)).astype(np.int64) for k in range(FILTER_HASHES)]
+
+
+def _filter(keys: DataFrame) -> np.ndarray:
+    """A Bloom filter of 2^FILTER_BITS bits of the column key, whatever its rows; tasks make it slice by slice."""
+    slices = 1 << 7
+    own = 1 << (FILTER_BITS - 7)
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.unique(np.concatenate(_places(batch.column(0).to_numpy().view(U64))))
+            yield pa.record_batch([pa.array(at // own, pa.int32()), pa.array(at % own, pa.int32())], ["slice", "at"])
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            s, at = (batch.column(i).to_numpy() for i in (0, 1))
+            for k in np.unique(s):
+                held.setdefault(int(k), np.zeros(own, bool))[at[s == k]] = True
+        for k, b in held.items():
+            yield pa.record_batch([pa.array([k], pa.int32()), pa.array([np.packbits(b).tobytes()], pa.binary())], ["slice", "bits"])
+
+    out = np.zeros((slices, own // 8), np.uint8)
+    for r in keys.mapInArrow(bits, "slice int, at int").distinct().repartition(slices, "slice").mapInArrow(part, "slice int, bits binary").collect():  # 2^FILTER_BITS bits
+        out[r.slice] |= np.frombuffer(r.bits, np.uint8)
+    return out.reshape(-1)
+
+
+def joined(docs: DataFrame, items: DataFrame, width: int) -> DataFrame:
+    """(doc_id, n_words, n_hit, items) by a join of tables, for benchmarks of any size.
+
+    Each distinct window is keyed by up to three words around its rarest one. Documents are read once: a Bloom filter of a
+    fixed size lets through the places whose key may be that of a window, with the words around, and these alone are
+    joined with the windows and compared word by word. The filter decides what moves, never the result.
+    """
+    held = written(_windows(items, width), "windows")
+    windows = written(held.select("words").distinct().withColumn("win", F.monotonically_increasing_id()), "distinct")
+    of_item = written(held.where("item is not null").distinct().join(windows, "words").select("win", "item"), "items")
+    each = windows.select("win", F.posexplode("words").alias("at", "word"))
+    counts = _word_counts(docs).join(each.select("word").distinct(), "word")
+    rare = each.join(counts, "word", "left").groupBy("win").agg(F.min_by("at", F.struct(F.coalesce("n", F.lit(0)), "word", "at")).alias("at"))
+    size = F.size("words")
+    first = F.greatest(F.lit(0), F.least(F.col("at") - 1, size - 3))
+    keyed = windows.join(rare, "win").select("win", "words", first.alias("first"), F.least(size, F.lit(3)).alias("span"))
+    keyed = written(keyed.withColumn("key", F.xxhash64(F.slice("words", F.col("first") + 1, F.col("span")))), "keyed")
+    spans = [r.span for r in keyed.select("span").distinct().collect()]  # 1, 2 or 3
+    kernel_key = _kernel_keys(keyed)
+    shared = docs.sparkSession.sparkContext.broadcast(_filter(kernel_key.select("hash")))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch, data, start, end in pieces(batches):
+            h, begin, last = words(data, start, end)
+            row = np.repeat(np.arange(len(start)), last - begin)
+            pre, at_all, n_all = prefix_hash(h), [], []
+            for n in spans:
+                at = np.arange(max(0, len(h) - n + 1))
+                at = at[at + n <= last[row[at]]]
+                hit = np.ones(len(at), bool)
+                for p in _places(span_hash(pre, at, at + n)):
+                    hit &= (bits[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1 > 0
+                at_all.append(at[hit])
+                n_all.append(np.full(int(hit.sum()), n))
+            at, n = np.concatenate([*at_all, np.zeros(0, np.int64)]).astype(np.int64), np.concatenate([*n_all, np.zeros(0, np.int64)])
+            order = np.argsort(row[at], kind="stable") if len(at) else at
+            at, n = at[order], n[order]
+            lo, hi = np.maximum(at - width, begin[row[at]]), np.minimum(at + width, last[row[at]])
+            around = _signed(h[np.repeat(lo, hi - lo) + ragged(hi - lo)], hi - lo)
+            place = pa.StructArray.from_arrays([pa.array(at - begin[row[at]], pa.int64()), pa.array(at - lo, pa.int32()), pa.array(n, pa.int32()), around], ["at", "off", "span", "around"])
+            off = np.searchsorted(row[at], np.arange(len(start) + 1)).astype(np.int32)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(last - begin, pa.int64()), pa.ListArray.from_arrays(pa.array(off), place)], ["row", "doc_id", "n_words", "places"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    rows = written(rows.mapInArrow(scan, f"row long, doc_id {kind}, n_words long, places array<struct<at:bigint,off:int,span:int,around:array<bigint>>>"), "places")
+    places = rows.select("row", F.explode("places").alias("p")).select("row", "p.*")
+    places = places.withColumn("key", F.xxhash64(F.slice("around", F.col("off") + 1, F.col("span"))))
+    met = places.join(keyed, ["key", "span"]).withColumn("start", F.col("off") - F.col("first"))
+    met = met.where((F.col("start") >= 0) & (F.col("start") + size <= F.size("around"))).where(F.slice("around", F.greatest(F.col("start"), F.lit(0)) + 1, size) == F.col("words"))
+    occurs = written(met.select("row", "win", (F.col("at") - F.col("first")).alias("at"), size.alias("size")).distinct(), "occurrences")
+    hit = occurs.select("row", "at", "size").distinct().select("row", F.explode(F.sequence("at", F.col("at") + F.col("size") - 1)).alias("word")).distinct().groupBy("row").agg(F.count("*").alias("n_hit"))
+    named = occurs.select("row", "win").distinct().join(of_item, "win").groupBy("row").agg(F.collect_set("item").alias("items"))
+    out = rows.drop("places").join(hit, "row", "left").join(named, "row", "left")
+    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+
+def _kernel_keys(keyed: DataFrame) -> DataFrame:
+    """The keys' words hashed as the scan of documents hashes them: column hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = batch.column(0)
+            h = key.flatten().to_numpy(zero_copy_only=False).view(U64)
+            size = np.asarray(pc.list_value_length(key)).astype(np.int64)
+            end = np.cumsum(size)
+            yield pa.record_batch([pa.array(span_hash(prefix_hash(h), end - size, end).view(np.int64))], ["hash"])
+
+    return keyed.select(F.slice("words", F.col("first") + 1, F.col("span")).alias("k")).distinct().mapInArrow(run, "hash bigint")
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
