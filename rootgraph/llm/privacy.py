@@ -21,6 +21,8 @@ _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 #: a term reveals an entity if its information on it is at least this share of the entity's own, and documents where both must stand together
 DISCLOSURE, TOGETHER = 0.9, 2
 TERM = r"[\p{L}\p{N}]+"
+#: terms beyond every bound that are dropped before a join, the most frequent first
+FREQUENT = 10_000
 GENERAL = {"number": "NUMBER", "word": ""}
 
 
@@ -93,23 +95,29 @@ def disclosing(found: DataFrame, docs: DataFrame, share: float, together: int) -
 
     With N documents, an entity e in df(e) of them carries log(N / df(e)); a term t that stands in df(e, t) of these and
     in df(t) documents in all gives log(N df(e, t) / (df(e) df(t))) of that away. All counts are of documents, over
-    whole texts. Pairs are summed before they move, and keyed by entity and term, so a hot entity is spread over its terms.
+    whole texts. As df(e, t) is df(e) at most, a term can disclose e only if df(t) <= N^(1 - share) df(e)^share, so terms are
+    counted first and only those within that bound meet the entities of their documents. Pairs are summed before they
+    move, and keyed by entity and term, so a hot entity is spread over its terms.
     """
+    n = docs.count()
     held = found.select("doc_id", F.explode("entities").alias("entity")).distinct()
-    of_entity = written(held.groupBy("entity").agg(F.count("*").alias("d_e")).where(F.col("d_e") >= together), "counts")
+    of_entity = written(held.groupBy("entity").agg(F.count("*").alias("d_e")).where(F.col("d_e").between(together, n - 1)), "counts")
+    bound = lambda d: F.pow(F.lit(float(max(n, 1))), 1 - share) * F.pow(d.cast("double"), share) * (1 + 1e-9)
+    most = of_entity.agg(bound(F.max("d_e"))).first()[0] or 0.0
     # an entity of too few documents has no pair that counts
-    held = held.join(of_entity.select("entity"), "entity").groupBy("doc_id").agg(F.collect_set("entity").alias("entities"))
-    whole = docs.where("text is not null").join(held, "doc_id").groupBy("doc_id").agg(F.first("entities").alias("entities"), F.array_distinct(F.flatten(F.collect_list(terms_of(F.col("text"))))).alias("terms"))
-    whole = written(whole, "whole")
-    each = whole.select("doc_id", "terms", F.explode("entities").alias("entity")).select("doc_id", "entity", F.explode("terms").alias("term")).where(F.length("term") > 1)
-    n = docs.count()
-    pair = each.groupBy("entity", "term").agg(F.count("*").alias("d_et")).where(F.col("d_et") >= together)
-    pair = written(pair.join(of_entity, "entity"), "pairs")
-    terms = docs.select(F.explode(terms_of(F.col("text"))).alias("term"))
-    # an inner join stays above the counts, which are summed before they move; a semi join would be pushed below them
-    of_term = terms.groupBy("term").agg(F.count("*").alias("d_t")).join(pair.select("term").distinct(), "term")
+    held = held.join(of_entity, "entity").groupBy("doc_id").agg(F.collect_set(F.struct("entity", "d_e")).alias("entities"))
+    held = written(held, "held")
+    terms = docs.select(F.explode(terms_of(F.col("text"))).alias("term")).where(F.length("term") > 1)
+    terms = written(terms.groupBy("term").agg(F.count("*").alias("d_t")).where(F.col("d_t") >= together), "terms")
+    # the most frequent of the terms beyond the bound are dropped where they stand; the rest fall away in the join
+    frequent = terms.where(F.col("d_t") > most).orderBy(F.col("d_t").desc(), "term").limit(FREQUENT).select("term")
+    whole = docs.where("text is not null").join(held.select("doc_id"), "doc_id").select("doc_id", F.explode(terms_of(F.col("text"))).alias("term"))
+    whole = whole.where(F.length("term") > 1).join(F.broadcast(frequent), "term", "left_anti").join(terms.where(F.col("d_t") <= most), "term")
+    whole = written(whole.groupBy("doc_id").agg(F.collect_set(F.struct("term", "d_t")).alias("terms")).join(held, "doc_id"), "whole")
+    each = whole.select("doc_id", "terms", F.explode("entities").alias("e")).select("doc_id", "e.*", F.explode(F.filter("terms", lambda t: t["d_t"] <= bound(F.col("e.d_e")))).alias("t")).select("doc_id", "entity", "d_e", "t.*")
+    pair = each.groupBy("entity", "term").agg(F.count("*").alias("d_et"), F.first("d_e").alias("d_e"), F.first("d_t").alias("d_t")).where(F.col("d_et") >= together)
     told = F.log(F.lit(float(n)) * F.col("d_et") / (F.col("d_e") * F.greatest("d_t", "d_et")))
-    over = written(pair.join(of_term, "term").where((F.col("d_e") < n) & (told >= share * F.log(F.lit(float(n)) / F.col("d_e")))).select("entity", "term"), "over")
+    over = written(pair.where(told >= share * F.log(F.lit(float(n)) / F.col("d_e"))).select("entity", "term"), "over")
     gone = each.join(over, ["entity", "term"]).groupBy("doc_id").agg(F.collect_set("term").alias("gone"))
     spans = spans_of(F.col("text"), TERM, lambda v: F.array_contains("gone", F.lower(v)))
     out = docs.where("text is not null").join(gone, "doc_id").select("doc_id", F.explode(spans).alias("t"))
