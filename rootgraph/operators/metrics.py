@@ -62,6 +62,48 @@ def deltas(rows: DataFrame, level: str, reference: str, keys: list[str], values:
     return joined.select(level, F.lit(reference).alias(f"reference_{level}"), *keys, *((F.col(v) - F.col(f"_{v}")).alias(f"delta_{v}") for v in values))
 
 
+def mean_deltas(differences: DataFrame, group: list[str], values: list[str]) -> DataFrame:
+    """(group..., mean of each delta_<value>) of the rows of ``deltas``."""
+    return differences.groupBy(*group).agg(*(F.avg(f"delta_{v}").alias(f"mean_delta_{v}") for v in values))
+
+
+def describe(rows: DataFrame, columns: list[str], few: int = FEW) -> DataFrame:
+    """(measure, count, mean, std, min, q25, median, q75, max) of each column."""
+    long = rows.select(*(F.col(c).cast("double").alias(c) for c in columns)).unpivot([], columns, "measure", "v")
+    values = [F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max")]
+    out = summary(long, ["measure"], values, {"q25": ("v", 0.25), "median": ("v", 0.5), "q75": ("v", 0.75)}, few, keep=True)
+    return out.select("measure", "count", "mean", "std", "min", "q25", "median", "q75", "max")
+
+
+def batch_audit(manifest: DataFrame, key: str, batch: str = "batch") -> DataFrame:
+    """How rows are spread over batches: ``describe`` of n_products and unique_products of a batch."""
+    sizes = manifest.groupBy(batch).agg(F.count("*").alias("n_products"), F.count_distinct(key).alias("unique_products"))
+    return describe(sizes, ["n_products", "unique_products"])
+
+
+#: distances of a pair of ids by the kind of pair (fixed values)
+PAIR_TYPES = {"within_1": "within the first", "within_2": "within the second", "cross_mean_distance": "across"}
+
+
+def pair_types(controlled: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., descriptor, pair_type, distance): the controlled distances of pairs as rows."""
+    long = controlled.unpivot([*keys, "descriptor"], list(PAIR_TYPES), "pair_type", "distance")
+    return long.withColumn("pair_type", F.coalesce(*(F.when(F.col("pair_type") == k, v) for k, v in PAIR_TYPES.items())))
+
+
+def pair_type_summary(rows: DataFrame, few: int = FEW) -> DataFrame:
+    """(descriptor, pair_type, n, mean, median, std) of ``pair_types``."""
+    out = summary(rows, ["descriptor", "pair_type"], [F.count("distance").alias("n"), F.avg("distance").alias("mean"), F.stddev_samp("distance").alias("std")], {"median": ("distance", 0.5)}, few)
+    return out.select("descriptor", "pair_type", "n", "mean", "median", "std")
+
+
+def pair_type_differences(rows: DataFrame, keys: list[str], reference: str, few: int = FEW) -> DataFrame:
+    """(descriptor, pair_type, n, mean, median, std) of each descriptor's distance less that of the reference descriptor, for the same pair."""
+    base = rows.where(F.col("descriptor") == reference).select(*keys, "pair_type", F.col("distance").alias("_base"))
+    more = rows.where(F.col("descriptor") != reference).join(base, [*keys, "pair_type"]).withColumn("distance", F.col("distance") - F.col("_base"))
+    return pair_type_summary(more.select("descriptor", "pair_type", "distance"), few)
+
+
 def distances(rows: DataFrame, group: list[str], value: str, few: int = FEW) -> DataFrame:
     """n, mean, median, std and quartiles of a value for each group."""
     out = summary(rows, group, [F.count("*").alias("n_pairs"), F.avg(value).alias("mean_distance"), F.stddev_samp(value).alias("std_distance")], {"median_distance": (value, 0.5), "q25_distance": (value, 0.25), "q75_distance": (value, 0.75)}, few)

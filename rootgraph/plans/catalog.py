@@ -361,6 +361,20 @@ def representative_sample(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(r.join(chosen, ["i", "j"]).select("aggregation", "batch", "i", "j", "predicted", "similarity"))
 
 
+@query("WITH " + _SQL_BATCH + ", n AS (SELECT batch, count(*) AS n_products, count(DISTINCT vec_id) AS unique_products FROM bo GROUP BY batch), l AS (SELECT 'n_products' AS k, n_products::DOUBLE AS v FROM n UNION ALL SELECT 'unique_products', unique_products::DOUBLE FROM n)" + sql_rounded(" measure, count, *mean, *std, *min, *q25, *median, *q75, *max", "SELECT k AS measure, count(*) AS count, avg(v) AS mean, stddev_samp(v) AS std, min(v) AS min, quantile_cont(v, 0.25) AS q25, median(v) AS median, quantile_cont(v, 0.75) AS q75, max(v) AS max FROM l GROUP BY k"))
+def batch_audit(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(metrics.batch_audit(_batched(spark, sf), "vec_id"))
+
+
+_ERRORS = ["spearman", "pearson", "mae", "rmse"]
+
+
+@query(_SQL_BATCH_METRICS + " SELECT a.aggregation, " + ", ".join(f"round(avg(a.{c} - b.{c}), 6) + 0.0::DOUBLE AS mean_delta_{c}" for c in _ERRORS) + " FROM m a JOIN m b USING (batch) WHERE a.aggregation <> 'arithmetic' AND b.aggregation = 'arithmetic' GROUP BY a.aggregation")
+def mean_paired_difference(spark: SparkSession, sf: str) -> DataFrame:
+    rows = stored(_batch_metrics(spark, sf), "batches")
+    return rounded(metrics.mean_deltas(metrics.deltas(rows, "aggregation", "arithmetic", ["batch"], _ERRORS), ["aggregation"], _ERRORS))
+
+
 # ---- matched pairs: label is the scaffold, vec_id % 6 the position
 
 
@@ -509,6 +523,20 @@ def descriptor_comparison(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(summary(d, [], values, {"median_difference": ("d", 0.5)}, keep=True))
 
 
+_SQL_PAIR_TYPES = _SQL_CONTROLLED + ", pt AS (" + " UNION ALL ".join(f"SELECT i, j, descriptor, '{v}' AS pair_type, {k} AS distance FROM cs" for k, v in metrics.PAIR_TYPES.items()) + ")"
+_SPREAD = "count(*) AS n, round(avg({0}), 6) + 0.0::DOUBLE AS mean, round(median({0}), 6) + 0.0::DOUBLE AS median, round(stddev_samp({0}), 6) AS std"
+
+
+@query(_SQL_PAIR_TYPES + f" SELECT descriptor, pair_type, {_SPREAD.format('distance')} FROM pt GROUP BY ALL")
+def pair_type_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(metrics.pair_type_summary(metrics.pair_types(_controlled(spark, sf), ["i", "j"])))
+
+
+@query(_SQL_PAIR_TYPES + f" SELECT b.descriptor, b.pair_type, {_SPREAD.format('b.distance - a.distance')} FROM pt b JOIN pt a ON a.i = b.i AND a.j = b.j AND a.pair_type = b.pair_type WHERE a.descriptor = 'a' AND b.descriptor = 'b' GROUP BY ALL")
+def pair_type_differences(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(metrics.pair_type_differences(metrics.pair_types(_controlled(spark, sf), ["i", "j"]), ["i", "j"], "a"))
+
+
 _SQL_NEIGHBORS = (
     _SQL_TOPOLOGY
     + f""", lib AS (SELECT vec_id * 2 + t AS id, t, CASE WHEN t = 0 THEN b1 ELSE b2 END AS w, CASE WHEN t = 0 THEN vec_id ELSE vec_id + (SELECT count(*) FROM f) END AS pos FROM f, (SELECT unnest([0, 1]) AS t)),

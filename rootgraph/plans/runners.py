@@ -179,7 +179,9 @@ def run_library(spark: SparkSession, source: str | DataFrame, config: Config = C
     results = {
         "per_batch_metrics": found,
         "descriptor_summary": found.groupBy("descriptor", "aggregation").agg(F.count("*").alias("n_batches"), F.sum("n_products").alias("n_products_total"), F.sum("n_pairs").alias("n_pairs_total"), *metrics.spread(values)),
-        "paired_descriptor_differences": metrics.deltas(found, "descriptor", REFERENCE, ["aggregation", "batch"], values),
+        "paired_descriptor_differences": (paired := metrics.deltas(found, "descriptor", REFERENCE, ["aggregation", "batch"], values)),
+        "mean_descriptor_differences": metrics.mean_deltas(paired, ["descriptor", "aggregation"], values),
+        "batch_audit": metrics.batch_audit(data, "product_id"),
         "batch_manifest": data.select("batch", "within_batch_order", "product_id", "source_row", "BB1", "BB2"),
         "representative_pair_samples": first.join(chosen, ["i", "j"]).select("descriptor", "aggregation", "batch", "predicted", "similarity"),
         "dataset_summary": tables.cartesian(data, "BB1", "BB2"),
@@ -240,6 +242,7 @@ def run_topology(spark: SparkSession, source: str | DataFrame, columns: tuple[st
     asked = near.groupBy("descriptor", "i", "k").agg(F.avg("same").alias("same_topology_fraction"), F.count("*").alias("effective_k"))
     fitted = mixtures(flat, "ID", "rooted_wl_minus_reference", config.components, config.primary, config.seed)
     names = data.select("ID", *columns[1:])
+    types = metrics.pair_types(c, ["pair_number"])
     long = flat.unpivot("ID", [*every, *(f"{d}_minus_reference" for d in others)], "descriptor", "d")
     results = {
         "dataset_summary": data.agg(F.count("*").alias("n_ids"), F.count_distinct("ID").alias("n_distinct")),
@@ -249,6 +252,8 @@ def run_topology(spark: SparkSession, source: str | DataFrame, columns: tuple[st
         "controlled_pair_distances": c,
         "topology_separation_summary": metrics.separations(c, ["descriptor"]),
         "descriptor_comparison": summary(more, ["descriptor"], [F.avg("d").alias("mean_separation_difference"), F.avg((F.col("d") > 0).cast("double")).alias("fraction_greater_separation"), metrics.effect_size("d").alias("paired_effect_size_difference")], {"median_separation_difference": ("d", 0.5)}),
+        "pair_type_summary": metrics.pair_type_summary(types),
+        "pair_type_differences": metrics.pair_type_differences(types, ["pair_number"], REFERENCE),
         "neighbor_query_results": asked,
         "neighbor_summary": summary(asked, ["descriptor", "k"], [F.count("*").alias("n_queries"), F.avg("same_topology_fraction").alias("mean"), F.stddev_samp("same_topology_fraction").alias("std")], {"median": ("same_topology_fraction", 0.5)}, keep=True),
         **{f"ranked_{d}_gain": _ranked(flat, [F.col(f"{d}_minus_reference").desc(), "ID"], config.ranking, names, {"ID": ""}) for d in others},

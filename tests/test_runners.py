@@ -63,6 +63,9 @@ def test_library(spark, tmp_path):
     assert len(got) == 10 and {r.descriptor for r in got} == {*runners.DESCRIPTORS, "size"}
     assert all(r.n_pairs == 15 and r.n_products == 6 and 0 <= r.top_2_neighbor_preservation <= 1 and r.mae <= r.rmse + 1e-12 for r in got)
     assert out["dataset_summary"].first().complete and out["batch_manifest"].count() == 6
+    assert out["mean_descriptor_differences"].count() == 8
+    audit = {r.measure: r for r in out["batch_audit"].collect()}
+    assert (audit["n_products"]["count"], audit["n_products"]["mean"], audit["unique_products"]["max"]) == (1, 6.0, 6.0)
     assert out["representative_pair_samples"].count() == 40  # 4 pairs, 5 descriptors, 2 means
     with pytest.raises(tables.TableError, match="combination"):
         tables.load_library(spark, _csv(tmp_path, "BB1,BB2,SMILES_Product,SMILES_BB1,SMILES_BB2\n" + "\n".join(lines[:-1]) + "\n"))
@@ -79,6 +82,7 @@ def test_topology(spark, tmp_path):
     assert out["matched_pair_distances"].count() == 5 and out["matched_summary"].count() == 9
     assert out["controlled_pair_distances"].count() == 6 * 5
     assert out["topology_separation_summary"].count() == 5 and out["descriptor_comparison"].count() == 4
+    assert out["pair_type_summary"].count() == 15 and out["pair_type_differences"].count() == 12
     asked = out["neighbor_query_results"].collect()
     assert len(asked) == 5 * 10 * 2 and all(r.effective_k == r.k for r in asked)
     assert out["population_component_summary"].agg(F.sum("n_assigned")).first()[0] == 5
