@@ -15,6 +15,19 @@ def _csv(tmp_path, text):
     return str(path)
 
 
+def _written(spark, directory, results):
+    """Every table has a folder with its header, and the metadata name the input's digest."""
+    import hashlib
+    import json
+
+    assert {p.name for p in directory.iterdir()} == {*results, "run_metadata"}
+    for name, df in results.items():
+        assert spark.read.option("header", True).csv(str(directory / name)).columns == df.columns, name
+    meta = json.loads(spark.read.text(str(directory / "run_metadata")).first()[0])
+    assert meta["input"][0]["sha256"] == hashlib.sha256((directory.parent / "in.csv").read_bytes()).hexdigest()
+    assert meta["parameters"]["n_bits"] in (64, 128)
+
+
 def test_retention(spark, tmp_path):
     blocks = ["C", "CC", "CCC", "CCO", "CCN", "c1ccccc1"]
     path = _csv(tmp_path, "SMILES_BB,SMILES_0,SMILES_1\n" + "".join(f"[Hg]{b},[Hg]N{b},[Hg]C(=O){b}\n" for b in blocks))
@@ -28,7 +41,8 @@ def test_retention(spark, tmp_path):
 def test_attachment(spark, tmp_path):
     rows = [("2", "c1cc([Hg])ncc1", "c1ccncc1"), ("3", "c1c([Hg])cncc1", "c1ccncc1"), ("2", "c1cc([Hg])oc1", "c1ccoc1"), ("3", "c1c([Hg])coc1", "c1ccoc1"), ("", "", "")]
     path = _csv(tmp_path, "Position,SMILES_Structure,SMILES_Scaffold\r\n" + "".join(",".join(r) + "\r\n" for r in rows))
-    out = runners.run_attachment(spark, path, SMALL)
+    out = runners.run_attachment(spark, path, SMALL, str(tmp_path / "out"))
+    _written(spark, tmp_path / "out", out)
     assert {r.pair_group: r.n for r in out["pairwise_comparison"].groupBy("pair_group").agg(F.count("*").alias("n")).collect()} == {"same_scaffold": 2, "same_position": 2}
     assert out["group_summary"].count() == 8
     top = out["ranked_rooted_wl_gain"].collect()
@@ -58,7 +72,8 @@ def test_library(spark, tmp_path):
     lines = [f"{i},{j},[Hg]{p}C(=O){q},[Hg]{p},[Hg]{q}" for i, p in one.items() for j, q in two.items()]
     path = _csv(tmp_path, "BB1,BB2,SMILES_Product,SMILES_BB1,SMILES_BB2\n" + "\n".join(lines) + "\n")
     small = runners.Config(n_bits=64, radius=1, max_edges=2, neighbor_k=(2,), batch_size=6, sample_size=4)
-    out = runners.run_library(spark, path, small, extra={"size": lambda g, c: F.array(F.size("nodes") % c.n_bits)})
+    out = runners.run_library(spark, path, small, str(tmp_path / "out"), extra={"size": lambda g, c: F.array(F.size("nodes") % c.n_bits)})
+    _written(spark, tmp_path / "out", out)
     got = out["per_batch_metrics"].collect()
     assert len(got) == 10 and {r.descriptor for r in got} == {*runners.DESCRIPTORS, "size"}
     assert all(r.n_pairs == 15 and r.n_products == 6 and 0 <= r.top_2_neighbor_preservation <= 1 and r.mae <= r.rmse + 1e-12 for r in got)
@@ -78,7 +93,8 @@ def test_topology(spark, tmp_path):
     lines = [f"m{k},CC{t},C(C){t}C,[Hg]CC{t},[Hg]C(C){t}" for k, t in enumerate(tails)]
     path = _csv(tmp_path, ",".join(columns) + "\n" + "\n".join(lines) + "\n")
     small = runners.Config(n_bits=64, radius=1, max_edges=2, n_pairs=6, topology_k=(1, 3), neighbor_ids=5, components=(1, 2), ranking=2)
-    out = runners.run_topology(spark, path, columns, small, extra={"size": lambda g, c: F.array(F.size("nodes"))})
+    out = runners.run_topology(spark, path, columns, small, str(tmp_path / "out"), extra={"size": lambda g, c: F.array(F.size("nodes"))})
+    _written(spark, tmp_path / "out", out)
     assert out["matched_pair_distances"].count() == 5 and out["matched_summary"].count() == 9
     assert out["controlled_pair_distances"].count() == 6 * 5
     assert out["topology_separation_summary"].count() == 5 and out["descriptor_comparison"].count() == 4

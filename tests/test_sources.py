@@ -62,3 +62,33 @@ def test_permutation_and_places(spark):
         places = [(t - 1, (j - 2, j - 1)), (t, (0, j)), (t + j - 1, (j - 1, j)), (t + j, (0, j + 1))]
         got = spark.createDataFrame([(p,) for p, _ in places], "t long").select(*similarity.triangular(F.col("t"))).collect()
         assert [tuple(r) for r in got] == [w for _, w in places]
+
+
+def test_rules_of_tables(spark):
+    rows = spark.createDataFrame([(2, "[Hg]C", "a"), (3, "[Hg]C[Hg]", "a"), (4, "CC.[Hg]", "b"), (5, " ", "b")], "source_row long, s string, k string")
+    with pytest.raises(tables.TableError, match="row 3: markers: 2; row 4: disconnected; row 5: empty"):
+        tables.checked_structures(rows, ["s"])
+    assert tables.checked_structures(rows.where("source_row = 2"), ["s"]).count() == 1
+    with pytest.raises(tables.TableError, match="no rows"):
+        tables.not_empty(rows.where("false"))
+    with pytest.raises(tables.TableError, match="repeat"):
+        tables.unique(rows, ["k"])
+    with pytest.raises(tables.TableError, match="without a gap"):
+        tables.numbered_columns(["SMILES_0", "SMILES_2"])
+    assert tables.numbered_columns(["SMILES_10", "SMILES_BB", *(f"SMILES_{k}" for k in range(10))])[-1] == "SMILES_10"
+    with pytest.raises(tables.TableError, match="missing columns"):
+        tables.required_columns(["a"], ["a", "b"])
+    many = spark.createDataFrame([(k, f"bad {k}") for k in range(2, 40)], "source_row long, e string")
+    with pytest.raises(tables.TableError, match=r"row 2: bad 2; .*row 11: bad 11 \.\.\."):
+        tables.report(many, "e")
+
+
+def test_a_directory_in_use_is_refused(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a")], "x int, y string")
+    tables.save(spark, {"t": df}, str(tmp_path / "out"), {"b": 1, "a": 2})
+    assert spark.read.text(str(tmp_path / "out" / "run_metadata")).first()[0] == '{"a": 2, "b": 1}'
+    with pytest.raises(FileExistsError):
+        tables.save(spark, {"t": df}, str(tmp_path / "out"))
+    assert tables.unused_directory(spark, str(tmp_path / "out")) == str(tmp_path / "out_2")
+    tables.save(spark, {"t": df}, str(tmp_path / "out"), overwrite=True, kind="parquet", partitions={"t": ["y"]})
+    assert spark.read.parquet(str(tmp_path / "out" / "t")).columns == ["x", "y"]
