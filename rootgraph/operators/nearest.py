@@ -29,7 +29,7 @@ def _counts(words: Column, n_words: int, parts: int) -> list[Column]:
 def _width(rows: DataFrame, counts: list[str], bits: int, limit: int) -> int:
     """The least power of two by which bit counts are divided so that at most ``limit`` cells are in use."""
     widths = [1 << k for k in range(bits.bit_length() + 1)]
-    seen = rows.agg(*(F.count_distinct(F.struct(*(F.floor(F.col(c) / w) for c in counts))).alias(str(w)) for w in widths)).first()
+    seen = rows.select(*counts).distinct().agg(*(F.count_distinct(F.struct(*(F.floor(F.col(c) / w) for c in counts))).alias(str(w)) for w in widths)).first()
     return next(w for w in widths if seen[str(w)] <= limit)
 
 
