@@ -1,18 +1,19 @@
-"""Operator 3: fuzzy line deduplication by keys of character grams, SimHash and edit similarity."""
+"""Operator 3: fuzzy line deduplication by keys of character grams and of digitless forms, SimHash and edit similarity."""
 
 from __future__ import annotations
 
 import bisect
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rootgraph.llm.buckets import classes, in_blocks, stars
-from rootgraph.llm.common import columns, discard, fresh, pin, table, written
+from rootgraph.llm.buckets import classes, in_blocks, parts, stars
+from rootgraph.llm.common import columns, components, discard, fresh, pin, table, written
 from rootgraph.llm.kernels import U64, mix, pieces, prefix_hash, ragged, span_hash
 
 #: edit similarity, and bits in which 128-bit SimHashes of grams may differ: unrelated lines differ in about 60
@@ -21,10 +22,16 @@ THRESHOLD, RADIUS = 0.8, 44
 GRAM, ORDERS, KEYS, SAMPLE = 8, 3, 8, 4
 #: lines up to SHORT bytes have few long grams: they get keys of all short ones as well, and their SimHashes may differ in MORE bits more
 SHORT, SHORT_GRAM, SHORT_ORDERS, SHORT_KEYS, MORE = 64, 5, 2, 6, 8
+#: lines whose digits are at most so many times the edits allowed have one more key: what they are with each run of digits as one 0
+DIGITS = 1.5
+#: times that the lines of a large bucket are dealt into parts compared with themselves only, before all its parts are compared
+ROUNDS = 3
 #: letters of pairs whose edit distances are found at once, and pairs that make that worth while
 CELLS, FEW = 1 << 19, 128
-#: pairs of two classes' lines in a block that are worth no ordering
-SPARSE = 8
+#: pairs of two classes' lines in a block that are worth no ordering, pairs a line beyond which a block compares them itself, and at once
+SPARSE, MANY, BATCH = 8, 4, 4096
+#: letters of a line up to which the edit distance costs less than the bound from aligned words
+PLAIN = 128
 #: letters of two lines beyond which a distance is only compared with its limit
 LONG = 8192
 #: ASCII letters are alike in both cases, digits stay, other ASCII separates words
@@ -103,6 +110,19 @@ def sampled_grams(plain: np.ndarray, begin: np.ndarray, size: np.ndarray, width:
     return mix(word[spot[use]]), np.cumsum(n[some]) - n[some], some
 
 
+def digitless(plain: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each line with every run of digits as one 0, and how many digits it has; lines stand one after the other."""
+    digit = (plain >= 0x30) & (plain <= 0x39)
+    again = digit.copy()
+    again[1:] &= digit[:-1]
+    again[:1] = False
+    again[begin] = False
+    at = np.concatenate([[0], np.cumsum(~again)])
+    n = np.concatenate([[0], np.cumsum(digit)])
+    h = span_hash(prefix_hash(np.where(digit, 0x30, plain).astype(np.uint8)[~again]), at[begin], at[begin + size])
+    return mix(h ^ U64(0x2545F4914F6CDD1D)), n[begin + size] - n[begin]
+
+
 def least_keys(h: np.ndarray, first: np.ndarray, width: int, orders: int, n: int) -> np.ndarray:
     """n keys a line, each of the least hash in ``orders`` orders: two lines share one with that power of their Jaccard similarity."""
     factor = mix(np.arange(1, orders * n + 1, dtype=U64)) | U64(1)
@@ -122,9 +142,9 @@ def places(doc: np.ndarray, pos: np.ndarray) -> pa.Array:
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id (not null), text -> a row for each line that is not blank: f1, f2 (hash of the normalised line).
 
-    And its place (doc_id * 2^31 + pos), s1, s2 (SimHash), and keys k0, k1, ...
+    And its place (doc_id * 2^31 + pos), s1, s2 (SimHash), and keys k0, k1, ..., the last that of its digitless form.
     """
-    names = [f"k{i}" for i in range(KEYS + SHORT_KEYS)]
+    names = [f"k{i}" for i in range(KEYS + SHORT_KEYS + 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, start, end in pieces(batches):
@@ -165,7 +185,9 @@ def scan(docs: DataFrame) -> DataFrame:
                     s[k, which] = simhash(x, at, ends)
             keys[KEYS:, short] = least_keys(*grams(plain, begin[short], size[short], SHORT_GRAM), SHORT_GRAM, SHORT_ORDERS, SHORT_KEYS)
             none = size > SHORT
+            form, digits = digitless(plain[:-8], begin, size)
             keys = [pa.array(x.view(np.int64), mask=none if k >= KEYS else None) for k, x in enumerate(keys)]
+            keys.append(pa.array(form.view(np.int64), mask=(digits == 0) | (digits > DIGITS * (1 - THRESHOLD) * size)))
             yield pa.record_batch([places(batch.column(0).to_numpy()[row], pos), *(pa.array(x.view(np.int64)) for x in (*f, *s)), *keys], ["place", "f1", "f2", "s1", "s2", *names])
 
     schema = "place decimal(38,0), f1 long, f2 long, s1 long, s2 long, " + ", ".join(f"{k} long" for k in names)
@@ -241,12 +263,17 @@ def reaches(a: str, b: str, most: int) -> bool:
     return score <= most
 
 
-def bounded(a: str, b: str, most: int) -> bool | tuple[str, str]:
-    """Whether the edit distance is ``most`` at most, where bounds tell; else what is left to compare."""
+def bounded(a: str, b: str, most: int, many: bool = False) -> bool | tuple[str, str]:
+    """Whether the edit distance is ``most`` at most, where bounds tell; else what is left to compare.
+
+    Of ``many`` pairs the PLAIN ones are left to be compared at once.
+    """
     if abs(len(a) - len(b)) > most:
         return False
     a, b = trimmed(a, b)
-    if max(len(a), len(b)) <= most or aligned_distance(a, b) <= most:
+    if max(len(a), len(b)) <= most:
+        return True
+    if not (many and max(len(a), len(b)) <= PLAIN) and aligned_distance(a, b) <= most:
         return True
     return (a, b) if a and b else False
 
@@ -254,7 +281,7 @@ def bounded(a: str, b: str, most: int) -> bool | tuple[str, str]:
 def within(pairs: list[tuple[str, str]], threshold: float, cells: int = CELLS) -> np.ndarray:
     """Which pairs reach the edit similarity: by bounds, and the rest by edit distance in batches of like lengths."""
     most = [int((1 - threshold) * max(len(a), len(b)) + 1e-9) for a, b in pairs]
-    found = [bounded(a, b, k) for (a, b), k in zip(pairs, most, strict=True)]
+    found = [bounded(a, b, k, len(pairs) >= 4 * FEW) for (a, b), k in zip(pairs, most, strict=True)]
     out = np.array([x is True for x in found], bool)
     rest = sorted((i for i, x in enumerate(found) if isinstance(x, tuple)), key=lambda i: max(map(len, found[i])))
     while rest:
@@ -339,18 +366,21 @@ def similar(pairs: DataFrame, threshold: float) -> DataFrame:
 
 
 def candidates(x: pa.RecordBatch, y: pa.RecordBatch, threshold: float, radius: int) -> np.ndarray:
-    """Pairs of rows of x and y (label, s1, s2, line) among which are links that join all labels that any links join.
+    """Pairs of rows of x and y (label, s1, s2, form, line) among which are links that join all labels that any links join.
 
-    Pairs of different labels with near SimHashes; of labels with more than SPARSE such pairs only links. For these the
-    distance between the first rows of the two labels, less what their other rows differ from these at most, settles
-    most pairs of a large class and its neighbours; the others are compared, nearest first, until their labels are joined.
+    Pairs of different labels with near SimHashes or equal digitless forms. Of labels with more than SPARSE such pairs only
+    links are given. For these the distance between the first rows of the two labels, less what their other rows differ from these
+    at most, settles most pairs of a large class and its neighbours. Where the other pairs are more than MANY a row, they
+    are compared here as well. What is compared here goes in batches, nearest first, until its labels are joined.
     """
-    label, s1, s2, line = ([t.column(t.schema.get_field_index(c)) for t in (x, y)] for c in ("label", "s1", "s2", "line"))
+    label, s1, s2, form, line = ([t.column(t.schema.get_field_index(c)) for t in (x, y)] for c in ("label", "s1", "s2", "form", "line"))
     label = [c.to_numpy() for c in label]
     bits = sum(np.bitwise_count(p.to_numpy().view(U64)[:, None] ^ q.to_numpy().view(U64)[None, :]).astype(np.int16) for p, q in (s1, s2))
     text = [c.to_pylist() for c in line]
     size = [np.array([len(t) for t in c]) for c in text]
     near = bits <= radius + MORE * (np.maximum(size[0][:, None], size[1][None, :]) <= SHORT)
+    form, has = [c.fill_null(0).to_numpy() for c in form], [np.asarray(c.is_valid()) for c in form]
+    near |= (form[0][:, None] == form[1][None, :]) & has[0][:, None] & has[1][None, :]
     near &= label[0][:, None] != label[1][None, :]
     if x is y:
         near = np.triu(near)
@@ -362,54 +392,65 @@ def candidates(x: pa.RecordBatch, y: pa.RecordBatch, threshold: float, radius: i
     most = np.floor((1 - threshold) * longer + 1e-9).astype(np.int64)
     ok = np.abs(size[0][i] - size[1][j]) <= most
     i, j, most = i[ok], j[ok], most[ok]
-    pair = label[0][i], label[1][j]
-    group = np.unique(np.sort(np.stack(pair, axis=1), axis=1), axis=0, return_inverse=True)[1].ravel()
-    dense = np.bincount(group)[group] > SPARSE if len(i) else np.zeros(0, bool)
-    out[i[~dense], j[~dense]] = True
-    i, j, most, group = i[dense], j[dense], most[dense], group[dense]
-    pair = label[0][i], label[1][j]
-    if len(i):
-        first = [dict(zip(reversed(k.tolist()), range(len(k) - 1, -1, -1), strict=True)) for k in label]
-        apart = []
-        for side, rows in ((0, i), (1, j)):  # at most so far from the first row of the label
-            far = np.zeros(len(text[side]), np.int64)
-            for r in np.unique(rows).tolist():
-                a, b = trimmed(text[side][r], text[side][first[side][int(label[side][r])]])
-                far[r] = min(max(len(a), len(b)), aligned_distance(a, b))
-            apart.append(far)
-        pivots = [np.array([first[s][int(v)] for v in pair[s]]) for s in (0, 1)]
-        known: dict[tuple[int, int], int] = {}
-        todo = sorted({(p, q) for p, q in zip(*(v.tolist() for v in pivots), strict=True) if len(text[0][p]) + len(text[1][q]) <= LONG}, key=lambda k: len(text[0][k[0]]))
-        for at in range(0, len(todo), FEW):
-            part = todo[at : at + FEW]
-            known.update(zip(part, distances([(text[0][p], text[1][q]) for p, q in part]).tolist(), strict=True))
-        between = np.array([known.get(k, 0) for k in zip(*(v.tolist() for v in pivots), strict=True)])
-        ok = between - apart[0][i] - apart[1][j] <= most
-        i, j, group = i[ok], j[ok], group[ok]
+    if not len(i):
+        return out
+    ids, at = np.unique(np.concatenate(label), return_inverse=True)
+    at = [at[: len(label[0])], at[len(label[0]) :]]
+    group = np.minimum(at[0][i], at[1][j]) * len(ids) + np.maximum(at[0][i], at[1][j])
+    group, count = np.unique(group, return_inverse=True, return_counts=True)[1:]
+    dense = count[group] > SPARSE
+    ok = ~dense
+    if dense.any():
+        ok[dense] = apart_at_most(label, text, i[dense], j[dense], most[dense])
+    if (~dense).sum() <= MANY * sum(near.shape):
+        out[i[~dense], j[~dense]] = True
+        ok &= dense
+    i, j, group = i[ok], j[ok], group[ok]
     order = np.lexsort((bits[i, j], group))
-    i, j, group = i[order], j[order], group[order]
-    parent: dict[int, int] = {}
-
-    def root(v: int) -> int:
-        while parent.setdefault(v, v) != v:
-            parent[v] = v = parent[parent[v]]
-        return v
-
-    step = 1
+    place = ragged(np.unique(group, return_counts=True)[1])
+    order = order[np.lexsort((bits[i[order], j[order]], place))]  # the nearest of each two labels first
+    i, j = i[order], j[order]
+    parent, step = np.arange(len(ids)), 64
     while len(i):
-        place = ragged(np.unique(group, return_counts=True)[1])
-        now = place < step
-        good = within([(text[0][p], text[1][q]) for p, q in zip(i[now].tolist(), j[now].tolist(), strict=True)], threshold)
-        for p, q in zip(i[now][good].tolist(), j[now][good].tolist(), strict=True):
-            out[p, q] = True
-            parent[root(int(label[0][p]))] = root(int(label[1][q]))
-        i, j, group = i[~now], j[~now], group[~now]
-        apart_still = np.array([root(a) != root(b) for a, b in zip(label[0][i].tolist(), label[1][j].tolist(), strict=True)], bool)
-        i, j, group = i[apart_still], j[apart_still], group[apart_still]
-        step *= 2
+        step = min(2 * step, BATCH)
+        good = within([(text[0][p], text[1][q]) for p, q in zip(i[:step].tolist(), j[:step].tolist(), strict=True)], threshold)
+        for p, q in zip(i[:step][good].tolist(), j[:step][good].tolist(), strict=True):
+            a, b = at[0][p], at[1][q]
+            while parent[a] != a:
+                a = parent[a]
+            while parent[b] != b:
+                b = parent[b]
+            if a != b:
+                out[p, q] = True
+                parent[max(a, b)] = min(a, b)
+        while (parent != parent[parent]).any():
+            parent = parent[parent]
+        i, j = i[step:], j[step:]
+        left = parent[at[0][i]] != parent[at[1][j]]
+        i, j = i[left], j[left]
     return out
 
 
+def apart_at_most(label: list[np.ndarray], text: list[list[str]], i: np.ndarray, j: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Which pairs of rows may be ``most`` apart, by the distance of the first rows of their labels and theirs from these."""
+    first = [dict(zip(reversed(k.tolist()), range(len(k) - 1, -1, -1), strict=True)) for k in label]
+    apart = []
+    for side, rows in ((0, i), (1, j)):  # at most so far from the first row of the label
+        far = np.zeros(len(text[side]), np.int64)
+        for r in np.unique(rows).tolist():
+            a, b = trimmed(text[side][r], text[side][first[side][int(label[side][r])]])
+            far[r] = min(max(len(a), len(b)), aligned_distance(a, b))
+        apart.append(far)
+    pivots = [np.array([first[s][int(v)] for v in label[s][rows]]) for s, rows in ((0, i), (1, j))]
+    known: dict[tuple[int, int], int] = {}
+    todo = sorted({(p, q) for p, q in zip(*(v.tolist() for v in pivots), strict=True) if len(text[0][p]) + len(text[1][q]) <= LONG}, key=lambda k: len(text[0][k[0]]))
+    for at in range(0, len(todo), FEW):
+        part = todo[at : at + FEW]
+        known.update(zip(part, distances([(text[0][p], text[1][q]) for p, q in part]).tolist(), strict=True))
+    between = np.array([known.get(k, 0) for k in zip(*(v.tolist() for v in pivots), strict=True)])
+    return between - apart[0][i] - apart[1][j] <= most
+
+
 #: doc_id and pos of a place
 DOC_POS = ("cast((place - pmod(place, 2147483648BD)) div 2147483648BD as long) AS doc_id", "cast(pmod(place, 2147483648BD) as int) AS pos")
 
@@ -419,23 +460,49 @@ def similar_classes(docs: DataFrame, one: DataFrame, threshold: float, radius: i
     keys = [c for c in one.columns if c[0] == "k"]
     shared = stars(one.select("id", F.explode(F.array(*keys)).alias("key")).where("key is not null"))
     # lines that share a key, by their place, and their texts
-    cards = one.select("id", "place", "s1", "s2").join(shared.select("id").distinct(), "id")
-    cards = cards.selectExpr("id", "s1", "s2", *DOC_POS)
+    cards = one.select("id", "place", "s1", "s2", F.col(keys[-1]).alias("form")).join(shared.select("id").distinct(), "id")
+    cards = cards.selectExpr("id", "s1", "s2", "form", *DOC_POS)
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).join(cards, ["doc_id", "pos"])
-    lines = lines.select("id", "s1", "s2", normalised(F.col("line")).alias("line"))
-    lines = written(lines.groupBy("id").agg(F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.max("line").alias("line")), "compared")
+    lines = lines.select("id", "s1", "s2", "form", normalised(F.col("line")).alias("line"))
+    lines = written(lines.groupBy("id").agg(*(F.first(c).alias(c) for c in ("s1", "s2", "form")), F.max("line").alias("line")), "compared")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(lines.toDF("a", "a1", "a2", "la"), "a").join(lines.toDF("b", "b1", "b2", "lb"), "b")
+        both = pairs.join(lines.toDF("a", "a1", "a2", "fa", "la"), "a").join(lines.toDF("b", "b1", "b2", "fb", "lb"), "b")
         bits = F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) + F.bit_count(F.col("a2").bitwiseXOR(F.col("b2")))
         na, nb = F.length("la"), F.length("lb")
-        both = both.where(bits <= F.when(F.greatest(na, nb) <= SHORT, radius + MORE).otherwise(radius)).where(F.least(na, nb) >= threshold * F.greatest(na, nb))
+        both = both.where((F.col("fa") == F.col("fb")) | (bits <= F.when(F.greatest(na, nb) <= SHORT, radius + MORE).otherwise(radius))).where(F.least(na, nb) >= threshold * F.greatest(na, nb))
         return similar(both, threshold)
 
+    def compare(rows: DataFrame, own: int | None) -> DataFrame:
+        near = in_blocks(rows.join(lines, "id").select("cluster", "id", "label", "s1", "s2", "form", "line"), lambda x, y: candidates(x, y, threshold, radius), text="line", pairs=True, own=own)
+        return written(verify(near.distinct()), "links")
+
     def settle(rows: DataFrame) -> DataFrame:
-        """Compares the lines of mixed buckets in blocks; what may be alike goes through the edit distance once."""
-        near = in_blocks(rows.join(lines, "id").select("cluster", "id", "label", "s1", "s2", "line"), lambda x, y: candidates(x, y, threshold, radius), text="line", pairs=True)
-        return verify(near.distinct())
+        """Compares the lines of mixed buckets; what may be alike goes through the edit distance once.
+
+        Buckets of one part are done in the first round. The lines of larger ones are dealt anew in each round, so that a large
+        class is joined in work that grows with its lines; only what then is still several classes is compared in all blocks.
+        """
+        links, own = [compare(rows, 0)], [rows]
+        size = parts(rows.join(lines.select("id", "line"), "id"), text="line").where("_g > 1")
+        rows = written(rows.join(size.select("cluster"), "cluster"), "large")
+        for k in range(1, ROUNDS + 1):
+            own.append(rows)
+            if rows.isEmpty():
+                break
+            label = rows.select("id", "label").distinct()
+            ends = links[-1].join(label.toDF("a", "u"), "a").join(label.toDF("b", "v"), "b")
+            joined = components(ends, "u", "v")
+            rows = rows.join(joined.withColumnRenamed("node", "label"), "label", "left").select("cluster", "id", F.coalesce("component", "label").alias("label"))
+            mixed = rows.groupBy("cluster").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 != l1").select("cluster")
+            rows = written(rows.join(mixed, "cluster"), "large")
+            discard(joined)
+            if not rows.isEmpty():
+                links.append(compare(rows, k if k < ROUNDS else None))
+        discard(*own[1:], *([rows] if rows is not own[-1] else []))
+        out = written(reduce(DataFrame.union, links), "links")
+        discard(*links)
+        return out
 
     # lines that share a key by chance would chain into one cluster
     found = classes(shared, verify, settle, by_bucket=True)
@@ -447,7 +514,7 @@ def duplicate_lines(docs: DataFrame, threshold: float = THRESHOLD, radius: int =
     """Written (doc_id, at): the numbers of a text's lines that are not the first of their class, in order of doc_id and place.
 
     Lines are alike if their normalised forms are equal, or if they share a key, their SimHashes differ in at most
-    ``radius`` bits (MORE where both are of SHORT characters at most) and 1 - edit distance / longer length >= ``threshold`` (in characters); classes are chains of
+    ``radius`` bits (MORE where both are of SHORT characters at most; lines that share their digitless form may differ in any) and 1 - edit distance / longer length >= ``threshold`` (in characters); classes are chains of
     such pairs. Equal lines are merged before keys move; a very common line is counted where it is read.
     """
     docs = docs.where("doc_id is not null")

@@ -81,3 +81,31 @@ def chained(texts, pairs):
         a, b = sorted((root(i), root(j)))
         parent[b] = a
     return {t for i, t in enumerate(texts) if root(i) != i}
+
+
+def test_scattered_digits(spark):
+    """Lines of one template whose digits differ everywhere: what chains of brute-force pairs join goes, over several parts of a bucket."""
+    rng = np.random.default_rng(11)
+    number = lambda: "".join(map(str, rng.integers(0, 10, 6)))
+    texts = list(dict.fromkeys(f"Order {number()} of customer {number()} was shipped on day {number()} and paid" for _ in range(1500)))
+    apart = ["Order of customer was returned on a day and never paid", "A line 12 of another kind 99"]
+    rows = list(enumerate(texts + apart))
+    letters = np.array([list(t.encode()) for t in texts], np.uint8)
+    # replaced letters alone: a lower bound of what the rule joins
+    label = np.arange(len(texts))
+    near = [np.flatnonzero((letters != row).sum(axis=1) <= int(0.2 * len(row) + 1e-9)) for row in letters]
+    while any((label[n].min() < label[i]) for i, n in enumerate(near)):
+        label = np.array([label[n].min() for n in near])
+    want = {i for i in range(len(texts)) if label[i] != i}
+    gone = {r.doc_id for r in lines.duplicate_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(want) > 1400 and want <= gone <= set(range(1, len(texts)))
+
+
+def test_digitless_forms():
+    """Runs of digits count as one, also next to the bounds of lines, and lines without digits have none."""
+    texts = ["in 1987 it was 5", "in 7 it was 123456", "7", "77", "no digits", "x1", "1x"]
+    plain = np.frombuffer("".join(texts).encode(), np.uint8)
+    size = np.array([len(t) for t in texts])
+    form, digits = lines.digitless(plain, np.cumsum(size) - size, size)
+    assert form[0] == form[1] and form[2] == form[3] and len(set(form.tolist())) == 5
+    assert digits.tolist() == [5, 7, 1, 2, 0, 1, 1]
