@@ -119,3 +119,12 @@ def test_as_many_pairs_as_asked(spark):
     for asked, found in ((3, 3), (22, 22), (40, 40), (45, 45), (99, 45)):
         got = [(r.i, r.j) for r in similarity.sampled_pairs(ids, "ID", asked, 7).collect()]
         assert len(got) == len({tuple(sorted(p)) for p in got}) == found and all(i != j for i, j in got)
+
+
+def test_pairs_meet_once_whatever_the_blocks(spark):
+    d = spark.range(30).select("id", (F.col("id") % 2).alias("g"))
+    for blocks in (1, 3, 7):
+        got = [(r.id_i, r.id_j) for r in similarity.pairs(d.drop("g"), "id", blocks=blocks).collect()]
+        assert sorted(got) == [(i, j) for i in range(30) for j in range(i + 1, 30)]
+        got = [(r.id_i, r.id_j) for r in similarity.pairs(d, "id", ["g"], blocks).collect()]
+        assert sorted(got) == [(i, j) for i in range(30) for j in range(i + 2, 30, 2)]
