@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from rootgraph.functions.bits import tanimoto
+from rootgraph.functions.blocks import nearest as np_nearest
+from rootgraph.functions.blocks import words as words_of
 from rootgraph.sources.shared import stored, with_small
 
 #: cells of the index at most, rows of the library that meet one query at once, and queries that meet one such block
-CELLS, BLOCK, ASKED = 512, 2048, 1 << 16
+CELLS, BLOCK, ASKED = 512, 1 << 16, 1 << 13
 
 
 def _counts(words: Column, n_words: int, parts: int) -> list[Column]:
@@ -33,67 +38,67 @@ def _width(rows: DataFrame, counts: list[str], bits: int, limit: int) -> int:
     return next(w for w in widths if seen[str(w)] <= limit)
 
 
-def _bound(a: list[Column], b: list[Column], width: int) -> Column:
-    """The highest similarity that rows of two cells can have: of bit counts p and q of a part, at most min(p, q) bits are
-    common and at least max(p, q) are set in either."""
-    both, either = F.lit(0), F.lit(0)
-    for x, y in zip(a, b, strict=True):
-        low, high = F.least(x, y) * width + (width - 1), F.greatest(x, y) * width
-        both, either = both + low, either + F.greatest(low, high)
-    return F.when(either > 0, both / F.nullif(either, F.lit(0))).otherwise(F.lit(0.0))
-
-
 def nearest(queries: DataFrame, library: DataFrame, key: str, words: str, n_words: int, k: int, group: list[str] | None = None, parts: int | None = None, cells: int = CELLS, block: int = BLOCK, first: int | None = None, compared: tuple[Observation, Observation] | None = None) -> DataFrame:
     """(group..., query, rank, match, similarity): the k rows of ``library`` nearest each row of ``queries``, ties by the smaller match.
 
     The library is dealt into cells by the bit counts of ``parts`` runs of bits. Sums of the smaller and of the larger
     counts bound the similarity between cells. A query visits the cells of the highest bounds until they hold ``first``
-    rows; its k-th best there is a floor, and after that it visits only cells whose bound reaches it, so nothing is lost.
-    Cells are cut into blocks, queries into parts, so no key gathers more than a block of one and a part of the other.
-
-    A row is not compared with itself (equal ``key`` in the same group); null fingerprints match nothing. Groups hold no
-    nulls. The pairs compared in both rounds go to the two observations of ``compared``, under the name n.
+    rows; its k-th best so far is a floor, and after that it visits only cells whose bound reaches it, so nothing is lost.
+    The library is cut into blocks, queries into parts of neighbouring cells. A task compares one part with one block and
+    returns the k best of each query, so pairs are never rows: what is shuffled are the rows of both sides, once for each
+    block or part of the other, and k rows for each query and block.
+
+    A row is not compared with itself (equal ``key`` in the same group); null keys and fingerprints match nothing. Groups
+    hold no nulls. The pairs compared while a query had fewer than k, and after that, go to the two observations of
+    ``compared``, under the name n.
     """
     group, parts = group or [], parts or (2 if n_words % 2 else min(n_words, 2))
     first = first or 16 * (k + 1)
     names = [f"_c{p}" for p in range(parts)]
 
-    def celled(rows: DataFrame, name: str) -> DataFrame:
-        rows = rows.where(F.col(words).isNotNull()).select(*group, F.col(key).alias(name), F.col(words).alias(f"_{name}"))
-        return rows.withColumns(dict(zip(names, _counts(F.col(f"_{name}"), n_words, parts), strict=True)))
+    def celled(rows: DataFrame) -> DataFrame:
+        rows = rows.where(F.col(key).isNotNull() & F.forall(words, lambda x: x.isNotNull())).select(*group, F.col(key).alias("_id"), F.col(words).alias("_words"))
+        return rows.withColumns(dict(zip(names, _counts(F.col("_words"), n_words, parts), strict=True)))
 
-    asked, held = celled(queries, "query"), celled(library, "match")
+    asked, held = celled(queries), celled(library)
     width = _width(held, names, 64 * n_words // parts, cells)
-    cell = F.array(*(F.floor(F.col(c) / width).cast("int") for c in names))
-    asked, held = (r.withColumn("cell", cell).drop(*names) for r in (asked, held))
-    sizes = held.groupBy(*group, "cell").agg(F.count("*").alias("n"))
-    sizes = stored(sizes.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")), "cells")
-    n_parts = max(1, -(-asked.count() // ASKED))
-
-    # what a cell visits, in order of the bounds: a row a cell, of as many entries as there are cells
-    met = asked.select(*group, F.col("cell").alias("own")).distinct()
-    met = met.join(sizes, group) if group else met.crossJoin(F.broadcast(sizes))  # at most cells x cells rows
-    met = met.withColumn("bound", _bound([F.col("own")[p] for p in range(parts)], [F.col("cell")[p] for p in range(parts)], width))
-    order = Window.partitionBy(*group, "own").orderBy(F.col("bound").desc(), "cell").rowsBetween(Window.unboundedPreceding, -1)
-    met = met.withColumn("near", F.coalesce(F.sum("n").over(order), F.lit(0)) < first)
-    visits = met.groupBy(*group, "own").agg(F.collect_list(F.struct("cell", "blocks", "bound", "near")).alias("visits"))
-    visits = stored(visits.withColumnRenamed("own", "cell"), "visits")
-    asked = with_small(asked.withColumn("_part", F.pmod(F.xxhash64("query"), F.lit(n_parts)).cast("int")), visits, [*group, "cell"]).drop("cell")
-    own_block = F.pmod(F.xxhash64("match"), F.col("blocks")).cast("int")
-    held = with_small(held, sizes.drop("n"), [*group, "cell"]).withColumn("_block", own_block).drop("blocks")
-    held = held.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))))
-
-    def compare(rows: DataFrame, wanted: Column, seen: Observation | None) -> DataFrame:
-        rows = rows.withColumn("v", F.explode(F.filter("visits", lambda v: wanted(v)))).drop("visits")
-        rows = rows.select(*group, "query", "_query", "_part", F.col("v.cell").alias("cell"), F.explode(F.sequence(F.lit(0), F.col("v.blocks") - 1)).alias("_block"))
-        pairs = rows.join(held, [*group, "cell", "_block", "_part"]).where("query <> match")
-        pairs = pairs.observe(seen, F.count(F.lit(1)).alias("n")) if seen else pairs
-        return pairs.select(*group, "query", "match", tanimoto(F.col("_query"), F.col("_match"), n_words).alias("similarity"))
-
+    asked, held = (r.withColumns({c: F.floor(F.col(c) / width).cast("int") for c in names}) for r in (asked, held))
+    slots = asked.sparkSession.sparkContext.defaultParallelism
+    part = min(ASKED, max(256, -(-asked.count() // (2 * slots))))
+
+    # which parts hold the queries of a cell: a row a cell; how many parts and blocks a group has: a row a group
+    at = asked.groupBy(*group, *names).agg(F.count("*").alias("n"))
+    before = Window.partitionBy(*group).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
+    begin = F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / part).cast("int")
+    at = stored(at.withColumns({"_begin": begin, "_own": F.ceil(F.col("n") / part).cast("int")}).drop("n"), "cells")
+    blocks = held.groupBy(*group).agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
+    total = at.groupBy(*group).agg(F.max(F.col("_begin") + F.col("_own")).alias("_parts"))
+    total = stored((blocks.join(total, group) if group else blocks.crossJoin(total)).where("_blocks > 0 and _parts > 0"), "blocks")
+    n = total.agg(F.sum(F.col("_blocks") * F.col("_parts"))).first()[0] or 1
+    deal = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    own = lambda c: F.pmod(F.xxhash64("_id"), F.col(c)).cast("int")
+    asked = with_small(with_small(asked, at, [*group, *names]), total, group).withColumn("_part", F.col("_begin") + own("_own")).withColumn("_block", deal("_blocks"))
+    held = with_small(held, total, group).withColumn("_block", own("_blocks")).withColumn("_part", deal("_parts"))
+    on = [*group, "_part", "_block"]
+    spread = min(2 * n, max(4096, 2 * slots))  # a number of its own, as few bytes here are much work
+    asked = asked.select(*on, "_id", "_words", *names).repartition(spread, *on)
+    held = held.select(*(F.col(c).alias(f"_h{c}") for c in on), "_id", "_words", *names).repartition(spread, *(f"_h{c}" for c in on))
+    schema = StructType([*(asked.schema[g] for g in group), StructField("query", asked.schema["_id"].dataType), StructField("match", held.schema["_id"].dataType), StructField("similarity", DoubleType()), StructField("_early", LongType()), StructField("_late", LongType())])
+    types = {f.name: f for f in to_arrow_schema(schema)}
+
+    def compare(a: pa.Table, b: pa.Table) -> pa.Table:
+        place = lambda t: np.stack([t[c].to_numpy() for c in names], axis=1)
+        ids = b["_id"].to_numpy()
+        found, n_pairs = np_nearest(a["_id"].to_numpy(), words_of(a["_words"], n_words), place(a), ids, words_of(b["_words"], n_words), place(b), width, k, first) if len(a) and len(b) else ([], [0, 0])
+        row, col, s = (np.concatenate([f[i] for f in found]) if found else np.empty(0, np.int64) for i in range(3))
+        row, col = (pa.array(np.r_[x, 0], mask=np.r_[np.zeros(len(x), bool), True]) for x in (row, col))  # the last row is that of the counts
+        values = {"query": a["_id"].combine_chunks().take(row), "match": b["_id"].combine_chunks().take(col), "similarity": pa.array(np.r_[s, 0.0]), "_early": pa.array(np.r_[np.zeros(len(s), np.int64), n_pairs[0]]), "_late": pa.array(np.r_[np.zeros(len(s), np.int64), n_pairs[1]])}
+        values |= {g: pa.array([(a[g] if len(a) else b[f"_h{g}"])[0].as_py()] * len(row), type=types[g].type) for g in group}
+        return pa.table({f.name: values[f.name].cast(f.type) for f in types.values()})
+
+    found = asked.groupBy(*on).cogroup(held.groupBy(*(f"_h{c}" for c in on))).applyInArrow(compare, schema)
+    for seen, c in zip(compared or (), ("_early", "_late"), strict=False):
+        found = found.observe(seen, F.sum(c).alias("n"))
     best = Window.partitionBy(*group, "query").orderBy(F.col("similarity").desc(), "match")
-    top = lambda rows: rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    near = stored(top(compare(asked, lambda v: v["near"], compared[0] if compared else None)), "near")
-    floor = near.where(F.col("rank") == k).select(*group, "query", F.col("similarity").alias("floor"))
-    again = asked.join(floor, [*group, "query"], "left").withColumn("floor", F.coalesce("floor", F.lit(-1.0)))
-    far = compare(again, lambda v: ~v["near"] & (v["bound"] >= F.col("floor")), compared[1] if compared else None)
-    return top(near.drop("rank").unionByName(far)).select(*group, "query", "rank", "match", "similarity")
+    found = found.where("query is not null").drop("_early", "_late").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return found.select(*group, "query", "rank", "match", "similarity")

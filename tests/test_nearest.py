@@ -91,3 +91,23 @@ def test_registered_query_is_the_triangles_top(spark):
     index.nearest(lib, lib, "vec_id", "words", 1, 10, compared=seen).write.format("noop").mode("overwrite").save()
     n = lib.count()
     assert sum(s.get["n"] for s in seen) < n * (n - 1)
+
+
+def test_block_of_copies_needs_few_pairs_at_once(monkeypatch):
+    """Many equal fingerprints, and no more than 40 pairs held at once: ties still go to the smaller ids."""
+    import numpy as np
+
+    from rootgraph.functions import blocks
+
+    monkeypatch.setattr(blocks, "SLAB", 40)
+    r = random.Random(3)
+    words = np.array([[r.choice([7, 7, 7, 0, r.getrandbits(64)]), 5] for _ in range(150)], np.uint64)
+    ids = np.array(r.sample(range(1000), 150))
+    cells = np.bitwise_count(words).astype(int) // 4
+    found, compared = blocks.nearest(ids[:60], words[:60], cells[:60], ids, words, cells, 4, 5, 8)
+    got = {}
+    for rows, at, s in found:
+        for i, j, x in zip(rows, at, s, strict=True):
+            got.setdefault((0, ids[i]), []).append((ids[j], x))
+    data = [(0, i, [int(x) for x in w]) for i, w in zip(ids, words, strict=True)]
+    assert got == brute(data[:60], data, 5) and 0 < sum(compared) <= 60 * 149
