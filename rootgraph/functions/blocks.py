@@ -145,3 +145,65 @@ def numbered(a: np.ndarray, b: np.ndarray, number: np.ndarray) -> np.ndarray:
     both = common(a, b)
     either = (bit_counts(a)[:, None] + bit_counts(b)[None, :]).astype(np.int32) - both
     return np.take(number, both.astype(np.int32) * number.shape[1] + either)
+
+
+def rectangles(a: np.ndarray | None, b: np.ndarray | None, n: int, m: int, same: bool) -> Iterator[tuple[object, object, np.ndarray, np.ndarray, bool]]:
+    """(low, high, rows of one block, rows of the other, whether these are the same rows) that hold each unordered pair once.
+
+    With labels only rows of different labels pair up. ``same``: the two blocks are one, in the same order.
+    """
+    if a is None:
+        yield None, None, np.arange(n), np.arange(m), same
+        return
+    left, right = ({v: np.flatnonzero(x == v) for v in np.unique(x)} for x in (a, b))
+    for u, i in left.items():
+        for v, j in right.items():
+            if u < v or (v < u and not same):
+                yield min(u, v), max(u, v), i, j, False
+
+
+def tally(a: dict[str, np.ndarray], b: dict[str, np.ndarray], bits: dict[str, int], couples: list[tuple[str, str]], differ: str | None, same: bool) -> dict[tuple[str, str], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each couple of columns the similarities that pairs of two sets of rows have in both, and how many have them."""
+    tables = {c: fractions(n) for c, n in bits.items()}
+    shape = {c: (len(tables[c[0]][0]), len(tables[c[1]][0])) for c in couples}
+    held = {c: np.zeros(s[0] * s[1], np.int64) for c, s in shape.items()}
+    any_ = next(iter(a.values()))
+    for r, c in slabs(len(any_), len(next(iter(b.values())))):
+        keep = np.ones((len(any_[r]), 1), bool)
+        if same:
+            at = np.arange(len(any_))
+            keep = at[r][:, None] < at[c][None, :]
+        if differ:
+            keep = keep & (a[differ][r] != b[differ][c].T)
+        whole = keep.all()
+        number = {x: numbered(a[x][r], b[x][c], tables[x][1]) for x in bits}
+        for x, y in couples:
+            both = number[x] * np.int32(shape[x, y][1]) + number[y]
+            held[x, y] += np.bincount(both.ravel() if whole else both[np.broadcast_to(keep, both.shape)], minlength=len(held[x, y]))
+    out = {}
+    for x, y in couples:
+        at = np.flatnonzero(held[x, y])
+        i, j = np.divmod(at, shape[x, y][1])
+        out[x, y] = (tables[x][0][i], tables[y][0][j], held[x, y][at])
+    return out
+
+
+def extremes(a: dict[str, np.ndarray], b: dict[str, np.ndarray], ids: tuple[np.ndarray, np.ndarray], bits: dict[str, int], couple: tuple[str, str], differ: str, k: int, sign: int) -> tuple[np.ndarray, ...]:
+    """(i, j, first, second) of the ``k`` pairs of two sets of rows with the largest ``sign`` * (first - second), to nine places,
+    ties by the smaller id i, then by j > i."""
+    x, y = couple
+    (u, number_x), (v, number_y) = (fractions(bits[c]) for c in couple)
+    gains, order = np.unique(np.round(sign * (u[:, None] - v[None, :]), 9), return_inverse=True)
+    order = order.reshape(len(u), len(v)).astype(np.int32)
+    best = tuple(np.empty(0, t) for t in (np.int64, ids[0].dtype, ids[0].dtype, np.float64, np.float64))
+    for r, c in slabs(len(a[x]), len(b[x])):
+        nx, ny = numbered(a[x][r], b[x][c], number_x), numbered(a[y][r], b[y][c], number_y)
+        gain = np.take(order.ravel(), nx * np.int32(len(v)) + ny)
+        floor = best[0][-1] if len(best[0]) == k else -1
+        i, j = np.divmod(np.flatnonzero((gain >= floor) & (a[differ][r] != b[differ][c].T)), gain.shape[1])
+        p, q = ids[0][r][i], ids[1][c][j]
+        new = (gain[i, j].astype(np.int64), np.minimum(p, q), np.maximum(p, q), u[nx[i, j]], v[ny[i, j]])
+        best = tuple(np.concatenate(z) for z in zip(best, new, strict=True))
+        at = np.lexsort((best[2], best[1], -best[0]))[:k]
+        best = tuple(z[at] for z in best)
+    return best[1:]

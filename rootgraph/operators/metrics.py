@@ -2,31 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rootgraph.operators.quantiles import FEW, average_ranks, summary
+from rootgraph.operators.quantiles import FEW, average_ranks, quantiles, summary
 from rootgraph.sources.shared import stored, with_small
 
 #: differences up to this count as none where a tolerance is asked for
 TOLERANCE = 1e-12
 
 
-def agreement(rows: DataFrame, x: str, y: str, group: list[str], few: int = FEW) -> DataFrame:
+def agreement(rows: DataFrame, x: str, y: str, group: list[str], few: int = FEW, weight: str | None = None) -> DataFrame:
     """(group..., n_pairs, spearman, pearson) of two columns; a correlation is null if either side is constant.
 
+    Each row stands for one pair, or as many as ``weight`` says. Where no group has more than ``few`` different pairs, ranks
+    come from windows.
+
     Equal pairs of values are counted first, and only these counts are ranked and summed, about the means. A value that
     very many pairs share is then as many rows as it has partners, and ranks are joined to salted keys or broadcast
     when few. Pairs with a null are left out; groups hold no nulls.
     """
-    seen = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*group, F.col(x).alias("_x"), F.col(y).alias("_y"))
-    seen = stored(seen.groupBy(*group, "_x", "_y").agg(F.count("*").alias("n")), "pairs")
+    seen = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*group, F.col(x).alias("_x"), F.col(y).alias("_y"), (F.col(weight) if weight else F.lit(1)).alias("n"))
+    seen = stored(seen.groupBy(*group, "_x", "_y").agg(F.sum("n").alias("n")), "pairs")
     n = F.col("n")
     means = seen.groupBy(*group).agg(F.sum("n").alias("_all"), (F.sum(F.col("_x") * n) / F.sum("n")).alias("_mx"), (F.sum(F.col("_y") * n) / F.sum("n")).alias("_my"))
     ranked = seen
+    small = (seen.groupBy(*group).count().agg(F.max("count")).first()[0] or 0) <= few
     for v, r in (("_x", "_rx"), ("_y", "_ry")):
-        ranked = with_small(ranked, average_ranks(seen, v, group, r, few), [*group, v])
-    ranked = with_small(ranked, means, group)
+        if small:
+            upto, ties = Window.partitionBy(*group).orderBy(v), Window.partitionBy(*group, v)
+            ranked = ranked.withColumn(r, F.sum("n").over(upto) - (F.sum("n").over(ties) - 1) / 2)
+        else:
+            ranked = with_small(ranked, average_ranks(seen, v, group, r, few), [*group, v])
+    if small:
+        whole, mean = Window.partitionBy(*group), lambda v: F.sum(F.col(v) * n).over(whole) / F.sum("n").over(whole)
+        ranked = ranked.withColumns({"_all": F.sum("n").over(whole), "_mx": mean("_x"), "_my": mean("_y")})
+    else:
+        ranked = with_small(ranked, means, group)
     middle = (F.col("_all") + 1) / 2
     off = {"_dx": F.col("_x") - F.col("_mx"), "_dy": F.col("_y") - F.col("_my"), "_ex": F.col("_rx") - middle, "_ey": F.col("_ry") - middle}
     cross = lambda a, b: F.sum(F.col(a) * F.col(b) * n)
@@ -121,18 +133,26 @@ def separations(rows: DataFrame, group: list[str], few: int = FEW) -> DataFrame:
     return out.select(*group, "n_id_pairs", "mean_within_distance", "mean_cross_distance", f"mean_{s}", f"median_{s}", f"std_{s}", "fraction_positive", "paired_effect_size")
 
 
-def group_summary(pairs: DataFrame, descriptors: list[str], reference: str, suffix: str = "_distance", few: int = FEW) -> DataFrame:
+def group_summary(pairs: DataFrame, descriptors: list[str], reference: str, suffix: str = "_distance", few: int = FEW, weight: str | None = None) -> DataFrame:
     """Distances of classified pairs by group and descriptor, and their difference from the reference descriptor.
 
-    The reference's own rows have difference 0 and no fraction of pairs that are further apart.
+    The reference's own rows have difference 0 and no fraction of pairs that are further apart. Equal rows are counted
+    first; each stands for one pair, or as many as ``weight`` says.
     """
-    kept = pairs.select("pair_group", "cluster_id", F.col(f"{reference}{suffix}").alias("_ref"), *(F.col(f"{d}{suffix}").alias(d) for d in descriptors))
-    long = kept.unpivot(["pair_group", "cluster_id", "_ref"], descriptors, "descriptor", "d").withColumn("delta", F.col("d") - F.col("_ref"))
-    values = [
-        F.count("*").alias("n_pairs"), F.count_distinct("cluster_id").alias("n_clusters"), F.avg("d").alias("mean_distance"), F.stddev_samp("d").alias("std_distance"),
-        F.avg("delta").alias("mean_difference"), F.stddev_samp("delta").alias("std_difference"), F.avg((F.col("delta") > TOLERANCE).cast("double")).alias("_f"),
-    ]
-    out = summary(long.drop("_ref"), ["pair_group", "descriptor"], values, {"median_distance": ("d", 0.5), "median_difference": ("delta", 0.5)}, few, keep=True)
+    kept = pairs.select("pair_group", "cluster_id", F.col(f"{reference}{suffix}").alias("_ref"), *(F.col(f"{d}{suffix}").alias(d) for d in descriptors), (F.col(weight) if weight else F.lit(1)).cast("long").alias("n"))
+    long = kept.unpivot(["pair_group", "cluster_id", "_ref", "n"], descriptors, "descriptor", "d").withColumn("delta", F.col("d") - F.col("_ref"))
+    group = ["pair_group", "descriptor"]
+    clusters = long.groupBy(*group).agg(F.count_distinct("cluster_id").alias("n_clusters"))
+    long = stored(long.groupBy(*group, "d", "delta").agg(F.sum("n").alias("n")), "rows")
+    n, total = F.col("n"), lambda v, m: F.sum(F.when(v.isNotNull(), m))
+    mean = lambda v, m: F.sum(v * m) / total(v, m)
+    d, delta = F.col("d"), F.col("delta")
+    means = long.groupBy(*group).agg(mean(d, n).alias("mean_distance"), mean(delta, n).alias("mean_difference"))
+    held = with_small(long, means, group)
+    std = lambda v, m: F.sqrt(F.sum(F.pow(v - m, 2) * n) / F.nullif(total(v, n) - 1, F.lit(0)))
+    sums = held.groupBy(*group, "mean_distance", "mean_difference").agg(F.sum("n").alias("n_pairs"), std(d, F.col("mean_distance")).alias("std_distance"), std(delta, F.col("mean_difference")).alias("std_difference"), mean((delta > TOLERANCE).cast("double"), n).alias("_f"))
+    middle = quantiles(long, group, {"median_distance": ("d", 0.5), "median_difference": ("delta", 0.5)}, few, weight="n")
+    out = sums.join(clusters, group).join(middle, group)
     more = F.when(F.col("descriptor") != reference, F.col("_f")).alias("fraction_more_dissimilar")
     return out.select("pair_group", "descriptor", "n_pairs", "n_clusters", "mean_distance", "median_distance", "std_distance", "mean_difference", "median_difference", "std_difference", more)
 
