@@ -33,16 +33,24 @@ def pin(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 def build(nodes: DataFrame, bonds: DataFrame, graph: str = "g") -> DataFrame:
     """Graph rows from node rows (g, id, invariant, is_root) and bond rows (g, a, b, type, ring) that name node ids."""
-    n = nodes.groupBy(graph).agg(F.array_sort(F.collect_list(F.struct("id", "invariant", "is_root"))).alias("n"))
-    b = bonds.groupBy(graph).agg(F.array_sort(F.collect_list(F.struct("a", "b", "type", "ring"))).alias("b"))
+    own = nodes.select(graph, F.struct("id", "invariant", "is_root").alias("node"))
+    return gathered(own.unionByName(bonds.select(graph, F.array(F.struct("a", "b", "type", "ring")).alias("bonds")), allowMissingColumns=True), graph)
+
+
+def gathered(rows: DataFrame, graph: str = "g") -> DataFrame:
+    """Graph rows from rows (g, node, bonds) of a node struct and an array of bond structs as in ``build``, either of which may be null.
+
+    One aggregation: rows that are dealt by g are not moved again.
+    """
+    made = rows.groupBy(graph).agg(F.sort_array(F.collect_list("node")).alias("n"), F.sort_array(F.flatten(F.collect_list("bonds"))).alias("b"))
     place = lambda x: (F.array_position(F.col("n.id"), x) - 1).cast("int")
     none = F.array().cast("array<struct<a:int,b:int,type:string,ring:boolean>>")
-    made = F.transform("b", lambda e: F.struct(place(e["a"]).alias("a"), place(e["b"]).alias("b"), e["type"].alias("type"), e["ring"].alias("ring")))
-    return n.join(b, graph, "left").select(
+    named = F.transform("b", lambda e: F.struct(place(e["a"]).alias("a"), place(e["b"]).alias("b"), e["type"].alias("type"), e["ring"].alias("ring")))
+    return made.where(F.size("n") > 0).select(
         graph,
         (F.array_position(F.transform("n", lambda x: x["is_root"]), True) - 1).cast("int").alias("root"),
         F.transform("n", lambda x: F.struct(x["id"].alias("id"), x["invariant"].alias("invariant"))).alias("nodes"),
-        F.coalesce(made, none).alias("bonds"),
+        F.when(F.col(graph).isNotNull(), named).otherwise(none).alias("bonds"),
     )
 
 
@@ -165,7 +173,7 @@ def refine(graphs: DataFrame, radius: int = 3, directed: bool = True) -> DataFra
 
 def fold_features(features: Column, n_bits: int) -> Column:
     """Sorted on-bits of a feature array."""
-    return F.array_sort(F.array_distinct(F.transform(features, lambda f: fold(F.sha2(F.concat_ws(":", f["iteration"].cast("string"), f["label"]), 256), n_bits))))
+    return F.sort_array(F.array_distinct(F.transform(features, lambda f: fold(F.sha2(F.concat_ws(":", f["iteration"].cast("string"), f["label"]), 256), n_bits))))
 
 
 def with_paths(graphs: DataFrame, max_edges: int = 4, classes: dict[str, int] | None = None) -> DataFrame:
