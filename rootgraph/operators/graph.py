@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rootgraph.functions.bits import fold
+from rootgraph.functions.environments import with_environments
 
 #: classes of bonds in path descriptors (fixed values)
 BOND_CLASS = {"SINGLE": 1, "DOUBLE": 2, "TRIPLE": 3, "AROMATIC": 4}
@@ -229,29 +230,7 @@ def circular(graphs: DataFrame, radius: int = 3) -> DataFrame:
     """
     if radius < 0:
         raise GraphError(f"radius must not be negative, not {radius}")
-    out = pin(graphs, "_l", F.transform("nodes", lambda x: x["invariant"].cast("string")))
-    ends = lambda i: F.filter(F.transform("bonds", lambda e, k: F.struct(k.alias("bond"), e["type"].alias("type"), e["ring"].cast("int").cast("string").alias("ring"), F.when(e["a"] == i, e["b"]).when(e["b"] == i, e["a"]).alias("to"))), lambda e: e["to"].isNotNull())
-    out = pin(out, "_ends", F.transform("nodes", lambda _, i: ends(i)))
-    none = F.array().cast("array<int>")
-    out = pin(out, "_env", F.transform("nodes", lambda _: F.struct(none.alias("set"), F.lit(True).alias("grows"))))
-    out = out.withColumns({"_seen": F.array().cast("array<array<int>>"), "features": F.transform("_l", lambda x: F.struct(F.lit(0).alias("iteration"), x.alias("label")))})
-    for r in range(1, radius + 1):
-        reached = lambda i: F.flatten(F.transform(F.get(F.col("_ends"), i), lambda e: F.concat(F.array(e["bond"]), F.get(F.col("_env"), e["to"])["set"])))
-        text = lambda e: F.concat_ws(",", e["type"], e["ring"], F.get(F.col("_l"), e["to"]))
-        label = lambda x, i: F.sha2(F.concat_ws("|", x, F.array_join(F.sort_array(F.transform(F.get(F.col("_ends"), i), text)), ";")), 256)
-        grown = lambda v, i: F.struct(F.array_sort(F.array_distinct(F.concat(v["set"], reached(i)))).alias("set"), label(F.get(F.col("_l"), i), i).alias("label"), i.cast("int").alias("node"))
-        tried = F.filter(F.transform("_env", lambda v, i: F.when(v["grows"], grown(v, i))), lambda x: x.isNotNull())  # noqa: B023
-        out = pin(out, "_tried", F.array_sort(tried))
-        new = lambda x, k: ~F.array_contains("_seen", x["set"]) & F.when(k > 0, F.get(F.col("_tried"), k - 1)["set"] != x["set"]).otherwise(F.lit(True))
-        out = pin(out, "_new", F.filter("_tried", new))
-        out = pin(out, "_seen", F.concat("_seen", F.col("_new.set")))
-        out = pin(out, "features", F.concat("features", F.transform("_new", lambda x: F.struct(F.lit(r).alias("iteration"), x["label"].alias("label")))))  # noqa: B023
-        if r < radius:
-            mine = lambda i: F.get(F.filter("_tried", lambda x: x["node"] == i), F.lit(0))
-            counts = lambda i: F.array_contains("_new.node", i.cast("int"))
-            out = pin(out, "_l", F.transform("_l", lambda x, i: F.coalesce(mine(i)["label"], x)))
-            out = pin(out, "_env", F.transform("_env", lambda v, i: F.struct(F.coalesce(mine(i)["set"], v["set"]).alias("set"), counts(i).alias("grows"))))
-    return out.drop("_l", "_ends", "_env", "_seen", "_tried", "_new")
+    return graphs.withColumn("features", with_environments(F.transform("nodes", lambda x: x["invariant"].cast("string")), F.col("bonds"), radius))
 
 
 def circular_fingerprint(graphs: DataFrame, radius: int = 3, n_bits: int = 1024) -> DataFrame:
