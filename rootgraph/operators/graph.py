@@ -7,6 +7,7 @@ building graphs from tables costs one shuffle and descriptors none.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -177,12 +178,8 @@ def fold_features(features: Column, n_bits: int) -> Column:
     return F.sort_array(F.array_distinct(F.transform(features, lambda f: fold(F.sha2(F.concat_ws(":", f["iteration"].cast("string"), f["label"]), 256), n_bits))))
 
 
-def with_paths(graphs: DataFrame, max_edges: int = 4, classes: dict[str, int] | None = None) -> DataFrame:
-    """Adds ``paths``: array<struct<nodes, hashes>> of directed simple paths of 1 to ``max_edges`` edges.
-
-    Paths grow at their upstream end, chaining digests from the tail; ``hashes`` are those of all suffixes of the
-    path, so a path of L edges counts L times in count mode. Level edges may be walked both ways.
-    """
+def _grown(graphs: DataFrame, max_edges: int, classes: dict[str, int] | None, mark: Callable[[Column], Column] | None) -> DataFrame:
+    """Adds ``paths``: array<struct<nodes, last, marks>>, the digest of each path as ``last``, and the mark of every suffix's digest if one is asked for."""
     if max_edges < 1:
         raise GraphError(f"a path has at least one edge, not {max_edges}")
     classes = classes or BOND_CLASS
@@ -190,17 +187,36 @@ def with_paths(graphs: DataFrame, max_edges: int = 4, classes: dict[str, int] |
     kind = lambda e: F.coalesce(F.try_element_at(code, F.upper(F.trim(e["type"]))).cast("string"), F.raise_error(F.concat(F.lit("unsupported bond type "), e["type"])).cast("string"))
     out = pin(graphs, "_seed", F.transform("nodes", lambda x, i: F.sha2(F.when(i == F.col("root"), F.lit("'ROOT'")).otherwise(x["invariant"].cast("string")), 256)))
     seed = F.col("_seed")
-    link = lambda h, src, kind: F.sha2(F.concat_ws("|", h, kind, seed[src]), 256)
-    out = pin(out, "_into", F.transform("nodes", lambda _, i: F.transform(F.filter("edges", lambda e: e["dst"] == i), lambda e: F.struct(e["src"].alias("src"), kind(e).alias("kind")))))
-    out = pin(out, "_p1", F.transform("edges", lambda e: F.struct(F.array(e["src"], e["dst"]).alias("nodes"), F.array(link(seed[e["dst"]], e["src"], kind(e))).alias("hashes"))))
+    link = lambda h, e: F.sha2(F.concat_ws("|", h, e["kind"], seed[e["src"]]), 256)
+    ends = F.transform("edges", lambda e: F.struct(e["src"].alias("src"), e["dst"].alias("dst"), kind(e).alias("kind")))
+    out = pin(out, "_ends", ends)
+    out = pin(out, "_into", F.transform("nodes", lambda _, i: F.filter("_ends", lambda e: e["dst"] == i)))
+
+    def path(nodes: Column, last: Column, marks: Column | None = None) -> Column:
+        if mark is None:
+            return F.struct(nodes.alias("nodes"), last.alias("last"))
+        own = lambda h: F.array(mark(h)) if marks is None else F.concat(marks, F.array(mark(h)))
+        return F.transform(F.array(last), lambda h: F.struct(nodes.alias("nodes"), h.alias("last"), own(h).alias("marks")))[0]
+
+    out = pin(out, "_p1", F.transform("_ends", lambda e: path(F.array(e["src"], e["dst"]), link(seed[e["dst"]], e))))
     for k in range(2, max_edges + 1):
 
         def longer(p: Column) -> Column:
             more = F.filter(F.col("_into")[p["nodes"][0]], lambda e: ~F.array_contains(p["nodes"], e["src"]))
-            return F.transform(more, lambda e: F.struct(F.concat(F.array(e["src"]), p["nodes"]).alias("nodes"), F.concat(p["hashes"], F.array(link(F.element_at(p["hashes"], -1), e["src"], e["kind"]))).alias("hashes")))
+            return F.transform(more, lambda e: path(F.concat(F.array(e["src"]), p["nodes"]), link(p["last"], e), p["marks"] if mark else None))
 
         out = pin(out, f"_p{k}", F.flatten(F.transform(f"_p{k - 1}", longer)))
-    return out.withColumn("paths", F.concat(*(F.col(f"_p{k}") for k in range(1, max_edges + 1)))).drop("_seed", "_into", *(f"_p{k}" for k in range(1, max_edges + 1)))
+    return out.withColumn("paths", F.concat(*(F.col(f"_p{k}") for k in range(1, max_edges + 1)))).drop("_seed", "_ends", "_into", *(f"_p{k}" for k in range(1, max_edges + 1)))
+
+
+def with_paths(graphs: DataFrame, max_edges: int = 4, classes: dict[str, int] | None = None) -> DataFrame:
+    """Adds ``paths``: array<struct<nodes, hashes>> of directed simple paths of 1 to ``max_edges`` edges.
+
+    Paths grow at their upstream end, chaining digests from the tail; ``hashes`` are those of all suffixes of the
+    path, so a path of L edges counts L times in count mode. Level edges may be walked both ways.
+    """
+    made = F.transform("paths", lambda p: F.struct(p["nodes"].alias("nodes"), p["marks"].alias("hashes")))
+    return _grown(graphs, max_edges, classes, lambda h: h).withColumn("paths", made)
 
 
 def path_bits(paths: Column, n_bits: int) -> Column:
@@ -209,11 +225,15 @@ def path_bits(paths: Column, n_bits: int) -> Column:
 
 
 def path_fingerprint(graphs: DataFrame, max_edges: int = 4, n_bits: int = 1024, binary: bool = True, graph: str = "g", classes: dict[str, int] | None = None) -> DataFrame:
-    """(g, bit) of directed-path features, or (g, bit, count) if not ``binary``."""
-    bits = with_paths(graphs, max_edges, classes).select(graph, path_bits(F.col("paths"), n_bits).alias("bits"))
+    """(g, bit) of directed-path features, or (g, bit, count) if not ``binary``.
+
+    A suffix of a path is a path, so the bits are those of whole paths; counts take a bit of every suffix, folded once.
+    """
     if binary:
-        return bits.select(graph, F.explode(F.array_distinct("bits")).alias("bit"))
-    return bits.select(graph, F.explode("bits").alias("bit")).groupBy(graph, "bit").agg(F.count("*").alias("count"))
+        bits = F.transform("paths", lambda p: fold(p["last"], n_bits))
+        return _grown(graphs, max_edges, classes, None).select(graph, F.explode(F.array_distinct(bits)).alias("bit"))
+    bits = _grown(graphs, max_edges, classes, lambda h: fold(h, n_bits)).select(graph, F.explode(F.flatten("paths.marks")).alias("bit"))
+    return bits.groupBy(graph, "bit").agg(F.count("*").alias("count"))
 
 
 def wl_fingerprint(graphs: DataFrame, radius: int = 3, n_bits: int = 1024, directed: bool = True) -> DataFrame:
