@@ -30,6 +30,8 @@ class Config:
     files_at_once: int | None = None
 
 
+#: texts in a task: a file of few bytes is much work, and may be one that cannot be split
+ROWS = 1000
 ROW = "doc_id bigint, source string, status string, n_words int, n_on int, on_bits array<int>, batch bigint, lang string"
 PART = "source string, status string, n bigint, sum_on bigint, sum_on_squared bigint, batch bigint, lang string"
 
@@ -53,7 +55,8 @@ def run(spark: SparkSession, config: Config) -> dict:
     done = {"batches": 0, "rows": 0}
 
     def take(batch: DataFrame, number: int) -> None:
-        rows = described(batch, config).withColumn("batch", F.lit(number).cast("bigint"))
+        dealt = batch.repartition(max(1, -(-batch.count() // ROWS)), "doc_id", F.xxhash64("text"))
+        rows = described(dealt, config).withColumn("batch", F.lit(number).cast("bigint"))
         _replace(rows, f"{config.output}/descriptors")
         kept = descriptors(spark, config.output).where(F.col("batch") == number)
         on = F.col("n_on").cast("bigint")

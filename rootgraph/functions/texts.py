@@ -42,5 +42,5 @@ def with_chain_bits(df: DataFrame, text: str, n_bits: int = 1024, max_edges: int
         last = f"_h{e}"
     made = [f"_h{e}" for e in range(1, max_edges + 1)]
     bit = F.transform(F.filter(F.concat(*made), lambda h: h.isNotNull()), lambda h: fold(h, n_bits))
-    out = out.withColumns({"n_words": F.size("_seed") - 1, "on_bits": F.array_sort(F.array_distinct(bit))})
+    out = out.withColumns({"n_words": F.size("_seed") - 1, "on_bits": F.sort_array(F.array_distinct(bit))})
     return out.drop("_seed", *made)

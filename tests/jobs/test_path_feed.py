@@ -92,3 +92,11 @@ def test_command_line(spark, tmp_path):
     n = spark.read.parquet(f"{SF}/documents.parquet").count()
     assert [t["rows"] for t in told if t["event"] == "path_feed"] == [n, 0]
     assert path_feed.descriptors(spark, str(tmp_path / "out")).count() == n
+
+
+def test_texts_of_one_file_are_dealt_over_tasks(spark, place, monkeypatch):
+    monkeypatch.setattr(path_feed, "ROWS", 1)
+    add(spark, place, [(i, f"word {i} of many", "en", "a", 14) for i in range(40)])
+    assert path_feed.run(spark, place) == {"batches": 1, "rows": 40}
+    tasks = path_feed.descriptors(spark, place.output).select(F.regexp_extract(F.input_file_name(), r"part-(\d+)", 1)).distinct().count()
+    assert tasks > 10
