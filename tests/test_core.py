@@ -128,3 +128,10 @@ def test_pairs_meet_once_whatever_the_blocks(spark):
         assert sorted(got) == [(i, j) for i in range(30) for j in range(i + 1, 30)]
         got = [(r.id_i, r.id_j) for r in similarity.pairs(d, "id", ["g"], blocks).collect()]
         assert sorted(got) == [(i, j) for i in range(30) for j in range(i + 2, 30, 2)]
+
+
+def test_classified_pairs_of_large_groups_are_dealt_in_blocks(spark):
+    d = spark.range(60).select("id", F.when(F.col("id") != 7, F.col("id") % 2).alias("s"), (F.col("id") % 3).alias("p"), (F.col("id") % 5).alias("x"))
+    whole, dealt = (similarity.classified_pairs(d, "id", "s", "p", "x", block) for block in (1000, 8))
+    assert sorted(map(repr, dealt.select(*whole.columns).collect())) == sorted(map(repr, whole.collect()))
+    assert dealt.rdd.getNumPartitions() >= 2 * (4 * 4 + 3 * 3)
