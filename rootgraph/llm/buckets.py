@@ -55,22 +55,23 @@ def spanning(a: np.ndarray, b: np.ndarray, linked: np.ndarray) -> tuple[np.ndarr
         la, lb = na, nb
 
 
-def parts(rows: DataFrame, block: int = BLOCK, text: str | None = None) -> DataFrame:
-    """(cluster, _g): the parts of about ``block`` rows (and of ``TEXT_BYTES`` of the column ``text``) of each cluster."""
-    n = F.count("*") / block if text is None else F.greatest(F.count("*") / block, F.sum(F.length(text)) / TEXT_BYTES)
+def parts(rows: DataFrame, block: int = BLOCK, text: str | None = None, letters: str | None = None) -> DataFrame:
+    """(cluster, _g): the parts of about ``block`` rows (and of ``TEXT_BYTES`` of the column ``text``, or by ``letters``, its lengths) of each cluster."""
+    length = F.col(letters) if letters else F.length(text) if text else None
+    n = F.count("*") / block if length is None else F.greatest(F.count("*") / block, F.sum(length) / TEXT_BYTES)
     return rows.groupBy("cluster").agg(F.ceil(n).cast("int").alias("_g"))
 
 
-def in_blocks(rows: DataFrame, kernel: Kernel, block: int = BLOCK, text: str | None = None, pairs: bool = False, own: int | None = None) -> DataFrame:
+def in_blocks(rows: DataFrame, kernel: Kernel, block: int = BLOCK, text: str | None = None, pairs: bool = False, own: int | None = None, size: DataFrame | None = None) -> DataFrame:
     """Links (a, b) between labels that join the rows of each cluster whose pairs the kernel accepts; with ``pairs``, those pairs, a > b.
 
     ``rows`` holds cluster, id, label and what the kernel needs. A cluster is cut into parts of about ``block`` rows
     (and of ``TEXT_BYTES`` of the column ``text``) and each pair of parts is compared in one step, so no task holds a
     cluster and no pairs are emitted: a step gives fewer links than it has rows (unless ``pairs``, for kernels that
     leave few). Pairs of equal label are joined already and not compared. With ``own`` parts are compared with
-    themselves only, which moves each row once; each number deals the rows in another way.
+    themselves only, which moves each row once; each number deals the rows in another way. ``size`` is what ``parts`` gives, if known.
     """
-    dealt = rows.join(parts(rows, block, text), "cluster")
+    dealt = rows.join(parts(rows, block, text) if size is None else size, "cluster")
     dealt = dealt.withColumn("_own", F.pmod(F.xxhash64("id", *([] if own is None else [F.lit(own)])), F.col("_g")).cast("int"))
     dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_g") - 1)) if own is None else F.col("_own"))
     dealt = dealt.withColumn("key", F.xxhash64("cluster", F.least("_own", "_other"), F.greatest("_own", "_other"))).withColumn("side", (F.col("_own") > F.col("_other")).cast("int"))

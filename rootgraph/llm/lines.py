@@ -16,6 +16,8 @@ from rootgraph.llm.buckets import classes, in_blocks, parts, stars
 from rootgraph.llm.common import columns, components, discard, fresh, pin, table, written
 from rootgraph.llm.kernels import U64, mix, pieces, prefix_hash, ragged, span_hash
 
+#: bytes of text scanned at once: what is made of them fits a cache
+PIECE = 1 << 18
 #: edit similarity, and bits in which 128-bit SimHashes of grams may differ: unrelated lines differ in about 60
 THRESHOLD, RADIUS = 0.8, 44
 #: keys of a line: each joins the least of ORDERS hash orders of the GRAM-byte grams, of those that SAMPLE picks by their hash
@@ -26,12 +28,12 @@ SHORT, SHORT_GRAM, SHORT_ORDERS, SHORT_KEYS, MORE = 64, 5, 2, 6, 8
 DIGITS = 1.5
 #: times that the lines of a large bucket are dealt into parts compared with themselves only, before all its parts are compared
 ROUNDS = 3
-#: letters of pairs whose edit distances are found at once, and pairs that make that worth while
-CELLS, FEW = 1 << 19, 128
+#: letters of pairs whose edit distances are found at once, bytes of their tables, and pairs that make that worth while
+CELLS, TABLES, FEW = 1 << 20, 1 << 26, 32
 #: pairs of two classes' lines in a block that are worth no ordering, pairs a line beyond which a block compares them itself, and at once
 SPARSE, MANY, BATCH = 8, 4, 4096
 #: letters of a line up to which the edit distance costs less than the bound from aligned words
-PLAIN = 128
+PLAIN = 1024
 #: letters of two lines beyond which a distance is only compared with its limit
 LONG = 8192
 #: ASCII letters are alike in both cases, digits stay, other ASCII separates words
@@ -111,16 +113,24 @@ def sampled_grams(plain: np.ndarray, begin: np.ndarray, size: np.ndarray, width:
 
 
 def digitless(plain: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each line with every run of digits as one 0, and how many digits it has; lines stand one after the other."""
+    """Hash of each line with every run of digits as one 0 (0 where it has none), and how many digits it has; lines stand one after the other."""
     digit = (plain >= 0x30) & (plain <= 0x39)
+    n = np.concatenate([[0], np.cumsum(digit, dtype=np.int32)])
+    n = n[begin + size] - n[begin]
+    out = np.zeros(len(size), U64)
+    some = np.flatnonzero(n)
+    if len(some) < len(size):  # most lines have none
+        at = np.repeat(begin[some], size[some]) + ragged(size[some])
+        plain, digit, size = plain[at], digit[at], size[some]
+        begin = np.cumsum(size) - size
     again = digit.copy()
     again[1:] &= digit[:-1]
     again[:1] = False
     again[begin] = False
     at = np.concatenate([[0], np.cumsum(~again)])
-    n = np.concatenate([[0], np.cumsum(digit)])
     h = span_hash(prefix_hash(np.where(digit, 0x30, plain).astype(np.uint8)[~again]), at[begin], at[begin + size])
-    return mix(h ^ U64(0x2545F4914F6CDD1D)), n[begin + size] - n[begin]
+    out[some] = mix(h ^ U64(0x2545F4914F6CDD1D))
+    return out, n
 
 
 def least_keys(h: np.ndarray, first: np.ndarray, width: int, orders: int, n: int) -> np.ndarray:
@@ -139,15 +149,15 @@ def places(doc: np.ndarray, pos: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.decimal128(38, 0), len(doc), [None, pa.py_buffer(np.ascontiguousarray(wide).tobytes())])
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, keyed: bool = True) -> DataFrame:
     """doc_id (not null), text -> a row for each line that is not blank: f1, f2 (hash of the normalised line).
 
-    And its place (doc_id * 2^31 + pos), s1, s2 (SimHash), and keys k0, k1, ..., the last that of its digitless form.
+    And its place (doc_id * 2^31 + pos); if ``keyed``, s1, s2 (SimHash), and keys k0, k1, ..., the last that of its digitless form.
     """
     names = [f"k{i}" for i in range(KEYS + SHORT_KEYS + 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, start, end in pieces(batches):
+        for batch, data, start, end in pieces(batches, chunk=PIECE):
             row, pos, a, b = line_spans(data, start, end)
             low = _FOLD[data]
             word = low != 0
@@ -163,6 +173,10 @@ def scan(docs: DataFrame) -> DataFrame:
             row, pos, first, last = row[keep], pos[keep], first[keep], last[keep]
             other = mix(h ^ U64(0x5851F42D4C957F2D))
             f = [span_hash(prefix_hash(x), first, last) for x in (h, other)]
+            place = places(batch.column(0).to_numpy()[row], pos)
+            if not keyed:
+                yield pa.record_batch([place, *(pa.array(x.view(np.int64)) for x in f)], ["place", "f1", "f2"])
+                continue
             length = np.concatenate([[0], np.cumsum(we - ws)])
             size = length[last] - length[first] + (last - first - 1)
             # the normalised lines: words, with one space after each but the last of a line
@@ -188,9 +202,9 @@ def scan(docs: DataFrame) -> DataFrame:
             form, digits = digitless(plain[:-8], begin, size)
             keys = [pa.array(x.view(np.int64), mask=none if k >= KEYS else None) for k, x in enumerate(keys)]
             keys.append(pa.array(form.view(np.int64), mask=(digits == 0) | (digits > DIGITS * (1 - THRESHOLD) * size)))
-            yield pa.record_batch([places(batch.column(0).to_numpy()[row], pos), *(pa.array(x.view(np.int64)) for x in (*f, *s)), *keys], ["place", "f1", "f2", "s1", "s2", *names])
+            yield pa.record_batch([place, *(pa.array(x.view(np.int64)) for x in (*f, *s)), *keys], ["place", "f1", "f2", "s1", "s2", *names])
 
-    schema = "place decimal(38,0), f1 long, f2 long, s1 long, s2 long, " + ", ".join(f"{k} long" for k in names)
+    schema = "place decimal(38,0), f1 long, f2 long" + "".join(f", {k} long" for k in ("s1", "s2", *names) if keyed)
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
@@ -242,8 +256,8 @@ def aligned_distance(a: str, b: str) -> int:
         i, j, k = p, q, before[k]
 
 
-def reaches(a: str, b: str, most: int) -> bool:
-    """Whether the edit distance of long texts is ``most`` at most: a column of the table as the bits of one number."""
+def limited(a: str, b: str, most: int) -> int:
+    """The edit distance of two texts, or a number beyond ``most``: a column of the table as the bits of one number."""
     where: dict[str, int] = {}
     for i, c in enumerate(a):
         where[c] = where.get(c, 0) | 1 << i
@@ -257,48 +271,51 @@ def reaches(a: str, b: str, most: int) -> bool:
         score += bool(plus & top) - bool(minus & top)
         left -= 1
         if score - left > most:
-            return False
+            return most + 1
         plus, minus = (plus << 1 | 1) & mask, minus << 1 & mask
         up, down = minus | (mask & ~(still | plus)), plus & still
-    return score <= most
+    return score
 
 
-def bounded(a: str, b: str, most: int, many: bool = False) -> bool | tuple[str, str]:
-    """Whether the edit distance is ``most`` at most, where bounds tell; else what is left to compare.
-
-    Of ``many`` pairs the PLAIN ones are left to be compared at once.
-    """
+def bounded(a: str, b: str, most: int) -> bool | tuple[str, str]:
+    """Whether the edit distance is ``most`` at most, where bounds tell; else what is left to compare."""
     if abs(len(a) - len(b)) > most:
         return False
     a, b = trimmed(a, b)
     if max(len(a), len(b)) <= most:
         return True
-    if not (many and max(len(a), len(b)) <= PLAIN) and aligned_distance(a, b) <= most:
+    if max(len(a), len(b)) > PLAIN and aligned_distance(a, b) <= most:
         return True
     return (a, b) if a and b else False
 
 
 def within(pairs: list[tuple[str, str]], threshold: float, cells: int = CELLS) -> np.ndarray:
     """Which pairs reach the edit similarity: by bounds, and the rest by edit distance in batches of like lengths."""
-    most = [int((1 - threshold) * max(len(a), len(b)) + 1e-9) for a, b in pairs]
-    found = [bounded(a, b, k, len(pairs) >= 4 * FEW) for (a, b), k in zip(pairs, most, strict=True)]
+    most = np.array([int((1 - threshold) * max(len(a), len(b)) + 1e-9) for a, b in pairs], np.int64)
+    found = [bounded(a, b, k) for (a, b), k in zip(pairs, most.tolist(), strict=True)]
     out = np.array([x is True for x in found], bool)
-    rest = sorted((i for i, x in enumerate(found) if isinstance(x, tuple)), key=lambda i: max(map(len, found[i])))
-    while rest:
-        n = min(len(rest), cells // (len(found[rest[-1]][0]) + len(found[rest[-1]][1])))
-        if n < FEW:  # too long, or too few, for many at once
-            i = rest.pop()
-            out[i] = reaches(*found[i], most[i])
-            continue
-        part, rest = rest[-n:], rest[:-n]
-        out[part] = distances([found[i] for i in part]) <= np.array([most[i] for i in part])
+    rest = np.array([i for i, x in enumerate(found) if isinstance(x, tuple)], np.int64)
+    size = np.array([max(map(len, found[i])) for i in rest], np.int64)
+    order = np.argsort(size, kind="stable")
+    rest, size = rest[order], size[order]
+    while len(rest):
+        longest = int(size[-1])
+        n = min(len(rest) - int(np.searchsorted(size, 0.8 * longest)), max(1, cells // (2 * longest)))
+        part, rest, size = rest[-n:], rest[:-n], size[:-n]
+        if n < FEW + longest // 40:  # too long, or too few, for many at once
+            out[part] = [limited(*found[i], k) <= k for i, k in zip(part.tolist(), most[part].tolist(), strict=True)]
+        else:
+            out[part] = distances([found[i] for i in part.tolist()], int(most[part].max())) <= most[part]
     return out
 
 
-def distances(pairs: list[tuple[str, str]]) -> np.ndarray:
-    """Edit distances, of all pairs at once: a column of each table as bits, 64 rows a word, carries from word to word.
+def distances(pairs: list[tuple[str, str]], most: int) -> np.ndarray:
+    """Edit distances, of all pairs at once, right where they are ``most`` at most and else beyond it.
 
-    Memory is the pairs times their longest length times their letters, over 8; a batch should be of like lengths.
+    A column of each table is bits, 64 rows a word, with carries from word to word. Only words within ``most`` rows of the
+    diagonal are computed: above them a distance counts as one more in each column, below them as one more in each row,
+    which is never too little. Memory is the pairs times their longest length times their letters, over 8; a batch
+    should be of like lengths.
     """
     m, n = (np.array([len(p[k]) for p in pairs]) for k in (0, 1))
     count, blocks = len(pairs), int(-(-m.max() // 64))
@@ -310,42 +327,50 @@ def distances(pairs: list[tuple[str, str]]) -> np.ndarray:
     used[both] = True
     used[0] = False  # past the end
     code = np.cumsum(used)[both]
+    letters = int(code.max()) + 1
+    if count > 1 and letters * count * blocks * 8 > TABLES:
+        half = count // 2
+        return np.concatenate([distances(pairs[:half], most), distances(pairs[half:], most)])
     rows = np.arange(count)
-    where = np.zeros((int(code.max()) + 1, count, blocks), U64)  # rows of the first text that hold a letter
+    where = np.zeros((blocks, letters, count), U64)  # rows of the first text that hold a letter
     for i in range(int(m.max())):
-        where[code[0, :, i], rows, i // 64] |= U64(1 << i % 64)
-    where[0] = 0
-    text = np.ascontiguousarray(code[1].T)
+        where[i // 64, code[0, :, i], rows] |= U64(1 << i % 64)
+    where[:, 0] = 0
+    where = list(where.reshape(blocks, letters * count))
+    at = np.ascontiguousarray(code[1].T) * count + rows
     up, down = np.full((blocks, count), U64(0xFFFFFFFFFFFFFFFF)), np.zeros((blocks, count), U64)
     # the rows of the first texts, as bits
     inside = np.clip(m[None, :] - 64 * np.arange(blocks)[:, None], 0, 64).astype(U64)
     inside = np.where(inside == 0, U64(0), U64(0xFFFFFFFFFFFFFFFF) >> (U64(64) - np.maximum(inside, U64(1))))
     out = np.zeros(count, np.int64)
-    zero, ones = np.zeros(count, U64), np.ones(count, U64)
+    ones, zero, top = np.ones(count, U64), np.zeros(count, U64), U64(63)
+    same, still, flat, plus, minus, *carry = np.empty((9, count), U64)
     for t in range(int(n.max())):
-        same_all = np.ascontiguousarray(where[text[t], rows].T)
         plus_in, minus_in = ones, zero
-        for w in range(blocks):
-            same, u, d = same_all[w], up[w], down[w]
-            still = same | d
+        for w in range(max(0, (t - most) // 64), min(blocks - 1, (t + most) // 64) + 1):
+            u, d = up[w], down[w]
+            where[w].take(at[t], out=same, mode="clip")
+            np.bitwise_or(same, d, out=still)
             same |= minus_in
-            flat = same & u
+            np.bitwise_and(same, u, out=flat)
             flat += u
             flat ^= u
             flat |= same
-            plus = flat | u
-            np.invert(plus, plus)
+            np.bitwise_or(flat, u, out=plus)
+            np.invert(plus, out=plus)
             plus |= d
-            minus = u & flat
-            plus_out, minus_out = ((x.view(np.int64) < 0).astype(U64) for x in (plus, minus))
+            np.bitwise_and(u, flat, out=minus)
+            plus_out, minus_out = carry[2 * (w % 2)], carry[2 * (w % 2) + 1]
+            np.right_shift(plus, top, out=plus_out)
+            np.right_shift(minus, top, out=minus_out)
             plus += plus  # one row on
             plus |= plus_in
             minus += minus
             minus |= minus_in
-            down[w] = plus & still
+            np.bitwise_and(plus, still, out=d)
             plus |= still
-            np.invert(plus, plus)
-            up[w] = plus | minus
+            np.invert(plus, out=plus)
+            np.bitwise_or(plus, minus, out=u)
             plus_in, minus_in = plus_out, minus_out
         ends = np.flatnonzero(n == t + 1)
         if len(ends):  # a whole column: the top's distance, and what each row adds or takes
@@ -443,10 +468,9 @@ def apart_at_most(label: list[np.ndarray], text: list[list[str]], i: np.ndarray,
         apart.append(far)
     pivots = [np.array([first[s][int(v)] for v in label[s][rows]]) for s, rows in ((0, i), (1, j))]
     known: dict[tuple[int, int], int] = {}
-    todo = sorted({(p, q) for p, q in zip(*(v.tolist() for v in pivots), strict=True) if len(text[0][p]) + len(text[1][q]) <= LONG}, key=lambda k: len(text[0][k[0]]))
-    for at in range(0, len(todo), FEW):
-        part = todo[at : at + FEW]
-        known.update(zip(part, distances([(text[0][p], text[1][q]) for p, q in part]).tolist(), strict=True))
+    for p, q in set(zip(*(v.tolist() for v in pivots), strict=True)):
+        if (both := len(text[0][p]) + len(text[1][q])) <= LONG:
+            known[p, q] = limited(text[0][p], text[1][q], both)
     between = np.array([known.get(k, 0) for k in zip(*(v.tolist() for v in pivots), strict=True)])
     return between - apart[0][i] - apart[1][j] <= most
 
@@ -455,6 +479,11 @@ def apart_at_most(label: list[np.ndarray], text: list[list[str]], i: np.ndarray,
 DOC_POS = ("cast((place - pmod(place, 2147483648BD)) div 2147483648BD as long) AS doc_id", "cast(pmod(place, 2147483648BD) as int) AS pos")
 
 
+def mixed_lines(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """Written ``lines`` of the ids in ``rows``, each with its number of letters."""
+    return written(lines.join(rows.select("id").distinct(), "id").withColumn("letters", F.length("line")), "mixed-lines")
+
+
 def similar_classes(docs: DataFrame, one: DataFrame, threshold: float, radius: int) -> DataFrame:
     """(node, component) of the distinct lines ``one`` (id, place, s1, s2, keys) that chains of similar pairs join."""
     keys = [c for c in one.columns if c[0] == "k"]
@@ -466,25 +495,30 @@ def similar_classes(docs: DataFrame, one: DataFrame, threshold: float, radius: i
     lines = lines.select("id", "s1", "s2", "form", normalised(F.col("line")).alias("line"))
     lines = written(lines.groupBy("id").agg(*(F.first(c).alias(c) for c in ("s1", "s2", "form")), F.max("line").alias("line")), "compared")
 
-    def verify(pairs: DataFrame) -> DataFrame:
+    def verify(pairs: DataFrame, lines: DataFrame = lines) -> DataFrame:
         both = pairs.join(lines.toDF("a", "a1", "a2", "fa", "la"), "a").join(lines.toDF("b", "b1", "b2", "fb", "lb"), "b")
         bits = F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) + F.bit_count(F.col("a2").bitwiseXOR(F.col("b2")))
         na, nb = F.length("la"), F.length("lb")
         both = both.where((F.col("fa") == F.col("fb")) | (bits <= F.when(F.greatest(na, nb) <= SHORT, radius + MORE).otherwise(radius))).where(F.least(na, nb) >= threshold * F.greatest(na, nb))
         return similar(both, threshold)
 
-    def compare(rows: DataFrame, own: int | None) -> DataFrame:
-        near = in_blocks(rows.join(lines, "id").select("cluster", "id", "label", "s1", "s2", "form", "line"), lambda x, y: candidates(x, y, threshold, radius), text="line", pairs=True, own=own)
-        return written(verify(near.distinct()), "links")
-
     def settle(rows: DataFrame) -> DataFrame:
         """Compares the lines of mixed buckets; what may be alike goes through the edit distance once.
 
         Buckets of one part are done in the first round. The lines of larger ones are dealt anew in each round, so that a large
         class is joined in work that grows with its lines; only what then is still several classes is compared in all blocks.
+        Most lines are in no mixed bucket: each round moves those of its buckets only.
         """
+        held = [mixed_lines(rows, lines)]
+
+        def compare(rows: DataFrame, own: int | None) -> DataFrame:
+            cards = rows.join(held[-1], "id").select("cluster", "id", "label", "s1", "s2", "form", "line")
+            size = parts(rows.join(held[-1].select("id", "letters"), "id"), letters="letters")
+            near = in_blocks(cards, lambda x, y: candidates(x, y, threshold, radius), pairs=True, own=own, size=size)
+            return written(verify(near.distinct(), held[-1].drop("letters")), "links")
+
         links, own = [compare(rows, 0)], [rows]
-        size = parts(rows.join(lines.select("id", "line"), "id"), text="line").where("_g > 1")
+        size = parts(rows.join(held[0].select("id", "letters"), "id"), letters="letters").where("_g > 1")
         rows = written(rows.join(size.select("cluster"), "cluster"), "large")
         for k in range(1, ROUNDS + 1):
             own.append(rows)
@@ -498,10 +532,11 @@ def similar_classes(docs: DataFrame, one: DataFrame, threshold: float, radius: i
             rows = written(rows.join(mixed, "cluster"), "large")
             discard(joined)
             if not rows.isEmpty():
+                held.append(mixed_lines(rows, held[-1].drop("letters")))
                 links.append(compare(rows, k if k < ROUNDS else None))
         discard(*own[1:], *([rows] if rows is not own[-1] else []))
         out = written(reduce(DataFrame.union, links), "links")
-        discard(*links)
+        discard(*links, *held)
         return out
 
     # lines that share a key by chance would chain into one cluster
@@ -515,10 +550,11 @@ def duplicate_lines(docs: DataFrame, threshold: float = THRESHOLD, radius: int =
 
     Lines are alike if their normalised forms are equal, or if they share a key, their SimHashes differ in at most
     ``radius`` bits (MORE where both are of SHORT characters at most; lines that share their digitless form may differ in any) and 1 - edit distance / longer length >= ``threshold`` (in characters); classes are chains of
-    such pairs. Equal lines are merged before keys move; a very common line is counted where it is read.
+    such pairs. Equal lines are merged before keys move; a very common line is counted where it is read. Texts
+    are read once more for the places of lines that go: written, all lines' keys would take half the input.
     """
     docs = docs.where("doc_id is not null")
-    at = written(scan(docs), "scanned")
+    at = scan(docs)
     rest = [F.first(c).alias(c) for c in at.columns[3:]]
     one = at.groupBy("f1", "f2").agg(F.min("place").alias("place"), F.count("*").alias("n"), *rest)
     one = written(one.withColumn("id", F.monotonically_increasing_id()), "distinct")
@@ -529,9 +565,9 @@ def duplicate_lines(docs: DataFrame, threshold: float = THRESHOLD, radius: int =
     alone = named.where("n > 1").join(found.select("node"), "node", "left_anti")
     gone = written(alike.join(first, "component").select("f1", "f2", "keep").union(alone.select("f1", "f2", F.col("place").alias("keep"))), "gone")
     discard(one, found, alike)
-    later = at.select("place", "f1", "f2").join(gone, ["f1", "f2"]).where("place != keep").selectExpr(*DOC_POS)
+    later = scan(docs, keyed=False).join(gone, ["f1", "f2"]).where("place != keep").selectExpr(*DOC_POS)
     out = written(later.groupBy("doc_id").agg(F.collect_set("pos").alias("at")), "lines")
-    discard(at, gone)
+    discard(gone)
     return out
 
 
@@ -554,7 +590,7 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, radius: int = RAD
     text = F.when(F.col(at).isNotNull(), F.array_join(F.transform(left, lambda i: F.col(parts)[i]), "\n")).otherwise(F.col(text_col))
     added = {}
     if counts:
-        breaks = F.length(text_col) - F.length(F.translate(F.col(text_col), "\n", ""))
+        breaks = F.octet_length(text_col) - F.octet_length(F.replace(F.col(text_col), F.lit("\n"), F.lit("")))
         added = {counts[0]: F.coalesce(breaks + 1, F.lit(0)).cast("long"), counts[1]: F.coalesce(F.size(at), F.lit(0)).cast("long")}
     keep = [text.alias(text_col) if c == text_col else F.col("`" + c.replace("`", "``") + "`") for c in docs.columns if c not in added]
     return out.select(*keep, *(v.alias(k) for k, v in added.items()))
