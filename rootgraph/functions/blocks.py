@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -61,75 +62,217 @@ def bounds(own: np.ndarray, cells: np.ndarray, width: int) -> np.ndarray:
     return shares(both, either)
 
 
+#: bits of a lane, lanes in use at most, rows of a block from which lanes are looked up, and lanes with so many other bits at most
+LANE, LANES, FROM, FAR = 16, 4, 1 << 12, 6
+#: nanoseconds that looking up a value of a lane, comparing a row found by it, and comparing one of a run of rows take
+LOOKED, FOUND, RUN = 8, 14, 8
+
+
+@lru_cache
+def flips(n: int) -> np.ndarray:
+    """Every value of a lane with ``n`` bits."""
+    every = np.arange(1 << LANE, dtype=np.uint16)
+    return every[np.bitwise_count(every) == n]
+
+
+class Best:
+    """The k best of a block for each query so far, ties by the smaller id; rows of the query's own id do not count.
+
+    ``place`` is the place of a row among the block's ids, which rows of equal ids share; ``own`` has those from and up to
+    which the rows of a query's own id are.
+    """
+
+    def __init__(self, asked: np.ndarray, held: np.ndarray, place: np.ndarray, own: tuple[np.ndarray, np.ndarray], k: int) -> None:
+        self.asked, self.held, self.place, self.own, self.k = asked, held, place, own, k
+        self.n_asked, self.n_held = bit_counts(asked), bit_counts(held)
+        n = len(asked)
+        self.floor, self.last = np.full(n, -1.0), np.full(n, len(held))
+        self.top, self.at = np.full((n, k), -1.0), np.full((n, k), -1)  # similarities and rows, -1 where there is none
+        self.far = np.uint8 if held.shape[1] < 4 else np.uint16
+        self.reach = np.full(n, np.iinfo(self.far).max, self.far)
+        self.steps = np.zeros(n, np.int64)  # of ``looked_up``
+        self.lanes: np.ndarray = np.empty(0, np.int64)
+        self.compared = [0, 0]
+
+    def own_rows(self, q: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        return (self.place[rows] >= self.own[0][q]) & (self.place[rows] < self.own[1][q])
+
+    def apart(self, q: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """The step of ``looked_up`` that meets a row first."""
+        other = np.bitwise_count((self.asked[q] ^ self.held[rows]).view(np.uint16)[:, self.lanes]).astype(np.int64)
+        return (other * len(self.lanes) + np.arange(len(self.lanes))).min(axis=1)
+
+    def take(self, q: np.ndarray, rows: np.ndarray, h: np.ndarray, step: int | None) -> None:
+        """Rows that differ from queries in h bits; those that an earlier step has met are left out."""
+        both = (self.n_asked[q] + self.n_held[rows] - h) // 2
+        s = shares(both, both + h)
+        keep = np.flatnonzero(s >= self.floor[q])
+        q, rows, s = q[keep], rows[keep], s[keep]
+        keep = ~self.own_rows(q, rows) & ((s > self.floor[q]) | (self.place[rows] < self.last[q]))
+        if len(self.lanes):
+            first = self.apart(q, rows)
+            keep &= (first >= self.steps[q]) if step is None else (first == step)
+        if not keep.any():
+            return
+        met, i = np.unique(q[keep], return_inverse=True)
+        old_i, old_j = np.nonzero(self.at[met] >= 0)
+        i, s, rows = np.r_[old_i, i], np.r_[self.top[met][old_i, old_j], s[keep]], np.r_[self.at[met][old_i, old_j], rows[keep]]
+        chosen = first_of_each(i, -s, self.place[rows], k=self.k)
+        i, s, rows = i[chosen], s[chosen], rows[chosen]
+        nth = np.arange(len(i)) - np.searchsorted(i, i)
+        self.top[met[i], nth], self.at[met[i], nth] = s, rows
+        full = met[self.at[met, self.k - 1] >= 0]
+        self.floor[full], self.last[full] = self.top[full, self.k - 1], self.place[self.at[full, self.k - 1]]
+        some = full[self.floor[full] > 0]  # c common bits of c + h: h is c (1 - s) / s, and c no more than the query's bits
+        reach = self.n_asked[some] * (1 - self.floor[some]) / self.floor[some]
+        self.reach[some] = np.minimum(np.floor(reach + 1e-9), np.iinfo(self.far).max)
+
+    def differ(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Bits in which words differ."""
+        found = np.bitwise_count(a[..., 0] ^ b[..., 0])
+        for w in range(1, a.shape[-1]):
+            found = found.astype(self.far, copy=False) + np.bitwise_count(a[..., w] ^ b[..., w])
+        return found
+
+    def looked_up(self) -> np.ndarray:
+        """Finds the rows nearest in bits by lanes of 16 bits; returns the queries whose k best are not certain by that.
+
+        Of m lanes, step t meets the rows that differ from the query in t div m bits of lane t mod m. After it, every row that
+        differs in at most t bits is met. A query needs all within the reach of its k-th best; it leaves when the steps
+        to there would take longer than comparing all rows, and a quarter of that time is spent.
+        """
+        n, every = len(self.held), np.arange(len(self.asked))
+        used = np.flatnonzero((np.bitwise_or.reduce(self.held, axis=0) | np.bitwise_or.reduce(self.asked, axis=0)).view(np.uint16)) if n and len(every) else []
+        if n < FROM or not 0 < len(used) <= LANES:
+            return every
+        self.lanes, m = used, len(used)
+        order = [np.argsort(self.held.view(np.uint16)[:, c], kind="stable") for c in used]
+        held = [self.held[o] for o in order]
+        size = [np.bincount(self.held.view(np.uint16)[:, c], minlength=1 << LANE) for c in used]
+        begin = [np.cumsum(x) - x for x in size]
+        mine = self.asked.view(np.uint16)[:, used]
+        price = np.array([len(flips(t // m)) * (LOOKED + FOUND * n / (1 << LANE)) for t in range(FAR * m)])
+        price = np.r_[0, np.cumsum(price), np.full(64 * m, np.inf)]
+        active, left = every, []
+        for t in range(FAR * m):
+            need = np.minimum(self.reach[active].astype(np.int64) + 1, len(price) - 1)
+            known = self.floor[active] >= 0
+            rest = np.where(known, price[np.maximum(need, t)] - price[t], np.inf)
+            stop = (price[t + 1] > n * RUN / 4) & (rest > n * RUN)  # the first steps may raise a floor
+            left.append(active[stop & ~(known & (need <= t))])
+            active = active[~stop & ~(known & (need <= t))]
+            if not len(active):
+                break
+            lane, masks = t % m, flips(t // m)
+            wide = max(1, int(SLAB / 4 / (len(masks) * (1 + n / (1 << LANE)))))
+            for some in (active[i : i + wide] for i in range(0, len(active), wide)):
+                value = (mine[some, lane][:, None] ^ masks[None, :]).astype(np.intp).ravel()
+                count = size[lane][value]
+                each = count.reshape(len(some), -1).sum(axis=1)
+                total = int(each.sum())
+                at = np.arange(total) + np.repeat(begin[lane][value] - (np.cumsum(count) - count), count)
+                h = self.differ(np.repeat(self.asked[some], each, axis=0), held[lane][at])
+                hit = np.flatnonzero(h <= np.repeat(self.reach[some], each))
+                early = self.floor[some] < 0
+                self.compared[0] += int(each[early].sum())
+                self.compared[1] += int(each[~early].sum())
+                q = some[np.searchsorted(np.cumsum(each), hit, side="right")]
+                self.take(q, order[lane][at[hit]], h[hit].astype(np.int64), t)
+            self.steps[active] = t + 1
+        return np.sort(np.concatenate([*left, active]))
+
+    def run(self, q: np.ndarray, rows: np.ndarray, wide: int = 1 << 12) -> None:
+        """Compares each query with each row; rows are sorted by bit count."""
+        wide = min(wide, SLAB)
+        high = max(1, SLAB // (8 * wide))
+        for a, b in ((q[i : i + high], rows[j : j + wide]) for j in range(0, len(rows), wide) for i in range(0, len(q), high)):
+            h = self.differ(self.asked[a][:, None], self.held[b][None, :])
+            n = self.n_held[b]
+            ends = np.r_[np.flatnonzero(np.diff(n)) + 1, len(n)]
+            begins = np.r_[0, ends[:-1]]
+            f = self.floor[a][:, None]  # (p + q - h) / 2 common bits of (p + q + h) / 2: the highest h that reaches the floor, for each bit count
+            most = np.where(f > 0, (self.n_asked[a][:, None] + n[begins]) * (1 - f) / (1 + np.maximum(f, 0)) + 1e-9, np.inf)
+            most = np.minimum(most, np.iinfo(self.far).max).astype(self.far)
+            hit = np.empty(h.shape, bool)
+            for x, (begin, end) in enumerate(zip(begins, ends, strict=True)):
+                np.less_equal(h[:, begin:end], most[:, x : x + 1], out=hit[:, begin:end])
+            at = np.flatnonzero(hit)
+            if len(at):
+                i, j = np.divmod(at, len(b))
+                self.take(a[i], b[j], h.ravel()[at].astype(np.int64), None)
+
+
 def nearest(query_ids: np.ndarray, query_words: np.ndarray, query_cells: np.ndarray, ids: np.ndarray, held: np.ndarray, cells: np.ndarray, width: int, k: int, first: int) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], list[int]]:
     """The k best of the block (place of the query, place in the block, similarity) for each query, ties by the smaller id; and
     the pairs compared before a query had its k and after.
 
-    Queries of one cell go together. They visit the block's cells in order of the bounds, some more rows in each step, until
-    no bound reaches the k-th best of any query. Rows of the query's own id do not count.
+    Short fingerprints are looked up by lanes first. For what is then not certain, queries of one cell go together. They
+    visit the block's cells in order of the bounds, some more rows in each step, until no bound reaches the k-th best of any
+    query. Rows of the query's own id do not count. Equal queries are one, where ids are unique.
     """
     order = np.argsort(ids, kind="stable")
     ranked = ids[order]
     rank = np.empty(len(ids), np.int64)
     rank[order] = np.searchsorted(ranked, ranked)  # equal ids share the first place
-    own_low, own_high = np.searchsorted(ranked, query_ids, "left"), np.searchsorted(ranked, query_ids, "right")
+    own = np.searchsorted(ranked, query_ids, "left"), np.searchsorted(ranked, query_ids, "right")
+    _, one, same = np.unique(query_words, axis=0, return_index=True, return_inverse=True) if len(query_words) else (None, np.empty(0, np.int64), np.empty(0, np.int64))
+    same = same.ravel()
+    if len(one) < 0.9 * len(same) and (own[1] - own[0]).max() <= 1:  # a query's own row is one of the k + 1 best at most
+        best = Best(query_words[one], held, rank, (np.zeros(len(one), np.int64),) * 2, k + 1)
+        _visited(best, query_cells[one], cells, width, first)
+        at, top = best.at[same], best.top[same]
+        mine = (rank[at] >= own[0][:, None]) & (rank[at] < own[1][:, None]) & (at >= 0)
+        kept = np.argsort(mine, axis=1, kind="stable")[:, :k]
+        mine, at, top = (np.take_along_axis(x, kept, axis=1) for x in (mine, at, top))
+        at[mine] = -1
+    else:
+        best = Best(query_words, held, rank, own, k)
+        _visited(best, query_cells, cells, width, first)
+        at, top = best.at, best.top
+    i, j = np.nonzero(at >= 0)
+    return [(i, at[i, j], top[i, j])], best.compared
+
+
+def _visited(best: Best, asked_cells: np.ndarray, cells: np.ndarray, width: int, first: int) -> None:
+    """``best`` of all rows of a block, which lie in cells."""
     places, at = np.unique(cells, axis=0, return_inverse=True)
-    by_cell = np.argsort(at.ravel(), kind="stable")
-    sizes = np.bincount(at.ravel(), minlength=len(places))
+    at = at.ravel()
+    by_count = np.argsort(best.n_held, kind="stable")
+    cell = at[by_count]
+    by_cell = by_count[np.argsort(cell, kind="stable")]
+    sizes = np.bincount(at, minlength=len(places))
     begins = np.r_[0, np.cumsum(sizes)]
-    n_held, n_asked = bit_counts(held), bit_counts(query_words)
-    out, compared = [], [0, 0]
-    kinds, mine = np.unique(query_cells, axis=0, return_inverse=True)
-    grouped = np.argsort(mine.ravel(), kind="stable")
-    for rows, kind in zip(np.split(grouped, np.cumsum(np.bincount(mine.ravel(), minlength=len(kinds)))[:-1]), kinds, strict=True):
+    left = best.looked_up()
+    if not len(left):
+        return
+    kinds, mine = np.unique(asked_cells[left], axis=0, return_inverse=True)
+    left = left[np.argsort(mine.ravel(), kind="stable")]
+    for rows, kind in zip(np.split(left, np.cumsum(np.bincount(mine.ravel(), minlength=len(kinds)))[:-1]), kinds, strict=True):
         bound = bounds(kind, places, width)
         visit = np.argsort(-bound, kind="stable")
         bound = bound[visit]
-        floor, last = np.full(len(rows), -1.0), np.full(len(rows), len(ids))
-        top, top_at = np.full((len(rows), k), -1.0), np.full((len(rows), k), -1)  # similarities and places, -1 where there is none
         step, size = 0, first
         while step < len(visit):
-            lowest = floor.min()
+            lowest = best.floor[rows].min()
             if bound[step] < lowest:
                 break
+            size = min(size, 1 << 12) if lowest < 0 else max(size, 1 << 14)
             stop, n = step, 0
             while stop < len(visit) and n < size and bound[stop] >= lowest:
                 n += sizes[visit[stop]]
                 stop += 1
-            some = np.concatenate([by_cell[begins[c] : begins[c + 1]] for c in visit[step:stop]])
-            some = some[np.argsort(n_held[some], kind="stable")]
-            active = np.flatnonzero(floor <= bound[step])
-            compared[0 if lowest < 0 else 1] += len(active) * len(some)
-            for r, c in slabs(len(active), len(some)):
-                a, b = active[r], some[c]
-                ca, cb = n_asked[rows[a]], n_held[b]
-                both = common(query_words[rows[a]], held[b])
-                f = np.maximum(floor[a], 0.0)
-                hit = np.empty(both.shape, bool)
-                ends = np.r_[np.flatnonzero(np.diff(cb)) + 1, len(cb)]
-                for begin, end in zip(np.r_[0, ends[:-1]], ends, strict=True):  # the bits that reach the floor, for each bit count
-                    least = np.maximum(np.ceil(f * (ca + cb[begin]) / (1 + f) - 1e-9), 0).astype(both.dtype)
-                    np.greater_equal(both[:, begin:end], least[:, None], out=hit[:, begin:end])
-                i, j = np.divmod(np.flatnonzero(hit), len(b))
-                p = rank[b[j]]
-                other = (p < own_low[rows[a[i]]]) | (p >= own_high[rows[a[i]]])
-                compared[0 if lowest < 0 else 1] -= int(np.count_nonzero(~other))
-                n_both = both[i, j].astype(np.int64)
-                s = shares(n_both, ca[i] + cb[j] - n_both)
-                keep = other & ((s > floor[a[i]]) | ((s == floor[a[i]]) & (p < last[a[i]])))
-                met, i = np.unique(a[i[keep]], return_inverse=True)
-                old_i, old_j = np.nonzero(top_at[met] >= 0)
-                row, s, at_ = np.r_[old_i, i], np.r_[top[met][old_i, old_j], s[keep]], np.r_[top_at[met][old_i, old_j], b[j[keep]]]
-                chosen = first_of_each(row, -s, rank[at_], k=k)
-                row, s, at_ = row[chosen], s[chosen], at_[chosen]
-                place = np.arange(len(row)) - np.searchsorted(row, row)
-                top[met[row], place], top_at[met[row], place] = s, at_
-                full = met[top_at[met, k - 1] >= 0]
-                floor[full], last[full] = top[full, k - 1], rank[top_at[full, k - 1]]
-            step, size = stop, min(2 * size, 4096)
-        i, j = np.nonzero(top_at >= 0)
-        out.append((rows[i], top_at[i, j], top[i, j]))
-    return out, compared
+            if n < len(cell) // 32:
+                some = np.concatenate([by_cell[begins[c] : begins[c + 1]] for c in visit[step:stop]])
+                some = some[np.argsort(best.n_held[some], kind="stable")]
+            else:
+                now = np.zeros(len(places), bool)
+                now[visit[step:stop]] = True
+                some = by_count[now[cell]]
+            active = rows[best.floor[rows] <= bound[step]]
+            itself = active[best.own[0][active] < best.own[1][active]]
+            best.compared[0 if lowest < 0 else 1] += len(active) * len(some) - sum(int(best.own_rows(q, some).sum()) for q in itself) if len(best.held) < FROM else len(active) * len(some)
+            best.run(active, some)
+            step, size = stop, 2 * size
 
 
 def fractions(n_bits: int) -> tuple[np.ndarray, np.ndarray]:

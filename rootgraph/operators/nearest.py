@@ -16,7 +16,7 @@ from rootgraph.functions.blocks import words as words_of
 from rootgraph.sources.shared import stored, with_small
 
 #: cells of the index at most, rows of the library that meet one query at once, and queries that meet one such block
-CELLS, BLOCK, ASKED = 512, 1 << 16, 1 << 13
+CELLS, BLOCK, ASKED = 512, 1 << 19, 1 << 16
 
 
 def _counts(words: Column, n_words: int, parts: int) -> list[Column]:
@@ -44,6 +44,8 @@ def nearest(queries: DataFrame, library: DataFrame, key: str, words: str, n_word
     The library is dealt into cells by the bit counts of ``parts`` runs of bits. Sums of the smaller and of the larger
     counts bound the similarity between cells. A query visits the cells of the highest bounds until they hold ``first``
     rows; its k-th best so far is a floor, and after that it visits only cells whose bound reaches it, so nothing is lost.
+    Fingerprints of at most 64 bits in use are looked up by lanes of 16 bits first (``blocks.Best``), which finds the floor and
+    mostly all that reach it. Of equal rows only those of the k + 1 smallest keys can be among the k, so no others are kept.
     The library is cut into blocks, queries into parts of neighbouring cells. A task compares one part with one block and
     returns the k best of each query, so pairs are never rows: what is shuffled are the rows of both sides, once for each
     block or part of the other, and k rows for each query and block.
@@ -63,6 +65,8 @@ def nearest(queries: DataFrame, library: DataFrame, key: str, words: str, n_word
     asked, held = celled(queries), celled(library)
     width = _width(held, names, 64 * n_words // parts, cells)
     asked, held = (r.withColumns({c: F.floor(F.col(c) / width).cast("int") for c in names}) for r in (asked, held))
+    copy = Window.partitionBy(*group, "_words").orderBy("_id")
+    held = held.withColumn("_copy", F.dense_rank().over(copy)).where(F.col("_copy") <= k + 1).drop("_copy")
     slots = asked.sparkSession.sparkContext.defaultParallelism
     part = min(ASKED, max(256, -(-asked.count() // (2 * slots))))
 
