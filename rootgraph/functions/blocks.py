@@ -305,29 +305,107 @@ def rectangles(a: np.ndarray | None, b: np.ndarray | None, n: int, m: int, same:
                 yield min(u, v), max(u, v), i, j, False
 
 
-def tally(a: dict[str, np.ndarray], b: dict[str, np.ndarray], bits: dict[str, int], couples: list[tuple[str, str]], differ: str | None, same: bool) -> dict[tuple[str, str], tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each couple of columns the similarities that pairs of two sets of rows have in both, and how many have them."""
+def alike(x: np.ndarray, y: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, begins, kinds): rows in order of cells with equal bit counts of both words and equal ``times``; where each cell
+    begins, with the end; and these three numbers of each cell."""
+    every = np.stack([bit_counts(x), bit_counts(y), times], axis=1)
+    kinds, at = np.unique(every, axis=0, return_inverse=True)
+    at = at.ravel()
+    return np.argsort(at, kind="stable"), np.r_[0, np.cumsum(np.bincount(at, minlength=len(kinds)))], kinds
+
+
+#: pairs of two sets of rows from which they are counted by cells
+MANY = 1 << 27
+
+
+def tally(a: dict[str, np.ndarray], b: dict[str, np.ndarray], bits: dict[str, int], couples: list[tuple[str, str]], differ: str | None, same: bool, times: tuple[np.ndarray, np.ndarray] | None = None) -> dict[tuple[str, str], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each couple of columns the similarities that pairs of two sets of rows have in both, and how many have them.
+
+    ``times`` says how many rows each stands for. ``differ``, one of each couple, leaves out pairs with the same word in it.
+    """
+    if differ and any(differ not in c for c in couples):
+        raise ValueError("differ must be one of each couple")
     tables = {c: fractions(n) for c, n in bits.items()}
+    n, m = (len(next(iter(t.values()))) for t in (a, b))
+    times = times or (np.ones(n, np.int64), np.ones(m, np.int64))
+    found = _by_cells if n * m >= MANY else _by_pairs
+    out = {}
+    for (x, y), held in found(a, b, tables, couples, differ, same, times).items():
+        (values_x, number_x), (values_y, number_y) = tables[x], tables[y]
+        if same and not differ:  # the rows that one stands for, among each other
+            px, py = bit_counts(a[x]), bit_counts(a[y])
+            np.add.at(held, number_x[px, px].astype(np.int64) * len(values_y) + number_y[py, py], times[0] * (times[0] - 1) // 2)
+        at = np.flatnonzero(held)
+        i, j = np.divmod(at, len(values_y))
+        out[x, y] = (values_x[i], values_y[j], held[at])
+    return out
+
+
+def _by_pairs(a: dict, b: dict, tables: dict, couples: list, differ: str | None, same: bool, times: tuple[np.ndarray, np.ndarray]) -> dict[tuple[str, str], np.ndarray]:
     shape = {c: (len(tables[c[0]][0]), len(tables[c[1]][0])) for c in couples}
     held = {c: np.zeros(s[0] * s[1], np.int64) for c, s in shape.items()}
-    any_ = next(iter(a.values()))
-    for r, c in slabs(len(any_), len(next(iter(b.values())))):
-        keep = np.ones((len(any_[r]), 1), bool)
+    n, m = (len(t) for t in times)
+    weighed = max(t.max(initial=1) for t in times) > 1
+    for r, c in slabs(n, m):
+        keep = np.ones((len(times[0][r]), 1), bool)
         if same:
-            at = np.arange(len(any_))
+            at = np.arange(n)
             keep = at[r][:, None] < at[c][None, :]
         if differ:
             keep = keep & (a[differ][r] != b[differ][c].T)
         whole = keep.all()
-        number = {x: numbered(a[x][r], b[x][c], tables[x][1]) for x in bits}
+        number = {x: numbered(a[x][r], b[x][c], tables[x][1]) for x in tables}
+        keep = np.broadcast_to(keep, (len(times[0][r]), len(times[1][c])))
+        weights = (times[0][r][:, None] * times[1][c][None, :])[keep] if weighed else None
         for x, y in couples:
             both = number[x] * np.int32(shape[x, y][1]) + number[y]
-            held[x, y] += np.bincount(both.ravel() if whole else both[np.broadcast_to(keep, both.shape)], minlength=len(held[x, y]))
+            held[x, y] += np.bincount(both.ravel() if whole else both[keep], weights, len(held[x, y])).astype(np.int64)
+    return held
+
+
+def _by_cells(a: dict, b: dict, tables: dict, couples: list, differ: str | None, same: bool, times: tuple[np.ndarray, np.ndarray]) -> dict[tuple[str, str], np.ndarray]:
+    """Rows of equal bit counts go together: there common bits say all, so these are counted, and the counts are turned into similarities."""
     out = {}
     for x, y in couples:
-        at = np.flatnonzero(held[x, y])
-        i, j = np.divmod(at, shape[x, y][1])
-        out[x, y] = (tables[x][0][i], tables[y][0][j], held[x, y][at])
+        (values_x, number_x), (values_y, number_y) = tables[x], tables[y]
+        held = np.zeros(len(values_x) * len(values_y), np.int64)
+        sides = []
+        for t, n in zip((a, b), times, strict=True):
+            order, begins, kinds = alike(t[x], t[y], n)
+            sides.append((t[x][order, 0], t[y][order, 0], begins, kinds))
+        (u, v, begins, kinds), (q, r, ends, others) = sides
+        for cell, (px, py, w) in enumerate(kinds):
+            rows = slice(begins[cell], begins[cell + 1])
+            first = cell if same else 0  # cells of both sides are the same then, and each two meet once
+            per = (px + 1) * (py + 1)
+            counted = np.zeros((len(others) - first) * per, np.int64)
+            at = np.repeat(np.arange(len(others) - first), np.diff(ends)[first:]) * per
+            n = rows.stop - rows.start
+            wide = max(1, min(SLAB, max(1 << 12, SLAB // 8 // n)))
+            high = max(1, SLAB // 8 // wide)
+            for j in range(0, len(at), wide):
+                c, base = slice(ends[first] + j, ends[first] + j + wide), at[j : j + wide]
+                low, base = base[0], base - base[0]
+                for i in range(rows.start, rows.stop, high):
+                    k = slice(i, min(i + high, rows.stop))
+                    code = np.bitwise_count(u[k, None] & q[None, c]).astype(np.uint16)
+                    code *= np.uint16(py + 1)
+                    code += np.bitwise_count(v[k, None] & r[None, c])
+                    got = np.bincount((code + base).ravel())
+                    counted[low : low + len(got)] += got
+            if same:  # its own cell: both orders of each two rows, and each row with itself
+                own = counted[:per]
+                own[per - 1] -= n
+                own //= 2
+            some = np.flatnonzero(counted)
+            met, code = np.divmod(some, per)
+            cx, cy = np.divmod(code, py + 1)
+            qx, qy, m = others[first + met].T
+            many = counted[some] * m * w
+            if differ:
+                many[(cx == px) & (qx == px) if differ == x else (cy == py) & (qy == py)] = 0
+            np.add.at(held, number_x[cx, px + qx - cx].astype(np.int64) * len(values_y) + number_y[cy, py + qy - cy], many)
+        out[x, y] = held
     return out
 
 
